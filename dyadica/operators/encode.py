@@ -60,32 +60,6 @@ def classify(
     return out
 
 
-def kinds_table(df: DataFrame, columns: Sequence[str], categorical: Sequence[str] = ()) -> DataFrame:
-    """One row per feature: its kind, how many values are present, and how many differ."""
-    feats = classify(df.schema, columns, categorical)
-    values = [category(df, f) if f.kind == CATEGORICAL else nan_as_null(F.col(f.column)) for f in feats]
-    long = df.select(
-        F.explode(
-            F.array(
-                *[
-                    F.struct(
-                        F.lit(f.column).alias("feature"),
-                        F.lit(f.kind).alias("kind"),
-                        v.cast("string").alias("v"),
-                    )
-                    for f, v in zip(feats, values)
-                ]
-            )
-        ).alias("r")
-    ).select("r.*")
-    return (
-        long.groupBy("feature", "kind", "v")
-        .agg(F.count("v").alias("c"))
-        .groupBy("feature", "kind")
-        .agg(F.sum("c").alias("n_present"), F.count("v").alias("n_distinct"))
-    )
-
-
 def category(df: DataFrame, feature: Feature) -> Column:
     """The raw category; NaN in a floating column means missing."""
     col = F.col(feature.column)

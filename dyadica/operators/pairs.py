@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
+from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from dyadica.functions.hashing import draw_index
 from dyadica.session import broadcast_bytes
@@ -13,11 +13,8 @@ from dyadica.session import broadcast_bytes
 _END_BYTES = 64
 
 
-def draw_pairs(pairs: DataFrame, n: int, stream: str) -> DataFrame:
-    """Add ends i and j to rows that carry ``pair_id``.
-
-    Both orders and self-pairs occur, and draws are with replacement.
-    """
+def draw_ends(pairs: DataFrame, n: int, stream: str) -> DataFrame:
+    """Uniform ends in 0..n-1: both orders and self-pairs occur, with replacement."""
     if n <= 0:
         raise ValueError("cannot sample pairs from an empty table")
     pid = F.col("pair_id")
@@ -26,26 +23,22 @@ def draw_pairs(pairs: DataFrame, n: int, stream: str) -> DataFrame:
     )
 
 
-def sample_pairs(
-    spark: SparkSession, n: int, batch_size: int, n_trials: int = 1, stream: str = "0"
-) -> DataFrame:
-    """``n_trials`` batches of ``batch_size`` pairs: (pair_id, trial, i, j)."""
-    return sample_pair_range(spark, n, 0, batch_size * n_trials, batch_size, stream)
+def sample_pairs(source, batch_size: int, n_trials: int = 1, stream: str = "0") -> DataFrame:
+    """``n_trials`` batches of ``batch_size`` pairs of a source: (pair_id, trial, i, j)."""
+    return sample_pair_range(source, 0, batch_size * n_trials, batch_size, stream)
 
 
-def sample_pair_range(
-    spark: SparkSession, n: int, first: int, last: int, batch_size: int, stream: str
-) -> DataFrame:
+def sample_pair_range(source, first: int, last: int, batch_size: int, stream: str) -> DataFrame:
     """The pairs numbered first..last-1 of a stream of batches."""
+    spark = source.df.sparkSession
     ids = spark.range(first, last).select(
-        F.col("id").alias("pair_id"),
-        F.expr(f"id div {batch_size}").alias("trial"),
+        F.col("id").alias("pair_id"), F.expr(f"id div {batch_size}").alias("trial")
     )
-    return draw_pairs(ids, n, stream)
+    return source.draw(ids, stream)
 
 
 def sample_prefixes(
-    spark: SparkSession, n: int, sizes: Sequence[int], n_trials: int, stride: int, stream: str
+    source, sizes: Sequence[int], n_trials: int, stride: int, stream: str
 ) -> DataFrame:
     """For each trial the pairs of all ``sizes`` at once: (pair_id, trial, step, i, j).
 
@@ -56,10 +49,10 @@ def sample_prefixes(
     k = F.expr(f"id % {top}")
     step = sum(((k >= F.lit(s)).cast("int") for s in sizes[:-1]), F.lit(0))
     trial = F.expr(f"id div {top}")
-    ids = spark.range(0, top * n_trials).select(
+    ids = source.df.sparkSession.range(0, top * n_trials).select(
         (trial * F.lit(stride) + k).alias("pair_id"), trial.alias("trial"), step.alias("step")
     )
-    return draw_pairs(ids, n, stream)
+    return source.draw(ids, stream)
 
 
 def ends_fit_broadcast(spark: SparkSession, n_pairs: int) -> bool:
@@ -72,9 +65,8 @@ def pair_ends(pairs: DataFrame) -> DataFrame:
         F.struct(F.lit(0).alias("side"), F.col("i").alias("sid")),
         F.struct(F.lit(1).alias("side"), F.col("j").alias("sid")),
     )
-    return pairs.drop("i", "j").withColumn("_end", F.explode(sides)).select(
-        *[c for c in pairs.columns if c not in ("i", "j")], "_end.side", "_end.sid"
-    )
+    keys = [c for c in pairs.columns if c not in ("i", "j")]
+    return pairs.select(*keys, F.explode(sides).alias("_end")).select(*keys, "_end.side", "_end.sid")
 
 
 def gather_by_lookup(pairs: DataFrame, values: DataFrame) -> DataFrame:
@@ -97,7 +89,3 @@ def assemble_ends(ends: DataFrame, keys: Sequence[str], payload: Sequence[str])
         *[F.col(c).alias(f"a_{c}") for c in payload],
         *[F.col(f"_b.{c}").alias(f"b_{c}") for c in payload],
     )
-
-
-def side_columns(payload: Sequence[str], side: str) -> list[Column]:
-    return [F.col(f"{side}_{c}") for c in payload]

@@ -5,7 +5,7 @@ from __future__ import annotations
 import warnings
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, functions as F
 
 from dyadica.operators.correlation import prefix_correlations, stability
 from dyadica.operators.moments import moment_vectors
@@ -29,7 +29,7 @@ def candidate_sizes(smallest: int, largest: int, factor: float) -> tuple[list[in
 
 
 def size_stability(
-    spark: SparkSession, source, sizes: Sequence[int], n_trials: int, stride: int,
+    source, sizes: Sequence[int], n_trials: int, stride: int,
     stream: str, nan_to_num: float = 0.0,
 ) -> DataFrame:
     """Stability of every size from one job: (step, batch_size, max_std, max_corr).
@@ -37,7 +37,7 @@ def size_stability(
     The sizes are nested prefixes of the same trials; trials stay independent.
     """
     n_pairs = sizes[-1] * n_trials
-    pairs = sample_prefixes(spark, source.size(), sizes, n_trials, stride, stream)
+    pairs = sample_prefixes(source, sizes, n_trials, stride, stream)
     dist = source.distances(pairs, n_pairs, None, False, nan_to_num)
     moments = moment_vectors(dist, source.n_features, by=("trial", "step"))
     table = stability(prefix_correlations(moments, source.n_features))
@@ -53,7 +53,6 @@ def _blocks(sizes: Sequence[int], n_trials: int) -> list[tuple[int, int]]:
 
 
 def estimate_batch_size(
-    spark: SparkSession,
     source,
     batch_size_min: int = 256,
     n_trials: int = 64,
@@ -71,7 +70,7 @@ def estimate_batch_size(
     chosen, max_corr = None, None
     for a, b in _blocks(sizes, n_trials):
         rows = size_stability(
-            spark, source, sizes[:b], n_trials, batch_size_max, stream, nan_to_num
+            source, sizes[:b], n_trials, batch_size_max, stream, nan_to_num
         ).collect()
         for row in sorted(rows, key=lambda r: r["step"])[a:]:
             max_corr = row["max_corr"]

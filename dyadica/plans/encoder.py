@@ -109,7 +109,7 @@ class MetricEncoder:
         """A batch size that suffices for these features; it does not read representations."""
         self._check_source(source)
         return estimate_batch_size(
-            source.df.sparkSession, source, self.batch_size_min, self.n_trials, self.threshold,
+            source, self.batch_size_min, self.n_trials, self.threshold,
             self.factor, self.batch_size_max, self.corr_warning_threshold,
             f"{self._seed()}:size", self.nan_to_num,
         )
@@ -118,19 +118,18 @@ class MetricEncoder:
 
     def fit(self, source: Stimuli | PrecomputedPairs) -> "MetricEncoder":
         self._check_source(source)
-        spark = source.df.sparkSession
         seed = self._seed()
         size = self.batch_size or self.estimate_batch_size(source)
         stream = f"{seed}:fit"
         if self.solver == POOLED:
             n_pairs = max(size, min(size * self.max_steps, self.max_fit_pairs))
             result = fit_pooled(
-                spark, source, self.distance, self.interactions, self.nan_to_num,
+                source, self.distance, self.interactions, self.nan_to_num,
                 n_pairs, size, stream,
             )
         else:
             result = fit_steps(
-                spark, source, self.distance, self.interactions, self.nan_to_num, size,
+                source, self.distance, self.interactions, self.nan_to_num, size,
                 self.max_steps, self.lr, self.weight_decay, self.patience, stream, seed,
             )
         self.fit_, self.source_, self.batch_size_fit_ = result, source, size
@@ -161,7 +160,7 @@ class MetricEncoder:
         weights = self._weights_for(source)
         table = materialize(
             importance_table(
-                source.df.sparkSession, source, weights, size, self.n_permutations,
+                source, weights, size, self.n_permutations,
                 self.distance, self.interactions, self.nan_to_num, f"{self._seed()}", self.ties,
             )
         )

@@ -6,7 +6,7 @@ import warnings
 from dataclasses import dataclass
 
 import numpy as np
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, functions as F
 
 from dyadica.functions.distances import SCALE_EPS
 from dyadica.operators.moments import (
@@ -56,13 +56,13 @@ def _check_span(mom: Moments, w: np.ndarray, n: int) -> None:
 
 
 def fit_pooled(
-    spark: SparkSession, source, distance, interactions: bool, nan_to_num: float,
+    source, distance, interactions: bool, nan_to_num: float,
     n_pairs: int, batch_size: int, stream: str,
 ) -> FitResult:
     """Best weights on the moments of all sampled pairs."""
     p = source.n_features
     q = n_terms(p, interactions)
-    pairs = sample_pair_range(spark, source.size(), 0, n_pairs, batch_size, stream)
+    pairs = sample_pair_range(source, 0, n_pairs, batch_size, stream)
     dist = source.distances(pairs, n_pairs, distance, interactions, nan_to_num)
     mom = fit_moments(dist, q)[0]
     _expect(mom.n, n_pairs)
@@ -73,7 +73,7 @@ def fit_pooled(
 
 
 def fit_steps(
-    spark: SparkSession, source, distance, interactions: bool, nan_to_num: float,
+    source, distance, interactions: bool, nan_to_num: float,
     batch_size: int, max_steps: int, lr: float, weight_decay: float, patience: int,
     stream: str, seed: int,
 ) -> FitResult:
@@ -95,7 +95,7 @@ def fit_steps(
         last = min(first + per_job, max_steps)
         n_pairs = (last - first) * batch_size
         pairs = sample_pair_range(
-            spark, source.size(), first * batch_size, last * batch_size, batch_size, stream
+            source, first * batch_size, last * batch_size, batch_size, stream
         )
         dist = source.distances(pairs, n_pairs, distance, interactions, nan_to_num)
         moments = fit_moments(dist, q, "trial")

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from dyadica.functions.distances import term_names
 from dyadica.operators.correlation import pearson_eps
@@ -20,7 +20,6 @@ def predict(weights: Sequence[float], x: str = "x") -> Column:
 
 
 def importance_table(
-    spark: SparkSession,
     source,
     weights: Sequence[float],
     batch_size: int,
@@ -40,7 +39,7 @@ def importance_table(
     names = term_names(source.feature_names, interactions)
     q = len(names)
     n_batches = q * n_permutations
-    pairs = sample_pairs(spark, source.size(), batch_size, n_batches, stream)
+    pairs = sample_pairs(source, batch_size, n_batches, stream)
     dist = source.distances(pairs, batch_size * n_batches, distance, interactions, nan_to_num)
     x = F.col("x")
     term = F.expr(f"cast(trial div {n_permutations} as int)")

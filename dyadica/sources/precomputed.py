@@ -7,14 +7,20 @@ from collections.abc import Callable, Sequence
 from pyspark.sql import DataFrame, functions as F, types as T
 
 from dyadica.functions import distances as D
+from dyadica.functions.hashing import draw_index
 from dyadica.operators import pairs as P
+from dyadica.operators.index import global_position, require_unique
 
 
 class PrecomputedPairs:
-    """Every ordered pair 0..n-1 by 0..n-1, self-pairs included.
+    """Distances of the ordered pairs of n stimuli, one row per pair.
 
     ``features`` names distance columns, or one array column of them. Distances are taken as
     they are: nothing is scaled, filled or clipped before squaring.
+
+    A ``complete`` table is a full matrix: every pair of 0..n-1, self-pairs included. It has
+    n*n rows, so for many stimuli pass a list of pairs with ``complete=False``; batches are
+    then drawn uniformly over its rows, which for a full matrix is the same distribution.
     """
 
     def __init__(
@@ -25,8 +31,10 @@ class PrecomputedPairs:
         i: str = "i",
         j: str = "j",
         feature_names: Sequence[str] | None = None,
+        complete: bool = True,
     ) -> None:
         self.df, self.i, self.j, self.target = df, i, j, target
+        self.complete = complete
         missing = [c for c in (i, j, target) if c is not None and c not in df.columns]
         if missing:
             raise ValueError(f"columns not found: {missing}")
@@ -44,28 +52,48 @@ class PrecomputedPairs:
         if len(self.feature_names) != len(self._x):
             raise ValueError(f"{len(self._x)} features but {len(self.feature_names)} names")
         self._n = None
+        self._index = None
 
     @property
     def n_features(self) -> int:
         return len(self._x)
 
     def size(self) -> int:
-        """n, after checking that the table has the n*n rows of a full matrix."""
+        """n of a complete matrix, or the number of listed pairs."""
         if self._n is None:
-            i, j = F.col(self.i), F.col(self.j)
-            row = self.df.agg(
-                F.count(F.lit(1)).alias("c"), F.min(F.least(i, j)).alias("lo"),
-                F.max(F.greatest(i, j)).alias("hi"), F.count(i + j).alias("k"),
-            ).first()
-            n = 0 if row["c"] == 0 else int(row["hi"]) + 1
-            if row["c"] != n * n or row["k"] != row["c"] or (n and row["lo"] != 0):
-                raise ValueError(
-                    f"precomputed distances need every pair of 0..{n - 1}: "
-                    f"{n * n} rows expected, {row['c']} found"
-                )
-            self._n = n
+            self._n = self._matrix_size() if self.complete else self._list_size()
         return self._n
 
+    def _matrix_size(self) -> int:
+        i, j = F.col(self.i), F.col(self.j)
+        row = self.df.agg(
+            F.count(F.lit(1)).alias("c"), F.min(F.least(i, j)).alias("lo"),
+            F.max(F.greatest(i, j)).alias("hi"), F.count(i + j).alias("k"),
+        ).first()
+        n = 0 if row["c"] == 0 else int(row["hi"]) + 1
+        if row["c"] != n * n or row["k"] != row["c"] or (n and row["lo"] != 0):
+            raise ValueError(
+                f"precomputed distances need every pair of 0..{n - 1}: "
+                f"{n * n} rows expected, {row['c']} found"
+            )
+        return n
+
+    def _list_size(self) -> int:
+        ends = self.df.select(F.col(self.i).alias("i"), F.col(self.j).alias("j"))
+        self._index, n = global_position(ends, ["i", "j"], "_row")
+        require_unique(self._index, ["i", "j"])
+        return n
+
+    def draw(self, pairs: DataFrame, stream: str) -> DataFrame:
+        """Add i and j, uniform over the matrix or over the listed pairs."""
+        n = self.size()
+        if self.complete:
+            return P.draw_ends(pairs, n, stream)
+        if n == 0:
+            raise ValueError("cannot sample pairs from an empty table")
+        rows = pairs.withColumn("_row", draw_index(stream, "a", F.col("pair_id"), n))
+        return rows.join(self._index, "_row").drop("_row")
+
     def distances(
         self,
         pairs: DataFrame,
@@ -80,7 +108,6 @@ class PrecomputedPairs:
             raise ValueError("precomputed pairs need distance='precomputed'")
         if distance is not None and self.target is None:
             raise ValueError("this pair table has no representation distance")
-        self.size()
         terms = [c.cast("double").alias(f"_d{k}") for k, c in enumerate(self._x)]
         d = [F.col(self.target).cast("double").alias("d")] if distance is not None else []
         table = self.df.select(

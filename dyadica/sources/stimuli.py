@@ -124,6 +124,10 @@ class Stimuli:
                 require_unique(self._index, self.keys)
         return self._n
 
+    def draw(self, pairs: DataFrame, stream: str) -> DataFrame:
+        """Add the ends of each pair, uniform over the stimuli."""
+        return P.draw_ends(pairs, self.size(), stream)
+
     def _with_sid(self) -> DataFrame:
         """All rows with their position; for tables small enough to broadcast."""
         if self.dense:
