@@ -203,12 +203,12 @@ def pfi_ctes(
     t = tag
     return (
         f"{prefix}, "
-        f"ba{t} AS (SELECT trial, pair_id, {rest} AS rest, {part} AS part, d::FLOAT + 0::FLOAT AS y FROM ds), "
+        f"ba{t} AS (SELECT trial, pair_id, pair_id % ({batch}) AS own, {rest} AS rest, {part} AS part, d::FLOAT + 0::FLOAT AS y FROM ds), "
         f"pe{t} AS (SELECT trial, part AS moved, row_number() OVER (PARTITION BY trial ORDER BY "
         f"{h48(stream + ':p:', 'pair_id')}, pair_id) - 1 AS slot FROM ba{t}), "
         f"mx{t} AS (SELECT ba{t}.trial, pair_id, y, (rest + part)::FLOAT + 0::FLOAT AS base, "
         f"(rest + moved)::FLOAT + 0::FLOAT AS perm "
-        f"FROM ba{t} JOIN pe{t} ON pe{t}.trial = ba{t}.trial AND pe{t}.slot = ba{t}.pair_id % ({batch})), "
+        f"FROM ba{t} JOIN pe{t} ON pe{t}.trial = ba{t}.trial AND pe{t}.slot = ba{t}.own), "
         f"rk{t} AS (SELECT trial, {rank.format(c='y')} AS ry, {rank.format(c='base')} AS rb, "
         f"{rank.format(c='perm')} AS rp FROM mx{t}), "
         f"sc{t} AS (SELECT trial, {corr_eps('rb', 'ry')} AS baseline, {corr_eps('rp', 'ry')} AS permuted "

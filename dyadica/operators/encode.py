@@ -115,7 +115,7 @@ def pair_values(
     return out
 
 
-def category_codes(df: DataFrame, column: str) -> tuple[DataFrame, int, int]:
+def category_codes(df: DataFrame, column: str) -> tuple[DataFrame, int]:
     """Dictionary (value, used, code) with 0-based codes in sorted order of the values.
 
     Counting before the range shuffle combines on the map side, so a value held by a third
@@ -128,18 +128,16 @@ def category_codes(df: DataFrame, column: str) -> tuple[DataFrame, int, int]:
         .groupBy(column)
         .agg(F.count(F.lit(1)).alias("used"))
     )
-    coded, n_values = global_position(counts, [column], "code")
-    n_rows = coded.agg(F.sum("used").alias("n")).first()["n"] or 0
-    return coded, n_values, n_rows
+    return global_position(counts, [column], "code")
 
 
 def encode_codes(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     """Replace each column by its category code; missing categories stay NULL."""
     out = df
     for name in columns:
-        dictionary, n_values, n_rows = category_codes(df, name)
+        dictionary, n_values = category_codes(df, name)
         dictionary = dictionary.withColumnRenamed("code", "_code")
-        out = join_dictionary(out, dictionary, name, "used", n_values, n_rows)
+        out = join_dictionary(out, dictionary, name, "used", n_values)
         out = out.withColumn(name, F.col("_code").cast("double")).drop("_code")
     return out
 

@@ -11,7 +11,7 @@ HOT_SHARE = 1000
 
 
 def join_dictionary(
-    fact: DataFrame, dictionary: DataFrame, key: str, used: str, n_keys: int, n_rows: int
+    fact: DataFrame, dictionary: DataFrame, key: str, used: str, n_keys: int
 ) -> DataFrame:
     """Left join ``fact`` to ``dictionary`` on ``key``.
 
@@ -21,6 +21,7 @@ def join_dictionary(
     """
     if fits_broadcast(dictionary, n_keys):
         return fact.join(F.broadcast(dictionary.drop(used)), key, "left")
+    n_rows = dictionary.agg(F.sum(used).alias("n")).first()["n"] or 0
     hot = dictionary.filter(F.col(used) * HOT_SHARE > F.lit(n_rows)).drop(used)
     hot = hot.select(key, F.struct(*[c for c in hot.columns if c != key]).alias("_hot"))
     names = [c for c in dictionary.columns if c not in (key, used)]

@@ -6,6 +6,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from dyadica.functions.hashing import hash48
 from dyadica.operators.index import global_position
 from dyadica.operators.lookup import join_dictionary
 from dyadica.session import group_rows
@@ -58,8 +59,7 @@ def average_rank(
     means = placed.groupBy("_key").agg(
         F.avg("_ord").alias(name), F.count(F.lit(1)).alias("_used")
     )
-    totals = means.agg(F.count(F.lit(1)).alias("k"), F.sum("_used").alias("n")).first()
-    joined = join_dictionary(placed, means, "_key", "_used", totals["k"], totals["n"])
+    joined = join_dictionary(placed, means, "_key", "_used", means.count())
     return joined.drop("_key", "_ord")
 
 
@@ -83,8 +83,6 @@ def shuffle_within(
     Both records of a slot meet within the batch, so no second shuffle is needed when the
     batch is one window group.
     """
-    from dyadica.functions.hashing import hash48
-
     hashed = df.withColumn("_h", hash48(f"{stream}:p:", F.col("pair_id")))
     placed = ordinal_position(hashed, group, ["_h", "pair_id"], "_to", rows_per_group)
     own_slot = F.expr(f"pair_id % {rows_per_group}")
