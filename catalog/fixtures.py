@@ -13,7 +13,7 @@ SEGMENTS = ["AUTOMOBILE", "BUILDING", "FURNITURE", "HOUSEHOLD", "MACHINERY"]
 # Planted squared weights of the balance, segment and parity features.
 PLANTED = (0.6, 0.3, 0.1)
 # Lines of an order repeat; these columns together tell them apart.
-LINE_KEYS = ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice"]
+LINE_KEYS = ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_shipdate"]
 SEED = 42
 
 

@@ -15,7 +15,9 @@ HEX_BASE = 16
 
 def hash48(prefix: str, key: Column) -> Column:
     digest = F.md5(F.concat(F.lit(prefix), key.cast("string")))
-    return F.conv(F.substring(digest, 1, HEX_DIGITS), HEX_BASE, 10).cast("bigint")
+    number = F.conv(F.substring(digest, 1, HEX_DIGITS), HEX_BASE, 10).cast("bigint")
+    # Never NULL; saying so keeps joins from hashing a second time to filter NULLs out.
+    return F.coalesce(number, F.lit(0).cast("bigint"))
 
 
 def draw_index(stream: str, side: str, key: Column, n: int) -> Column:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import DataFrame, functions as F
 
 from dyadica.session import materialize, shuffle_partitions
 
@@ -13,35 +13,40 @@ _ROW_BITS = 33
 
 
 def global_position(
-    df: DataFrame, order: Sequence[str | Column], name: str = "pos"
+    df: DataFrame, order: Sequence[str], name: str = "pos", unique: bool = False
 ) -> tuple[DataFrame, int]:
     """Number the rows of ``df`` 0..n-1 in ``order``; returns the frame and n.
 
     One range shuffle sorts the rows over all partitions. The sorted rows are written once,
     so that counting the partitions and numbering them see the same partitions, also when an
     executor is lost. Only one count per partition reaches the driver.
+
+    With ``unique`` the order columns are all columns of ``df`` and must not repeat; the
+    range shuffle already brings equal rows together, so the check adds no shuffle.
     """
     spark = df.sparkSession
     parts = shuffle_partitions(spark)
-    ranged = df.repartitionByRange(parts, *order).sortWithinPartitions(*order)
+    ranged = df.repartitionByRange(parts, *order)
+    if unique:
+        ranged = ranged.groupBy(*order).agg(F.count(F.lit(1)).alias("_copies"))
+    else:
+        ranged = ranged.withColumn("_copies", F.lit(1).cast("bigint"))
+    ranged = ranged.sortWithinPartitions(*order)
     stored = materialize(ranged.withColumn("_slot", F.monotonically_increasing_id()))
     part = F.shiftright("_slot", _ROW_BITS).cast("int")
-    counts = {
-        r["part"]: r["n"]
-        for r in stored.groupBy(part.alias("part")).agg(F.count(F.lit(1)).alias("n")).collect()
-    }
+    per_part = stored.groupBy(part.alias("part")).agg(
+        F.count(F.lit(1)).alias("n"), F.max("_copies").alias("copies")
+    )
+    counts = {}
+    for row in per_part.collect():
+        counts[row["part"]] = row["n"]
+        if row["copies"] > 1:
+            raise ValueError(f"{list(order)} do not tell the rows apart")
     offsets, total = [], 0
     for k in range(max(counts, default=-1) + 1):
         offsets.append(total)
         total += counts.get(k, 0)
-    if not offsets:
-        offsets = [0]
-    table = F.expr("array(" + ",".join(f"{o}L" for o in offsets) + ")")
+    table = F.expr("array(" + ",".join(f"{o}L" for o in offsets or [0]) + ")")
     local = F.col("_slot").bitwiseAND(F.lit((1 << _ROW_BITS) - 1))
-    return stored.withColumn(name, F.element_at(table, part + 1) + local).drop("_slot"), total
-
-
-def require_unique(df: DataFrame, keys: Sequence[str]) -> None:
-    dup = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("n")).filter("n > 1").limit(1).collect()
-    if dup:
-        raise ValueError(f"id columns {list(keys)} are not unique, e.g. {dup[0]}")
+    placed = stored.withColumn(name, F.element_at(table, part + 1) + local)
+    return placed.drop("_slot", "_copies"), total

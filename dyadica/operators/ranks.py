@@ -86,22 +86,17 @@ def shuffle_within(
     hashed = df.withColumn("_h", hash48(f"{stream}:p:", F.col("pair_id")))
     placed = ordinal_position(hashed, group, ["_h", "pair_id"], "_to", rows_per_group)
     own_slot = F.expr(f"pair_id % {rows_per_group}")
-    row = F.struct(*df.columns)
-    records = F.array(
-        F.struct(own_slot.alias("slot"), F.lit(0).alias("kind"), row.alias("row"), F.col(value).alias("v")),
-        F.struct(
-            F.col("_to").alias("slot"),
-            F.lit(1).alias("kind"),
-            F.lit(None).cast(df.select(row).schema[0].dataType).alias("row"),
-            F.col(value).alias("v"),
-        ),
-    )
-    met = placed.select(group, F.explode(records).alias("_r")).select(group, "_r.*")
-    w = Window.partitionBy(group, "slot").orderBy("kind")
+    rest = [c for c in df.columns if c != group]
+    own = [own_slot.alias("_slot"), F.lit(False).alias("_offer"), F.col(value).alias("_v")]
+    offer = [F.col("_to").alias("_slot"), F.lit(True).alias("_offer"), F.col(value).alias("_v")]
+    empty = [F.lit(None).cast(df.schema[c].dataType).alias(c) for c in rest]
+    records = F.inline(F.array(F.struct(*own, *rest), F.struct(*offer, *empty)))
+    w = Window.partitionBy(group, "_slot").orderBy("_offer")
     return (
-        met.withColumn(name, F.lead("v").over(w))
-        .filter(F.col("kind") == 0)
-        .select("row.*", name)
+        placed.select(group, records)
+        .withColumn(name, F.lead("_v").over(w))
+        .filter(~F.col("_offer"))
+        .select(*df.columns, name)
     )
 
 

@@ -10,6 +10,7 @@ from dyadica.functions.distances import term_names
 from dyadica.operators.correlation import pearson_eps
 from dyadica.operators.pairs import sample_pairs
 from dyadica.operators.ranks import ORDINAL, rank_by, rank_value, shuffle_within
+from dyadica.session import shuffle_partitions
 
 
 def predict(weights: Sequence[float], x: str = "x") -> Column:
@@ -61,6 +62,9 @@ def importance_table(
             rank_value(F.col("d"), digits).alias("y"),
         )
     )
+    if n_batches > shuffle_partitions(source.df.sparkSession):
+        # More batches than partitions: one partition per batch spreads them evenly.
+        narrow = narrow.repartition(n_batches, "trial")
     mixed = shuffle_within(narrow, "trial", "part", stream, "moved", batch_size)
     scored = mixed.select(
         "trial",

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -10,7 +11,7 @@ BROADCAST_BYTES_KEY = "spark.dyadica.broadcastBytes"
 GROUP_ROWS_KEY = "spark.dyadica.groupRows"
 
 # A side is broadcast only when its measured size stays under this.
-DEFAULT_BROADCAST_BYTES = 64 * 1024 * 1024
+DEFAULT_BROADCAST_BYTES = 128 * 1024 * 1024
 # A window group (one batch of pairs) is sorted in one task only up to this many rows.
 DEFAULT_GROUP_ROWS = 4_000_000
 
@@ -27,11 +28,11 @@ def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
-def ensure_checkpoint_dir(spark: SparkSession) -> None:
+def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """Use the cluster's shared checkpoint folder; make one only in local mode."""
     sc = spark.sparkContext
     if sc.getCheckpointDir() is not None:
-        return
+        return sc.getCheckpointDir()
     shared = spark.conf.get("spark.checkpoint.dir", None)
     if shared:
         sc.setCheckpointDir(shared)
@@ -39,9 +40,15 @@ def ensure_checkpoint_dir(spark: SparkSession) -> None:
         sc.setCheckpointDir(tempfile.mkdtemp(prefix="run-", dir="/tmp"))
     else:
         raise RuntimeError("set spark.checkpoint.dir to a folder all executors share")
+    return sc.getCheckpointDir()
 
 
 def materialize(df: DataFrame) -> DataFrame:
-    """Write ``df`` once to the checkpoint folder and cut its lineage there."""
-    ensure_checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    """Write ``df`` once to the checkpoint folder and read it back from there.
+
+    A columnar table lets later stages read only the columns they need, and gives the
+    optimizer its true size.
+    """
+    path = f"{ensure_checkpoint_dir(df.sparkSession)}/{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, functions as F, types as T
 from dyadica.functions import distances as D
 from dyadica.functions.hashing import draw_index
 from dyadica.operators import pairs as P
-from dyadica.operators.index import global_position, require_unique
+from dyadica.operators.index import global_position
 
 
 class PrecomputedPairs:
@@ -80,8 +80,7 @@ class PrecomputedPairs:
 
     def _list_size(self) -> int:
         ends = self.df.select(F.col(self.i).alias("i"), F.col(self.j).alias("j"))
-        self._index, n = global_position(ends, ["i", "j"], "_row")
-        require_unique(self._index, ["i", "j"])
+        self._index, n = global_position(ends, ["i", "j"], "_row", unique=True)
         return n
 
     def draw(self, pairs: DataFrame, stream: str) -> DataFrame:

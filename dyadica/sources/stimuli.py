@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, functions as F, types as T
 from dyadica.functions import distances as D
 from dyadica.operators import pairs as P
 from dyadica.operators.encode import CATEGORICAL, Feature, classify, pair_values, scaling_bounds
-from dyadica.operators.index import global_position, require_unique
+from dyadica.operators.index import global_position
 from dyadica.sources.sizing import fits_broadcast
 
 
@@ -120,8 +120,9 @@ class Stimuli:
                     raise ValueError(f"id {self.keys[0]!r} is not dense 0..{n - 1}")
                 self._n = n
             else:
-                self._index, self._n = global_position(self.df.select(*self.keys), self.keys, "sid")
-                require_unique(self._index, self.keys)
+                self._index, self._n = global_position(
+                    self.df.select(*self.keys), self.keys, "sid", unique=True
+                )
         return self._n
 
     def draw(self, pairs: DataFrame, stream: str) -> DataFrame:
