@@ -80,14 +80,10 @@ class Metric:
     norm: bool = False
 
 
-def _same_length(a: Column, b: Column, value: Column) -> Column:
-    bad = F.raise_error(F.lit("representations differ in length")).cast("double")
-    return F.when(F.size(a) != F.size(b), bad).otherwise(value)
-
-
 def _sum_over(a: Column, b: Column, term: Callable[[Column, Column], Column]) -> Column:
     total = F.aggregate(F.zip_with(a, b, term), F.lit(0.0), lambda acc, t: acc + t)
-    return _same_length(a, b, total)
+    bad = F.raise_error(F.lit("representations differ in length")).cast("double")
+    return total + F.when(F.size(a) != F.size(b), bad).otherwise(F.lit(0.0))
 
 
 def vector_norm(v: Column) -> Column:

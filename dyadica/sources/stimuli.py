@@ -232,13 +232,13 @@ class Stimuli:
         dist = self.feature_distances(nan_to_num)
         wide = met.select(
             *pairs.columns, *[c.alias(f"_d{k}") for k, c in enumerate(dist)],
-            *self._distance_column(metric, nan_to_num),
+            *self._distance_column(metric),
         )
         terms = D.distance_terms([F.col(f"_d{k}") for k in range(len(dist))], interactions)
-        d = ["d"] if metric is not None else []
+        d = [D.clean_distance(F.col("_d"), nan_to_num).alias("d")] if metric is not None else []
         return wide.select(*pairs.columns, F.array(*terms).alias("x"), *d)
 
-    def _distance_column(self, metric: D.Metric | None, nan_to_num: float) -> list[Column]:
+    def _distance_column(self, metric: D.Metric | None) -> list[Column]:
         if metric is None:
             return []
         sides = [
@@ -248,4 +248,4 @@ class Stimuli:
             )
             for s in ("a", "b")
         ]
-        return [D.clean_distance(metric.between(*sides), nan_to_num).alias("d")]
+        return [metric.between(*sides).alias("_d")]
