@@ -83,7 +83,8 @@ class Metric:
 def _sum_over(a: Column, b: Column, term: Callable[[Column, Column], Column]) -> Column:
     total = F.aggregate(F.zip_with(a, b, term), F.lit(0.0), lambda acc, t: acc + t)
     bad = F.raise_error(F.lit("representations differ in length")).cast("double")
-    return total + F.when(F.size(a) != F.size(b), bad).otherwise(F.lit(0.0))
+    # Added in front, so that it is checked first and the sum itself stays unconditional.
+    return F.when(F.size(a) != F.size(b), bad).otherwise(F.lit(0.0)) + total
 
 
 def vector_norm(v: Column) -> Column:
