@@ -8,6 +8,8 @@ from dyadica.operators.ranks import ORDINAL, rank_by, rank_value
 
 # Fixed value: guard of both standard deviations.
 CORR_EPS = 1e-8
+# A spread below this share of the sum of squares is rounding noise of a constant column.
+CONSTANT_SHARE = 1e-12
 
 
 def corr_from_sums(sxy: Column, sxx: Column, syy: Column) -> Column:
@@ -82,15 +84,11 @@ def prefix_correlations(moments: DataFrame, p: int) -> DataFrame:
     pairs = running.withColumn("a", F.explode(F.sequence(F.lit(1), F.lit(p - 1)))).withColumn(
         "b", F.explode(F.sequence(F.lit(0), F.col("a") - 1))
     )
-    return pairs.select(
-        "trial",
-        "step",
-        "a",
-        "b",
-        corr_from_sums(
-            gram(a, b) - sa * sb / n, gram(a, a) - sa * sa / n, gram(b, b) - sb * sb / n
-        ).alias("corr"),
-    )
+    sab = gram(a, b) - sa * sb / n
+    saa, sbb = gram(a, a) - sa * sa / n, gram(b, b) - sb * sb / n
+    constant = (saa <= gram(a, a) * CONSTANT_SHARE) | (sbb <= gram(b, b) * CONSTANT_SHARE)
+    corr = F.when(constant, F.lit(0.0)).otherwise(corr_from_sums(sab, saa, sbb))
+    return pairs.select("trial", "step", "a", "b", corr.alias("corr"))
 
 
 def stability(correlations: DataFrame) -> DataFrame:

@@ -208,12 +208,9 @@ class MetricEncoder:
 
     def get_weights(self) -> DataFrame:
         """(feature, weight), or (row_feature, col_feature, weight) with interactions."""
-        return weights_table(
-            self._session(), self._fitted().weights, self.feature_names, self.interactions
-        )
-
-    def _session(self):
-        return self.source_.df.sparkSession
+        weights = self._fitted().weights
+        spark = self.source_.df.sparkSession
+        return weights_table(spark, weights, self.feature_names, self.interactions)
 
 
 def weights_table(spark, weights: Sequence[float], names: Sequence[str], interactions: bool) -> DataFrame:
