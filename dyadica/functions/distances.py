@@ -61,6 +61,19 @@ def distance_terms(dist: Sequence[Column], interactions: bool) -> list[Column]:
     return [d * d for d in dist]
 
 
+# More terms than this are computed by array functions instead of one expression each.
+WIDE_TERMS = 64
+
+
+def terms_array(dist: Sequence[Column], interactions: bool) -> Column:
+    """The distance terms as one array column."""
+    if not interactions or len(dist) * (len(dist) + 1) // 2 <= WIDE_TERMS:
+        return F.array(*distance_terms(dist, interactions))
+    d = F.array(*dist)
+    rows = F.transform(d, lambda v, r: F.transform(F.slice(d, F.lit(1), r + 1), lambda u: v * u))
+    return F.flatten(rows)
+
+
 # ----------------------------------------------------------- representations
 
 

@@ -21,15 +21,25 @@ def vector_length(m: int) -> int:
 
 
 def moment_vectors(
-    df: DataFrame, q: int, extras: Sequence[str] = (), by: Sequence[str] = ()
+    df: DataFrame,
+    q: int,
+    extras: Sequence[str] = (),
+    by: Sequence[str] = (),
+    base: int | None = None,
 ) -> DataFrame:
     """Moments of ``x[0..q-1]`` and ``extras`` per ``by``, as rows (by..., pos, value).
 
-    The first extra is the representation distance whose bounds are kept.
+    The first extra is the representation distance whose bounds are kept. With ``base``,
+    ``x`` holds that many plain distances, and their q lower-triangle products are formed
+    next to the sums, so that only the plain distances travel.
     """
-    if q + len(extras) <= EXPRESSION_COLUMNS:
+    if base is None and use_expressions(q, extras):
         return _by_expressions(df, q, extras, by)
-    return _by_arrow(df, q, extras, by)
+    return _by_arrow(df, q, extras, by, base)
+
+
+def use_expressions(q: int, extras: Sequence[str]) -> bool:
+    return q + len(extras) <= EXPRESSION_COLUMNS
 
 
 def _by_expressions(df, q, extras, by):
@@ -50,7 +60,7 @@ def _by_expressions(df, q, extras, by):
     return sums.select(*by, F.posexplode(packed).alias("pos", "value"))
 
 
-def _by_arrow(df, q, extras, by):
+def _by_arrow(df, q, extras, by, base):
     """Matrix products per Arrow batch; partial sums leave the task, never pairs."""
     m = q + len(extras)
     has_d = bool(extras)
@@ -61,6 +71,7 @@ def _by_arrow(df, q, extras, by):
     )
     length = vector_length(m)
     extra_names = list(extras)
+    width = base or q
     # Partial sums held in a task before they are handed on.
     held = max(1, 64_000_000 // (8 * length))
 
@@ -69,6 +80,7 @@ def _by_arrow(df, q, extras, by):
         import pyarrow as pa
 
         rows, cols = np.tril_indices(m)
+        left, right = np.tril_indices(width)
         sums: dict[tuple, np.ndarray] = {}
 
         def flush():
@@ -85,7 +97,9 @@ def _by_arrow(df, q, extras, by):
         for batch in batches:
             if batch.num_rows == 0:
                 continue
-            x = batch.column("x").flatten().to_numpy(zero_copy_only=False).reshape(-1, q)
+            x = batch.column("x").flatten().to_numpy(zero_copy_only=False).reshape(-1, width)
+            if base is not None:
+                x = x[:, left] * x[:, right]
             more = [batch.column(c).to_numpy(zero_copy_only=False)[:, None] for c in extra_names]
             v = np.hstack([x, *more]) if more else x
             keys = np.stack([batch.column(c).to_numpy(zero_copy_only=False) for c in names], axis=1)

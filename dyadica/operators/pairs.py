@@ -9,8 +9,9 @@ from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 from dyadica.functions.hashing import draw_index
 from dyadica.session import broadcast_bytes
 
-# Bytes one pair end takes in a broadcast hash table, with room to spare.
+# Bytes one pair end, or one bare position, takes in a broadcast hash table, with room to spare.
 _END_BYTES = 64
+_POSITION_BYTES = 24
 
 
 def draw_ends(pairs: DataFrame, n: int, stream: str) -> DataFrame:
@@ -55,8 +56,28 @@ def sample_prefixes(
     return source.draw(ids, stream)
 
 
-def ends_fit_broadcast(spark: SparkSession, n_pairs: int) -> bool:
-    return 2 * n_pairs * _END_BYTES <= broadcast_bytes(spark)
+def meeting_mode(spark: SparkSession, n_pairs: int, key_bytes: int = 0) -> str:
+    """How pairs meet a table that is too large to broadcast, by the size of the pairs.
+
+    ``ends``: all pair ends fit a broadcast. ``semi``: only their keys fit, and cut the table
+    down before a shuffle join. ``shuffle``: neither fits.
+    """
+    limit = broadcast_bytes(spark)
+    if 2 * n_pairs * (_END_BYTES + key_bytes) <= limit:
+        return "ends"
+    if 2 * n_pairs * (_POSITION_BYTES + key_bytes) <= limit:
+        return "semi"
+    return "shuffle"
+
+
+def meet(rows: DataFrame, ends: DataFrame, on: Sequence[str], mode: str) -> DataFrame:
+    """Join the rows of a large table to the pair ends that ask for them."""
+    if mode == "ends":
+        return rows.join(F.broadcast(ends), list(on))
+    if mode == "semi":
+        wanted = ends.select(*on).distinct()
+        return rows.join(F.broadcast(wanted), list(on), "left_semi").join(ends, list(on))
+    return rows.join(ends, list(on))
 
 
 def pair_ends(pairs: DataFrame) -> DataFrame:

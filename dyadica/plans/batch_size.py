@@ -12,8 +12,10 @@ from dyadica.operators.moments import moment_vectors
 from dyadica.operators.pairs import sample_prefixes
 
 # The first job covers all sizes up to this many pairs over all trials; each later job adds
-# a few sizes, so that stopping early saves the large ones.
+# a few sizes, so that stopping early saves the large ones. A table that every job has to
+# scan gets a larger first job.
 FIRST_BLOCK_PAIRS = 1 << 18
+FIRST_BLOCK_PAIRS_LARGE = 1 << 20
 BLOCK_SIZES = 8
 
 
@@ -45,8 +47,8 @@ def size_stability(
     return table.select("step", size.cast("bigint").alias("batch_size"), "max_std", "max_corr")
 
 
-def _blocks(sizes: Sequence[int], n_trials: int) -> list[tuple[int, int]]:
-    first = sum(s * n_trials <= FIRST_BLOCK_PAIRS for s in sizes)
+def _blocks(sizes: Sequence[int], n_trials: int, first_pairs: int) -> list[tuple[int, int]]:
+    first = sum(s * n_trials <= first_pairs for s in sizes)
     first = min(max(first, BLOCK_SIZES), len(sizes))
     edges = [0, *range(first, len(sizes), BLOCK_SIZES), len(sizes)]
     return [(a, b) for a, b in zip(edges, edges[1:]) if b > a]
@@ -68,7 +70,8 @@ def estimate_batch_size(
     if source.n_features < 2:
         return batch_size_min
     chosen, max_corr = None, None
-    for a, b in _blocks(sizes, n_trials):
+    first = FIRST_BLOCK_PAIRS if source.is_small() else FIRST_BLOCK_PAIRS_LARGE
+    for a, b in _blocks(sizes, n_trials, first):
         rows = size_stability(
             source, sizes[:b], n_trials, batch_size_max, stream, nan_to_num
         ).collect()

@@ -8,9 +8,10 @@ from dataclasses import dataclass
 import numpy as np
 from pyspark.sql import DataFrame, functions as F
 
-from dyadica.functions.distances import SCALE_EPS
+from dyadica.functions.distances import PRECOMPUTED, SCALE_EPS, resolve_metric
 from dyadica.operators.moments import (
-    Moments, collect_moments, moment_vectors, scaled_square_moments, vector_length,
+    Moments, collect_moments, moment_vectors, scaled_square_moments, use_expressions,
+    vector_length,
 )
 from dyadica.operators.pairs import sample_pair_range
 from dyadica.plans import solver as S
@@ -32,10 +33,29 @@ def n_terms(p: int, interactions: bool) -> int:
     return p * (p + 1) // 2 if interactions else p
 
 
-def fit_moments(dist: DataFrame, q: int, by: str | None = None) -> dict[int, Moments]:
-    """Moments of x, d and d*d, pooled or per batch."""
+EXTRAS = ("d", "d2")
+
+
+def fit_moments(
+    source, pairs: DataFrame, n_pairs: int, distance, interactions: bool, nan_to_num: float,
+    by: str | None = None,
+) -> dict[int, Moments]:
+    """Moments of the terms, d and d*d over the pairs, pooled or per batch."""
+    p = source.n_features
+    q = n_terms(p, interactions)
+    late = interactions and not use_expressions(q, EXTRAS)
+    dist = source.distances(pairs, n_pairs, distance, interactions, nan_to_num, expand=not late)
     wide = dist.withColumn("d2", F.col("d") * F.col("d"))
-    return collect_moments(moment_vectors(wide, q, ("d", "d2"), (by,) if by else ()), q + 2, by)
+    vectors = moment_vectors(wide, q, EXTRAS, (by,) if by else (), p if late else None)
+    return collect_moments(vectors, q + 2, by)
+
+
+def steps_per_job(source, distance, q: int, max_steps: int) -> int:
+    """Small stimuli: blocks, so that stopping early saves work. Large ones: as few scans as
+    the size of the collected moments allows."""
+    small = source.is_small(None if distance == PRECOMPUTED else resolve_metric(distance))
+    wanted = STEPS_PER_JOB if small else max_steps
+    return max(1, min(wanted, MOMENT_BYTES_PER_JOB // (24 * vector_length(q + 2))))
 
 
 def _expect(n: float, wanted: int) -> None:
@@ -63,8 +83,7 @@ def fit_pooled(
     p = source.n_features
     q = n_terms(p, interactions)
     pairs = sample_pair_range(source, 0, n_pairs, batch_size, stream)
-    dist = source.distances(pairs, n_pairs, distance, interactions, nan_to_num)
-    mom = fit_moments(dist, q)[0]
+    mom = fit_moments(source, pairs, n_pairs, distance, interactions, nan_to_num)[0]
     _expect(mom.n, n_pairs)
     sigma, c, var = scaled_square_moments(mom, q, mom.low, mom.high, SCALE_EPS)
     w = S.solve_spd(sigma, c, var, p) if interactions else S.solve_positive(sigma, c, var)
@@ -89,16 +108,16 @@ def fit_steps(
     opt = S.Adam(shape.size, lr, weight_decay)
     best, best_w, waited, taken = -np.inf, shape.weights(theta), 0, 0
     low, high = np.inf, -np.inf
-    per_job = min(STEPS_PER_JOB, MOMENT_BYTES_PER_JOB // (24 * vector_length(q + 2)))
-    per_job = max(1, per_job)
+    per_job = steps_per_job(source, distance, q, max_steps)
     for first in range(0, max_steps, per_job):
         last = min(first + per_job, max_steps)
         n_pairs = (last - first) * batch_size
         pairs = sample_pair_range(
             source, first * batch_size, last * batch_size, batch_size, stream
         )
-        dist = source.distances(pairs, n_pairs, distance, interactions, nan_to_num)
-        moments = fit_moments(dist, q, "trial")
+        moments = fit_moments(
+            source, pairs, n_pairs, distance, interactions, nan_to_num, "trial"
+        )
         for step in range(first, last):
             mom = moments[step]
             _expect(mom.n, batch_size)

@@ -6,7 +6,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from dyadica.functions.distances import term_names
+from dyadica.functions.distances import WIDE_TERMS, term_names
 from dyadica.operators.correlation import pearson_eps
 from dyadica.operators.pairs import sample_pairs
 from dyadica.operators.ranks import ORDINAL, rank_by, rank_value, shuffle_within
@@ -15,8 +15,28 @@ from dyadica.session import shuffle_partitions
 
 def predict(weights: Sequence[float], x: str = "x") -> Column:
     """Weighted sum of the distance terms."""
+    values = [F.lit(float(w)) for w in weights]
+    if len(values) > WIDE_TERMS:
+        products = F.zip_with(F.col(x), F.array(*values), lambda v, w: v * w)
+        return F.aggregate(products, F.lit(0.0), lambda acc, t: acc + t)
+    return sum((w * F.get(F.col(x), F.lit(k)) for k, w in enumerate(values)), F.lit(0.0))
+
+
+def without_term(weights: Sequence[float], term: Column, x: str = "x") -> Column:
+    """The weighted sum of all terms but one."""
+    values = [F.lit(float(w)) for w in weights]
+    if len(values) > WIDE_TERMS:
+        others = F.transform(
+            F.zip_with(F.col(x), F.array(*values), lambda v, w: v * w),
+            lambda t, k: F.when(k != term, t).otherwise(F.lit(0.0)),
+        )
+        return F.aggregate(others, F.lit(0.0), lambda acc, t: acc + t)
     return sum(
-        (F.lit(float(w)) * F.get(F.col(x), F.lit(k)) for k, w in enumerate(weights)), F.lit(0.0)
+        (
+            F.when(term != k, w * F.get(F.col(x), F.lit(k))).otherwise(F.lit(0.0))
+            for k, w in enumerate(values)
+        ),
+        F.lit(0.0),
     )
 
 
@@ -45,19 +65,12 @@ def importance_table(
     x = F.col("x")
     term = F.expr(f"cast(trial div {n_permutations} as int)")
     wanted = F.element_at(F.array(*[F.lit(float(w)) for w in weights]), F.col("_k") + 1)
-    rest = sum(
-        (
-            F.when(F.col("_k") != k, F.lit(float(w)) * F.get(x, F.lit(k))).otherwise(F.lit(0.0))
-            for k, w in enumerate(weights)
-        ),
-        F.lit(0.0),
-    )
     narrow = (
         dist.withColumn("_k", term)
         .select(
             "trial",
             "pair_id",
-            rest.alias("rest"),
+            without_term(weights, F.col("_k")).alias("rest"),
             (wanted * F.get(x, F.col("_k"))).alias("part"),
             rank_value(F.col("d"), digits).alias("y"),
         )

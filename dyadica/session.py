@@ -11,7 +11,7 @@ BROADCAST_BYTES_KEY = "spark.dyadica.broadcastBytes"
 GROUP_ROWS_KEY = "spark.dyadica.groupRows"
 
 # A side is broadcast only when its measured size stays under this.
-DEFAULT_BROADCAST_BYTES = 128 * 1024 * 1024
+DEFAULT_BROADCAST_BYTES = 256 * 1024 * 1024
 # A window group (one batch of pairs) is sorted in one task only up to this many rows.
 DEFAULT_GROUP_ROWS = 4_000_000
 

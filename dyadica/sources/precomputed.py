@@ -10,6 +10,7 @@ from dyadica.functions import distances as D
 from dyadica.functions.hashing import draw_index
 from dyadica.operators import pairs as P
 from dyadica.operators.index import global_position
+from dyadica.sources.sizing import fits_broadcast
 
 
 class PrecomputedPairs:
@@ -53,6 +54,7 @@ class PrecomputedPairs:
             raise ValueError(f"{len(self._x)} features but {len(self.feature_names)} names")
         self._n = None
         self._index = None
+        self._small = None
 
     @property
     def n_features(self) -> int:
@@ -101,8 +103,13 @@ class PrecomputedPairs:
         interactions: bool = False,
         nan_to_num: float = 0.0,
         mode: str = "auto",
+        expand: bool = True,
     ) -> DataFrame:
-        """Look up ``x`` and ``d`` of every pair; few pairs are broadcast to the big table."""
+        """Look up ``x`` and ``d`` of every pair.
+
+        A small table is broadcast to the pairs; otherwise few pairs, or their keys, are
+        broadcast to the table, and only many pairs make it shuffle.
+        """
         if distance not in (None, D.PRECOMPUTED):
             raise ValueError("precomputed pairs need distance='precomputed'")
         if distance is not None and self.target is None:
@@ -113,8 +120,18 @@ class PrecomputedPairs:
             F.col(self.i).cast("bigint").alias("i"), F.col(self.j).cast("bigint").alias("j"), *terms, *d
         )
         if mode == "auto":
-            mode = "ends" if P.ends_fit_broadcast(self.df.sparkSession, n_pairs) else "shuffle"
-        asked = F.broadcast(pairs) if mode == "ends" else pairs
-        met = table.join(asked, ["i", "j"])
-        x = F.array(*D.distance_terms([F.col(f"_d{k}") for k in range(self.n_features)], interactions))
+            mode = "lookup" if self.is_small() else P.meeting_mode(self.df.sparkSession, n_pairs)
+        if mode == "lookup":
+            met = pairs.join(F.broadcast(table), ["i", "j"])
+        else:
+            met = P.meet(table, pairs, ["i", "j"], mode)
+        base = [F.col(f"_d{k}") for k in range(self.n_features)]
+        x = D.terms_array(base, interactions) if expand else F.array(*base)
         return met.select(*pairs.columns, x.alias("x"), *(["d"] if d else []))
+
+    def is_small(self, metric=None) -> bool:
+        """True when the whole table is measured to fit a broadcast."""
+        if self._small is None:
+            n = self.size()
+            self._small = fits_broadcast(self.df, n * n if self.complete else n)
+        return self._small

@@ -18,6 +18,12 @@ def _value_bytes(name: str, dtype: T.DataType) -> Column:
     return F.lit(8).cast("bigint")
 
 
+def widest_row(df: DataFrame) -> int:
+    """Bytes of the widest row."""
+    total = sum((_value_bytes(f.name, f.dataType) for f in df.schema.fields), F.lit(0).cast("bigint"))
+    return int(df.agg(F.max(total).alias("b")).first()["b"] or 0)
+
+
 def fits_broadcast(df: DataFrame, n_rows: int) -> bool:
     """True when the rows of ``df`` are measured to fit the broadcast limit.
 

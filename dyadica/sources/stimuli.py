@@ -10,7 +10,7 @@ from dyadica.functions import distances as D
 from dyadica.operators import pairs as P
 from dyadica.operators.encode import CATEGORICAL, Feature, classify, pair_values, scaling_bounds
 from dyadica.operators.index import global_position
-from dyadica.sources.sizing import fits_broadcast
+from dyadica.sources.sizing import fits_broadcast, widest_row
 
 
 def vector_column(df: DataFrame, target: str | Sequence[str]) -> Column:
@@ -89,6 +89,7 @@ class Stimuli:
             raise ValueError(f"{len(self.kinds)} features but {len(self.feature_names)} names")
         self._bounds = None
         self._index = None
+        self._id_bytes = None
         self._n = None
         self._small: dict[tuple, bool] = {}
 
@@ -162,42 +163,51 @@ class Stimuli:
         target = [] if metric is None else [self.target] if isinstance(self.target, str) else self.target
         return list(dict.fromkeys([*self.keys, *self.columns, *target]))
 
+    def is_small(self, metric: D.Metric | None = None) -> bool:
+        """True when the columns these distances need are measured to fit a broadcast."""
+        narrow = self.df.select(*self._needed(metric))
+        key = tuple(narrow.columns)
+        if key not in self._small:
+            self._small[key] = fits_broadcast(narrow, self.size())
+        return self._small[key]
+
+    def _key_width(self) -> int:
+        """Bytes of the widest id, where pair ends have to carry ids."""
+        if self.dense:
+            return 0
+        if self._id_bytes is None:
+            self._id_bytes = widest_row(self._index.select(*self.keys))
+        return self._id_bytes
+
     def gather(self, pairs: DataFrame, n_pairs: int, metric: D.Metric | None, mode: str = "auto") -> DataFrame:
         """Both sides of every pair, as columns a_* and b_*.
 
         - ``lookup``: the stimuli are measured to fit, and are broadcast; no shuffle.
         - ``ends``: the stimuli are large and the pairs few; the pair ends are broadcast, so
           the stimuli are scanned once and never shuffled.
+        - ``semi``: only the wanted ids fit a broadcast; they cut the stimuli down to the
+          wanted rows, which alone are shuffled.
         - ``shuffle``: both are large; the ends and the stimuli meet in a shuffle join.
         """
-        n = self.size()
-        narrow = self.df.select(*self._needed(metric))
+        self.size()
         if mode == "auto":
-            key = tuple(narrow.columns)
-            if key not in self._small:
-                self._small[key] = fits_broadcast(narrow, n)
-            small = self._small[key]
-            if small:
+            if self.is_small(metric):
                 mode = "lookup"
             else:
-                mode = "ends" if P.ends_fit_broadcast(self.df.sparkSession, n_pairs) else "shuffle"
+                mode = P.meeting_mode(self.df.sparkSession, n_pairs, self._key_width())
         if mode == "lookup":
             rows = self._with_sid()
             payload = self._payload(rows, metric)
             values = rows.select("sid", *[c.alias(k) for k, c in payload.items()])
             return P.gather_by_lookup(pairs, values)
         keys = [c for c in pairs.columns if c not in ("i", "j")]
+        rows = self.df.select(*self._needed(metric))
         ends = P.pair_ends(pairs)
         if self.dense:
-            rows = narrow.withColumn("sid", F.col(self.keys[0]).cast("bigint"))
-            on = ["sid"]
+            rows, on = rows.withColumn("sid", F.col(self.keys[0]).cast("bigint")), ["sid"]
         else:
-            rows, on = narrow, self.keys
-            found = F.broadcast(ends) if mode == "ends" else ends
-            ends = self._index.join(found, "sid")
-        if mode == "ends":
-            ends = F.broadcast(ends)
-        met = rows.join(ends, on)
+            ends, on = P.meet(self._index, ends, ["sid"], mode), self.keys
+        met = P.meet(rows, ends, on, mode)
         payload = self._payload(met, metric)
         met = met.select(*keys, "side", "sid", *[c.alias(k) for k, c in payload.items()])
         return P.assemble_ends(met, keys, list(payload))
@@ -218,10 +228,12 @@ class Stimuli:
         interactions: bool = False,
         nan_to_num: float = 0.0,
         mode: str = "auto",
+        expand: bool = True,
     ) -> DataFrame:
         """Add ``x`` (array of squared distances or products) and ``d`` to the pairs.
 
-        With ``distance=None`` only the features are read.
+        With ``distance=None`` only the features are read. With ``expand=False`` ``x`` holds
+        the plain feature distances.
         """
         metric = None
         if distance is not None:
@@ -234,9 +246,10 @@ class Stimuli:
             *pairs.columns, *[c.alias(f"_d{k}") for k, c in enumerate(dist)],
             *self._distance_column(metric),
         )
-        terms = D.distance_terms([F.col(f"_d{k}") for k in range(len(dist))], interactions)
+        base = [F.col(f"_d{k}") for k in range(len(dist))]
+        x = D.terms_array(base, interactions) if expand else F.array(*base)
         d = [D.clean_distance(F.col("_d"), nan_to_num).alias("d")] if metric is not None else []
-        return wide.select(*pairs.columns, F.array(*terms).alias("x"), *d)
+        return wide.select(*pairs.columns, x.alias("x"), *d)
 
     def _distance_column(self, metric: D.Metric | None) -> list[Column]:
         if metric is None:

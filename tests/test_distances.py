@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from dyadica import PrecomputedPairs, Stimuli
-from dyadica.functions.distances import LARGEST_SINGLE, distance_terms, resolve_metric, term_names
+from dyadica.functions.distances import LARGEST_SINGLE, distance_terms, resolve_metric, term_names, terms_array
 from dyadica.operators.pairs import sample_pairs
 from dyadica.operators.scaling import minmax_square_distances
 
@@ -133,13 +133,21 @@ def test_terms_and_names(spark):
     assert row["x"] == [4.0, 6.0, 9.0]
 
 
+def test_wide_terms_equal_narrow_ones(spark):
+    d = [F.lit(float(k + 1)) for k in range(12)]
+    row = spark.range(1).select(
+        terms_array(d, True).alias("wide"), F.array(*distance_terms(d, True)).alias("narrow")
+    ).first()
+    assert len(row["wide"]) == 78 and row["wide"] == row["narrow"]
+
+
 def matrix(spark, n=6):
     rows = [(i, j, [abs(i - j) * 1.0, float(i % 2 != j % 2)], float(abs(i - j)) ** 0.5) for i in range(n) for j in range(n)]
     return spark.createDataFrame(rows, "i bigint, j bigint, x array<double>, y double")
 
 
 @pytest.mark.parametrize("complete", [True, False])
-@pytest.mark.parametrize("mode", ["ends", "shuffle"])
+@pytest.mark.parametrize("mode", ["lookup", "ends", "semi", "shuffle"])
 def test_precomputed(spark, complete, mode):
     source = PrecomputedPairs(matrix(spark), "x", "y", complete=complete)
     pairs = sample_pairs(source, 80, 1, "m")

@@ -240,3 +240,26 @@ def test_predict(spark, sf):
     encoder = MetricEncoder(batch_size=128, max_steps=2, random_seed=1).fit(source)
     out = encoder.predict(source.distances(sample_pairs(source, 10, 1, "p"), 10)).toPandas()
     np.testing.assert_allclose(out.prediction, np.stack(out.x.to_numpy()) @ encoder.fit_.weights)
+
+
+def test_many_features_with_interactions(spark):
+    """Eleven features make 66 terms: array functions and late products."""
+    rng = np.random.default_rng(0)
+    v = rng.uniform(size=(80, 11))
+    rows = [(k, *map(float, v[k]), [float(u) for u in v[k] * np.sqrt(np.arange(1, 12))]) for k in range(80)]
+    names = [f"c{k}" for k in range(11)]
+    schema = "id bigint, " + ", ".join(f"{c} double" for c in names) + ", y array<double>"
+    source = Stimuli(spark.createDataFrame(rows, schema), names, "y", "id", dense=True)
+    encoder = MetricEncoder(interactions=True, batch_size=6400, max_steps=1, n_permutations=1, random_seed=1)
+    w = encoder.fit(source).fit_.weights
+    assert len(w) == 66 and encoder.fit_.correlation > 0.99
+    pdf = encoder.score(batch_size=400)[0].toPandas()
+    assert len(pdf) == 66 and pdf.baseline.mean() > 0.95
+    few = importance_table(source, w, 50, 1, interactions=True, stream="w").toPandas()
+    pairs = sample_pairs(source, 50, 66, "w")
+    dist = source.distances(pairs, 3300, "euclidean", True).toPandas().sort_values("pair_id")
+    x, first = np.stack(dist.x.to_numpy()), (dist.trial == 5).to_numpy()
+    pred = (x @ w).astype(np.float32)[first]
+    ranks = [np.argsort(np.argsort(t, kind="stable")) for t in (pred, dist.d.to_numpy().astype(np.float32)[first])]
+    got = few[few.feature == encoder.term_names[5]].baseline.iloc[0]
+    assert got == pytest.approx(np.corrcoef(*ranks)[0, 1], abs=5e-3)

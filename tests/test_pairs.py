@@ -61,13 +61,13 @@ def test_gather_modes_agree(spark, dense, distance):
     source = small(spark, dense=dense)
     pairs = sample_pairs(source, 60, 1, "s")
     got = {}
-    for mode in ("lookup", "ends", "shuffle"):
+    for mode in ("lookup", "ends", "semi", "shuffle"):
         out = source.distances(pairs, 60, distance, mode=mode)
         got[mode] = sorted(
             (r["pair_id"], r["i"], r["j"], tuple(r["x"]), r["d"] if distance else None) for r in out.collect()
         )
     assert len(got["lookup"]) == 60
-    assert got["lookup"] == got["ends"] == got["shuffle"]
+    assert got["lookup"] == got["ends"] == got["semi"] == got["shuffle"]
 
 
 def test_mode_follows_measured_size(spark, conf):
