@@ -15,14 +15,14 @@ HEX_BASE = 16
 
 def hash48(prefix: str, key: Column) -> Column:
     digest = F.md5(F.concat(F.lit(prefix), key.cast("string")))
-    number = F.conv(F.substring(digest, 1, HEX_DIGITS), HEX_BASE, 10).cast("bigint")
-    # Never NULL; saying so keeps joins from hashing a second time to filter NULLs out.
-    return F.coalesce(number, F.lit(0).cast("bigint"))
+    return F.conv(F.substring(digest, 1, HEX_DIGITS), HEX_BASE, 10).cast("bigint")
 
 
 def draw_index(stream: str, side: str, key: Column, n: int) -> Column:
     """A uniform index in 0..n-1."""
-    return hash48(f"{stream}:{side}:", key) % F.lit(n).cast("bigint")
+    index = hash48(f"{stream}:{side}:", key) % F.lit(n).cast("bigint")
+    # Never NULL; saying so keeps joins from hashing a second time to filter NULLs out.
+    return F.coalesce(index, F.lit(0).cast("bigint"))
 
 
 def draw_bucket(prefix: str, key: Column, buckets: int) -> Column:

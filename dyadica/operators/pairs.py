@@ -100,13 +100,13 @@ def gather_by_lookup(pairs: DataFrame, values: DataFrame) -> DataFrame:
 
 def assemble_ends(ends: DataFrame, keys: Sequence[str], payload: Sequence[str]) -> DataFrame:
     """Put the two gathered rows of each pair side by side again; one shuffle on pair_id."""
-    names = ["sid", *payload]
-    other = F.lead(F.struct(*names)).over(Window.partitionBy("pair_id").orderBy("side"))
-    both = ends.withColumn("_b", other).filter(F.col("side") == 0)
+    packed = ends.select(*keys, "side", F.struct("sid", *payload).alias("_a"))
+    other = F.lead("_a").over(Window.partitionBy("pair_id").orderBy("side"))
+    both = packed.withColumn("_b", other).filter(F.col("side") == 0)
     return both.select(
         *keys,
-        F.col("sid").alias("i"),
+        F.col("_a.sid").alias("i"),
         F.col("_b.sid").alias("j"),
-        *[F.col(c).alias(f"a_{c}") for c in payload],
+        *[F.col(f"_a.{c}").alias(f"a_{c}") for c in payload],
         *[F.col(f"_b.{c}").alias(f"b_{c}") for c in payload],
     )
