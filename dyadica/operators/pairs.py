@@ -56,13 +56,16 @@ def sample_prefixes(
     return source.draw(ids, stream)
 
 
-def meeting_mode(spark: SparkSession, n_pairs: int, key_bytes: int = 0) -> str:
-    """How pairs meet a table that is too large to broadcast, by the size of the pairs.
+def meeting_mode(spark: SparkSession, n_rows: int, n_pairs: int, key_bytes: int = 0) -> str:
+    """How pairs meet a table that is too large to broadcast, by their sizes.
 
     ``ends``: all pair ends fit a broadcast. ``semi``: only their keys fit, and cut the table
-    down before a shuffle join. ``shuffle``: neither fits.
+    down before a shuffle join. ``shuffle``: neither fits, or the table has no more rows than
+    there are pair ends, so that shuffling it costs no more than bringing the ends together.
     """
     limit = broadcast_bytes(spark)
+    if n_rows <= 2 * n_pairs:
+        return "shuffle"
     if 2 * n_pairs * (_END_BYTES + key_bytes) <= limit:
         return "ends"
     if 2 * n_pairs * (_POSITION_BYTES + key_bytes) <= limit:

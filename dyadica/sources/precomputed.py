@@ -120,7 +120,9 @@ class PrecomputedPairs:
             F.col(self.i).cast("bigint").alias("i"), F.col(self.j).cast("bigint").alias("j"), *terms, *d
         )
         if mode == "auto":
-            mode = "lookup" if self.is_small() else P.meeting_mode(self.df.sparkSession, n_pairs)
+            mode = "lookup" if self.is_small() else P.meeting_mode(
+                self.df.sparkSession, self._rows(), n_pairs
+            )
         if mode == "lookup":
             met = pairs.join(F.broadcast(table), ["i", "j"])
         else:
@@ -132,6 +134,9 @@ class PrecomputedPairs:
     def is_small(self, metric=None) -> bool:
         """True when the whole table is measured to fit a broadcast."""
         if self._small is None:
-            n = self.size()
-            self._small = fits_broadcast(self.df, n * n if self.complete else n)
+            self._small = fits_broadcast(self.df, self._rows())
         return self._small
+
+    def _rows(self) -> int:
+        n = self.size()
+        return n * n if self.complete else n

@@ -189,12 +189,12 @@ class Stimuli:
           wanted rows, which alone are shuffled.
         - ``shuffle``: both are large; the ends and the stimuli meet in a shuffle join.
         """
-        self.size()
+        n = self.size()
         if mode == "auto":
             if self.is_small(metric):
                 mode = "lookup"
             else:
-                mode = P.meeting_mode(self.df.sparkSession, n_pairs, self._key_width())
+                mode = P.meeting_mode(self.df.sparkSession, n, n_pairs, self._key_width())
         if mode == "lookup":
             rows = self._with_sid()
             payload = self._payload(rows, metric)
