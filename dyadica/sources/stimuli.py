@@ -114,10 +114,10 @@ class Stimuli:
                 key = F.col(self.keys[0])
                 row = self.df.agg(
                     F.count(F.lit(1)).alias("n"), F.min(key).alias("lo"), F.max(key).alias("hi"),
-                    F.count(key).alias("k"),
+                    F.sum(key.cast("decimal(20,0)")).alias("s"),
                 ).first()
                 n = row["n"]
-                if n and (row["lo"] != 0 or row["hi"] != n - 1 or row["k"] != n):
+                if n and (row["lo"] != 0 or row["hi"] != n - 1 or row["s"] != n * (n - 1) // 2):
                     raise ValueError(f"id {self.keys[0]!r} is not dense 0..{n - 1}")
                 self._n = n
             else:

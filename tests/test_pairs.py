@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from dyadica import Stimuli, align
 from dyadica.operators.index import global_position
-from dyadica.operators.pairs import sample_pairs, sample_prefixes
+from dyadica.operators.pairs import meeting_mode, sample_pairs, sample_prefixes
 from dyadica.session import BROADCAST_BYTES_KEY
 
 
@@ -106,6 +106,22 @@ def test_repeated_ids_are_refused(spark):
         Stimuli(df, ["v"], None, "id", dense=True).size()
 
 
+def test_dense_ids_are_checked(spark):
+    for ids in ([0, 1, 1, 3], [1, 2, 3], [0, 1, None]):
+        df = spark.createDataFrame([(k, 1.0) for k in ids], "id bigint, v double")
+        with pytest.raises(ValueError):
+            Stimuli(df, ["v"], None, "id", dense=True).size()
+
+
+def test_small_tables_are_shuffled_to_many_pairs(spark, conf):
+    """Beyond the broadcast limit, the cheaper side of the choice depends on both sizes."""
+    assert meeting_mode(spark, 100, 60) == "shuffle"
+    assert meeting_mode(spark, 10**9, 60) == "ends"
+    conf(BROADCAST_BYTES_KEY, 2 * 60 * 30)
+    assert meeting_mode(spark, 10**9, 60) == "semi"
+    assert meeting_mode(spark, 10**9, 60, key_bytes=100) == "shuffle"
+
+
 def test_empty_table(spark):
     df = spark.createDataFrame([], "id int, v double")
     with pytest.raises(ValueError):
