@@ -106,7 +106,7 @@ PLANTED_ROWS = (
     f"SELECT c_custkey AS sid, {_f1} AS f1, c_mktsegment AS f2, (c_nationkey % 2)::DOUBLE AS f3, "
     f"c_nationkey AS f4, [{_planted_y}]::DOUBLE[] AS y0 FROM customer"
 )
-PLANTED_F = [("f1", True), ("f2", False), ("f3", False)]
+PLANTED_F = [("f1", True), ("f2", False), ("f3", False), ("f4", False)]
 
 
 def planted(rows: str = PLANTED_ROWS, p: int = 3) -> str:
@@ -227,7 +227,7 @@ def pfi(prefix: str, weights, names, batch: str, n_perm: int) -> str:
 
 def _held(condition: str) -> str:
     return (
-        "SELECT row_number() OVER (ORDER BY sid) - 1 AS sid, f1, f2, f3, y0 "
+        "SELECT row_number() OVER (ORDER BY sid) - 1 AS sid, f1, f2, f3, f4, y0 "
         f"FROM ({PLANTED_ROWS}) WHERE {condition}"
     )
 
@@ -254,21 +254,44 @@ _TWO = "w AS (SELECT greatest(s11 * c0 - s10 * c1, 0) AS w0, greatest(s00 * c1 -
 
 
 def _det(m: list[list[str]]) -> str:
-    (a, b, c), (d, e, f), (g, h, i) = m
-    return f"({a} * ({e} * {i} - {f} * {h}) - {b} * ({d} * {i} - {f} * {g}) + {c} * ({d} * {h} - {e} * {g}))"
-
-
-def _three() -> str:
-    sym = [["s00", "s10", "s20"], ["s10", "s11", "s21"], ["s20", "s21", "s22"]]
+    """Determinant by expansion along the first row."""
+    if len(m) == 1:
+        return m[0][0]
+    parts = []
+    for k, cell in enumerate(m[0]):
+        minor = [[v for c, v in enumerate(row) if c != k] for row in m[1:]]
+        parts.append(f"{'-' if k % 2 else '+'} {cell} * {_det(minor)}")
+    return f"({' '.join(parts)})"
+
+
+def _cramer(q: int) -> str:
+    """CTE w: least squares weights; the planted ones are not negative, but for rounding."""
+    sym = [[f"s{max(r, c)}{min(r, c)}" for c in range(q)] for r in range(q)]
     out = []
-    for k in range(3):
-        m = [list(row) for row in sym]
-        for r in range(3):
-            m[r][k] = f"c{r}"
+    for k in range(q):
+        m = [[f"c{r}" if c == k else v for c, v in enumerate(row)] for r, row in enumerate(sym)]
         out.append(f"{_det(m)} / {_det(sym)} AS w{k}")
     return f"w AS (SELECT {', '.join(out)} FROM mo)"
 
 
+def _fitted(pairs_ctes: str, q: int) -> str:
+    """CTE wn: fitted unit-length weights w0.. in one row."""
+    norm = "sqrt(" + " + ".join(f"pow(greatest(w{k}, 0), 2)" for k in range(q)) + ")"
+    cols = ", ".join(f"greatest(w{k}, 0) / {norm} AS w{k}" for k in range(q))
+    return f"wn AS (WITH {pairs_ctes}, {_moments(q)}, {_cramer(q)} SELECT {cols} FROM w)"
+
+
+def fit_and_score(train: str, test: str, n_perm: int) -> str:
+    """Fit four planted features on the rows ``train`` and score on the rows ``test``."""
+    full = "(SELECT count(*) FROM customer)"
+    fitted = _fitted(_planted_pairs(f"8 * {full}", full, rows=train, p=4, stream=f"{SEED}:fit"), 4)
+    body = pfi_ctes(
+        _planted_pairs(f"4 * {n_perm} * {full}", full, rows=test, p=4),
+        [f"(SELECT w{k} FROM wn)" for k in range(4)], ["f1", "f2", "f3", "f4"], full, n_perm,
+    )
+    return f"WITH {fitted}, {body} SELECT {PFI_OUT} FROM im"
+
+
 def _weights_out(names: Sequence[str]) -> str:
     norm = "sqrt(" + " + ".join(f"w{k} * w{k}" for k in range(len(names))) + ")"
     return " UNION ALL ".join(
@@ -448,13 +471,13 @@ def build() -> dict[str, str]:
         + _weights_out(["f1", "f2"])
     )
     out["fit_weights"] = (
-        f"WITH {_planted_pairs(f'8 * {N}', N, stream=fit_stream)}, {_moments(3)}, {_three()} "
+        f"WITH {_planted_pairs(f'8 * {N}', N, stream=fit_stream)}, {_moments(3)}, {_cramer(3)} "
         + _weights_out(["f1", "f2", "f3"])
     )
     eight = f"8 * {LISTED_N}"
     cells = [("gap", "gap"), ("mismatch", "gap"), ("mismatch", "mismatch")]
     out["fit_interactions"] = (
-        f"WITH {listed(eight, LISTED_N, fit_stream, True)}, {_moments(3)}, {_three()} "
+        f"WITH {listed(eight, LISTED_N, fit_stream, True)}, {_moments(3)}, {_cramer(3)} "
         + " UNION ALL ".join(
             f"SELECT '{r}' AS row_feature, '{c}' AS col_feature, "
             f"{r6(f'w{k} / sqrt(w0 * w0 + 2 * w1 * w1 + w2 * w2)')} AS weight FROM w"
@@ -511,6 +534,18 @@ def build() -> dict[str, str]:
     out["score_spread"] = (
         f"WITH {spread} SELECT count(baseline) AS n, {r6('stddev_samp(baseline)')} AS sd FROM im"
     )
+    out["fit_and_score"] = fit_and_score(PLANTED_ROWS, PLANTED_ROWS, 5)
+    bucket = h48(f"{SEED}:split:", "sid")
+    out["fit_and_score_holdout"] = fit_and_score(
+        _held(f"{bucket} % 100 < 75"), _held(f"{bucket} % 100 >= 75"), 2
+    )
+    bucket = h48(f"{SEED}:fold:", "sid")
+    out["fit_and_score_kfold"] = " UNION ALL ".join(
+        f"SELECT {f} AS split, * FROM ("
+        + fit_and_score(_held(f"{bucket} % 3 <> {f}"), _held(f"{bucket} % 3 = {f}"), 1)
+        + ")"
+        for f in range(3)
+    )
     out["train_test"] = (
         f"SELECT o_orderkey, CASE WHEN {h48(f'{SEED}:split:', 'o_orderkey')} % 100 < 75 THEN 'train' ELSE 'test' END "
         "AS side FROM orders"

@@ -9,9 +9,10 @@ from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 from dyadica.functions.hashing import draw_index
 from dyadica.session import broadcast_bytes
 
-# Bytes one pair end, or one bare position, takes in a broadcast hash table, with room to spare.
-_END_BYTES = 64
-_POSITION_BYTES = 24
+# Bytes one pair end, or one bare position, takes in a broadcast hash table: up to 64 for its
+# slot, which is at most half full, and the rest for its row.
+_END_BYTES = 128
+_POSITION_BYTES = 80
 
 
 def draw_ends(pairs: DataFrame, n: int, stream: str) -> DataFrame:

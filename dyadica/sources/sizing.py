@@ -6,7 +6,8 @@ from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from dyadica.session import broadcast_bytes
 
-_ROW_OVERHEAD = 16
+# Bytes of a row's slot in a hash table, which is at most half full, and of its header.
+_ROW_OVERHEAD = 72
 
 
 def _value_bytes(name: str, dtype: T.DataType) -> Column:

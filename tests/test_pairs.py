@@ -117,7 +117,7 @@ def test_small_tables_are_shuffled_to_many_pairs(spark, conf):
     """Beyond the broadcast limit, the cheaper side of the choice depends on both sizes."""
     assert meeting_mode(spark, 100, 60) == "shuffle"
     assert meeting_mode(spark, 10**9, 60) == "ends"
-    conf(BROADCAST_BYTES_KEY, 2 * 60 * 30)
+    conf(BROADCAST_BYTES_KEY, 2 * 60 * 100)
     assert meeting_mode(spark, 10**9, 60) == "semi"
     assert meeting_mode(spark, 10**9, 60, key_bytes=100) == "shuffle"
 
