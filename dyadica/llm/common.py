@@ -6,6 +6,7 @@ from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 # ASCII white space, which parts words in every contract of this package.
@@ -31,7 +32,7 @@ def texts_of(batch: pa.RecordBatch, name: str) -> list[str]:
 def slices(batch: pa.RecordBatch, name: str, chunk_bytes: int = CHUNK_BYTES) -> Iterator[pa.RecordBatch]:
     """Consecutive slices of a batch with about ``chunk_bytes`` of text each; a longer text
     stands alone."""
-    sizes = pa.compute.binary_length(batch.column(batch.schema.get_field_index(name)))
+    sizes = pc.binary_length(batch.column(batch.schema.get_field_index(name)))
     sizes = np.asarray(sizes.fill_null(0).to_numpy(zero_copy_only=False), dtype=np.int64)
     start, held = 0, 0
     for k, size in enumerate(sizes):
