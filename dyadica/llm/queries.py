@@ -22,6 +22,27 @@ def op5_bpe(spark: SparkSession, sf: str) -> DataFrame:
     return encode_documents(docs, tokenizer_path("byte_bpe_50k.json"), ["doc_id"], ids=False)
 
 
+def op3_sketch(spark: SparkSession, sf: str) -> DataFrame:
+    from dyadica.llm.sketch import edited_sketches
+
+    return edited_sketches(read(spark, sf, "documents"))
+
+
+def op8_entropy_mix(spark: SparkSession, sf: str) -> DataFrame:
+    from dyadica.llm.mixing import mix
+
+    return mix(read(spark, sf, "documents"), ["doc_id"])
+
+
+def op9_licences(spark: SparkSession, sf: str) -> DataFrame:
+    from dyadica.llm.licences import scan_documents
+
+    return scan_documents(read(spark, sf, "documents"), ["doc_id"])
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op3_sketch": op3_sketch,
     "op5_bpe": op5_bpe,
+    "op8_entropy_mix": op8_entropy_mix,
+    "op9_licences": op9_licences,
 }

@@ -1,3 +1,45 @@
 """SQL for the registered queries of this package that SQL can express."""
 
-ORACLES: dict[str, str] = {}
+from dyadica.llm.sketch import FRACTION, HASH_DIGITS, SHINGLE_WORDS, threshold
+
+SPACE = r"[\x20\x09-\x0D]+"
+
+
+def _shingles(text: str) -> str:
+    flat = f"trim(regexp_replace({text}, '{SPACE}', ' ', 'g'), ' ')"
+    return f"""(SELECT CASE WHEN f = '' THEN []::VARCHAR[]
+        WHEN len(w) < {SHINGLE_WORDS} THEN [f]
+        ELSE list_transform(range(1, len(w) - {SHINGLE_WORDS - 2}),
+            lambda i: array_to_string(list_slice(w, i, i + {SHINGLE_WORDS - 1}), ' ')) END
+        FROM (SELECT f, string_split(f, ' ') AS w FROM (SELECT {flat} AS f)))"""
+
+
+def _sketch(text: str) -> str:
+    return f"""(SELECT list_sort(list_distinct(list_filter(h, lambda x: x < '{threshold()}' OR x = list_min(h))))
+        FROM (SELECT list_transform({_shingles(text)}, lambda s: left(md5(s), {HASH_DIGITS})) AS h))"""
+
+
+def _likeness(a: str, b: str) -> str:
+    both = f"len(list_intersect({a}, {b}))"
+    return f"""CASE WHEN len({a}) + len({b}) = 0 THEN 1.0::DOUBLE
+        ELSE {both}::DOUBLE / (len({a}) + len({b}) - {both}) END"""
+
+
+assert FRACTION > 1
+
+ORACLES: dict[str, str] = {
+    "op3_sketch": f"""
+    WITH d AS (SELECT doc_id, coalesce(text, '') AS t FROM documents),
+    s AS (SELECT doc_id, t, length(t) AS n, {_sketch('t')} AS sk FROM d),
+    f AS (SELECT *, coalesce(lead(t) OVER w, first_value(t) OVER w) AS nt,
+            coalesce(lead(sk) OVER w, first_value(sk) OVER w) AS nsk
+          FROM s WINDOW w AS (ORDER BY doc_id DESC)),
+    e AS (SELECT *, left(t, n - n // 3) || left(nt, n // 3) AS et FROM f),
+    g AS (SELECT *, {_sketch('et')} AS esk FROM e)
+    SELECT doc_id, n::BIGINT AS n_chars, sha256(et) AS edited_sha256,
+        array_to_string(sk, '') AS fingerprint, array_to_string(esk, '') AS edited_fingerprint,
+        {_likeness('sk', 'esk')} AS near_edited, {_likeness('sk', 'nsk')} AS near_next,
+        CASE WHEN len(esk) = 0 THEN 1.0::DOUBLE
+            ELSE len(list_intersect(esk, sk))::DOUBLE / len(esk) END AS edited_contained
+    FROM g""",
+}
