@@ -40,9 +40,17 @@ def op9_licences(spark: SparkSession, sf: str) -> DataFrame:
     return scan_documents(read(spark, sf, "documents"), ["doc_id"])
 
 
+def op10_forest(spark: SparkSession, sf: str) -> DataFrame:
+    from dyadica.llm.forest import nearest, valid
+
+    vectors = valid(read(spark, sf, "embeddings"), "vec_id", "embedding")
+    return nearest(vectors, vectors.filter("id % 20 = 0"), 20)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_sketch": op3_sketch,
     "op5_bpe": op5_bpe,
     "op8_entropy_mix": op8_entropy_mix,
     "op9_licences": op9_licences,
+    "op10_forest": op10_forest,
 }
