@@ -28,6 +28,13 @@ def op3_sketch(spark: SparkSession, sf: str) -> DataFrame:
     return edited_sketches(read(spark, sf, "documents"))
 
 
+def op6_pii(spark: SparkSession, sf: str) -> DataFrame:
+    from dyadica.llm.pii import find_documents, fit
+
+    docs = read(spark, sf, "documents")
+    return find_documents(docs, fit(docs), ["doc_id"])
+
+
 def op8_entropy_mix(spark: SparkSession, sf: str) -> DataFrame:
     from dyadica.llm.mixing import mix
 
@@ -50,6 +57,7 @@ def op10_forest(spark: SparkSession, sf: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_sketch": op3_sketch,
     "op5_bpe": op5_bpe,
+    "op6_pii": op6_pii,
     "op8_entropy_mix": op8_entropy_mix,
     "op9_licences": op9_licences,
     "op10_forest": op10_forest,
