@@ -4,9 +4,9 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from dyadica.llm.common import read
+from dyadica.llm.common import fold_of, read
 
 
 def tokenizer_path(name: str) -> str:
@@ -15,6 +15,16 @@ def tokenizer_path(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def op4_toxicity(spark: SparkSession, sf: str) -> DataFrame:
+    from dyadica.llm.toxicity import fit, score_documents
+
+    docs = read(spark, sf, "documents")
+    model = fit(docs, read(spark, sf, "labels"), fold_of("doc_id", 5) != 0)
+    scored = score_documents(docs, model, ["doc_id"])
+    held_out = (fold_of("doc_id", 5) == 0).alias("held_out")
+    return scored.select("doc_id", held_out, "score", "predicted", "n_hits", "n_quoted", "n_misspelled")
+
+
 def op5_bpe(spark: SparkSession, sf: str) -> DataFrame:
     from dyadica.llm.bpe import encode_documents
 
@@ -56,6 +66,7 @@ def op10_forest(spark: SparkSession, sf: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_sketch": op3_sketch,
+    "op4_toxicity": op4_toxicity,
     "op5_bpe": op5_bpe,
     "op6_pii": op6_pii,
     "op8_entropy_mix": op8_entropy_mix,
