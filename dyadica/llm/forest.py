@@ -37,8 +37,9 @@ LEAST_LEAF = 32
 LEAF_ROWS = 800
 SAMPLE_QUERIES = 200
 RECALL_AIM = 0.975
-# Rows of one leaf, and queries that reach it, meet in blocks of at most about these sizes.
-BLOCK_ROWS = 4096
+# Neighbouring leaves of a tree form a group of at most about so many numbers; a leaf beyond that
+# is cut into blocks of that size. Queries that reach a group meet it in blocks of so many.
+GROUP_VALUES = 1 << 20
 BLOCK_QUERIES = 1024
 # Products of this much less than the k-th best may be better when summed exactly.
 SLACK = 1e-9
@@ -236,41 +237,65 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int, forest: Forest | Non
     if n_rows <= 4 * k * TREES:
         wanted = float("inf")
 
-    reach_kind = arrow_schema(spark, "tree int, leaf int, id long, vec array<double>")
+    # Leaves in the order of their tree are neighbours, so a query mostly reaches a few groups.
+    most = max(1024, GROUP_VALUES // width)
+    groups, n_groups = [], 0
+    for own in sizes:
+        of, filled = np.zeros(len(own), dtype=np.int32), 0
+        for leaf, n in enumerate(own):
+            if filled and filled + n > most:
+                n_groups, filled = n_groups + 1, 0
+            of[leaf], filled = n_groups, filled + int(n)
+        groups.append(of)
+        n_groups += 1
+    group_rows = np.zeros(n_groups, dtype=np.int64)
+    for of, own in zip(groups, sizes, strict=True):
+        np.add.at(group_rows, of, own)
+
+    reach_schema = "group int, id long, vec array<double>, leaves array<int>"
+    reach_kind = arrow_schema(spark, reach_schema)
 
     def to_reached(batches):
         f = held.value
         for b in batches:
-            if b.num_rows:
-                paths = f.reach(_matrix(b, "vec"), sizes, wanted)
-                rows = np.repeat(np.arange(len(paths)), [len(p) for p in paths])
-                flat = np.array([x for p in paths for x in p], dtype=np.int32).reshape(-1, 2)
-                for start in range(0, len(rows), 20_000):
-                    part = slice(start, start + 20_000)
-                    take = pa.array(rows[part])
-                    yield pa.RecordBatch.from_arrays(
-                        [pa.array(flat[part, 0]), pa.array(flat[part, 1]), b.column(0).take(take), b.column(1).take(take)],
-                        schema=reach_kind)
-
-    reached = queries.select("id", "vec").mapInArrow(to_reached, "tree int, leaf int, id long, vec array<double>")
-    visits = {(r.tree, r.leaf): r.n for r in reached.groupBy("tree", "leaf").agg(F.count(F.lit(1)).alias("n")).collect()}
-    # Leaves of many rows, or reached by many queries, are cut into blocks that all meet.
-    cuts = [(t, leaf, -(-n // BLOCK_ROWS), -(-visits.get((t, leaf), 0) // BLOCK_QUERIES)) for (t, leaf), n in per_leaf.items()]
-    table = F.broadcast(spark.createDataFrame(cuts, "tree int, leaf int, n_rows int, n_queries int"))
+            if not b.num_rows:
+                continue
+            row, group, leaves = [], [], []
+            for q, path in enumerate(f.reach(_matrix(b, "vec"), sizes, wanted)):
+                by_group: dict[int, list[int]] = {}
+                for t, leaf in path:
+                    by_group.setdefault(int(groups[t][leaf]), []).append(leaf)
+                row += [q] * len(by_group)
+                group += by_group
+                leaves += by_group.values()
+            for start in range(0, len(row), 20_000):
+                part = slice(start, start + 20_000)
+                take = pa.array(row[part])
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(group[part], pa.int32()), b.column(0).take(take), b.column(1).take(take),
+                     pa.array(leaves[part], pa.list_(pa.int32()))], schema=reach_kind)
+
+    reached = queries.select("id", "vec").mapInArrow(to_reached, reach_schema)
+    visits = {r.group: r.n for r in reached.groupBy("group").agg(F.count(F.lit(1)).alias("n")).collect()}
+    # Every block of a group's rows meets every block of the queries that reach it.
+    n_a = [int(-(-n // most)) for n in group_rows]
+    n_b = [-(-visits.get(g, 0) // BLOCK_QUERIES) for g in range(n_groups)]
+    of_leaf = [(t, leaf, int(g), n_a[g], n_b[g]) for t, of in enumerate(groups) for leaf, g in enumerate(of)]
+    leaf_table = F.broadcast(spark.createDataFrame(of_leaf, "tree int, leaf int, group int, n_a int, n_b int"))
+    group_table = F.broadcast(spark.createDataFrame([(g, n_a[g], n_b[g]) for g in range(n_groups)], "group int, n_a int, n_b int"))
     spread = lambda n: F.pmod(F.xxhash64("id"), n).cast("int")
     every = lambda n: F.explode(F.sequence(F.lit(0), n - 1))
     rows_at = (
-        placed.join(table, ["tree", "leaf"]).filter("n_queries > 0")
-        .withColumn("a", spread(F.col("n_rows"))).withColumn("b", every(F.col("n_queries")))
-        .select("tree", "leaf", "a", "b", "id", "vec")
+        placed.join(leaf_table, ["tree", "leaf"]).filter("n_b > 0")
+        .withColumn("a", spread(F.col("n_a"))).withColumn("b", every(F.col("n_b")))
+        .select("group", "a", "b", "id", "vec", "leaf")
     )
     queries_at = (
-        reached.join(table, ["tree", "leaf"])
-        .withColumn("b", spread(F.col("n_queries"))).withColumn("a", every(F.col("n_rows")))
-        .select("tree", "leaf", "a", "b", "id", "vec")
+        reached.join(group_table, "group").filter("n_a > 0")
+        .withColumn("b", spread(F.col("n_b"))).withColumn("a", every(F.col("n_a")))
+        .select("group", "a", "b", "id", "vec", "leaves")
     )
     best_kind = arrow_schema(spark, "query_id long, vec_id long, score double")
-    key = ["tree", "leaf", "a", "b"]
 
     def meet(left: pa.Table, right: pa.Table) -> pa.Table:
         if not left.num_rows or not right.num_rows:
@@ -278,10 +303,13 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int, forest: Forest | Non
         left, right = left.combine_chunks().to_batches()[0], right.combine_chunks().to_batches()[0]
         ids, x = np.asarray(left.column("id")), _matrix(left, "vec")
         q_ids, q = np.asarray(right.column("id")), _matrix(right, "vec")
+        known, leaf = np.unique(np.asarray(left.column("leaf")), return_inverse=True)
+        reaches = np.array([np.isin(known, leaves) for leaves in right.column("leaves").to_pylist()])
         out_q, out_v, out_s = [], [], []
-        for start in range(0, len(q), 256):
-            product = q[start : start + 256] @ x.T
-            product[q_ids[start : start + 256, None] == ids[None, :]] = -np.inf
+        for start in range(0, len(q), 128):
+            part = slice(start, start + 128)
+            product = q[part] @ x.T
+            product[~reaches[part][:, leaf] | (q_ids[part, None] == ids[None, :])] = -np.inf
             for row, near in enumerate(product, start):
                 if len(ids) > k:
                     near_k = np.partition(near, len(near) - k)[-k]
@@ -293,9 +321,9 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int, forest: Forest | Non
                 out_q.append(np.full(len(top), q_ids[row]))
                 out_v.append(ids[cand][top])
                 out_s.append(score[top])
-        return pa.table(
-            [np.concatenate(out_q), np.concatenate(out_v), np.concatenate(out_s)], schema=best_kind)
+        return pa.table([np.concatenate(out_q), np.concatenate(out_v), np.concatenate(out_s)], schema=best_kind)
 
+    key = ["group", "a", "b"]
     met = rows_at.groupBy(*key).cogroup(queries_at.groupBy(*key)).applyInArrow(meet, "query_id long, vec_id long, score double")
     # A row reached through several trees has one score, so its copies share a rank.
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
