@@ -32,6 +32,12 @@ def op5_bpe(spark: SparkSession, sf: str) -> DataFrame:
     return encode_documents(docs, tokenizer_path("byte_bpe_50k.json"), ["doc_id"], ids=False)
 
 
+def op1_order_minhash(spark: SparkSession, sf: str) -> DataFrame:
+    from dyadica.llm.neardup import classes
+
+    return classes(read(spark, sf, "documents")).select("doc_id", "class_id", "copy_of")
+
+
 def op3_sketch(spark: SparkSession, sf: str) -> DataFrame:
     from dyadica.llm.sketch import edited_sketches
 
@@ -65,6 +71,7 @@ def op10_forest(spark: SparkSession, sf: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_order_minhash": op1_order_minhash,
     "op3_sketch": op3_sketch,
     "op4_toxicity": op4_toxicity,
     "op5_bpe": op5_bpe,
