@@ -51,6 +51,15 @@ def op6_pii(spark: SparkSession, sf: str) -> DataFrame:
     return find_documents(docs, fit(docs), ["doc_id"])
 
 
+def op7_lattice(spark: SparkSession, sf: str) -> DataFrame:
+    from dyadica.llm.lattice import score_documents
+
+    train = fold_of("doc_id", 7) != 2
+    scored = score_documents(read(spark, sf, "documents"), tokenizer_path("piece_bpe_32k.model"), train, ["doc_id"])
+    held_out = (fold_of("doc_id", 7) == 2).alias("held_out")
+    return scored.select("doc_id", held_out, "n_tokens", "n_known", "train_tokens", "base_score", "score")
+
+
 def op8_entropy_mix(spark: SparkSession, sf: str) -> DataFrame:
     from dyadica.llm.mixing import mix
 
@@ -76,6 +85,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_toxicity": op4_toxicity,
     "op5_bpe": op5_bpe,
     "op6_pii": op6_pii,
+    "op7_lattice": op7_lattice,
     "op8_entropy_mix": op8_entropy_mix,
     "op9_licences": op9_licences,
     "op10_forest": op10_forest,

@@ -30,9 +30,9 @@ def _power(base: int, n: int) -> np.ndarray:
     return held[:n]
 
 
-def word_hashes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+def word_hashes(column: pa.Array, lower: bool = False) -> tuple[np.ndarray, np.ndarray]:
     """Hashes of the words of all texts in order, and where each text's words start (one more
-    entry than texts). Words are parted by ASCII white space; null texts have none."""
+    entry than texts). Words are parted by ASCII white space; null texts have none. ``lower`` lower-cases A-Z first."""
     if column.null_count:
         column = column.fill_null("")
     wide = pa.types.is_large_string(column.type)
@@ -43,6 +43,8 @@ def word_hashes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         return np.zeros(0, dtype=np.uint64), np.zeros(len(column) + 1, dtype=np.int64)
     data = np.frombuffer(buffers[2], dtype=np.uint8)[offsets[0] : offsets[-1]]
     offsets = offsets - offsets[0]
+    if lower:
+        data = np.where((data >= 65) & (data <= 90), data + 32, data).astype(np.uint8)
     n = len(data)
     inside = ~((data == 32) | ((data >= 9) & (data <= 13)))
     cut = np.zeros(n + 1, dtype=bool)
