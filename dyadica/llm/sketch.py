@@ -28,16 +28,6 @@ BLOCK_ROWS = 4000
 MOST_BLOCKS = 10_000
 # ASCII white space.
 SPACE = r"[\x20\x09-\x0D]"
-WORD = r"[^\x20\x09-\x0D]"
-
-
-def shingles(text: Column) -> Column:
-    """Every run of five words of a text; the text itself where it has fewer."""
-    flat = F.trim(F.regexp_replace(text, f"{SPACE}+", " "))
-    rest = SHINGLE_WORDS - 1
-    run = F.lit(f"(?<![^ ])(?=([^ ]+(?: [^ ]+){{{rest}}}))")
-    runs = F.regexp_extract_all(flat, run, F.lit(1))
-    return F.when(F.size(runs) > 0, runs).when(flat != "", F.array(flat)).otherwise(F.array().cast("array<string>"))
 
 
 def threshold() -> str:
@@ -45,17 +35,38 @@ def threshold() -> str:
     return format(16**HASH_DIGITS // FRACTION, f"0{HASH_DIGITS}x")
 
 
-def sketch(text: Column) -> Column:
-    """The retained hashes in order, as an array of hex texts."""
-    hashes = F.transform(shingles(text), lambda s: F.substring(F.md5(s.cast("binary")), 1, HASH_DIGITS))
-    return F.aggregate(
-        hashes,
-        F.struct(F.lit(None).cast("string").alias("least"), F.array().cast("array<string>").alias("kept")),
-        lambda a, h: F.struct(
-            F.least(a["least"], h).alias("least"),
-            F.when(h < threshold(), F.array_append(a["kept"], h)).otherwise(a["kept"]).alias("kept"),
-        ),
-        lambda a: F.array_sort(F.array_distinct(F.array_compact(F.array_append(a["kept"], a["least"])))),
+def flattened(text: Column) -> Column:
+    """A text with single spaces between its words and none around it."""
+    return F.trim(F.regexp_replace(text, f"{SPACE}+", " "))
+
+
+def word_runs(flat: Column) -> Column:
+    """All runs of five words of a flattened text: each word is passed once, looking ahead."""
+    return F.regexp_extract_all(flat, F.lit("(?=([^ ]++" + " [^ ]++" * (SHINGLE_WORDS - 1) + "))[^ ]++"), F.lit(1))
+
+
+def hashed(runs: Column) -> Column:
+    return F.transform(runs, lambda s: F.substring(F.md5(s.cast("binary")), 1, HASH_DIGITS))
+
+
+def with_sketch(df: DataFrame, text: str, name: str) -> DataFrame:
+    """Add a text's sketch, an array of hex texts in order (``name``); and the hashes below the
+    threshold in the order of the text (``name_kept``) with the numbers of their runs
+    (``name_at``).
+
+    Each step is a column of its own, so that none is worked out twice.
+    """
+    flat, runs, hashes, at, kept = (f"{name}_{c}" for c in ("flat", "runs", "hashes", "at", "kept"))
+    few = F.when(F.col(flat) != "", F.array(flat)).otherwise(F.array().cast("array<string>"))
+    return (
+        df.withColumn(flat, flattened(F.col(text)))
+        .withColumn(runs, word_runs(F.col(flat)))
+        .withColumn(hashes, hashed(F.when(F.size(runs) > 0, F.col(runs)).otherwise(few)))
+        .withColumn(at, F.filter(F.sequence(F.lit(0), F.size(hashes)), lambda i: F.get(hashes, i) < threshold()))
+        .withColumn(kept, F.transform(at, lambda i: F.get(hashes, i)))
+        .withColumn(name, F.array_compact(F.array_append(kept, F.array_min(hashes))))
+        .withColumn(name, F.array_sort(F.array_distinct(name)))
+        .drop(flat, runs, hashes)
     )
 
 
@@ -134,25 +145,51 @@ def edited_sketches(docs: DataFrame, key: str = "doc_id", text: str = "text") ->
     dealt = dealt.select("_key", "_text", "_rank", "_tie", F.col("_to.block").alias("_block"), F.col("_to.copy").alias("_copy"))
     order = Window.partitionBy("_block").orderBy("_copy", F.desc("_rank"), F.desc("_tie"))
     followed = (
-        dealt.repartition(len(cuts) + 1, "_block")
-        .withColumn("_sketch", sketch(F.col("_text")))
+        with_sketch(dealt.repartition(len(cuts) + 1, "_block"), "_text", "_sketch")
         .withColumn("_next_text", F.lead("_text").over(order))
         .withColumn("_next_sketch", F.lead("_sketch").over(order))
         .filter("_copy = 0")
     )
+    return with_edited(followed).select(
+        F.col("_key").alias(key), "n_chars",
+        F.sha2(F.col("_edited").cast("binary"), 256).alias("edited_sha256"),
+        as_text(F.col("_sketch")).alias("fingerprint"),
+        as_text(F.col("_edited_sketch")).alias("edited_fingerprint"),
+        likeness(F.col("_sketch"), F.col("_edited_sketch")).alias("near_edited"),
+        likeness(F.col("_sketch"), F.col("_next_sketch")).alias("near_next"),
+        containment(F.col("_edited_sketch"), F.col("_sketch")).alias("edited_contained"),
+    )
+
+
+def with_edited(df: DataFrame) -> DataFrame:
+    """Add the edited text and its sketch.
+
+    Runs that lie within the part that stays keep the hashes they have. The others start in its
+    last five words or later: only those and the new part are hashed. Where nothing is below the
+    threshold, the smallest hash is sought in the whole edited text.
+    """
     n = F.length("_text")
     cut = F.floor(n / 3).cast("int")
-    edited = F.concat(F.left(F.col("_text"), n - cut), F.left(F.col("_next_text"), cut))
-    return (
-        followed.select("*", n.cast("bigint").alias("n_chars"), edited.alias("_edited"))
-        .withColumn("_edited_sketch", sketch(F.col("_edited")))
-        .select(
-            F.col("_key").alias(key), "n_chars",
-            F.sha2(F.col("_edited").cast("binary"), 256).alias("edited_sha256"),
-            as_text(F.col("_sketch")).alias("fingerprint"),
-            as_text(F.col("_edited_sketch")).alias("edited_fingerprint"),
-            likeness(F.col("_sketch"), F.col("_edited_sketch")).alias("near_edited"),
-            likeness(F.col("_sketch"), F.col("_next_sketch")).alias("near_next"),
-            containment(F.col("_edited_sketch"), F.col("_sketch")).alias("edited_contained"),
-        )
+    back = F.lit(SHINGLE_WORDS)
+    out = (
+        df.withColumn("n_chars", n.cast("bigint"))
+        .withColumn("_stays", F.left(F.col("_text"), n - cut))
+        .withColumn("_new", F.left(F.col("_next_text"), cut))
+        .withColumn("_edited", F.concat("_stays", "_new"))
+        .withColumn("_stays", F.ltrim(F.regexp_replace("_stays", f"{SPACE}+", " ")))
+        # The last of these words may go on in the new part; runs before it are whole.
+        .withColumn("_words", F.length("_stays") - F.length(F.replace(F.col("_stays"), F.lit(" "))) + 1)
+        .withColumn("_whole", F.greatest(F.col("_words") - back, F.lit(0)))
+        .withColumn("_tail", flattened(F.concat(F.substring_index("_stays", " ", -SHINGLE_WORDS), F.col("_new"))))
+        .withColumn("_tail_runs", word_runs(F.col("_tail")))
+    )
+    alone = F.when((F.col("_whole") == 0) & (F.col("_tail") != ""), F.array("_tail")).otherwise(F.array().cast("array<string>"))
+    out = out.withColumn("_tail_hashes", hashed(F.when(F.size("_tail_runs") > 0, F.col("_tail_runs")).otherwise(alone)))
+    own = F.slice("_sketch_kept", 1, F.size(F.filter("_sketch_at", lambda i: i < F.col("_whole"))))
+    out = out.withColumn("_edited_kept", F.concat(own, F.filter("_tail_hashes", lambda h: h < threshold())))
+    smallest = F.when(F.size("_edited_kept") > 0, F.lit(None).cast("string")).otherwise(
+        F.least(F.array_min("_tail_hashes"), F.array_min(hashed(word_runs(flattened(F.col("_edited"))))))
+    )
+    return out.withColumn("_edited_sketch", F.array_compact(F.array_append("_edited_kept", smallest))).withColumn(
+        "_edited_sketch", F.array_sort(F.array_distinct("_edited_sketch"))
     )
