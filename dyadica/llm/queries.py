@@ -38,6 +38,13 @@ def op1_order_minhash(spark: SparkSession, sf: str) -> DataFrame:
     return classes(read(spark, sf, "documents")).select("doc_id", "class_id", "copy_of")
 
 
+def op2_language(spark: SparkSession, sf: str) -> DataFrame:
+    from dyadica.llm.language import fit_trigrams, identify
+
+    languages, chances = fit_trigrams(read(spark, sf, "documents"))
+    return identify(read(spark, sf, "pages"), languages, chances, ["page_id"])
+
+
 def op3_sketch(spark: SparkSession, sf: str) -> DataFrame:
     from dyadica.llm.sketch import edited_sketches
 
@@ -81,6 +88,7 @@ def op10_forest(spark: SparkSession, sf: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_order_minhash": op1_order_minhash,
+    "op2_language": op2_language,
     "op3_sketch": op3_sketch,
     "op4_toxicity": op4_toxicity,
     "op5_bpe": op5_bpe,
