@@ -22,9 +22,9 @@ from functools import lru_cache
 import numpy as np
 import pyarrow as pa
 import regex
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, functions as F
 
-from dyadica.llm.common import map_arrow, slices, texts_of
+from dyadica.llm.common import map_arrow, slices, texts_of, with_fields
 
 # The split pattern of the byte-level pre-tokenizer, with Unicode white space.
 SPLIT = (
@@ -200,9 +200,8 @@ def encode_documents(docs: DataFrame, path: str, keep: list[str], text: str = "t
     ``decoded`` (if ids are wanted) and ``decoded_sha256``. No shuffle. The vocabulary file is
     read by each Python worker from the installed package.
     """
-    kept = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in keep)
     extra = "ids array<int>, decoded string, " if ids else ""
-    schema = f"{kept}, {extra}n_tokens long, ids_sha256 string, decoded_sha256 string"
+    schema = with_fields(docs, keep, f"{extra}n_tokens long, ids_sha256 string, decoded_sha256 string")
 
     def run(batch: pa.RecordBatch) -> dict:
         enc = encoder(path)
@@ -219,7 +218,5 @@ def encode_documents(docs: DataFrame, path: str, keep: list[str], text: str = "t
                     out["decoded"].append(back)
         return out | {c: batch.column(k) for k, c in enumerate(keep)}
 
-    from pyspark.sql import functions as F
-
     picked = docs.select(*[F.col(f"`{c}`") for c in keep], F.col(text).alias("_text"))
     return map_arrow(picked, run, schema)

@@ -8,6 +8,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql.types import StructType
 
 # ASCII white space, which parts words in every contract of this package.
 WORD_CHARS = r"[^\x20\x09-\x0D]+"
@@ -44,9 +45,9 @@ def slices(batch: pa.RecordBatch, name: str, chunk_bytes: int = CHUNK_BYTES) ->
         yield batch.slice(start)
 
 
-def map_arrow(df: DataFrame, fn: Callable[[pa.RecordBatch], dict | None], schema: str) -> DataFrame:
+def map_arrow(df: DataFrame, fn: Callable[[pa.RecordBatch], dict | None], schema: StructType | str) -> DataFrame:
     """Apply ``fn``, a batch to named columns, to every Arrow batch."""
-    kind = arrow_schema(df.sparkSession, schema)
+    kind = arrow_schema(schema)
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -66,7 +67,22 @@ def record_batch(columns: dict, kind: pa.Schema) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays(arrays, schema=kind)
 
 
-def arrow_schema(spark: SparkSession, schema: str) -> pa.Schema:
+def with_fields(df: DataFrame, keep: list[str], ddl: str) -> StructType:
+    """The kept columns of a table, then the fields of a DDL text."""
+    return StructType([df.schema[c] for c in keep] + StructType.fromDDL(ddl).fields)
+
+
+def arrow_schema(schema: StructType | str) -> pa.Schema:
     from pyspark.sql.pandas.types import to_arrow_schema
 
-    return to_arrow_schema(spark.createDataFrame([], schema).schema)
+    return to_arrow_schema(StructType.fromDDL(schema) if isinstance(schema, str) else schema)
+
+
+def packed(df: DataFrame, *columns: str) -> DataFrame:
+    """The rows as one struct ``_row``, beside the columns an operator reads: other columns cannot
+    clash with what it adds."""
+    return df.select(F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("_row"), *[F.col(f"`{c}`") for c in columns])
+
+
+def unpacked(df: DataFrame) -> DataFrame:
+    return df.select("_row.*")

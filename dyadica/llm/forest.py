@@ -216,7 +216,7 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int, forest: Forest | Non
     vectors = vectors.filter(F.size("vec") == width)
     queries = queries.filter(F.size("vec") == width)
 
-    leaf_kind = arrow_schema(spark, "tree int, leaf int, id long, vec array<double>")
+    leaf_kind = arrow_schema("tree int, leaf int, id long, vec array<double>")
 
     def to_leaves(batches):
         f = held.value
@@ -253,7 +253,7 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int, forest: Forest | Non
         np.add.at(group_rows, of, own)
 
     reach_schema = "group int, id long, vec array<double>, leaves array<int>"
-    reach_kind = arrow_schema(spark, reach_schema)
+    reach_kind = arrow_schema(reach_schema)
 
     def to_reached(batches):
         f = held.value
@@ -295,7 +295,7 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int, forest: Forest | Non
         .withColumn("b", spread(F.col("n_b"))).withColumn("a", every(F.col("n_a")))
         .select("group", "a", "b", "id", "vec", "leaves")
     )
-    best_kind = arrow_schema(spark, "query_id long, vec_id long, score double")
+    best_kind = arrow_schema("query_id long, vec_id long, score double")
 
     def meet(left: pa.Table, right: pa.Table) -> pa.Table:
         if not left.num_rows or not right.num_rows:

@@ -23,7 +23,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
-from dyadica.llm.common import map_arrow, slices, texts_of
+from dyadica.llm.common import map_arrow, slices, texts_of, with_fields
 from dyadica.llm.wordhash import mix
 from dyadica.session import materialize
 
@@ -156,7 +156,6 @@ def identify(pages: DataFrame, languages: list[str], chances: np.ndarray, keep:
     held = pages.sparkSession.sparkContext.broadcast(chances)  # at most MOST_LANGUAGES * SLOTS numbers
     picked = pages.select(*kept, host.alias("host"), domain.alias("domain"), suffix.alias("suffix"), F.col(page).alias("_page"))
     carried = picked.columns[:-1]
-    kinds = ", ".join(f"{c} {picked.schema[c].dataType.simpleString()}" for c in carried)
 
     def run(batch: pa.RecordBatch) -> dict:
         table = held.value
@@ -170,7 +169,7 @@ def identify(pages: DataFrame, languages: list[str], chances: np.ndarray, keep:
                 text.append(z - z.max())
         return {"declared": declared, "text": text} | {c: batch.column(k) for k, c in enumerate(carried)}
 
-    rows = map_arrow(picked, run, f"{kinds}, declared string, text array<double>")
+    rows = map_arrow(picked, run, with_fields(picked, carried, "declared string, text array<double>"))
     # What the text alone says, as chances.
     raw = F.transform("text", lambda z: F.exp(z))
     rows = rows.withColumn("_raw", raw).withColumn("_sum", F.aggregate("_raw", F.lit(0.0), lambda a, x: a + x))

@@ -28,7 +28,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
-from dyadica.llm.common import arrow_schema, map_arrow, slices, texts_of
+from dyadica.llm.common import arrow_schema, map_arrow, slices, texts_of, with_fields
 from dyadica.llm.wordhash import mix, word_hashes
 from dyadica.session import materialize
 
@@ -225,7 +225,7 @@ def word_log_probability(words: list[str], vocab: Vocabulary, logp: np.ndarray)
 
 def count_words(docs: DataFrame) -> DataFrame:
     """(word, c): every word of every text (text, train), with its count over training texts."""
-    kind = arrow_schema(docs.sparkSession, "word binary, c long")
+    kind = arrow_schema("word binary, c long")
 
     def out(counts: Counter):
         return pa.RecordBatch.from_arrays(
@@ -316,8 +316,8 @@ def score_documents(docs: DataFrame, path: str, train: Column, keep: list[str],
     end_base, end_lp = math.log10(ends + 1) - below, float(logp[-1]) / ten
     end_known = int(ends > 0)
 
-    kept = "".join(f"`{c}` {docs.schema[c].dataType.simpleString()}, " for c in keep)
-    local = kept + "n_tokens long, n_known long, base_score double, score double, rare array<long>, times array<int>"
+    local = with_fields(
+        docs, keep, "n_tokens long, n_known long, base_score double, score double, rare array<long>, times array<int>")
 
     def settle(batch: pa.RecordBatch) -> dict:
         known_h, known_c, known_lp = frequent.value

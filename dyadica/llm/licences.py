@@ -19,7 +19,7 @@ from functools import lru_cache
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from dyadica.llm.common import map_arrow, slices, texts_of
+from dyadica.llm.common import map_arrow, slices, texts_of, with_fields
 
 # Phrases whose places are the base, with their labels.
 BASE = {
@@ -215,7 +215,6 @@ SCHEMA = (
 def scan_documents(docs: DataFrame, keep: list[str], text: str = "text") -> DataFrame:
     """``keep`` and what the scan finds in every text: counts and places of base phrases, labels,
     the expressions parsed, and whether all of them can be met permissively. No shuffle."""
-    kept = "".join(f"`{c}` {docs.schema[c].dataType.simpleString()}, " for c in keep)
     names = [f.split()[0] for f in SCHEMA.split(", ")]
 
     def run(batch: pa.RecordBatch) -> dict:
@@ -223,4 +222,4 @@ def scan_documents(docs: DataFrame, keep: list[str], text: str = "text") -> Data
         return {n: [r[n] for r in rows] for n in names} | {c: batch.column(k) for k, c in enumerate(keep)}
 
     picked = docs.select(*[F.col(f"`{c}`") for c in keep], F.col(text).alias("_text"))
-    return map_arrow(picked, run, kept + SCHEMA)
+    return map_arrow(picked, run, with_fields(docs, keep, SCHEMA))

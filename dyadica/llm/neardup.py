@@ -28,7 +28,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from dyadica.llm.common import map_arrow, slices
+from dyadica.llm.common import map_arrow, packed, slices, unpacked
 from dyadica.llm.graph import components
 from dyadica.llm.wordhash import labelled, mix, shingles_of, word_hashes
 from dyadica.session import materialize
@@ -212,9 +212,8 @@ def keep_one(docs: DataFrame, id: str = "doc_id", text: str = "text") -> DataFra
         .agg(F.min("h").alias("_h"), F.first("class_id").alias("class_id"), F.count(F.lit(1)).alias("_n"))
     )
     chosen = materialize(chosen)
-    kept = docs.withColumn("_h", text_key(text)).join(
-        chosen.select("_h", F.col("class_id").alias("_class"), "_n"), "_h"
-    ).filter(F.col("_class").eqNullSafe(F.col(id)))
+    rows = packed(docs, id, text).select("_row", F.col(id).alias("_id"), text_key(text).alias("_h"))
+    kept = rows.join(chosen, "_h").filter(F.col("class_id").eqNullSafe(F.col("_id")))
     if not chosen.filter("_n > 1").isEmpty():
         kept = kept.filter("_n = 1").union(kept.filter("_n > 1").dropDuplicates(["_h"]))
-    return kept.select(*[F.col(f"`{c}`") for c in docs.columns])
+    return unpacked(kept)

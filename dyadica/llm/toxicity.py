@@ -30,7 +30,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
-from dyadica.llm.common import map_arrow, slices, texts_of
+from dyadica.llm.common import map_arrow, slices, texts_of, with_fields
 
 SAMPLE_LABELS = 20_000
 LEAST_LABELS = 10
@@ -277,8 +277,7 @@ def fit(docs: DataFrame, labels: DataFrame, usable: Column | None = None, id: st
 
 def score_documents(docs: DataFrame, model: Model, keep: list[str], text: str = "text") -> DataFrame:
     """``keep``, score (0 to 1), predicted, and the hits: all, quoted, misspelled. No shuffle."""
-    kept = "".join(f"`{c}` {docs.schema[c].dataType.simpleString()}, " for c in keep)
-    schema = kept + "score double, predicted int, n_hits long, n_quoted long, n_misspelled long"
+    schema = with_fields(docs, keep, "score double, predicted int, n_hits long, n_quoted long, n_misspelled long")
 
     def run(batch: pa.RecordBatch) -> dict:
         table = table_of(model.terms)
