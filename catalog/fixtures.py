@@ -65,9 +65,9 @@ def vectors(spark: SparkSession, sf: str) -> Stimuli:
 
 
 def described_vectors(spark: SparkSession, sf: str) -> Stimuli:
-    """Embeddings that have a document, by its language, source and length."""
+    """All embeddings, by the language, source and length of their document where they have one."""
     docs = table(spark, sf, "documents").select("doc_id", "lang", "source", "n_chars")
-    df = table(spark, sf, "embeddings").join(docs, F.col("vec_id") == F.col("doc_id"))
+    df = table(spark, sf, "embeddings").join(docs, F.col("vec_id") == F.col("doc_id"), "left")
     return Stimuli(df, ["lang", "source", "n_chars"], "embedding", "vec_id")
 
 
@@ -93,12 +93,17 @@ def lines(spark: SparkSession, sf: str) -> Stimuli:
     )
 
 
-def listed_pairs(spark: SparkSession, sf: str) -> PrecomputedPairs:
+# Fixed value: what fit_offset adds to every distance; spreads on it need centred sums.
+OFFSET = 1e4
+
+
+def listed_pairs(spark: SparkSession, sf: str, offset: float = 0.0) -> PrecomputedPairs:
     """A list of customer pairs with their distances: x = (gap, mismatch), y with interaction."""
     source = customers(spark, sf)
     n_pairs = 4 * source.size()
     drawn = source.distances(sample_pairs(source, n_pairs, 1, "7"), n_pairs, None)
     d1, d2 = F.sqrt(F.get("x", F.lit(0))), F.sqrt(F.get("x", F.lit(1)))
     y = F.sqrt(F.lit(0.5) * d1 * d1 + F.lit(0.3) * d1 * d2 + F.lit(0.3) * d2 * d2)
+    y = y + F.lit(offset)
     df = drawn.select("i", "j", d1.alias("gap"), d2.alias("mismatch"), y.alias("y")).distinct()
     return PrecomputedPairs(df, ["gap", "mismatch"], "y", complete=False)

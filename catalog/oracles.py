@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from catalog.fixtures import LINE_KEYS, PLANTED, SEED, SEGMENTS
+from catalog.fixtures import LINE_KEYS, OFFSET, PLANTED, SEED, SEGMENTS
 from catalog.queries import STREAM, WEIGHTS_3, WEIGHTS_5, WEIGHTS_TERMS
 
 # ------------------------------------------------------------------- building blocks
@@ -122,7 +122,7 @@ VECTORS = stimuli("SELECT vec_id AS sid, * FROM embeddings", VECTOR_F, "embeddin
 DESCRIBED_F = [("lang", False), ("source", False), ("n_chars", True)]
 DESCRIBED = stimuli(
     "SELECT row_number() OVER (ORDER BY vec_id) - 1 AS sid, e.embedding, d.lang, d.source, d.n_chars "
-    "FROM embeddings e JOIN documents d ON e.vec_id = d.doc_id",
+    "FROM embeddings e LEFT JOIN documents d ON e.vec_id = d.doc_id",
     DESCRIBED_F,
     "embedding::DOUBLE[]",
 )
@@ -146,7 +146,7 @@ LINES = stimuli(
 N = "(SELECT count(*) FROM raw)"
 
 
-def listed(count: str, batch: str, stream: str = STREAM, interactions: bool = False) -> str:
+def listed(count: str, batch: str, stream: str = STREAM, interactions: bool = False, offset: float = 0.0) -> str:
     """CTEs up to ds for the list of customer pairs with precomputed distances."""
     made = (
         CUSTOMERS
@@ -156,7 +156,8 @@ def listed(count: str, batch: str, stream: str = STREAM, interactions: bool = Fa
         "g0 AS (SELECT DISTINCT p0.i, p0.j, sqrt(least(1.0::DOUBLE, abs(a.f0 - b.f0)) * least(1.0::DOUBLE, abs(a.f0 - b.f0))) AS gap, "
         "(a.f1 <> b.f1)::INT::DOUBLE AS mismatch FROM p0 JOIN st a ON a.sid = p0.i JOIN st b ON b.sid = p0.j), "
         "lp AS (SELECT row_number() OVER (ORDER BY i, j) - 1 AS row_, *, "
-        "sqrt(0.5::DOUBLE * gap * gap + 0.3::DOUBLE * gap * mismatch + 0.3::DOUBLE * mismatch * mismatch) AS d FROM g0), "
+        "sqrt(0.5::DOUBLE * gap * gap + 0.3::DOUBLE * gap * mismatch + 0.3::DOUBLE * mismatch * mismatch) "
+        f"+ {offset!r}::DOUBLE AS d FROM g0), "
     )
     x = "gap * gap AS x0, mismatch * gap AS x1, mismatch * mismatch AS x2" if interactions else (
         "gap * gap AS x0, mismatch * mismatch AS x1"
@@ -488,6 +489,10 @@ def build() -> dict[str, str]:
         f"WITH {listed(eight, LISTED_N, fit_stream)}, {_moments(2)}, {_TWO} "
         + _weights_out(["gap", "mismatch"])
     )
+    out["fit_offset"] = (
+        f"WITH {listed(eight, LISTED_N, fit_stream, offset=OFFSET)}, {_moments(2)}, {_TWO} "
+        + _weights_out(["gap", "mismatch"])
+    )
     out["predict"] = (
         f"WITH {LINES}, {pairs(N, N)}, {distances(LINE_F)} "
         f"SELECT pair_id, {r6(weighted(WEIGHTS_5))} AS prediction FROM ds"

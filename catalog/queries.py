@@ -330,6 +330,12 @@ def fit_precomputed(spark: SparkSession, sf: str) -> DataFrame:
     return _weights(_encoder(source, distance="precomputed"), source)
 
 
+def fit_offset(spark: SparkSession, sf: str) -> DataFrame:
+    """Distances far from 0: the spread must not drown in the mean."""
+    source = X.listed_pairs(spark, sf, X.OFFSET)
+    return _weights(_encoder(source, distance="precomputed"), source)
+
+
 def fit_steps_query(spark: SparkSession, sf: str) -> DataFrame:
     source = X.planted(spark, sf)
     out = _weights(_encoder(source, solver="steps", max_steps=200), source)
@@ -484,6 +490,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "fit_weights": fit_weights,
     "fit_interactions": fit_interactions,
     "fit_precomputed": fit_precomputed,
+    "fit_offset": fit_offset,
     "fit_steps": fit_steps_query,
     "predict": predict_query,
     "permutation": permutation,

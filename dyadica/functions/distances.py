@@ -135,7 +135,7 @@ def resolve_metric(distance: str | Callable[[Column, Column], Column]) -> Metric
         return Metric("custom", lambda a, b: distance(a.vector, b.vector))
     if distance in METRICS:
         return METRICS[distance]
-    raise ValueError(f"Unknown distance: {distance}")
+    raise ValueError(f"no metric is called {distance!r}")
 
 
 def clean_distance(d: Column, fill: float = 0.0) -> Column:

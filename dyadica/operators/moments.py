@@ -28,32 +28,43 @@ def moment_vectors(
     extras: Sequence[str] = (),
     by: Sequence[str] = (),
     base: int | None = None,
+    centre: Sequence[float] | None = None,
 ) -> DataFrame:
     """Moments of ``x[0..q-1]`` and ``extras`` per ``by``, as rows (by..., pos, value).
 
+    ``centre``, one number a column, is subtracted before anything is summed, so that spreads on
+    large means keep their digits; the bounds are those of the values as they are.
     The first extra is the representation distance whose bounds are kept. With ``base``,
     ``x`` holds that many plain distances, and their q lower-triangle products are formed
     next to the sums, so that only the plain distances travel.
     """
     if base is None and use_expressions(q, extras):
-        return _by_expressions(df, q, extras, by)
-    return _by_arrow(df, q, extras, by, base)
+        return _by_expressions(df, q, extras, by, centre)
+    return _by_arrow(df, q, extras, by, base, centre)
+
+
+def provisional_centre(dist: DataFrame, width: int, with_distance: bool) -> np.ndarray:
+    """Means of ``x`` and, last, of ``d`` over a few pairs: good enough to subtract."""
+    means = [F.avg(F.get("x", F.lit(k))).alias(f"_c{k}") for k in range(width)]
+    row = dist.agg(*means, *([F.avg("d").alias("_d")] if with_distance else []))
+    return np.array([0.0 if v is None else float(v) for v in row.first()])
 
 
 def use_expressions(q: int, extras: Sequence[str]) -> bool:
     return q + len(extras) <= EXPRESSION_COLUMNS
 
 
-def _by_expressions(df, q, extras, by):
+def _by_expressions(df, q, extras, by, centre):
     m = q + len(extras)
     x = F.col("x")
     cols = [F.get(x, F.lit(k)).alias(f"_v{k}") for k in range(q)]
     cols += [F.col(c).alias(f"_v{q + k}") for k, c in enumerate(extras)]
     flat = df.select(*by, *cols)
-    v = [F.col(f"_v{k}") for k in range(m)]
-    zero = F.lit(0.0)
-    d = v[q] if extras else zero
-    top = F.greatest(*v[:q]) if q > 1 else v[0]
+    plain = [F.col(f"_v{k}") for k in range(m)]
+    shift = [0.0] * m if centre is None else list(centre)
+    v = [c - F.lit(float(s)) if s else c for c, s in zip(plain, shift)]
+    d = plain[q] if extras else F.lit(0.0)
+    top = F.greatest(*plain[:q]) if q > 1 else plain[0]
     parts = [F.min(d), F.max(d), F.max(top), F.count(F.lit(1)).cast("double")]
     parts += [F.sum(c) for c in v]
     parts += [F.sum(v[r] * v[c]) for r in range(m) for c in range(r + 1)]
@@ -62,7 +73,7 @@ def _by_expressions(df, q, extras, by):
     return sums.select(*by, F.posexplode(packed).alias("pos", "value"))
 
 
-def _by_arrow(df, q, extras, by, base):
+def _by_arrow(df, q, extras, by, base, centre):
     """Matrix products per Arrow batch; partial sums leave the task, never pairs."""
     m = q + len(extras)
     has_d = bool(extras)
@@ -74,6 +85,7 @@ def _by_arrow(df, q, extras, by, base):
     length = vector_length(m)
     extra_names = list(extras)
     width = base or q
+    shift = None if centre is None else np.asarray(centre, dtype=float)
     # Partial sums held in a task before they are handed on.
     held = max(1, 64_000_000 // (8 * length))
 
@@ -114,6 +126,8 @@ def _by_arrow(df, q, extras, by, base):
                 vec[1] = part[:, q].max() if has_d else 0.0
                 vec[2] = part[:, :q].max()
                 vec[3] = len(part)
+                if shift is not None:
+                    part = part - shift
                 vec[4 : 4 + m] = part.sum(axis=0)
                 vec[4 + m :] = (part.T @ part)[rows, cols]
                 old = sums.get(tuple(k))
@@ -149,6 +163,16 @@ class Moments:
     mean: np.ndarray
     cov: np.ndarray
 
+    def merged(self, other: "Moments") -> "Moments":
+        """Moments of both batches together; both must have the same centre."""
+        n = self.n + other.n
+        mean = (self.n * self.mean + other.n * other.mean) / n
+        a, b = self.mean - mean, other.mean - mean
+        cov = (self.n * (self.cov + np.outer(a, a)) + other.n * (other.cov + np.outer(b, b))) / n
+        return Moments(
+            min(self.low, other.low), max(self.high, other.high), max(self.top, other.top), n, mean, cov
+        )
+
 
 def unpack(vec: np.ndarray, m: int) -> Moments:
     n = vec[COUNT]
@@ -173,9 +197,10 @@ def collect_moments(vectors: DataFrame, m: int, by: str | None = None) -> dict[i
 
 
 def scaled_square_moments(mom: Moments, q: int, low: float, high: float, eps: float):
-    """Covariances of x with the scaled squared distance, from those with d and d*d.
+    """Covariances of x with the scaled squared distance, from those with e and e*e, where e is
+    the distance less its provisional centre; ``low`` and ``high`` are less the centre too.
 
-    With s = (d - low) / r, s*s = (d*d - 2 low d + low*low) / r**2, so scaling by bounds that
+    With s = (e - low) / r, s*s = (e*e - 2 low e + low*low) / r**2, so scaling by bounds that
     are known only after the pass needs no second pass over the pairs.
     """
     r2 = (high - low + eps) ** 2

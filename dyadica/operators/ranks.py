@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from dyadica.functions.hashing import hash48
 from dyadica.operators.index import global_position
 from dyadica.operators.lookup import join_dictionary
-from dyadica.session import group_rows
+from dyadica.session import group_rows, materialize
 
 ORDINAL = "ordinal"
 AVERAGE = "average"
@@ -107,10 +107,14 @@ def soft_rank_affine(df: DataFrame, group: str, value: str, name: str) -> DataFr
     """Soft rank at unit strength while the values of a batch span at most half its size.
 
     The projection onto the permutahedron is then the shifted values (Blondel et al. 2020).
-    The batch mean comes from one aggregate, so no batch is gathered in one task. A batch
+    The batch mean comes from one aggregate over the values, which are written once, and one row
+    a batch is broadcast back, so no batch is gathered in one task. A batch
     outside that span raises; ``soft_rank`` handles it.
     """
+    from dyadica.operators.scaling import per_batch
+
     v = F.col(value)
+    df = materialize(df)
     stats = df.groupBy(group).agg(
         F.avg(v).alias("_mean"), F.count(v).alias("_n"), (F.max(v) - F.min(v)).alias("_span")
     )
@@ -118,7 +122,7 @@ def soft_rank_affine(df: DataFrame, group: str, value: str, name: str) -> DataFr
     soft = F.when(
         F.col("_span") <= F.col("_n") / 2, v - F.col("_mean") + (F.col("_n") + 1) / 2
     ).otherwise(bad)
-    return df.join(stats, group).select(*df.columns, soft.alias(name))
+    return df.join(per_batch(stats), group).select(*df.columns, soft.alias(name))
 
 
 def soft_rank(df: DataFrame, group: str, value: str, tie: str, name: str, rows_per_group: int) -> DataFrame:

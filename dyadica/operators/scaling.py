@@ -5,6 +5,15 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window, functions as F
 
 from dyadica.functions.distances import minmax_square
+from dyadica.session import materialize
+from dyadica.sources.sizing import fits_broadcast
+
+
+def per_batch(table: DataFrame) -> DataFrame:
+    """A table of one row a batch, to be joined to pairs: broadcast when measured to fit, since a
+    batch would otherwise be one join key."""
+    table = materialize(table)
+    return F.broadcast(table) if fits_broadcast(table, table.count()) else table
 
 
 def running_bounds(pairs: DataFrame, step: str = "trial") -> DataFrame:
@@ -20,6 +29,8 @@ def running_bounds(pairs: DataFrame, step: str = "trial") -> DataFrame:
 
 def minmax_square_distances(pairs: DataFrame, step: str = "trial", name: str = "s") -> DataFrame:
     """Scale every distance by the bounds seen up to its step, then square it."""
-    bounds = running_bounds(pairs, step)
+    # Written once: the bounds and the distances would each draw and join the pairs anew.
+    pairs = materialize(pairs)
+    bounds = per_batch(running_bounds(pairs, step))
     scaled = minmax_square(F.col("d"), F.col("low"), F.col("high"))
     return pairs.join(bounds, step).withColumn(name, scaled).drop("low", "high")

@@ -8,7 +8,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, functions as F
 
 from dyadica.operators.correlation import prefix_correlations, stability
-from dyadica.operators.moments import moment_vectors
+from dyadica.operators.moments import moment_vectors, provisional_centre
 from dyadica.operators.pairs import sample_prefixes
 
 # The first job covers all sizes up to this many pairs over all trials; each later job adds
@@ -17,12 +17,14 @@ from dyadica.operators.pairs import sample_prefixes
 FIRST_BLOCK_PAIRS = 1 << 18
 FIRST_BLOCK_PAIRS_LARGE = 1 << 20
 BLOCK_SIZES = 8
+# The provisional centre comes from so many pairs; it decides digits, not results.
+CENTRE_PAIRS = 4096
 
 
 def candidate_sizes(smallest: int, largest: int, factor: float) -> tuple[list[int], int]:
     """Sizes to try, and the size returned when none of them is stable."""
     if not factor > 1:
-        raise ValueError("factor should be greater than 1")
+        raise ValueError(f"factor must exceed 1, got {factor}")
     sizes, b = [], smallest
     while b < largest:
         sizes.append(b)
@@ -41,7 +43,10 @@ def size_stability(
     n_pairs = sizes[-1] * n_trials
     pairs = sample_prefixes(source, sizes, n_trials, stride, stream)
     dist = source.distances(pairs, n_pairs, None, False, nan_to_num)
-    moments = moment_vectors(dist, source.n_features, by=("trial", "step"))
+    few = pairs.filter(F.col("pair_id") < min(CENTRE_PAIRS, sizes[-1]))
+    start = source.distances(few, CENTRE_PAIRS, None, False, nan_to_num)
+    centre = provisional_centre(start, source.n_features, False)
+    moments = moment_vectors(dist, source.n_features, by=("trial", "step"), centre=centre)
     table = stability(prefix_correlations(moments, source.n_features))
     size = F.element_at(F.array(*[F.lit(int(s)) for s in sizes]), F.col("step") + 1)
     return table.select("step", size.cast("bigint").alias("batch_size"), "max_std", "max_corr")

@@ -28,8 +28,11 @@ STEPS = "steps"
 class MetricEncoder:
     """Learns a metric over features that follows the distances of a representation.
 
-    ``solver='pooled'`` solves once on the moments of up to ``max_fit_pairs`` pairs;
-    ``solver='steps'`` runs Adam over a fresh batch per step with early stopping.
+    ``solver='pooled'`` solves on the moments of ``batch_size * max_steps`` pairs, read in
+    growing blocks until a block moves no weight by more than ``tolerance`` (0 reads all; a
+    number for ``max_fit_pairs`` ends it there);
+    ``solver='steps'`` runs Adam over a fresh batch per step with early stopping, and alone
+    uses ``lr``, ``weight_decay`` and ``patience``.
     ``ties`` is the rank rule of the scores: ``ordinal`` or ``average``.
     A seed makes every call repeatable, whatever the partitioning.
     """
@@ -53,7 +56,8 @@ class MetricEncoder:
         random_seed: int | None = None,
         corr_warning_threshold: float = 0.5,
         solver: str = POOLED,
-        max_fit_pairs: int = 2**20,
+        max_fit_pairs: int | None = None,
+        tolerance: float = 1e-3,
         ties: str = ORDINAL,
     ) -> None:
         if distance != PRECOMPUTED:
@@ -61,7 +65,12 @@ class MetricEncoder:
         if solver not in (POOLED, STEPS):
             raise ValueError(f"unknown solver: {solver}")
         if not factor > 1:
-            raise ValueError("factor should be greater than 1")
+            raise ValueError(f"factor must exceed 1, got {factor}")
+        _check_size(batch_size)
+        if solver == POOLED and (lr, weight_decay, patience) != (0.1, 0.0, 50):
+            warnings.warn(
+                "lr, weight_decay and patience act with solver='steps' only", UserWarning, stacklevel=2
+            )
         self.interactions = interactions
         self.n_permutations = n_permutations
         self.distance = distance
@@ -80,6 +89,7 @@ class MetricEncoder:
         self.corr_warning_threshold = corr_warning_threshold
         self.solver = solver
         self.max_fit_pairs = max_fit_pairs
+        self.tolerance = tolerance
         self.ties = ties
 
         self.fit_: FitResult | None = None
@@ -119,13 +129,17 @@ class MetricEncoder:
     def fit(self, source: Stimuli | PrecomputedPairs) -> "MetricEncoder":
         self._check_source(source)
         seed = self._seed()
-        size = self.batch_size or self.estimate_batch_size(source)
+        size = self.batch_size
+        if size is None:
+            size = self.estimate_batch_size(source)
         stream = f"{seed}:fit"
         if self.solver == POOLED:
-            n_pairs = max(size, min(size * self.max_steps, self.max_fit_pairs))
+            n_pairs = size * self.max_steps
+            if self.max_fit_pairs is not None:
+                n_pairs = max(size, min(n_pairs, self.max_fit_pairs))
             result = fit_pooled(
                 source, self.distance, self.interactions, self.nan_to_num,
-                n_pairs, size, stream,
+                n_pairs, size, stream, self.tolerance,
             )
         else:
             result = fit_steps(
@@ -156,7 +170,10 @@ class MetricEncoder:
         missing = [f for f in self.feature_names if f not in source.feature_names]
         if missing or len(source.feature_names) != len(self.feature_names):
             raise ValueError(f"features differ from the fitted ones: {self.feature_names}")
-        size = batch_size or self.batch_size or self.batch_size_fit_
+        _check_size(batch_size)
+        size = batch_size
+        if size is None:
+            size = self.batch_size_fit_ if self.batch_size is None else self.batch_size
         weights = self._weights_for(source)
         table = materialize(
             importance_table(
@@ -213,6 +230,11 @@ class MetricEncoder:
         return weights_table(spark, weights, self.feature_names, self.interactions)
 
 
+def _check_size(size: int | None) -> None:
+    if size is not None and size < 1:
+        raise ValueError(f"a batch needs at least one pair, got {size}")
+
+
 def weights_table(spark, weights: Sequence[float], names: Sequence[str], interactions: bool) -> DataFrame:
     if interactions:
         rows = [

@@ -10,13 +10,19 @@ from pyspark.sql import DataFrame, functions as F
 
 from dyadica.functions.distances import PRECOMPUTED, SCALE_EPS, resolve_metric
 from dyadica.operators.moments import (
-    Moments, collect_moments, moment_vectors, scaled_square_moments, use_expressions,
-    vector_length,
+    Moments, collect_moments, moment_vectors, provisional_centre, scaled_square_moments,
+    use_expressions, vector_length,
 )
 from dyadica.operators.pairs import sample_pair_range
 from dyadica.plans import solver as S
 
 STEPS_PER_JOB = 100
+# The provisional centre comes from so many pairs; it decides digits, not results.
+CENTRE_PAIRS = 4096
+# The pooled solver's first block of pairs; each further one doubles what has been read.
+FIRST_BLOCK_PAIRS = 1 << 20
+# A spread below this share of a feature's mean square is rounding noise of a constant one.
+CONSTANT_SHARE = 1e-24
 # Bound on the moments one job of the stepwise solver brings to the driver.
 MOMENT_BYTES_PER_JOB = 256 * 1024 * 1024
 
@@ -36,20 +42,53 @@ def n_terms(p: int, interactions: bool) -> int:
 EXTRAS = ("d", "d2")
 
 
+def _late(q: int, interactions: bool) -> bool:
+    """Whether interaction products are formed where they are summed."""
+    return interactions and not use_expressions(q, EXTRAS)
+
+
+def pair_centre(source, batch_size: int, distance, interactions: bool, nan_to_num: float, stream: str) -> np.ndarray:
+    """A provisional centre of the terms, d and d*d, from the first pairs of the stream."""
+    p = source.n_features
+    q = n_terms(p, interactions)
+    late = _late(q, interactions)
+    n = min(CENTRE_PAIRS, batch_size)
+    pairs = sample_pair_range(source, 0, n, batch_size, stream)
+    dist = source.distances(pairs, n, distance, interactions, nan_to_num, expand=not late)
+    found = provisional_centre(dist, p if late else q, True)
+    x, d = found[:-1], found[-1]
+    if late:
+        left, right = np.tril_indices(p)
+        x = x[left] * x[right]
+    return np.concatenate([x, [d, 0.0]])
+
+
 def fit_moments(
     source, pairs: DataFrame, n_pairs: int, distance, interactions: bool, nan_to_num: float,
-    by: str | None = None,
+    centre: np.ndarray, by: str | None = None,
 ) -> dict[int, Moments]:
-    """Moments of the terms, d and d*d over the pairs, pooled or per batch."""
+    """Moments of the terms, d and d*d over the pairs, less their centre, pooled or per batch."""
     p = source.n_features
     q = n_terms(p, interactions)
-    late = interactions and not use_expressions(q, EXTRAS)
+    late = _late(q, interactions)
     dist = source.distances(pairs, n_pairs, distance, interactions, nan_to_num, expand=not late)
-    wide = dist.withColumn("d2", F.col("d") * F.col("d"))
-    vectors = moment_vectors(wide, q, EXTRAS, (by,) if by else (), p if late else None)
+    e = F.col("d") - F.lit(float(centre[q]))
+    wide = dist.withColumn("d2", e * e)
+    vectors = moment_vectors(wide, q, EXTRAS, (by,) if by else (), p if late else None, centre)
     return collect_moments(vectors, q + 2, by)
 
 
+def objective(mom: Moments, q: int, low: float, high: float, centre: np.ndarray):
+    """Covariances of the terms among each other and with the scaled squared distance. A term
+    that is constant but for rounding gets exact zeros."""
+    sigma, c, var = scaled_square_moments(mom, q, low - centre[q], high - centre[q], SCALE_EPS)
+    spread = np.diag(sigma)
+    constant = spread <= CONSTANT_SHARE * ((mom.mean + centre)[:q] ** 2 + spread)
+    sigma, c = sigma.copy(), np.where(constant, 0.0, c)
+    sigma[constant, :] = sigma[:, constant] = 0.0
+    return sigma, c, var
+
+
 def steps_per_job(source, distance, q: int, max_steps: int) -> int:
     """Small stimuli: blocks, so that stopping early saves work. Large ones: as few scans as
     the size of the collected moments allows."""
@@ -77,18 +116,32 @@ def _check_span(mom: Moments, w: np.ndarray, n: int) -> None:
 
 def fit_pooled(
     source, distance, interactions: bool, nan_to_num: float,
-    n_pairs: int, batch_size: int, stream: str,
+    n_pairs: int, batch_size: int, stream: str, tolerance: float = 0.0,
 ) -> FitResult:
-    """Best weights on the moments of all sampled pairs."""
+    """Best weights on the moments of the sampled pairs.
+
+    Pairs are read in blocks, each as large as all before it, and the moments are merged. It
+    ends when all pairs are read, or when a block has moved no weight by more than
+    ``tolerance``; 0 reads all pairs.
+    """
     p = source.n_features
     q = n_terms(p, interactions)
-    pairs = sample_pair_range(source, 0, n_pairs, batch_size, stream)
-    mom = fit_moments(source, pairs, n_pairs, distance, interactions, nan_to_num)[0]
-    _expect(mom.n, n_pairs)
-    sigma, c, var = scaled_square_moments(mom, q, mom.low, mom.high, SCALE_EPS)
-    w = S.solve_spd(sigma, c, var, p) if interactions else S.solve_positive(sigma, c, var)
+    centre = pair_centre(source, batch_size, distance, interactions, nan_to_num, stream)
+    mom, w, done, blocks = None, None, 0, 0
+    while done < n_pairs:
+        size = n_pairs if tolerance <= 0 else max(FIRST_BLOCK_PAIRS, done)
+        last = min(n_pairs, done + size)
+        pairs = sample_pair_range(source, done, last, batch_size, stream)
+        block = fit_moments(source, pairs, last - done, distance, interactions, nan_to_num, centre)[0]
+        _expect(block.n, last - done)
+        mom = block if mom is None else mom.merged(block)
+        done, blocks = last, blocks + 1
+        sigma, c, var = objective(mom, q, mom.low, mom.high, centre)
+        old, w = w, S.solve_spd(sigma, c, var, p) if interactions else S.solve_positive(sigma, c, var)
+        if old is not None and np.max(np.abs(w - old)) <= tolerance:
+            break
     _check_span(mom, w, batch_size)
-    return FitResult(w, S.correlation(w, sigma, c, var), n_pairs, 1)
+    return FitResult(w, S.correlation(w, sigma, c, var), done, blocks)
 
 
 def fit_steps(
@@ -108,6 +161,7 @@ def fit_steps(
     opt = S.Adam(shape.size, lr, weight_decay)
     best, best_w, waited, taken = -np.inf, shape.weights(theta), 0, 0
     low, high = np.inf, -np.inf
+    centre = pair_centre(source, batch_size, distance, interactions, nan_to_num, stream)
     per_job = steps_per_job(source, distance, q, max_steps)
     for first in range(0, max_steps, per_job):
         last = min(first + per_job, max_steps)
@@ -116,13 +170,13 @@ def fit_steps(
             source, first * batch_size, last * batch_size, batch_size, stream
         )
         moments = fit_moments(
-            source, pairs, n_pairs, distance, interactions, nan_to_num, "trial"
+            source, pairs, n_pairs, distance, interactions, nan_to_num, centre, "trial"
         )
         for step in range(first, last):
             mom = moments[step]
             _expect(mom.n, batch_size)
             low, high = min(low, mom.low), max(high, mom.high)
-            sigma, c, var = scaled_square_moments(mom, q, low, high, SCALE_EPS)
+            sigma, c, var = objective(mom, q, low, high, centre)
             w = shape.weights(theta)
             r = S.correlation(w, sigma, c, var)
             grad = shape.pull_back(theta, S.correlation_gradient(w, sigma, c, var))

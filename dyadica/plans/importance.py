@@ -77,7 +77,7 @@ def importance_table(
     )
     if n_batches > shuffle_partitions(source.df.sparkSession):
         # More batches than partitions: one partition per batch spreads them evenly.
-        narrow = narrow.repartition(n_batches, "trial")
+        narrow = narrow.repartitionById(n_batches, F.col("trial").cast("int"))
     mixed = shuffle_within(narrow, "trial", "part", stream, "moved", batch_size)
     scored = mixed.select(
         "trial",

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import warnings
+
 import numpy as np
 
 # The usual Adam decay rates and divisor guard.
@@ -122,27 +124,37 @@ def ascend(
                 break
         opt.lr = lr / (1 + 0.01 * k)
         theta = opt.step(theta, shape.pull_back(theta, correlation_gradient(w, sigma, c, var)))
+    else:
+        warnings.warn(f"the ascent still rose after {max_iter} steps", UserWarning, stacklevel=2)
     return best_w
 
 
+def unit_diagonal(sigma: np.ndarray, c: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The same problem in features of unit spread, and the factors back; a feature without
+    spread has factor 0."""
+    diag = np.diag(sigma)
+    factor = np.where(diag > 0, 1.0 / np.sqrt(np.where(diag > 0, diag, 1.0)), 0.0)
+    return sigma * np.outer(factor, factor), c * factor, factor
+
+
 def nnls_direction(sigma: np.ndarray, c: np.ndarray, sweeps: int = 20000, tol: float = 1e-15) -> np.ndarray:
     """Coordinate descent on w' sigma w / 2 - c' w over w >= 0."""
-    w = np.zeros_like(c)
-    diag = np.diag(sigma).copy()
-    usable = diag > 1e-14
-    residual = c.copy()
+    sigma, residual, factor = unit_diagonal(sigma, c)
+    w = np.zeros_like(residual)
     for _ in range(sweeps):
         moved = 0.0
-        for k in np.flatnonzero(usable):
-            new = max(0.0, w[k] + residual[k] / diag[k])
+        for k in np.flatnonzero(factor):
+            new = max(0.0, w[k] + residual[k])
             step = new - w[k]
             if step:
                 residual -= sigma[:, k] * step
                 w[k] = new
                 moved = max(moved, abs(step))
-        if moved <= tol * max(1.0, np.abs(w).max()):
+        if moved <= tol * np.abs(w).max():
             break
-    return w
+    else:
+        warnings.warn(f"weights still moved after {sweeps} sweeps", UserWarning, stacklevel=2)
+    return w * factor
 
 
 def solve_positive(sigma: np.ndarray, c: np.ndarray, var: float) -> np.ndarray:
@@ -163,7 +175,8 @@ def solve_spd(sigma: np.ndarray, c: np.ndarray, var: float, p: int) -> np.ndarra
     definite matrix, and the better end wins.
     """
     shape = SpdWeights(p)
-    free = np.linalg.lstsq(sigma, c, rcond=1e-12)[0]
+    unit, unit_c, factor = unit_diagonal(sigma, c)
+    free = np.linalg.lstsq(unit, unit_c, rcond=1e-12)[0] * factor
     full = np.zeros((p, p))
     full[shape.tril] = free
     full = full + np.tril(full, -1).T

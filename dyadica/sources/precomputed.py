@@ -4,13 +4,21 @@ from __future__ import annotations
 
 from collections.abc import Callable, Sequence
 
-from pyspark.sql import DataFrame, functions as F, types as T
+from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from dyadica.functions import distances as D
 from dyadica.functions.hashing import draw_index
 from dyadica.operators import pairs as P
 from dyadica.operators.index import global_position
 from dyadica.sources.sizing import fits_broadcast
+from dyadica.sources.stimuli import array_width
+
+
+def _given(distance: Column) -> Column:
+    """A distance as a double; one that is missing raises, since nothing is filled here."""
+    value = distance.cast("double")
+    missing = F.raise_error(F.lit("a precomputed distance is NULL or NaN")).cast("double")
+    return F.when(value.isNull() | F.isnan(value), missing).otherwise(value)
 
 
 class PrecomputedPairs:
@@ -42,8 +50,7 @@ class PrecomputedPairs:
         if isinstance(features, str):
             if not isinstance(df.schema[features].dataType, T.ArrayType):
                 raise TypeError("features must be one array column or a list of columns")
-            first = df.select(F.size(features).alias("p")).first()
-            p = first["p"] if first else 0
+            p = array_width(df, features)
             self._x = [F.get(F.col(features), F.lit(k)) for k in range(p)]
             names = [f"feature_{k}" for k in range(p)]
         else:
@@ -114,8 +121,8 @@ class PrecomputedPairs:
             raise ValueError("precomputed pairs need distance='precomputed'")
         if distance is not None and self.target is None:
             raise ValueError("this pair table has no representation distance")
-        terms = [c.cast("double").alias(f"_d{k}") for k, c in enumerate(self._x)]
-        d = [F.col(self.target).cast("double").alias("d")] if distance is not None else []
+        terms = [_given(c).alias(f"_d{k}") for k, c in enumerate(self._x)]
+        d = [_given(F.col(self.target)).alias("d")] if distance is not None else []
         table = self.df.select(
             F.col(self.i).cast("bigint").alias("i"), F.col(self.j).cast("bigint").alias("j"), *terms, *d
         )

@@ -34,10 +34,13 @@ def vector_column(df: DataFrame, target: str | Sequence[str]) -> Column:
 
 def align(x: DataFrame, y: DataFrame, key: str | Sequence[str]) -> DataFrame:
     """Join features and representations on ``key``; every row must find its partner."""
+    keys = [key] if isinstance(key, str) else list(key)
     n_x, n_y = x.count(), y.count()
     if n_x != n_y:
         raise ValueError(f"X and Y differ in rows: {n_x} and {n_y}")
-    keys = [key] if isinstance(key, str) else list(key)
+    for name, side in (("X", x), ("Y", y)):
+        if not side.groupBy(*keys).count().filter("count > 1").isEmpty():
+            raise ValueError(f"{name} repeats some of its {keys}")
     joined = x.join(y, keys)
     n = joined.count()
     if n != n_x:
@@ -45,6 +48,15 @@ def align(x: DataFrame, y: DataFrame, key: str | Sequence[str]) -> DataFrame:
     return joined
 
 
+def array_width(df: DataFrame, column: str) -> int:
+    """The common length of all arrays of a column; a NULL array is a row without values."""
+    size = F.when(F.col(column).isNotNull(), F.size(column))
+    row = df.agg(F.min(size).alias("lo"), F.max(size).alias("hi")).first()
+    if row["lo"] != row["hi"]:
+        raise ValueError(f"arrays of {column!r} have {row['lo']} to {row['hi']} numbers")
+    return row["lo"] or 0
+
+
 class Stimuli:
     """Named features and an optional representation per row.
 
@@ -77,8 +89,7 @@ class Stimuli:
         if self.raw:
             if not isinstance(df.schema[features].dataType, T.ArrayType):
                 raise TypeError("raw features must be one array column")
-            first = df.select(F.size(features).alias("p")).first()
-            p = first["p"] if first else 0
+            p = array_width(df, features)
             self.kinds = [Feature(features, D.NUMERIC)] * p
             names = [f"feature_{k}" for k in range(p)]
         else:
@@ -115,9 +126,11 @@ class Stimuli:
                 row = self.df.agg(
                     F.count(F.lit(1)).alias("n"), F.min(key).alias("lo"), F.max(key).alias("hi"),
                     F.sum(key.cast("decimal(20,0)")).alias("s"),
+                    F.sum(F.expr(f"cast(`{self.keys[0]}` as decimal(19,0)) * `{self.keys[0]}`")).alias("s2"),
                 ).first()
                 n = row["n"]
-                if n and (row["lo"] != 0 or row["hi"] != n - 1 or row["s"] != n * (n - 1) // 2):
+                wrong = row["lo"] != 0 or row["hi"] != n - 1 or row["s"] != n * (n - 1) // 2
+                if n and (wrong or row["s2"] != (n - 1) * n * (2 * n - 1) // 6):
                     raise ValueError(f"id {self.keys[0]!r} is not dense 0..{n - 1}")
                 self._n = n
             else:
