@@ -9,11 +9,14 @@ Two texts are linked when their alignment shows a likeness of THRESHOLD or more:
 all runs of both. Labelled runs are unique within a text, so the alignment is a longest increasing
 subsequence of matching places, kept to the band that the threshold leaves.
 
-Every bucket is settled without comparing all its pairs: its smallest text is compared with all
-others, which clears a bucket of near copies at once. Only where a bucket still holds several
-groups of linked texts, the texts outside its largest group are compared with those of other
-groups, some in the first round and many times more in each further one, until no pair of different
-groups is left. No partner and no candidate is dropped. Groups are the connected components.
+Every bucket is settled without comparing all its pairs. All its texts are compared with one
+pivot, the text that meets most others in all its buckets, which is the common source where there
+is one. Groups are the connected components of the links. Where a bucket still holds texts outside
+the pivot's group, two of its texts in different groups can only be linked if what both have of the
+pivot, and the runs they share beyond it, suffice for the threshold. What each text has of the pivot
+and has beyond it is known from the first comparison, so the pairs that can still be linked come
+from an index of the runs beyond the pivot and from a bound on counts; they alone are aligned. No
+partner and no candidate is dropped.
 
 Rows: equal texts are one class whatever their length; null counts as empty, and all empty texts
 are one class. A text of fewer than five words is one run. A class is named by its smallest id;
@@ -26,7 +29,7 @@ from bisect import bisect_left
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from dyadica.llm.common import map_arrow, packed, slices, unpacked
 from dyadica.llm.graph import components
@@ -35,8 +38,8 @@ from dyadica.session import materialize
 
 THRESHOLD = 0.8
 BANDS, PICKED = 16, 3
-# Rows that the first further round compares within a bucket, and how many times more the next.
-FIRST_REPS, MORE_REPS = 16, 16
+# Of all runs of two texts, this share must be common to reach THRESHOLD.
+LEAST_COMMON = THRESHOLD / (1 + THRESHOLD)
 # Texts wanted for comparison are broadcast by their hash up to so many rows (16 bytes each).
 MOST_BROADCAST = 1_000_000
 # Hash matrices are made for all bands at once up to so many runs.
@@ -66,36 +69,34 @@ def order_minhash(runs: np.ndarray) -> np.ndarray:
     return out
 
 
-def aligned(a: np.ndarray, b: np.ndarray) -> float:
-    """Likeness of two texts by their labelled runs: aligned runs over all runs. Pairs that cannot
-    reach THRESHOLD get 0 early."""
-    n, m = len(a), len(b)
-    if not n or not m:
-        return float(n == m)
-    if min(n, m) < THRESHOLD * max(n, m):
-        return 0.0
+def overlap(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Places in ``a`` of the runs that ``b`` has too, and their places in ``b``, in the order of
+    ``a``."""
+    if not len(a) or not len(b):
+        return np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int64)
     order = np.argsort(b)
-    place = np.minimum(np.searchsorted(b[order], a), m - 1)
-    at = order[place]
+    at = order[np.minimum(np.searchsorted(b[order], a), len(b) - 1)]
     i = np.flatnonzero(b[at] == a)
-    j = at[i]
+    return i, at[i]
+
+
+def aligned(n: int, m: int, i: np.ndarray, j: np.ndarray) -> float:
+    """Likeness of two texts of ``n`` and ``m`` runs that share runs at the places ``i`` and ``j``:
+    aligned runs over all runs. Pairs that cannot reach THRESHOLD get 0 early."""
+    if not n or not m:
+        return float(n == m)
     # Runs that may be left unaligned in all; no aligned pair strays further from the diagonal.
-    most = n + m - 2 * (n + m) * THRESHOLD / (1 + THRESHOLD)
-    within = np.abs(i - j) <= most
-    j = j[within]
+    most = n + m - 2 * (n + m) * LEAST_COMMON + 1e-6
+    j = j[np.abs(i - j) <= most]
     if len(j) / (n + m - len(j)) < THRESHOLD:
         return 0.0
-    if len(j) > 1 and not (j[1:] > j[:-1]).all():
+    common = len(j)
+    if common > 1 and not (j[1:] > j[:-1]).all():
         tails: list[int] = []
         for x in j.tolist():
             k = bisect_left(tails, x)
-            if k == len(tails):
-                tails.append(x)
-            else:
-                tails[k] = x
+            tails[k : k + 1] = [x]
         common = len(tails)
-    else:
-        common = len(j)
     return common / (n + m - common)
 
 
@@ -122,69 +123,80 @@ def sketches(texts: DataFrame) -> DataFrame:
     return found.groupBy("h").agg(F.first("buckets").alias("buckets")).select("h", F.explode("buckets").alias("bucket"))
 
 
-def verified(pairs: DataFrame, docs: DataFrame) -> DataFrame:
-    """The pairs (a, b) of text hashes whose alignment reaches THRESHOLD."""
+def compared(pairs: DataFrame, docs: DataFrame, beyond: bool) -> DataFrame:
+    """Align the pairs (a, b) of text hashes: likeness; the runs of ``b`` (n), those ``a`` has too
+    (common) and, if wanted, the hashes of the others (extras)."""
     pairs = materialize(pairs)
-    wanted = pairs.select(F.col("a").alias("h")).union(pairs.select("b")).distinct()
-    wanted = materialize(wanted)
+    wanted = materialize(pairs.select(F.col("a").alias("h")).union(pairs.select("b")).distinct())
     if wanted.count() <= MOST_BROADCAST:
         wanted = F.broadcast(wanted)
-    texts = docs.join(wanted, "h", "left_semi").groupBy("h").agg(F.first("text").alias("text"))
-    texts = materialize(texts)
+    texts = materialize(docs.join(wanted, "h", "left_semi").groupBy("h").agg(F.first("text").alias("text")))
     left = texts.select(F.col("h").alias("a"), F.col("text").alias("text_a"))
     right = texts.select(F.col("h").alias("b"), F.col("text").alias("text_b"))
 
     def run(batch: pa.RecordBatch) -> dict:
-        out: list[float] = []
         names = batch.schema.names
+        out: dict = {"likeness": [], "n": [], "common": [], "extras": []}
         for part in slices(batch, "text_a"):
             a, b = (_runs(part.column(names.index(c))) for c in ("text_a", "text_b"))
-            out += [aligned(x, y) for x, y in zip(a, b, strict=True)]
-        return {"a": batch.column(names.index("a")), "b": batch.column(names.index("b")), "likeness": out}
+            for x, y in zip(a, b, strict=True):
+                i, j = overlap(x, y)
+                out["likeness"].append(aligned(len(x), len(y), i, j))
+                out["n"].append(len(y))
+                out["common"].append(len(j))
+                out["extras"].append(np.delete(y, j).view(np.int64) if beyond else None)
+        return out | {c: batch.column(names.index(c)) for c in ("a", "b")}
 
     joined = pairs.join(left, "a").join(right, "b").select("a", "b", "text_a", "text_b")
-    checked = map_arrow(joined, run, "a binary, b binary, likeness double")
-    return materialize(checked.filter(F.col("likeness") >= THRESHOLD).select("a", "b"))
+    return materialize(map_arrow(joined, run, "a binary, b binary, likeness double, n long, common long, extras array<long>"))
+
+
+def pivot_pairs(buckets: DataFrame) -> DataFrame:
+    """(a, b): every text ``b`` of a bucket with the bucket's pivot ``a``."""
+    counts = buckets.groupBy("bucket").agg(F.count(F.lit(1)).alias("met")).filter("met > 1")
+    shared = materialize(buckets.join(counts, "bucket"))
+    scores = shared.groupBy("h").agg(F.sum("met").alias("score"))
+    pivots = shared.join(scores, "h").groupBy("bucket").agg(F.max(F.struct("score", "h"))["h"].alias("a"))
+    return shared.join(pivots, "bucket").filter("h <> a").select("a", F.col("h").alias("b")).distinct()
+
+
+def open_pairs(first: DataFrame, roots: DataFrame) -> DataFrame:
+    """The pairs (a, b) of different groups, compared with the same pivot, that the counts leave
+    able to reach THRESHOLD."""
+    of_a = roots.select(F.col("node").alias("a"), F.col("root").alias("root_a"))
+    of_b = roots.select(F.col("node").alias("b"), F.col("root").alias("root_b"))
+    placed = first.join(of_a, "a", "left").join(of_b, "b", "left").select(
+        F.col("a").alias("pivot"), "b", "n", "common", "extras",
+        F.coalesce("root_b", "b").alias("root"), (F.coalesce("root_b", "b") != F.coalesce("root_a", "a")).alias("outside"),
+    )
+    unsettled = placed.filter("outside").select("pivot").distinct()
+    placed = materialize(placed.join(unsettled, "pivot", "left_semi"))
+    one = [F.col(c).alias(f"{c}_1") for c in ("b", "n", "common", "root")]
+    two = [F.col(c).alias(f"{c}_2") for c in ("b", "n", "common", "root")]
+    enough = LEAST_COMMON * (F.col("n_1") + F.col("n_2")) - F.least("common_1", "common_2") - 1e-6
+    differ = F.col("root_1") != F.col("root_2")
+    # Without a shared run beyond the pivot: only texts shorter than it can be so close.
+    outside = placed.filter("outside").select("pivot", *one)
+    by_count = outside.join(placed.select("pivot", *two), "pivot").filter(differ & (enough <= 0)).select("b_1", "b_2")
+    # With shared runs beyond the pivot: those runs that texts of different groups share.
+    beyond = placed.select("pivot", "b", "n", "common", "root", "outside", F.explode("extras").alias("run"))
+    spans = beyond.groupBy("pivot", "run").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.max("outside").alias("any"))
+    spans = spans.filter("any and lo <> hi").select("pivot", "run")
+    beyond = materialize(beyond.join(spans, ["pivot", "run"]))
+    met = beyond.filter("outside").select("pivot", "run", *one).join(beyond.select("pivot", "run", *two), ["pivot", "run"]).filter(differ)
+    ends = ["b_1", "n_1", "common_1", "b_2", "n_2", "common_2"]
+    by_runs = met.groupBy("pivot", *ends).agg(F.count(F.lit(1)).alias("shared")).filter(F.col("shared") >= enough).select("b_1", "b_2")
+    return by_count.union(by_runs).select(F.least("b_1", "b_2").alias("a"), F.greatest("b_1", "b_2").alias("b")).distinct()
 
 
 def near_links(docs: DataFrame) -> DataFrame:
     """(node, root) of all texts (h, text) that are linked to another."""
-    buckets = materialize(sketches(docs))
-    firsts = buckets.groupBy("bucket").agg(F.min("h").alias("first"), F.count(F.lit(1)).alias("n")).filter("n > 1")
-    shared = materialize(buckets.join(firsts.select("bucket", "first"), "bucket"))
-    pairs = shared.filter("h <> first").select(F.col("first").alias("a"), F.col("h").alias("b")).distinct()
-    links = verified(pairs, docs)
+    first = compared(pivot_pairs(materialize(sketches(docs))), docs, beyond=True)
+    links = first.filter(F.col("likeness") >= THRESHOLD).select("a", "b")
     roots = components(links)
-    reps = FIRST_REPS
-    while True:
-        to = roots.select(F.col("node").alias("h"), "root")
-        placed = shared.join(to, "h", "left").withColumn("root", F.coalesce("root", "h"))
-        spans = placed.groupBy("bucket").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).filter("lo <> hi")
-        mixed = materialize(placed.join(spans.select("bucket"), "bucket", "left_semi"))
-        if mixed.isEmpty():
-            return roots
-        largest = (
-            mixed.groupBy("bucket", "root").agg(F.count(F.lit(1)).alias("n"))
-            .groupBy("bucket").agg(F.max(F.struct("n", "root"))["root"].alias("largest"))
-        )
-        # Texts outside the largest group of their bucket, but for the first, which is settled.
-        few = mixed.join(largest, "bucket").filter("root <> largest and h <> first")
-        ranked = few.withColumn("rank", F.row_number().over(Window.partitionBy("bucket").orderBy("h")))
-        now = materialize(ranked.filter(F.col("rank") <= reps))
-        others = mixed.filter("h <> first").select("bucket", F.col("h").alias("b"), F.col("root").alias("root_b"))
-        pairs = (
-            now.select("bucket", F.col("h").alias("a"), F.col("root").alias("root_a"))
-            .join(others, "bucket").filter("root_a <> root_b")
-            .select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-        )
-        new = verified(pairs, docs)
-        complete = ranked.filter(F.col("rank") > reps).isEmpty()
-        if not new.isEmpty():
-            links = materialize(links.union(new))
-            roots = components(links)
-        if complete:
-            return roots
-        reps *= MORE_REPS
+    rest = compared(open_pairs(first, roots), docs, beyond=False)
+    more = rest.filter(F.col("likeness") >= THRESHOLD).select("a", "b")
+    return roots if more.isEmpty() else components(links.union(more))
 
 
 def classes(docs: DataFrame, id: str = "doc_id", text: str = "text") -> DataFrame:

@@ -169,7 +169,7 @@ class WordTable(dict):
 
 FEATURES = ("log_abuse", "strongest", "log_exact", "log_misspelled", "quoted_share", "per_hundred", "any", "several")
 # Weights where there are too few labels to fit.
-FIXED = ([1.5, 0.6, 0.5, 0.2, -1.5, 0.1, 0.2, 1.0], -3.5)
+FIXED = ([1.5, 0.6, 0.5, -1.0, -1.5, 0.02, 0.2, 1.0], -3.5)
 
 
 @dataclass
