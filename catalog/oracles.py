@@ -4,8 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+import numpy as np
+
 from catalog.fixtures import LINE_KEYS, OFFSET, PLANTED, SEED, SEGMENTS
-from catalog.queries import STREAM, WEIGHTS_3, WEIGHTS_5, WEIGHTS_TERMS
+from catalog.queries import DECAYED, STEPS, STREAM, WEIGHTS_3, WEIGHTS_5, WEIGHTS_TERMS
 
 # ------------------------------------------------------------------- building blocks
 
@@ -282,6 +284,52 @@ def _fitted(pairs_ctes: str, q: int) -> str:
     return f"wn AS (WITH {pairs_ctes}, {_moments(q)}, {_cramer(q)} SELECT {cols} FROM w)"
 
 
+def adam_steps(prefix: str, start: Sequence[float], steps: int, lr: float, decay: float, patience: int) -> str:
+    """CTE best: the weights that scored best over Adam steps on per-trial moments of ``ds``.
+
+    One row a step carries the parameters, both Adam averages, the best weights so far and the
+    steps since; bounds of the distance only widen.
+    """
+    q = len(start)
+    tri = [(r, c) for r in range(q) for c in range(r + 1)]
+    cols = [f"covar_pop(x{r}, x{c}) AS s{r}_{c}" for r, c in tri]
+    cols += [f"covar_pop(x{k}, s) AS c{k}" for k in range(q)]
+    sigma = lambda r, c: f"s{max(r, c)}_{min(r, c)}"
+    soft = ", ".join(f"ln(1 + exp(t{k})) AS p{k}" for k in range(q))
+    norm = "sqrt(" + " + ".join(f"p{k} * p{k}" for k in range(q)) + ")"
+    weights = ", ".join(f"p{k} / pn AS w{k}" for k in range(q))
+    sw = ", ".join("(" + " + ".join(f"{sigma(k, j)} * w{j}" for j in range(q)) + f") AS u{k}" for k in range(q))
+    dot = lambda a, b: "(" + " + ".join(f"{a}{k} * {b}{k}" for k in range(q)) + ")"
+    grad = ", ".join(
+        f"(c{k} - u{k} * wc / wsw) / sqrt(wsw * sv) * (1 / (1 + exp(-t{k}))) / pn AS g{k}" for k in range(q)
+    )
+    m = ", ".join(f"0.9::DOUBLE * m{k} + (1 - 0.9::DOUBLE) * g{k} AS m{k}" for k in range(q))
+    v = ", ".join(f"0.999::DOUBLE * v{k} + (1 - 0.999::DOUBLE) * g{k} * g{k} AS v{k}" for k in range(q))
+    moved = ", ".join(
+        f"t{k} * (1 - {lr!r}::DOUBLE * {decay!r}::DOUBLE) + {lr!r}::DOUBLE * (m{k} / (1 - pow(0.9::DOUBLE, step + 1))) "
+        f"/ (sqrt(v{k} / (1 - pow(0.999::DOUBLE, step + 1))) + 1e-8) AS t{k}" for k in range(q)
+    )
+    kept = ", ".join(f"CASE WHEN r > best THEN w{k} ELSE b{k} END AS b{k}" for k in range(q))
+    names = lambda *x: ", ".join(f"{a}{k}" for a in x for k in range(q))
+    first = ", ".join([f"{s!r}::DOUBLE AS t{k}" for k, s in enumerate(start)] + [f"0.0::DOUBLE AS {a}{k}" for a in "mvb" for k in range(q)])
+    return (
+        f"{prefix}, lim AS (SELECT trial, min(min(d)) OVER w AS lo, max(max(d)) OVER w AS hi FROM ds GROUP BY trial "
+        "WINDOW w AS (ORDER BY trial ROWS UNBOUNDED PRECEDING)), "
+        "sq AS (SELECT ds.*, pow((d - lo) / (hi - lo + 1e-8), 2) AS s FROM ds JOIN lim USING (trial)), "
+        f"mo AS MATERIALIZED (SELECT trial, var_pop(s) AS sv, {', '.join(cols)} FROM sq GROUP BY trial), "
+        f"run AS (SELECT 0 AS step, {first}, '-infinity'::DOUBLE AS best, 0 AS waited "
+        f"UNION ALL SELECT step + 1, {moved}, {names('m', 'v', 'b')}, best, waited FROM ("
+        f"SELECT step, {names('t')}, {m}, {v}, {kept}, greatest(best, r) AS best, "
+        "CASE WHEN r > best THEN 0 ELSE waited + 1 END AS waited FROM ("
+        f"SELECT *, wc / sqrt(wsw * sv) AS r, {grad} FROM ("
+        f"SELECT *, {dot('w', 'c')} AS wc, {dot('w', 'u')} AS wsw FROM ("
+        f"SELECT *, {sw} FROM (SELECT *, {weights} FROM (SELECT *, {norm} AS pn FROM ("
+        f"SELECT *, {soft} FROM run JOIN mo ON mo.trial = run.step "
+        f"WHERE run.step < {steps} AND run.waited < {patience})))))))), "
+        f"best AS (SELECT {names('b')} FROM run ORDER BY step DESC LIMIT 1)"
+    )
+
+
 def fit_and_score(train: str, test: str, n_perm: int) -> str:
     """Fit four planted features on the rows ``train`` and score on the rows ``test``."""
     full = "(SELECT count(*) FROM customer)"
@@ -489,6 +537,15 @@ def build() -> dict[str, str]:
         f"WITH {listed(eight, LISTED_N, fit_stream)}, {_moments(2)}, {_TWO} "
         + _weights_out(["gap", "mismatch"])
     )
+    for name, more in (("fit_steps", {}), ("fit_steps_decay", DECAYED)):
+        start = np.random.default_rng(SEED).uniform(0.0, 1.0, 4).tolist()
+        ctes = adam_steps(
+            _planted_pairs(f"{STEPS} * {N}", N, p=4, stream=fit_stream), start, STEPS,
+            more.get("lr", 0.1), more.get("weight_decay", 0.0), more.get("patience", 50),
+        )
+        out[name] = f"WITH RECURSIVE {ctes} " + " UNION ALL ".join(
+            f"SELECT 'f{k + 1}' AS feature, {r6(f'b{k}')} AS weight FROM best" for k in range(4)
+        )
     out["fit_offset"] = (
         f"WITH {listed(eight, LISTED_N, fit_stream, offset=OFFSET)}, {_moments(2)}, {_TWO} "
         + _weights_out(["gap", "mismatch"])

@@ -297,6 +297,11 @@ def batch_size(spark: SparkSession, sf: str) -> DataFrame:
 # ------------------------------------------------------------------------ fit
 
 
+# Steps of the stepwise fits, and the settings of the one with decay.
+STEPS = 200
+DECAYED = {"lr": 0.05, "weight_decay": 0.2, "patience": 20}
+
+
 def _encoder(source, **kw) -> MetricEncoder:
     n = source.size()
     return MetricEncoder(
@@ -338,8 +343,13 @@ def fit_offset(spark: SparkSession, sf: str) -> DataFrame:
 
 def fit_steps_query(spark: SparkSession, sf: str) -> DataFrame:
     source = X.planted(spark, sf)
-    out = _weights(_encoder(source, solver="steps", max_steps=200), source)
-    return out.withColumn("weight", F.round("weight", 3))
+    return _weights(_encoder(source, solver="steps", max_steps=STEPS), source)
+
+
+def fit_steps_decay(spark: SparkSession, sf: str) -> DataFrame:
+    """The same with weight decay, another rate and a short patience."""
+    source = X.planted(spark, sf)
+    return _weights(_encoder(source, solver="steps", max_steps=STEPS, **DECAYED), source)
 
 
 def predict_query(spark: SparkSession, sf: str) -> DataFrame:
@@ -492,6 +502,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "fit_precomputed": fit_precomputed,
     "fit_offset": fit_offset,
     "fit_steps": fit_steps_query,
+    "fit_steps_decay": fit_steps_decay,
     "predict": predict_query,
     "permutation": permutation,
     "pfi_literal_weights": pfi_literal_weights,
