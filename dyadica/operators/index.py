@@ -13,7 +13,8 @@ _ROW_BITS = 33
 
 
 def global_position(
-    df: DataFrame, order: Sequence[str], name: str = "pos", unique: bool = False
+    df: DataFrame, order: Sequence[str], name: str = "pos", unique: bool = False,
+    carry: Sequence[str] = (),
 ) -> tuple[DataFrame, int]:
     """Number the rows of ``df`` 0..n-1 in ``order``; returns the frame and n.
 
@@ -21,14 +22,16 @@ def global_position(
     so that counting the partitions and numbering them see the same partitions, also when an
     executor is lost. Only one count per partition reaches the driver.
 
-    With ``unique`` the order columns are all columns of ``df`` and must not repeat; the
-    range shuffle already brings equal rows together, so the check adds no shuffle.
+    With ``unique`` the order columns must not repeat, and are all columns of ``df`` but for
+    those to ``carry`` along; the range shuffle already brings equal rows together, so the check
+    adds no shuffle.
     """
     spark = df.sparkSession
     parts = shuffle_partitions(spark)
     ranged = df.repartitionByRange(parts, *order)
     if unique:
-        ranged = ranged.groupBy(*order).agg(F.count(F.lit(1)).alias("_copies"))
+        carried = [F.first(c).alias(c) for c in carry]
+        ranged = ranged.groupBy(*order).agg(F.count(F.lit(1)).alias("_copies"), *carried)
     else:
         ranged = ranged.withColumn("_copies", F.lit(1).cast("bigint"))
     ranged = ranged.sortWithinPartitions(*order)

@@ -36,7 +36,7 @@ def sample_pair_range(source, first: int, last: int, batch_size: int, stream: st
     ids = spark.range(first, last).select(
         F.col("id").alias("pair_id"), F.expr(f"id div {batch_size}").alias("trial")
     )
-    return source.draw(ids, stream)
+    return source.draw(ids, stream, last - first)
 
 
 def sample_prefixes(
@@ -54,7 +54,7 @@ def sample_prefixes(
     ids = source.df.sparkSession.range(0, top * n_trials).select(
         (trial * F.lit(stride) + k).alias("pair_id"), trial.alias("trial"), step.alias("step")
     )
-    return source.draw(ids, stream)
+    return source.draw(ids, stream, top * n_trials)
 
 
 def meeting_mode(spark: SparkSession, n_rows: int, n_pairs: int, key_bytes: int = 0) -> str:

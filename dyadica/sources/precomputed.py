@@ -88,19 +88,39 @@ class PrecomputedPairs:
         return n
 
     def _list_size(self) -> int:
-        ends = self.df.select(F.col(self.i).alias("i"), F.col(self.j).alias("j"))
-        self._index, n = global_position(ends, ["i", "j"], "_row", unique=True)
+        # The distances are stored next to the numbered pairs, so that one join brings both.
+        values = F.struct(*self._terms(), *self._distance())
+        rows = self.df.select(
+            F.col(self.i).cast("bigint").alias("i"), F.col(self.j).cast("bigint").alias("j"), values.alias("_given")
+        )
+        self._index, n = global_position(rows, ["i", "j"], "_row", unique=True, carry=["_given"])
         return n
 
-    def draw(self, pairs: DataFrame, stream: str) -> DataFrame:
-        """Add i and j, uniform over the matrix or over the listed pairs."""
+    def _terms(self) -> list[Column]:
+        return [_given(c).alias(f"_d{k}") for k, c in enumerate(self._x)]
+
+    def _distance(self) -> list[Column]:
+        return [] if self.target is None else [_given(F.col(self.target)).alias("d")]
+
+    def draw(self, pairs: DataFrame, stream: str, n_pairs: int | None = None) -> DataFrame:
+        """Add i and j, uniform over the matrix or over the listed pairs, which bring their
+        distances along as ``_given``.
+
+        A list that fits is broadcast; few pairs are broadcast to a large list instead, which is
+        then never shuffled.
+        """
         n = self.size()
         if self.complete:
             return P.draw_ends(pairs, n, stream)
         if n == 0:
             raise ValueError("cannot sample pairs from an empty table")
         rows = pairs.withColumn("_row", draw_index(stream, "a", F.col("pair_id"), n))
-        return rows.join(self._index, "_row").drop("_row")
+        if n_pairs is None or self.is_small():
+            mode = "shuffle"
+            index = F.broadcast(self._index) if self.is_small() else self._index
+        else:
+            mode, index = P.meeting_mode(self.df.sparkSession, n, n_pairs), self._index
+        return P.meet(index, rows, ["_row"], mode).select(*pairs.columns, "i", "j", "_given")
 
     def distances(
         self,
@@ -121,8 +141,13 @@ class PrecomputedPairs:
             raise ValueError("precomputed pairs need distance='precomputed'")
         if distance is not None and self.target is None:
             raise ValueError("this pair table has no representation distance")
-        terms = [_given(c).alias(f"_d{k}") for k, c in enumerate(self._x)]
-        d = [_given(F.col(self.target)).alias("d")] if distance is not None else []
+        columns = [c for c in pairs.columns if c != "_given"]
+        d = self._distance() if distance is not None else []
+        if "_given" in pairs.columns:
+            base = [F.col(f"_given._d{k}") for k in range(self.n_features)]
+            x = D.terms_array(base, interactions) if expand else F.array(*base)
+            return pairs.select(*columns, x.alias("x"), *([F.col("_given.d").alias("d")] if d else []))
+        terms = self._terms()
         table = self.df.select(
             F.col(self.i).cast("bigint").alias("i"), F.col(self.j).cast("bigint").alias("j"), *terms, *d
         )
@@ -136,7 +161,7 @@ class PrecomputedPairs:
             met = P.meet(table, pairs, ["i", "j"], mode)
         base = [F.col(f"_d{k}") for k in range(self.n_features)]
         x = D.terms_array(base, interactions) if expand else F.array(*base)
-        return met.select(*pairs.columns, x.alias("x"), *(["d"] if d else []))
+        return met.select(*columns, x.alias("x"), *(["d"] if d else []))
 
     def is_small(self, metric=None) -> bool:
         """True when the whole table is measured to fit a broadcast."""

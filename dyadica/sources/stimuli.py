@@ -139,7 +139,7 @@ class Stimuli:
                 )
         return self._n
 
-    def draw(self, pairs: DataFrame, stream: str) -> DataFrame:
+    def draw(self, pairs: DataFrame, stream: str, n_pairs: int | None = None) -> DataFrame:
         """Add the ends of each pair, uniform over the stimuli."""
         return P.draw_ends(pairs, self.size(), stream)
 
