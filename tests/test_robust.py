@@ -1,0 +1,130 @@
+"""Inputs that used to be cut, misread or to lose their digits."""
+
+import numpy as np
+import pytest
+from pyspark.errors import PySparkException
+from pyspark.sql import functions as F
+
+from catalog import fixtures as X
+from dyadica import MetricEncoder, PrecomputedPairs, Stimuli, align
+from dyadica.operators.correlation import prefix_correlations
+from dyadica.operators.moments import collect_moments, moment_vectors
+from dyadica.operators.pairs import sample_pairs
+from dyadica.operators.scaling import minmax_square_distances
+from dyadica.plans import solver as S
+
+
+def matrix(spark, n, offset):
+    """A full matrix of n*n pairs whose target is the planted one plus an offset."""
+    rng = np.random.default_rng(1)
+    gap, kind = rng.uniform(size=n), rng.integers(0, 3, n)
+    rows = []
+    for i in range(n):
+        for j in range(n):
+            a, b = float(abs(gap[i] - gap[j])), float(kind[i] != kind[j])
+            rows.append((i, j, [a, b], float(offset + np.sqrt(0.6 * a * a + 0.3 * b * b))))
+    return spark.createDataFrame(rows, "i long, j long, x array<double>, y double")
+
+
+@pytest.fixture(scope="module")
+def plain_fit(spark):
+    source = PrecomputedPairs(matrix(spark, 40, 0.0), "x", "y")
+    return MetricEncoder(distance="precomputed", batch_size=500, max_steps=20, random_seed=1).fit(source).fit_
+
+
+@pytest.mark.parametrize("offset", [1e3, 1e6])
+def test_offsets_change_neither_weights_nor_correlation(spark, plain_fit, offset):
+    source = PrecomputedPairs(matrix(spark, 40, offset), "x", "y")
+    for solver in ("pooled", "steps"):
+        fit = MetricEncoder(
+            distance="precomputed", batch_size=500, max_steps=20, random_seed=1, solver=solver
+        ).fit(source).fit_
+        assert fit.correlation <= 1 + 1e-9 and fit.correlation > 0.999
+        if solver == "pooled":
+            assert fit.weights == pytest.approx(plain_fit.weights, abs=1e-6)
+
+
+def test_both_moment_paths_agree_off_centre(spark, monkeypatch):
+    df = spark.range(3000).select(
+        (F.col("id") % 3).alias("trial"), F.array(1e6 + F.sin("id"), 1e6 + F.cos(F.col("id") * 3)).alias("x"), (1e6 + F.sin("id") * 2).alias("d"))
+    centre, out = [1e6, 1e6, 1e6], []
+    for limit in (12, 0):
+        monkeypatch.setattr("dyadica.operators.moments.EXPRESSION_COLUMNS", limit)
+        out.append(collect_moments(moment_vectors(df, 2, ["d"], ["trial"], centre=centre), 3, "trial"))
+    for t in range(3):
+        assert np.allclose(out[0][t].cov, out[1][t].cov, rtol=1e-9) and out[0][t].low == out[1][t].low
+        k = np.arange(t, 3000, 3)
+        assert np.allclose(out[0][t].cov, np.cov(np.array([np.sin(k), np.cos(3 * k), 2 * np.sin(k)]), bias=True), atol=1e-9)
+
+
+def test_prefix_correlations_off_centre(spark):
+    df = spark.range(2000).select(
+        F.lit(0).cast("long").alias("trial"), F.lit(0).alias("step"), F.array(1e6 + F.sin("id"), 1e6 + F.sin("id") + F.cos(F.col("id") * 3)).alias("x"))
+    moments = moment_vectors(df, 2, by=("trial", "step"), centre=[1e6, 1e6])
+    k = np.arange(2000)
+    want = np.corrcoef(np.sin(k), np.sin(k) + np.cos(3 * k))[0, 1]
+    assert prefix_correlations(moments, 2).first()["corr"] == pytest.approx(want, abs=1e-6)
+
+
+def test_ragged_arrays_are_refused_and_missing_ones_taken(spark):
+    ragged = spark.createDataFrame([(0, [0.0, 0.0]), (1, [0.0, 0.0, 1.0])], "id long, x array<double>")
+    with pytest.raises(ValueError, match="2 to 3"):
+        Stimuli(ragged, "x")
+    some = spark.createDataFrame([(0, None), (1, [0.0, 1.0])], "id long, x array<double>")
+    assert Stimuli(some, "x").n_features == 2
+    assert Stimuli(some.filter("false"), "x").n_features == 0
+    pairs = spark.createDataFrame([(0, 0, [0.0], 0.0), (0, 1, [0.0, 1.0], 0.0)], "i long, j long, x array<double>, y double")
+    with pytest.raises(ValueError, match="1 to 2"):
+        PrecomputedPairs(pairs, "x", "y")
+
+
+@pytest.mark.parametrize("bad", [None, float("nan")])
+@pytest.mark.parametrize("complete", [True, False])
+def test_missing_precomputed_distances_are_refused(spark, bad, complete):
+    rows = [(i, j, float(i != j), bad if (i, j) == (2, 3) else float(i != j)) for i in range(4) for j in range(4)]
+    df = spark.createDataFrame(rows, "i long, j long, x double, y double")
+    source = PrecomputedPairs(df, ["x"], "y", complete=complete)
+    with pytest.raises(PySparkException, match="NULL or NaN"):
+        MetricEncoder(distance="precomputed", batch_size=200, max_steps=2, random_seed=1).fit(source)
+
+
+def test_small_scales_keep_their_weight():
+    sigma, c = np.diag([1e-16, 1.0]), np.array([1e-9, 1e-3])
+    w = S.nnls_direction(sigma, c)
+    assert w == pytest.approx([1e7, 1e-3])
+    assert S.nnls_direction(np.diag([0.0, 1.0]), np.array([0.0, 1.0])) == pytest.approx([0.0, 1.0])
+
+
+def test_no_pair_is_cut_by_default_and_tolerance_stops(spark, sf, monkeypatch):
+    source = X.planted(spark, sf, ("f1", "f2", "f3"))
+    monkeypatch.setattr("dyadica.plans.fit.FIRST_BLOCK_PAIRS", 2000)
+    whole = MetricEncoder(batch_size=1000, max_steps=30, random_seed=1, tolerance=0).fit(source).fit_
+    assert whole.n_pairs == 30_000 and whole.steps == 1
+    early = MetricEncoder(batch_size=1000, max_steps=30, random_seed=1).fit(source).fit_
+    assert early.n_pairs == 4000 and early.steps == 2
+    blocks = MetricEncoder(batch_size=1000, max_steps=30, random_seed=1, tolerance=1e-300).fit(source).fit_
+    assert blocks.weights == pytest.approx(whole.weights, abs=1e-9)
+
+
+def test_settings_that_cannot_act_warn():
+    with pytest.warns(UserWarning, match="steps"):
+        MetricEncoder(weight_decay=5.0)
+    with pytest.raises(ValueError, match="at least one"):
+        MetricEncoder(batch_size=0)
+
+
+def test_repeated_keys_and_ids(spark):
+    x = spark.createDataFrame([(1, 0.0), (1, 1.0), (2, 2.0)], "k long, a double")
+    y = spark.createDataFrame([(1, 0.0), (2, 1.0), (3, 2.0)], "k long, b double")
+    with pytest.raises(ValueError, match="repeats"):
+        align(x, y, "k")
+    ids = spark.createDataFrame([(i, 0.0) for i in (0, 1, 1, 4, 4)], "id long, a double")
+    with pytest.raises(ValueError, match="dense"):
+        Stimuli(ids, ["a"], dense=True).size()
+
+
+def test_scaling_reads_its_pairs_once(spark, sf):
+    source = X.planted(spark, sf)
+    pairs = source.distances(sample_pairs(source, 500, 2, "1"), 1000)
+    plan = minmax_square_distances(pairs)._jdf.queryExecution().optimizedPlan().toString()
+    assert "Range" not in plan and "Join" in plan
