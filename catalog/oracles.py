@@ -7,7 +7,7 @@ from collections.abc import Sequence
 import numpy as np
 
 from catalog.fixtures import LINE_KEYS, OFFSET, PLANTED, SEED, SEGMENTS
-from catalog.queries import DECAYED, STEPS, STREAM, WEIGHTS_3, WEIGHTS_5, WEIGHTS_TERMS
+from catalog.queries import CHOSEN_THRESHOLD, DECAYED, STEPS, STREAM, WEIGHTS_3, WEIGHTS_5, WEIGHTS_TERMS
 
 # ------------------------------------------------------------------- building blocks
 
@@ -499,7 +499,7 @@ def build() -> dict[str, str]:
         "FROM v JOIN run USING (trial) GROUP BY trial"
     )
 
-    out["batch_size"] = (
+    by_size = (
         f"WITH RECURSIVE {LINES}, nn AS (SELECT {N} AS n), "
         "sz(b) AS (SELECT 256::BIGINT UNION ALL SELECT b * 2 FROM sz, nn WHERE b * 2 < n), "
         "ids AS (SELECT t * n + k AS pair_id, t AS trial, k FROM (SELECT unnest(range(4)) AS t), "
@@ -510,10 +510,17 @@ def build() -> dict[str, str]:
         f"cr AS (SELECT b AS size, trial, unnest([{_corr_list(5)}], recursive := true) "
         "FROM ds JOIN sz ON k < sz.b GROUP BY sz.b, trial), "
         "pf AS (SELECT size, a, b, stddev_samp(corr) AS sd, avg(corr) AS mean FROM cr GROUP BY size, a, b) "
-        f"SELECT size AS batch_size, {r6('max(sd)')} AS max_std, {r6('max(abs(mean))')} AS max_corr "
+    )
+    out["batch_size"] = (
+        by_size + f"SELECT size AS batch_size, {r6('max(sd)')} AS max_std, {r6('max(abs(mean))')} AS max_corr "
         "FROM pf GROUP BY size"
     )
 
+    out["chosen_batch_size"] = by_size.rstrip() + (
+        ", stable AS (SELECT size, max(sd) AS m FROM pf GROUP BY size) "
+        f"SELECT coalesce(min(size) FILTER (WHERE m < {CHOSEN_THRESHOLD}), (SELECT max(b) * 2 FROM sz))::BIGINT AS batch_size FROM stable"
+    )
+
     fit_stream = f"{SEED}:fit"
     out["fit_two_features"] = (
         f"WITH {_planted_pairs(f'8 * {N}', N, p=2, stream=fit_stream)}, {_moments(2)}, {_TWO} "
@@ -533,6 +540,12 @@ def build() -> dict[str, str]:
             for k, (r, c) in enumerate(cells)
         )
     )
+    length = "sqrt(w0 * w0 + 2 * w1 * w1 + w2 * w2)"
+    out["square_weights"] = (
+        f"WITH {listed(eight, LISTED_N, fit_stream, True)}, {_moments(3)}, {_cramer(3)} "
+        f"SELECT 'gap' AS row_feature, {r6(f'w0 / {length}')} AS gap, NULL::DOUBLE AS mismatch FROM w UNION ALL "
+        f"SELECT 'mismatch', {r6(f'w1 / {length}')}, {r6(f'w2 / {length}')} FROM w"
+    )
     out["fit_precomputed"] = (
         f"WITH {listed(eight, LISTED_N, fit_stream)}, {_moments(2)}, {_TWO} "
         + _weights_out(["gap", "mismatch"])

@@ -19,10 +19,10 @@ from dyadica.operators.pairs import sample_pairs
 from dyadica.operators.ranks import shuffle_within, soft_rank_affine
 from dyadica.operators.scaling import minmax_square_distances
 from dyadica.operators.splits import train_test_split, with_fold
-from dyadica.plans.batch_size import candidate_sizes, size_stability
+from dyadica.plans.batch_size import candidate_sizes, estimate_batch_size, size_stability
 from dyadica.plans.fit import fit_pooled
 from dyadica.plans.importance import importance_table, predict, scores_table, wide_importances
-from dyadica.plans.encoder import weights_table
+from dyadica.plans.encoder import square_weights, weights_table
 from dyadica.plans.recipes import cross_validate, holdout
 
 STREAM = str(X.SEED)
@@ -294,6 +294,17 @@ def batch_size(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
+# Fixed value: how little the correlations of a chosen size may vary.
+CHOSEN_THRESHOLD = 0.02
+
+
+def chosen_batch_size(spark: SparkSession, sf: str) -> DataFrame:
+    """The size an estimate returns, with its early stop."""
+    source = X.lines(spark, sf)
+    size = estimate_batch_size(source, 256, 4, CHOSEN_THRESHOLD, 2.0, source.size(), stream=STREAM)
+    return spark.createDataFrame([(size,)], "batch_size bigint")
+
+
 # ------------------------------------------------------------------------ fit
 
 
@@ -330,6 +341,10 @@ def fit_interactions(spark: SparkSession, sf: str) -> DataFrame:
     return _weights(_encoder(source, interactions=True, distance="precomputed"), source)
 
 
+def square_weights_query(spark: SparkSession, sf: str) -> DataFrame:
+    return square_weights(fit_interactions(spark, sf), ["gap", "mismatch"])
+
+
 def fit_precomputed(spark: SparkSession, sf: str) -> DataFrame:
     source = X.listed_pairs(spark, sf)
     return _weights(_encoder(source, distance="precomputed"), source)
@@ -496,9 +511,11 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "soft_rank_affine": soft_rank_query,
     "spearman_soft": spearman_soft,
     "batch_size": batch_size,
+    "chosen_batch_size": chosen_batch_size,
     "fit_two_features": fit_two_features,
     "fit_weights": fit_weights,
     "fit_interactions": fit_interactions,
+    "square_weights": square_weights_query,
     "fit_precomputed": fit_precomputed,
     "fit_offset": fit_offset,
     "fit_steps": fit_steps_query,
