@@ -288,6 +288,24 @@ def fit_pieces(counts: DataFrame, ends: int, path: str) -> np.ndarray:
     return logp
 
 
+def frequent_words(table: DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Hashes in order, counts and log probabilities of the most frequent words: those from the
+    least count up, in sixteenths of a doubling, at which they are at most FREQUENT_WORDS."""
+    level = F.floor(F.log2("c") * 16)
+    held = table.filter("c > 0").withColumn("level", level)
+    total, cut = 0, None
+    for r in sorted(held.groupBy("level").count().collect(), key=lambda r: -r["level"]):
+        total += r["count"]
+        if total > FREQUENT_WORDS:
+            break
+        cut = r["level"]
+    some = held.filter(F.col("level") >= cut) if cut is not None else held.filter("false")
+    found = some.select("h", "c", "lp").toArrow()
+    h, c, lp = (found.column(k).to_numpy() for k in range(3))
+    order = np.argsort(h)
+    return h[order], c[order], lp[order]
+
+
 def score_documents(docs: DataFrame, path: str, train: Column, keep: list[str], text: str = "text") -> DataFrame:
     """``keep``; n_tokens, n_known, train_tokens; base_score and score, in log10."""
     spark = docs.sparkSession
@@ -309,10 +327,7 @@ def score_documents(docs: DataFrame, path: str, train: Column, keep: list[str],
         return {"h": h.view(np.int64), "c": batch.column(1), "lp": lp}
 
     table = materialize(map_arrow(counts, scored, "h long, c long, lp double"))
-    top = table.orderBy(F.desc("c"), "h").limit(FREQUENT_WORDS).toPandas()
-    order = np.argsort(top["h"].to_numpy())
-    frequent = spark.sparkContext.broadcast(
-        (top["h"].to_numpy()[order], top["c"].to_numpy()[order], top["lp"].to_numpy()[order]))
+    frequent = spark.sparkContext.broadcast(frequent_words(table))
     end_base, end_lp = math.log10(ends + 1) - below, float(logp[-1]) / ten
     end_known = int(ends > 0)
 
