@@ -14,6 +14,8 @@ GROUP_ROWS_KEY = "spark.dyadica.groupRows"
 DEFAULT_BROADCAST_BYTES = 256 * 1024 * 1024
 # A window group (one batch of pairs) is sorted in one task only up to this many rows.
 DEFAULT_GROUP_ROWS = 4_000_000
+# Folders written by materialize, by application; release deletes them.
+_written: dict[str, list[str]] = {}
 
 
 def broadcast_bytes(spark: SparkSession) -> int:
@@ -49,6 +51,21 @@ def materialize(df: DataFrame) -> DataFrame:
     A columnar table lets later stages read only the columns they need, and gives the
     optimizer its true size.
     """
-    path = f"{ensure_checkpoint_dir(df.sparkSession)}/{uuid.uuid4().hex}"
+    spark = df.sparkSession
+    path = f"{ensure_checkpoint_dir(spark)}/{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    _written.setdefault(spark.sparkContext.applicationId, []).append(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
+def release(spark: SparkSession) -> int:
+    """Delete all tables that ``materialize`` wrote for this application, and say how many.
+
+    Call it when no frame built on them is needed any more, at the end of a job for example.
+    """
+    paths = _written.pop(spark.sparkContext.applicationId, [])
+    hadoop, conf = spark._jvm.org.apache.hadoop.fs, spark._jsc.hadoopConfiguration()
+    for path in paths:
+        place = hadoop.Path(path)
+        place.getFileSystem(conf).delete(place, True)
+    return len(paths)

@@ -128,3 +128,20 @@ def test_scaling_reads_its_pairs_once(spark, sf):
     pairs = source.distances(sample_pairs(source, 500, 2, "1"), 1000)
     plan = minmax_square_distances(pairs)._jdf.queryExecution().optimizedPlan().toString()
     assert "Range" not in plan and "Join" in plan
+
+
+def test_written_tables_can_be_released(spark, tmp_path):
+    import os
+    import subprocess
+    import sys
+
+    # In a session of its own: the other tests' tables stay.
+    code = (
+        "from pyspark.sql import SparkSession\n"
+        "from dyadica.session import materialize, release\n"
+        f"s = SparkSession.builder.master('local[1]').config('spark.ui.enabled', 'false').config('spark.checkpoint.dir', '{tmp_path}').getOrCreate()\n"
+        "assert materialize(s.range(5)).count() == 5\n"
+        "assert release(s) == 1 and release(s) == 0\n"
+    )
+    subprocess.run([sys.executable, "-c", code], check=True, cwd=os.path.dirname(os.path.dirname(__file__)), timeout=200)
+    assert [f for d in tmp_path.iterdir() for f in d.rglob("*.parquet")] == []
