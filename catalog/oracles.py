@@ -7,7 +7,7 @@ from collections.abc import Sequence
 import numpy as np
 
 from catalog.fixtures import LINE_KEYS, OFFSET, PLANTED, SEED, SEGMENTS
-from catalog.queries import CHOSEN_THRESHOLD, DECAYED, STEPS, STREAM, WEIGHTS_3, WEIGHTS_5, WEIGHTS_TERMS
+from catalog.queries import CHOSEN_THRESHOLD, DECAYED, MODES, STEPS, STREAM, WEIGHTS_3, WEIGHTS_5, WEIGHTS_TERMS
 
 # ------------------------------------------------------------------- building blocks
 
@@ -432,6 +432,9 @@ def build() -> dict[str, str]:
         )
 
     out["euclidean"] = dist(VECTORS, VECTOR_F, L2, 4)
+    for mode in MODES:
+        out[f"feature_dist_{mode}"] = out["feature_dist"]
+        out[f"euclidean_{mode}"] = out["euclidean"]
     out["manhattan"] = dist(VECTORS, VECTOR_F, L1, 4)
     out["cosine"] = dist(VECTORS, VECTOR_F, COS, 4)
     out["norm_diff"] = dist(PARTS, PART_F, NORM_DIFF, 2)

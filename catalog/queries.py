@@ -32,6 +32,9 @@ WEIGHTS_5 = (0.7, 0.5, 0.4, 0.3, 0.1)
 WEIGHTS_TERMS = (0.6, 0.3, 0.5, 0.2, 0.1, 0.4)
 
 
+# The ways in which pairs meet a table too large for a broadcast.
+MODES = ("ends", "semi", "shuffle")
+
 # ------------------------------------------------------------------ encoding
 
 
@@ -99,6 +102,28 @@ def feature_dist(spark: SparkSession, sf: str) -> DataFrame:
     return out.select("pair_id", "i", "j", *_terms(out, source.feature_names))
 
 
+def _feature_dist_by(mode: str) -> Callable[[SparkSession, str], DataFrame]:
+    """The same pairs, met in the way that larger tables would be."""
+
+    def run(spark: SparkSession, sf: str) -> DataFrame:
+        source = X.lines(spark, sf)
+        n = source.size()
+        out = source.distances(sample_pairs(source, n, 1, STREAM), n, None, mode=mode)
+        return out.select("pair_id", "i", "j", *_terms(out, source.feature_names))
+
+    return run
+
+
+def _euclidean_by(mode: str) -> Callable[[SparkSession, str], DataFrame]:
+    def run(spark: SparkSession, sf: str) -> DataFrame:
+        source = X.vectors(spark, sf)
+        n = 4 * source.size()
+        out = source.distances(sample_pairs(source, n, 1, STREAM), n, "euclidean", mode=mode)
+        return out.select("pair_id", r6(F.col("d")).alias("d"))
+
+    return run
+
+
 def interactions(spark: SparkSession, sf: str) -> DataFrame:
     source = X.customers(spark, sf)
     n = 2 * source.size()
@@ -488,6 +513,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "sample_pairs": sample_pairs_query,
     "sample_trials": sample_trials,
     "feature_dist": feature_dist,
+    **{f"feature_dist_{m}": _feature_dist_by(m) for m in MODES},
+    **{f"euclidean_{m}": _euclidean_by(m) for m in MODES},
     "interactions": interactions,
     "missing_fill": missing_fill,
     "raw_features": raw_features,
