@@ -61,7 +61,8 @@ def fit_steps(spark, sf):
 
 
 def fit_vectors(spark, sf):
-    MetricEncoder(batch_size=PAIRS // 8, random_seed=1).fit(X.described_vectors(spark, sf))
+    # Vectors without signal: weights settle late, so the number of steps is given.
+    MetricEncoder(batch_size=PAIRS // 8, max_steps=8, random_seed=1).fit(X.described_vectors(spark, sf))
 
 
 def batch_size(spark, sf):
