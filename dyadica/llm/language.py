@@ -4,7 +4,7 @@ Four kinds of evidence are combined as if independent given the language: the li
 text by letter trigrams, the language that the markup declares, the suffix of the address, and a
 prior of the host. The trigram model is fitted on labelled documents. The chances of a declaration
 and of a suffix given a language come from counts over all pages, weighted by what the text alone
-says. The host's prior is smoothed in steps: all pages, then the registered domain, then the host,
+says and pulled to their chance whatever the language. The host's prior is smoothed in steps: all pages, then the registered domain, then the host,
 each pulled to the level above; a page does not count towards its own prior. All counts are
 grouped aggregations; pages are read once.
 
@@ -33,7 +33,7 @@ SLOTS = 1 << 14
 # Trigrams of running text overlap: this share of their log likelihood counts.
 TEMPER = 0.25
 ADD = 0.5
-# Pages that a level of the prior counts for against the level below.
+# Pages that a level counts for against the level below it.
 STRENGTH = 4.0
 LEAST_LETTERS = 40
 CHUNK_BYTES = 4 * 1024 * 1024
@@ -180,14 +180,17 @@ def identify(pages: DataFrame, languages: list[str], chances: np.ndarray, keep:
     domains = hosts.groupBy("domain").agg(_added("at_host", n).alias("at_domain"), F.sum("n_host").alias("n_domain"))
     declarations = rows.groupBy("declared").agg(_added("by_text", n).alias("by"))
     suffixes = hosts.withColumn("suffix", F.substring_index("host", ".", -1)).groupBy("suffix").agg(_added("at_host", n).alias("by"))
-    overall = hosts.agg(_added("at_host", n).alias("all"), F.sum("n_host").alias("n"), F.countDistinct("host")).first()
+    overall = hosts.agg(_added("at_host", n).alias("all")).first()
     total = np.array([float(x or 0.0) for x in overall["all"]])
     prior = (total + ADD) / (total.sum() + ADD * n)
-    # Chance of a declaration, or of a suffix, given each language: counts over all pages.
-    kinds_of = {name: df.count() for name, df in (("declared", declarations), ("suffix", suffixes))}
+    everything = max(float(total.sum()), 1.0)
 
     def given(df: DataFrame, name: str) -> DataFrame:
-        per = F.array(*[F.log((F.get("by", F.lit(k)) + ADD) / F.lit(float(total[k]) + ADD * (kinds_of[name] + 1))) for k in range(n)])
+        """Chance of a declaration, or of a suffix, given each language: counts over all pages,
+        pulled to the chance whatever the language."""
+        own = [F.get("by", F.lit(k)) for k in range(n)]
+        share = sum(own[1:], own[0]) / everything
+        per = F.array(*[F.log((own[k] + STRENGTH * share) / F.lit(float(total[k]) + STRENGTH)) for k in range(n)])
         return df.select(name, per.alias(f"log_{name}"))
 
     known = hosts.join(domains, "domain").withColumn("suffix", F.substring_index("host", ".", -1)).join(given(suffixes, "suffix"), "suffix").drop("suffix", "domain")
