@@ -170,15 +170,19 @@ def identify(pages: DataFrame, languages: list[str], chances: np.ndarray, keep:
         return {"declared": declared, "text": text} | {c: batch.column(k) for k, c in enumerate(carried)}
 
     rows = map_arrow(picked, run, with_fields(picked, carried, "declared string, text array<double>"))
-    # What the text alone says, as chances.
+    # What the text alone says, as chances, and as votes.
     raw = F.transform("text", lambda z: F.exp(z))
     rows = rows.withColumn("_raw", raw).withColumn("_sum", F.aggregate("_raw", F.lit(0.0), lambda a, x: a + x))
-    rows = materialize(rows.withColumn("by_text", F.transform("_raw", lambda x: x / F.col("_sum"))).drop("_raw", "_sum"))
+    rows = rows.withColumn("by_text", F.transform("_raw", lambda x: x / F.col("_sum"))).drop("_raw", "_sum")
+    # A page whose text says nothing has no vote, one whose text is sure has a whole one.
+    sure = (n * F.array_max("by_text") - 1) / (n - 1) if n > 1 else F.lit(1.0)
+    rows = rows.withColumn("vote", sure).withColumn("votes", F.transform("by_text", lambda x: x * F.col("vote")))
+    rows = materialize(rows.drop("by_text"))
 
-    hosts = rows.groupBy("host", "domain").agg(_added("by_text", n).alias("at_host"), F.count(F.lit(1)).alias("n_host"))
+    hosts = rows.groupBy("host", "domain").agg(_added("votes", n).alias("at_host"), F.sum("vote").alias("n_host"))
     hosts = materialize(hosts)
     domains = hosts.groupBy("domain").agg(_added("at_host", n).alias("at_domain"), F.sum("n_host").alias("n_domain"))
-    declarations = rows.groupBy("declared").agg(_added("by_text", n).alias("by"))
+    declarations = rows.groupBy("declared").agg(_added("votes", n).alias("by"))
     suffixes = hosts.withColumn("suffix", F.substring_index("host", ".", -1)).groupBy("suffix").agg(_added("at_host", n).alias("by"))
     overall = hosts.agg(_added("at_host", n).alias("all")).first()
     total = np.array([float(x or 0.0) for x in overall["all"]])
@@ -189,7 +193,7 @@ def identify(pages: DataFrame, languages: list[str], chances: np.ndarray, keep:
         """Chance of a declaration, or of a suffix, given each language: counts over all pages,
         pulled to the chance whatever the language."""
         own = [F.get("by", F.lit(k)) for k in range(n)]
-        share = sum(own[1:], own[0]) / everything
+        share = sum(own[1:], own[0]) / everything + 1e-9
         per = F.array(*[F.log((own[k] + STRENGTH * share) / F.lit(float(total[k]) + STRENGTH)) for k in range(n)])
         return df.select(name, per.alias(f"log_{name}"))
 
@@ -197,11 +201,11 @@ def identify(pages: DataFrame, languages: list[str], chances: np.ndarray, keep:
     fused = rows.drop("domain", "suffix").join(known, "host").join(given(declarations, "declared"), "declared")
 
     def posterior(k: int) -> Column:
-        own = F.get("by_text", F.lit(k))
+        own = F.get("votes", F.lit(k))
         at = F.lit(k)
         base = F.lit(float(prior[k]))
-        in_domain = (F.get("at_domain", at) - own + STRENGTH * base) / (F.col("n_domain") - 1 + STRENGTH)
-        in_host = (F.get("at_host", at) - own + STRENGTH * in_domain) / (F.col("n_host") - 1 + STRENGTH)
+        in_domain = (F.get("at_domain", at) - own + STRENGTH * base) / (F.col("n_domain") - F.col("vote") + STRENGTH)
+        in_host = (F.get("at_host", at) - own + STRENGTH * in_domain) / (F.col("n_host") - F.col("vote") + STRENGTH)
         return F.get("text", at) + F.get("log_declared", at) + F.get("log_suffix", at) + F.log(F.greatest(in_host, F.lit(1e-12)))
 
     names = F.array(*[F.lit(x) for x in languages])
