@@ -32,8 +32,8 @@ SPLIT = (
     r"|\p{White_Space}+(?!\P{White_Space})|\p{White_Space}+"
 )
 # Entries kept of the tables that fill while encoding; each is emptied when full.
-WORDS_KEPT = 1_000_000
-ARCS_KEPT = 1_000_000
+WORDS_KEPT = 250_000
+ARCS_KEPT = 250_000
 NEVER = 1 << 60
 # Bytes by which labels are looked up first.
 HEAD = 3

@@ -39,7 +39,7 @@ LEAST_LABELS = 10
 TERM_DOCUMENTS, TERM_LIFT, MOST_TERMS = 5, 12.0, 500
 EXACT_LENGTH, LONG_LENGTH = 4, 10
 WINDOW = 8
-WORDS_KEPT = 1_000_000
+WORDS_KEPT = 200_000
 # The seed terms.
 TERMS = (
     "idiot", "moron", "stupid", "loser", "trash", "scum", "worthless", "pathetic", "clown",
