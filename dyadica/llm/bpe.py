@@ -31,8 +31,9 @@ SPLIT = (
     r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\p{White_Space}\p{L}\p{N}]+"
     r"|\p{White_Space}+(?!\P{White_Space})|\p{White_Space}+"
 )
-# Entries kept of the tables that fill while encoding; each is emptied when full.
-WORDS_KEPT = 250_000
+# Entries kept of the tables that fill while encoding. A full table of words becomes the old one,
+# from which words still in use move on; a full table of arcs is emptied.
+WORDS_KEPT = 150_000
 ARCS_KEPT = 250_000
 NEVER = 1 << 60
 # Bytes by which labels are looked up first.
@@ -145,11 +146,15 @@ class WordTable(dict):
     def __init__(self, automaton: TokenAutomaton):
         super().__init__()
         self.automaton = automaton
+        self.old: dict[str, bytes] = {}
 
     def __missing__(self, word: str) -> bytes:
+        ids = self.old.get(word)
+        if ids is None:
+            ids = np.asarray(self.automaton.encode_word(word.encode()), dtype="<u4").tobytes()
         if len(self) >= WORDS_KEPT:
+            self.old = dict(self)
             self.clear()
-        ids = np.asarray(self.automaton.encode_word(word.encode()), dtype="<u4").tobytes()
         if len(word) <= 64:
             self[word] = ids
         return ids
