@@ -15,10 +15,8 @@ is one. Groups are the connected components of the links. Where a bucket still h
 the pivot's group, two of its texts in different groups can only be linked if what both have of the
 pivot, and the runs they share beyond it, suffice for the threshold. What each text has of the pivot
 and has beyond it is known from the first comparison, so the pairs that can still be linked come
-from an index of the runs beyond the pivot and from a bound on counts; those whose odd sketches (one
-parity bit for every 1024th of all runs) are too far apart are left out, the others are aligned. The
-bound and the index lose no link, the sketches less than one in a million. No number of partners or
-candidates is bounded.
+from counts of shared runs, made block by block; they alone are aligned. The counts lose no link, and
+no number of partners or candidates is bounded.
 
 Rows: equal texts are one class whatever their length; null counts as empty, and all empty texts
 are one class. A text of fewer than five words is one run. A class is named by its smallest id;
@@ -31,6 +29,7 @@ from bisect import bisect_left
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, functions as F
 
 from dyadica.llm.common import map_arrow, packed, slices, unpacked
@@ -44,9 +43,8 @@ BANDS, PICKED = 16, 3
 LEAST_COMMON = THRESHOLD / (1 + THRESHOLD)
 # Texts wanted for comparison are broadcast by their hash up to so many rows (16 bytes each).
 MOST_BROADCAST = 1_000_000
-# Bits of a text's odd sketch, in words of 64, and the standard deviations beyond which two sketches
-# differ too much: a pair that reaches THRESHOLD does so with a chance below one in a million.
-ODD_WORDS, ODD_DEVIATIONS = 16, 5.0
+# Texts, and runs beyond the pivot, of a block within which texts are counted against each other.
+BLOCK_TEXTS, BLOCK_RUNS = 2048, 400_000
 # Hash matrices are made for all bands at once up to so many runs.
 AT_ONCE = 50_000
 
@@ -105,22 +103,6 @@ def aligned(n: int, m: int, i: np.ndarray, j: np.ndarray) -> float:
     return common / (n + m - common)
 
 
-def odd_sketch(runs: np.ndarray) -> np.ndarray:
-    """For each of the bits, whether an odd number of runs falls on it, as 64-bit words. Two
-    sketches differ in about as many bits as there are runs that only one text has."""
-    bits = np.bincount((mix(runs) >> _U(32)).astype(np.int64) % (64 * ODD_WORDS), minlength=64 * ODD_WORDS) & 1
-    return np.packbits(bits.astype(np.uint8)).view(np.int64)
-
-
-def near_enough(odd_1: str, n_1: str, odd_2: str, n_2: str) -> Column:
-    """False where two odd sketches differ by more than texts of THRESHOLD likeness could."""
-    differ = sum((F.bit_count(F.get(odd_1, F.lit(k)).bitwiseXOR(F.get(odd_2, F.lit(k)))) for k in range(ODD_WORDS)), F.lit(0))
-    bits = 64.0 * ODD_WORDS
-    alone = (1 - 2 * LEAST_COMMON) * (F.col(n_1) + F.col(n_2))
-    expected = bits / 2 * (1 - F.exp(-2.0 / bits * alone))
-    return differ <= expected + ODD_DEVIATIONS * F.sqrt(expected) + 3
-
-
 def text_key(text: str) -> Column:
     return F.unhex(F.md5(F.coalesce(F.col(text), F.lit("")).cast("binary")))
 
@@ -146,7 +128,7 @@ def sketches(texts: DataFrame) -> DataFrame:
 
 def compared(pairs: DataFrame, docs: DataFrame, beyond: bool) -> DataFrame:
     """Align the pairs (a, b) of text hashes: likeness; the runs of ``b`` (n), those ``a`` has too
-    (common) and, if wanted, the hashes of the others (extras) and the odd sketch of ``b``."""
+    (common) and, if wanted, the hashes of the others (extras)."""
     pairs = materialize(pairs)
     wanted = materialize(pairs.select(F.col("a").alias("h")).union(pairs.select("b")).distinct())
     if wanted.count() <= MOST_BROADCAST:
@@ -157,7 +139,7 @@ def compared(pairs: DataFrame, docs: DataFrame, beyond: bool) -> DataFrame:
 
     def run(batch: pa.RecordBatch) -> dict:
         names = batch.schema.names
-        out: dict = {"likeness": [], "n": [], "common": [], "extras": [], "odd": []}
+        out: dict = {"likeness": [], "n": [], "common": [], "extras": []}
         for part in slices(batch, "text_a"):
             a, b = (_runs(part.column(names.index(c))) for c in ("text_a", "text_b"))
             for x, y in zip(a, b, strict=True):
@@ -166,11 +148,10 @@ def compared(pairs: DataFrame, docs: DataFrame, beyond: bool) -> DataFrame:
                 out["n"].append(len(y))
                 out["common"].append(len(j))
                 out["extras"].append(np.delete(y, j).view(np.int64) if beyond else None)
-                out["odd"].append(odd_sketch(y) if beyond else None)
         return out | {c: batch.column(names.index(c)) for c in ("a", "b")}
 
     joined = pairs.join(left, "a").join(right, "b").select("a", "b", "text_a", "text_b")
-    return materialize(map_arrow(joined, run, "a binary, b binary, likeness double, n long, common long, extras array<long>, odd array<long>"))
+    return materialize(map_arrow(joined, run, "a binary, b binary, likeness double, n long, common long, extras array<long>"))
 
 
 def pivot_pairs(buckets: DataFrame) -> DataFrame:
@@ -183,32 +164,66 @@ def pivot_pairs(buckets: DataFrame) -> DataFrame:
 
 
 def open_pairs(first: DataFrame, roots: DataFrame) -> DataFrame:
-    """The pairs (a, b) of different groups, compared with the same pivot, that the counts leave
-    able to reach THRESHOLD."""
+    """The pairs (a, b) of different groups, compared with the same pivot, that what they share
+    leaves able to reach THRESHOLD.
+
+    Texts of a pivot meet in blocks, those outside its group with all. A block counts the runs that
+    its texts share beyond the pivot and passes on only the pairs for which they suffice.
+    """
     of_a = roots.select(F.col("node").alias("a"), F.col("root").alias("root_a"))
     of_b = roots.select(F.col("node").alias("b"), F.col("root").alias("root_b"))
     placed = first.join(of_a, "a", "left").join(of_b, "b", "left").select(
-        F.col("a").alias("pivot"), "b", "n", "common", "extras", "odd",
+        F.col("a").alias("pivot"), "b", "n", "common", "extras",
         F.coalesce("root_b", "b").alias("root"), (F.coalesce("root_b", "b") != F.coalesce("root_a", "a")).alias("outside"),
     )
-    unsettled = placed.filter("outside").select("pivot").distinct()
-    placed = materialize(placed.join(unsettled, "pivot", "left_semi"))
-    one = [F.col(c).alias(f"{c}_1") for c in ("b", "n", "common", "root", "odd")]
-    two = [F.col(c).alias(f"{c}_2") for c in ("b", "n", "common", "root", "odd")]
-    enough = LEAST_COMMON * (F.col("n_1") + F.col("n_2")) - F.least("common_1", "common_2") - 1e-6
-    differ = (F.col("root_1") != F.col("root_2")) & near_enough("odd_1", "n_1", "odd_2", "n_2")
-    # Without a shared run beyond the pivot: only texts shorter than it can be so close.
-    outside = placed.filter("outside").select("pivot", *one)
-    by_count = outside.join(placed.select("pivot", *two), "pivot").filter(differ & (enough <= 0)).select("b_1", "b_2")
-    # With shared runs beyond the pivot: those runs that texts of different groups share.
-    beyond = placed.select("pivot", "b", "n", "common", "root", "odd", "outside", F.explode("extras").alias("run"))
-    spans = beyond.groupBy("pivot", "run").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.max("outside").alias("any"))
-    spans = spans.filter("any and lo <> hi").select("pivot", "run")
-    beyond = materialize(beyond.join(spans, ["pivot", "run"]))
-    met = beyond.filter("outside").select("pivot", "run", *one).join(beyond.select("pivot", "run", *two), ["pivot", "run"]).filter(differ)
-    ends = ["b_1", "n_1", "common_1", "b_2", "n_2", "common_2"]
-    by_runs = met.groupBy("pivot", *ends).agg(F.count(F.lit(1)).alias("shared")).filter(F.col("shared") >= enough).select("b_1", "b_2")
-    return by_count.union(by_runs).select(F.least("b_1", "b_2").alias("a"), F.greatest("b_1", "b_2").alias("b")).distinct()
+    placed = materialize(placed)
+    sizes = placed.groupBy("pivot").agg(
+        F.max("outside").alias("any"), F.count(F.lit(1)).alias("texts"), F.sum(F.size("extras")).alias("runs")
+    ).filter("any")
+    blocks = F.ceil(F.greatest(F.col("texts") / BLOCK_TEXTS, F.col("runs") / BLOCK_RUNS)).cast("int")
+    sizes = materialize(sizes.select("pivot", blocks.alias("blocks")))
+    own = F.pmod(F.xxhash64("b"), F.col("blocks")).cast("int")
+    every = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
+    placed = placed.join(sizes, "pivot").withColumn("own", own)
+    fields = ["pivot", "i", "j", "b", "n", "common", "root", "extras"]
+    # Named anew, since both sides come from one table.
+    fields = [F.col(c).alias(c) for c in fields]
+    left = placed.filter("outside").withColumn("i", F.col("own")).withColumn("j", every).select(*fields)
+    right = placed.withColumn("j", F.col("own")).withColumn("i", every).select(*fields)
+    key = ["pivot", "i", "j"]
+    met = left.groupBy(*key).cogroup(right.groupBy(*key)).applyInArrow(_sharing, "a binary, b binary")
+    return met.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+
+
+def _sharing(left: pa.Table, right: pa.Table) -> pa.Table:
+    """Pairs of two blocks, of different groups, that share enough runs for THRESHOLD."""
+    kind = pa.schema([("a", pa.binary()), ("b", pa.binary())])
+    if not left.num_rows or not right.num_rows:
+        return kind.empty_table()
+    sides = []
+    for table in (left, right):
+        batch = table.combine_chunks().to_batches()[0]
+        extras = batch.column("extras")
+        row = np.repeat(np.arange(batch.num_rows), np.asarray(pc.list_value_length(extras)))
+        run = np.asarray(extras.flatten())
+        order = np.argsort(run, kind="stable")
+        sides.append((batch, row[order], run[order]))
+    (one, row_1, run_1), (two, row_2, run_2) = sides
+    shared = np.zeros((one.num_rows, two.num_rows), dtype=np.int32)
+    both = np.intersect1d(run_1, run_2)
+    from_1, to_1 = np.searchsorted(run_1, both), np.searchsorted(run_1, both, side="right")
+    from_2, to_2 = np.searchsorted(run_2, both), np.searchsorted(run_2, both, side="right")
+    # A labelled run stands once in a text, so no place is counted twice.
+    for a, b, c, d in zip(from_1.tolist(), to_1.tolist(), from_2.tolist(), to_2.tolist(), strict=True):
+        shared[row_1[a:b, None], row_2[c:d]] += 1
+    n = [np.asarray(x.column("n")) for x, _, _ in sides]
+    common = [np.asarray(x.column("common")) for x, _, _ in sides]
+    names = one.column("root").to_pylist() + two.column("root").to_pylist()
+    number = {name: k for k, name in enumerate(dict.fromkeys(names))}
+    root = np.array([number[x] for x in names])
+    enough = LEAST_COMMON * (n[0][:, None] + n[1]) - np.minimum(common[0][:, None], common[1]) - 1e-6
+    i, j = np.nonzero((shared >= enough) & (root[: one.num_rows, None] != root[one.num_rows :]))
+    return pa.table([one.column("b").take(pa.array(i)), two.column("b").take(pa.array(j))], schema=kind)
 
 
 def near_links(docs: DataFrame) -> DataFrame:

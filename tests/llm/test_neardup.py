@@ -143,20 +143,3 @@ def test_edge_rows(edge, nothing):
 
 def want_classes(rows):
     return brute(rows)
-
-
-def test_odd_sketches_keep_near_pairs_and_part_far_ones(spark):
-    rng = np.random.default_rng(6)
-    rows = []
-    for n in (5, 60, 300, 3000, 30_000):
-        for share, near in ((N.LEAST_COMMON, True), (0.37, False)):  # likeness 0.8, and below 0.6
-            for _ in range(20):
-                common = int(np.ceil(2 * n * share))
-                own = n - common
-                runs = rng.integers(0, 1 << 63, common + 2 * own, dtype=np.uint64)
-                a, b = runs[: common + own], np.concatenate([runs[:common], runs[common + own :]])
-                rows.append((n, near, len(a), N.odd_sketch(a).tolist(), len(b), N.odd_sketch(b).tolist()))
-    df = spark.createDataFrame(rows, "n int, near boolean, n_1 long, odd_1 array<long>, n_2 long, odd_2 array<long>")
-    got = df.select("n", "near", N.near_enough("odd_1", "n_1", "odd_2", "n_2").alias("ok")).collect()
-    assert all(r.ok for r in got if r.near)
-    assert sum(r.ok for r in got if not r.near and r.n == 300) <= 2
