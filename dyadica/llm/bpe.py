@@ -159,6 +159,10 @@ class WordTable(dict):
             self[word] = ids
         return ids
 
+    def forget(self) -> None:
+        self.clear()
+        self.old = {}
+
 
 class Encoder:
     def __init__(self, path: str):
@@ -224,4 +228,4 @@ def encode_documents(docs: DataFrame, path: str, keep: list[str], text: str = "t
         return out | {c: batch.column(k) for k, c in enumerate(keep)}
 
     picked = docs.select(*[F.col(f"`{c}`") for c in keep], F.col(text).alias("_text"))
-    return map_arrow(picked, run, schema)
+    return map_arrow(picked, run, schema, after=lambda: encoder(path).words.forget())

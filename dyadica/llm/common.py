@@ -13,7 +13,7 @@ from pyspark.sql.types import StructType
 # ASCII white space, which parts words in every contract of this package.
 WORD_CHARS = r"[^\x20\x09-\x0D]+"
 # Numpy work is done on slices of about this many bytes of text.
-CHUNK_BYTES = 4 * 1024 * 1024
+CHUNK_BYTES = 1024 * 1024
 
 
 def read(spark: SparkSession, sf: str, name: str) -> DataFrame:
@@ -45,14 +45,26 @@ def slices(batch: pa.RecordBatch, name: str, chunk_bytes: int = CHUNK_BYTES) ->
         yield batch.slice(start)
 
 
-def map_arrow(df: DataFrame, fn: Callable[[pa.RecordBatch], dict | None], schema: StructType | str) -> DataFrame:
-    """Apply ``fn``, a batch to named columns, to every Arrow batch."""
+def map_arrow(
+    df: DataFrame, fn: Callable[[pa.RecordBatch], dict | None], schema: StructType | str,
+    after: Callable[[], None] | None = None,
+) -> DataFrame:
+    """Apply ``fn``, a batch to named columns, to every Arrow batch.
+
+    ``after`` runs when a partition is done, to let go of what the worker, which other stages use
+    too, holds for it.
+    """
     kind = arrow_schema(schema)
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            if batch.num_rows and (out := fn(batch)) is not None:
-                yield record_batch(out, kind)
+        try:
+            for batch in batches:
+                if batch.num_rows and (out := fn(batch)) is not None:
+                    yield record_batch(out, kind)
+        finally:
+            if after is not None:
+                after()
+            pa.default_memory_pool().release_unused()
 
     return df.mapInArrow(run, schema)
 

@@ -167,6 +167,10 @@ class WordTable(dict):
         return hit
 
 
+def forget_tables() -> None:
+    _tables.clear()
+
+
 FEATURES = ("log_abuse", "strongest", "log_exact", "log_misspelled", "quoted_share", "per_hundred", "any", "several")
 # Weights where there are too few labels to fit.
 FIXED = ([1.5, 0.6, 0.5, -1.0, -1.5, 0.02, 0.2, 1.0], -3.5)
@@ -267,7 +271,7 @@ def fit(docs: DataFrame, labels: DataFrame, usable: Column | None = None, id: st
             x = [read_text(t, table)[0] for part in slices(batch, "_text") for t in texts_of(part, "_text")]
             return {"label": batch.column(batch.schema.get_field_index("label")), "x": x}
 
-        rows = map_arrow(sample.filter("label in (0, 1)"), run, "label double, x array<double>")
+        rows = map_arrow(sample.filter("label in (0, 1)"), run, "label double, x array<double>", after=forget_tables)
         lr = LogisticRegression(maxIter=60, regParam=1e-3, standardization=True)
         fitted = lr.fit(rows.select("label", array_to_vector("x").alias("features")))
     finally:
@@ -287,4 +291,5 @@ def score_documents(docs: DataFrame, model: Model, keep: list[str], text: str =
         out |= {n: [r[k] for r in rows] for k, n in ((1, "n_hits"), (2, "n_quoted"), (3, "n_misspelled"))}
         return out | {c: batch.column(k) for k, c in enumerate(keep)}
 
-    return map_arrow(docs.select(*[F.col(f"`{c}`") for c in keep], F.col(text).alias("_text")), run, schema)
+    picked = docs.select(*[F.col(f"`{c}`") for c in keep], F.col(text).alias("_text"))
+    return map_arrow(picked, run, schema, after=forget_tables)
