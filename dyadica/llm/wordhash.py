@@ -71,7 +71,8 @@ def shingles_of(words: np.ndarray) -> np.ndarray:
 
 
 def labelled(shingles: np.ndarray) -> np.ndarray:
-    """Shingles told apart by how often they have occurred before."""
+    """Shingles told apart by how often they have occurred before; a first occurrence keeps its
+    hash, whether or not its text repeats any."""
     order = np.argsort(shingles, kind="stable")
     ordered = shingles[order]
     same = np.flatnonzero(ordered[1:] == ordered[:-1])
@@ -80,5 +81,6 @@ def labelled(shingles: np.ndarray) -> np.ndarray:
     starts = np.concatenate([[True], ordered[1:] != ordered[:-1]])
     first = np.maximum.accumulate(np.where(starts, np.arange(len(ordered)), 0))
     out = np.empty_like(shingles)
-    out[order] = mix(ordered + (np.arange(len(ordered)) - first).astype(np.uint64) * _U(_BASE))
+    before = (np.arange(len(ordered)) - first).astype(np.uint64)
+    out[order] = np.where(before == 0, ordered, mix(ordered + before * _U(_BASE)))
     return out

@@ -143,3 +143,16 @@ def test_edge_rows(edge, nothing):
 
 def want_classes(rows):
     return brute(rows)
+
+
+def test_a_text_that_repeats_a_run_meets_its_copy_that_does_not(spark, tables):
+    words = [f"w{k}" for k in range(120)]
+    plain, again = " ".join(words), " ".join(words + words[:7])
+    a, b = N._runs(pa.array([plain, again]))
+    assert (a == b[: len(a)]).all() and len({*b.tolist()}) == len(b)
+    assert N.aligned(len(a), len(b), *N.overlap(a, b)) == pytest.approx(alike(runs_of(plain), runs_of(again)))
+    assert {*N.order_minhash(a).tolist()} & {*N.order_minhash(b).tolist()}
+    rows = [(1, plain), (2, again), (3, "another text that has nothing in common with the two")]
+    folder = tables(documents=spark.createDataFrame(rows, "doc_id long, text string"))
+    got = sorted(tuple(r) for r in op1_order_minhash(spark, folder).collect())
+    assert [r[:2] for r in got] == [(1, 1), (2, 1), (3, 3)]
