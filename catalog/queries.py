@@ -342,7 +342,7 @@ def _encoder(source, **kw) -> MetricEncoder:
     n = source.size()
     return MetricEncoder(
         batch_size=n, max_steps=kw.pop("max_steps", 8), random_seed=X.SEED,
-        max_fit_pairs=8 * n, **kw,
+        max_fit_pairs=8 * n, tolerance=0.0, **kw,
     )
 
 

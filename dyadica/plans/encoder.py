@@ -28,9 +28,9 @@ STEPS = "steps"
 class MetricEncoder:
     """Learns a metric over features that follows the distances of a representation.
 
-    ``solver='pooled'`` solves on the moments of ``batch_size * max_steps`` pairs, read in
-    growing blocks until a block moves no weight by more than ``tolerance`` (0 reads all; a
-    number for ``max_fit_pairs`` ends it there);
+    ``solver='pooled'`` solves on the moments of all ``batch_size * max_steps`` pairs (a
+    number for ``max_fit_pairs`` ends it there). A positive ``tolerance`` is a cut by choice: pairs
+    are read in growing blocks, and those after a block that moves no weight by more are not read;
     ``solver='steps'`` runs Adam over a fresh batch per step with early stopping, and alone
     uses ``lr``, ``weight_decay`` and ``patience``.
     ``ties`` is the rank rule of the scores: ``ordinal`` or ``average``.
@@ -57,7 +57,7 @@ class MetricEncoder:
         corr_warning_threshold: float = 0.5,
         solver: str = POOLED,
         max_fit_pairs: int | None = None,
-        tolerance: float = 1e-3,
+        tolerance: float = 0.0,
         ties: str = ORDINAL,
     ) -> None:
         if distance != PRECOMPUTED:

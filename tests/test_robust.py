@@ -145,3 +145,13 @@ def test_written_tables_can_be_released(spark, tmp_path):
     )
     subprocess.run([sys.executable, "-c", code], check=True, cwd=os.path.dirname(os.path.dirname(__file__)), timeout=200)
     assert [f for d in tmp_path.iterdir() for f in d.rglob("*.parquet")] == []
+
+
+def test_default_and_registered_fits_read_all_pairs(spark, sf, monkeypatch):
+    from catalog.queries import _encoder
+
+    monkeypatch.setattr("dyadica.plans.fit.FIRST_BLOCK_PAIRS", 100)
+    source = X.planted(spark, sf, ("f1", "f2", "f3"))
+    assert MetricEncoder(batch_size=1000, max_steps=30, random_seed=1).fit(source).fit_.n_pairs == 30_000
+    encoder = _encoder(source)
+    assert encoder.tolerance == 0 and encoder.fit(source).fit_.n_pairs == 8 * source.size()
