@@ -1,9 +1,10 @@
 """Licence scan: Aho-Corasick over words, and a shunting-yard parser for licence expressions.
 
 A text is lower-cased (A-Z), cut into words, and written with single spaces. One Aho-Corasick
-pass finds the notice phrases, another over the plain lower-case text finds identifier tags and
-notice openings; what follows a tag or an opening is parsed as an expression of ``and``, ``or``,
-``with`` and brackets. ``with`` binds closest, then ``and``, then ``or``. An expression is
+pass finds the notice phrases, another search over the plain lower-case text finds identifier tags, and
+one over that text with single spaces finds notice openings, so that wrapped notices are read on.
+What follows a tag, up to the end of its line, or an opening, up to the first word that cannot
+continue it, is parsed as an expression of ``and``, ``or``, ``with`` and brackets. ``with`` binds closest, then ``and``, then ``or``. An expression is
 evaluated to its licence families and to whether it can be met by permissive licences alone.
 
 Rows: null and empty texts have no words, no labels and score 0. Texts are scanned whole. An
@@ -64,6 +65,7 @@ BINDS = {"or": 1, "and": 2, "with": 3}
 # How sure a label is: by identifier tag, by notice opening, by a phrase alone.
 BY_TAG, BY_OPENING, BY_PHRASE = 1.0, 0.9, 0.7
 
+SKIPPED = {"the", "a", "license", "licence", "terms", "of"}
 TOKEN = re.compile(r"\(|\)|[a-z0-9][a-z0-9.+-]*")
 WORD_TABLE = bytes(
     b if b >= 0x80 or chr(b).isdigit() or chr(b).islower() else b + 32 if chr(b).isupper() else 32
@@ -138,25 +140,34 @@ def evaluate(postfix: list[str]) -> tuple[set[str], bool] | None:
     return licence(stack[0])
 
 
-def parse(tail: str) -> tuple[str, set[str], bool] | None:
-    """The longest expression of known licences at the start of a text: its tokens, families
-    and whether it is permissive. ``the`` and ``license`` are skipped."""
-    tokens = [t.rstrip(".") for t in TOKEN.findall(tail)]
-    tokens = [t for t in tokens if t not in ("the", "a", "license", "licence", "terms", "of")]
-    ends = [k for k, t in enumerate(tokens) if t == ")" or t not in BINDS and t != "("]
-    best, depth = None, 0
-    for k in ends:
-        post = to_postfix(tokens[: k + 1])
-        if post is None:
-            # A bracket is still open, or two operands stand side by side: the latter never mends.
-            if tokens[: k + 1].count("(") <= tokens[: k + 1].count(")"):
-                break
+def parse(text: str, start: int = 0, end: int | None = None) -> tuple[str, set[str], bool] | None:
+    """The longest expression of known licences at ``start``: its tokens, families and whether it
+    is permissive. ``the`` and ``license`` are skipped. Reads to the first token that cannot
+    continue it."""
+    tokens, whole, depth, operand_next = [], 0, 0, True
+    for m in TOKEN.finditer(text, start, len(text) if end is None else end):
+        t = m.group().rstrip(".")
+        if t in SKIPPED:
             continue
-        value = evaluate(post)
-        if value is None:
+        exception = bool(tokens) and tokens[-1] == "with"
+        if not operand_next:
+            if t in BINDS:
+                operand_next = True
+            elif t == ")" and depth:
+                depth -= 1
+            else:
+                break
+        elif t == "(" and not exception:
+            depth += 1
+        elif t in BINDS or t in ("(", ")") or not exception and family(t) is None:
             break
-        best = (" ".join(tokens[: k + 1]), *value)
-    return best
+        else:
+            operand_next = False
+        tokens.append(t)
+        if not depth and not operand_next:
+            whole = len(tokens)
+    value = evaluate(to_postfix(tokens[:whole])) if whole else None
+    return (" ".join(tokens[:whole]), *value) if value else None
 
 
 @lru_cache(maxsize=1)
@@ -168,8 +179,8 @@ def automata():
         phrases.add_word(f" {phrase} ", (len(phrase) + 1, name, phrase in BASE))
     phrases.make_automaton()
     openings = ahocorasick.Automaton()
-    for k, opening in enumerate(OPENINGS):
-        openings.add_word(opening, k)
+    for opening in OPENINGS[1:]:
+        openings.add_word(opening, opening)
     openings.make_automaton()
     return phrases, openings
 
@@ -189,15 +200,32 @@ def scan(text: str) -> dict:
             seen = end
             places.append(at)
             base.add(name)
-    lower = raw.lower().decode("latin-1")
+    lower = raw.lower()
+    flowing = b" ".join(lower.split()).decode("latin-1")
+    lower = lower.decode("latin-1")
     expressions, permissive = [], []
-    for end, kind in openings.iter(lower):
-        tail = lower[end + 1 :].split("\n", 1)[0]
-        if found := parse(tail):
+
+    def add(found, sure: float) -> None:
+        nonlocal score
+        if found:
             expressions.append(found[0])
             permissive.append(found[2])
-            labels |= found[1]
-            score = max(score, BY_TAG if kind == 0 else BY_OPENING)
+            labels.update(found[1])
+            score = max(score, sure)
+
+    tag = lower.find(OPENINGS[0])
+    while tag >= 0:
+        tag += len(OPENINGS[0])
+        stop = lower.find("\n", tag)
+        add(parse(lower, tag, len(lower) if stop < 0 else stop), BY_TAG)
+        tag = lower.find(OPENINGS[0], tag)
+    start, found = -1, None
+    for end, _ in openings.iter(flowing):
+        if start <= end:  # openings with only skipped words between them share what follows
+            words_on = (m for m in TOKEN.finditer(flowing, end + 1) if m.group().rstrip(".") not in SKIPPED)
+            start = next((m.start() for m in words_on), len(flowing))
+            found = parse(flowing, start)
+        add(found, BY_OPENING)
     return {
         "n_words": len(words), "n_base": len(places),
         "first_word": min(places, default=None), "last_word": max(places, default=None),

@@ -70,3 +70,16 @@ def test_edge_rows(edge, nothing):
 def test_long_text(n):
     t = "mit license " * n
     assert base_of(scan(t)) == (2 * n, n, 0, 2 * n - 2, "mit")
+
+
+def test_notices_wrapped_over_lines():
+    r = scan("Released under\nBSD-3-Clause")
+    assert r["labels"] == "bsd" and r["score"] == 0.9
+    r = scan("This is licensed under MIT or\n  GPL-2.0\nand more words")
+    assert r["labels"] == "gpl,mit" and r["expressions"] == "mit or gpl-2.0"
+    assert scan("licensed under MIT and\r\nGPL-2.0")["permissive"] is False
+    assert scan("it is licensed\n\tunder  the\nApache-2.0 terms")["expressions"] == "apache-2.0"
+    # A tag ends with its line.
+    assert scan("SPDX-License-Identifier: MIT\nor GPL-2.0")["labels"] == "mit"
+    assert scan("SPDX-License-Identifier:\nMIT")["labels"] == ""
+    assert scan("license: " * 50_000 + "mit")["expressions"] == "mit"
