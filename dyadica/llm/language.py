@@ -27,8 +27,9 @@ from dyadica.llm.common import map_arrow, slices, texts_of, with_fields
 from dyadica.llm.wordhash import mix
 from dyadica.session import materialize
 
-# At most about so many labelled documents fit the trigram model; most languages kept.
-SAMPLE_DOCUMENTS, MOST_LANGUAGES = 20_000, 200
+# About so many labelled documents of each language fit the trigram model, all where there are
+# fewer; most languages kept.
+LANGUAGE_DOCUMENTS, MOST_LANGUAGES = 20_000, 200
 SLOTS = 1 << 14
 # Trigrams of running text overlap: this share of their log likelihood counts.
 TEMPER = 0.25
@@ -97,9 +98,15 @@ def slots_of(text: str) -> np.ndarray:
 
 def fit_trigrams(docs: DataFrame, text: str = "text", lang: str = "lang", id: str = "doc_id") -> tuple[list[str], np.ndarray]:
     """Languages and log chances of slots (languages x SLOTS), from labelled documents."""
-    n = docs.count()
-    some = max(1, -(-n // SAMPLE_DOCUMENTS))
-    sample = docs.filter(F.pmod(F.xxhash64(id), F.lit(some)) == 0).filter(F.col(lang).isNotNull())
+    docs = docs.filter(F.col(lang).isNotNull())
+    sizes = docs.groupBy(F.col(lang).alias("_lang")).agg(F.count("*").alias("_n"))
+    sizes = sizes.orderBy(F.desc("_n"), "_lang").limit(MOST_LANGUAGES).collect()
+    # Languages of more documents than wanted are thinned, each by its own step.
+    steps = {r["_lang"]: -(-r["_n"] // LANGUAGE_DOCUMENTS) for r in sizes}
+    if not steps:
+        return [], np.full((0, SLOTS), ADD)
+    step = F.create_map(*[F.lit(x) for pair in steps.items() for x in pair])[F.col(lang)]
+    sample = docs.filter(F.col(lang).isin(list(steps)) & (F.pmod(F.xxhash64(id, text), step) == 0))
 
     def run(batch: pa.RecordBatch) -> dict:
         totals: dict[str, np.ndarray] = {}
@@ -119,11 +126,10 @@ def fit_trigrams(docs: DataFrame, text: str = "text", lang: str = "lang", id: st
 
     rows = map_arrow(sample.select(F.col(text).alias("text"), F.col(lang).alias("lang")), run, "lang string, slot int, n long")
     rows = materialize(rows.groupBy("lang", "slot").agg(F.sum("n").alias("n")))
-    most = rows.groupBy("lang").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "lang").limit(MOST_LANGUAGES).collect()
-    languages = sorted(r["lang"] for r in most)
+    languages = sorted(r["lang"] for r in rows.select("lang").distinct().collect())
     table = np.full((len(languages), SLOTS), ADD)
     place = {name: k for k, name in enumerate(languages)}
-    for r in rows.filter(F.col("lang").isin(languages)).toPandas().itertuples():
+    for r in rows.toPandas().itertuples():
         table[place[r.lang], r.slot] += r.n
     return languages, np.log(table / table.sum(axis=1, keepdims=True)) if languages else table
 

@@ -57,3 +57,14 @@ def test_edge_rows(spark, model):
     none, table = fit_trigrams(empty)
     assert none == []
     assert [r.lang for r in identify(df, none, table, ["page_id"]).collect()] == [None] * 4
+
+
+def test_rare_languages_stay_in_large_tables(spark, monkeypatch):
+    from dyadica.llm import language
+
+    monkeypatch.setattr(language, "SAMPLE_DOCUMENTS", 20, raising=False)
+    monkeypatch.setattr(language, "LANGUAGE_DOCUMENTS", 10, raising=False)
+    rows = [(k, f"text number {k} of the common kind", "en" if k % 2 else None) for k in range(4000)]
+    rows += [(5000 + k, f"ein seltener Satz {k}", "de") for k in range(3)] + [(6000, "unique", "xx")]
+    languages, chances = fit_trigrams(spark.createDataFrame(rows, "doc_id long, text string, lang string"))
+    assert languages == ["de", "en", "xx"] and chances.shape[0] == 3
