@@ -6,8 +6,11 @@ the other. At the start every byte token may follow every other. The gadget of a
 there, and adds the arc ``w`` wherever ``u`` was, leading to where ``v`` leads. All arcs of one
 token lead to one state, so a state is named by its token; what a state lost is kept per gadget,
 and a copy shares what it inherits. The automaton accepts exactly the token strings that BPE
-makes, so the encoding of a word is its only accepted path over the bytes. It is found by
-following arcs, longest label first, stepping back from positions that lead nowhere.
+makes, so the encoding of a word is its only accepted path over the bytes.
+
+For encoding, arcs are read byte by byte and the automaton is made deterministic over bytes: a
+row of the step table is made when it is first asked for. A word takes one table step a byte, and
+each state names the token that ends there, so the path is read off from the end of the word.
 
 Rows: a null or empty text gives no ids and empty text; texts of any length are taken whole;
 repeated rows give repeated results; other columns are carried or left out as asked.
@@ -17,6 +20,7 @@ from __future__ import annotations
 
 import hashlib
 import json
+from array import array
 from functools import lru_cache
 
 import numpy as np
@@ -24,20 +28,20 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame, functions as F
 
-from dyadica.llm.common import map_arrow, slices, texts_of, with_fields
+from dyadica.llm.common import CHUNK_BYTES, map_arrow, texts_of, with_fields
 
 # The split pattern of the byte-level pre-tokenizer, with Unicode white space.
 SPLIT = (
     r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\p{White_Space}\p{L}\p{N}]+"
     r"|\p{White_Space}+(?!\P{White_Space})|\p{White_Space}+"
 )
-# Entries kept of the tables that fill while encoding. A full table of words becomes the old one,
-# from which words still in use move on; a full table of arcs is emptied.
-WORDS_KEPT = 150_000
-ARCS_KEPT = 250_000
-NEVER = 1 << 60
-# Bytes by which labels are looked up first.
-HEAD = 3
+# Slots of the step table, and the entries after which it is emptied and filled anew. Words are
+# taken together in chunks of WORK_BYTES, so that a chunk cannot overfill it; words over
+# WORD_BYTES go alone.
+SLOTS, STEPS_KEPT = 1 << 20, 600_000
+WORK_BYTES, WORD_BYTES = 1 << 18, 64
+NEVER, NONE = 1 << 60, -1
+ID_BITS = 24
 
 
 def byte_letters() -> dict[str, int]:
@@ -49,119 +53,230 @@ def byte_letters() -> dict[str, int]:
 
 
 class TokenAutomaton:
-    """States, arcs and labels compiled from a vocabulary and its merges in order."""
+    """Arcs over tokens compiled from a vocabulary and its merges in order, and the table of byte
+    steps that follows from them."""
 
     def __init__(self, vocab: dict[str, int], merges: list[tuple[str, str]], special: dict[str, int]):
         letters = byte_letters()
         self.label = {i: bytes(letters[c] for c in t) for t, i in vocab.items()}
         self.special = special
         self.label |= {i: t.encode() for t, i in special.items()}
-        # Per token: arcs its state lost by its own gadgets, and the states it copies, each up
-        # to the gadget that made the copy.
-        self.lost: dict[int, dict[int, int]] = {}
-        self.copies: dict[int, list[tuple[int, int]]] = {}
-        # Per token: the tokens its arc was made from, each with the gadget that used it.
-        self.made_from: dict[int, list[tuple[int, int]]] = {}
+        top = max(self.label, default=0) + 1
+        # Per token that arcs carry: the pair and the gadget that made it. A byte has none.
+        self.left, self.right = array("i", [NONE] * top), array("i", [NONE] * top)
+        self.born = array("i", [NONE] * top)
+        self.carried = bytearray(top)
+        # The gadget that took the arc of the second token from the state of the first.
+        self.lost: dict[int, int] = {}
         for i, t in self.label.items():
             if len(t) == 1 and i not in special.values():
-                self.copies[i], self.made_from[i] = [(i, NEVER)], [(i, NEVER)]
+                self.carried[i] = 1
         for at, (a, b) in enumerate(merges):
             self._gadget(vocab[a], vocab[b], vocab[a + b], at)
-        self.token = {self.label[i]: i for i in self.made_from}
-        self.longest = max(map(len, self.token))
-        heads: dict[bytes, set[int]] = {}
-        for t in self.token:
-            if len(t) >= HEAD:
-                heads.setdefault(t[:HEAD], set()).add(len(t))
-        self.lengths = {head: sorted(found, reverse=True) for head, found in heads.items()}
-        self.shorter = {i: self._prefix(t[:-1], 0) for t, i in self.token.items()}
-        self.arcs: dict[int, bool] = {}
+        self._grow_trie()
+        sizes = np.zeros(top, dtype=np.int64)
+        for i, t in self.label.items():
+            sizes[i] = len(t)
+        self.sizes, self.offsets = sizes, np.concatenate([[0], np.cumsum(sizes)[:-1]])
+        self.letters = np.frombuffer(b"".join(self.label.get(i, b"") for i in range(top)), dtype=np.uint8)
+        # The step table: open hashing of (state, byte) to the next state.
+        self.keys, self.values = array("q", bytes(8 * SLOTS)), array("i", bytes(4 * SLOTS))
+        self.ends, self.nodes, self.held = array("i"), array("i"), []
+        self.numbers: dict[tuple, int] = {}
+        self.forget()
+
+    # ------------------------------------------------------------------ arcs
 
     def _gadget(self, u: int, v: int, w: int, at: int) -> None:
-        if u not in self.made_from or v not in self.made_from or not self._open(u, v):
+        if not (self.carried[u] and self.carried[v] and self.arc(u, v)):
             return  # the pair never stands in a tokenization, so the merge never applies
-        if w not in self.made_from:
-            self.copies[w] = [(w, NEVER)] + [(t, min(end, at)) for t, end in self.copies[v]]
-            self.made_from[w] = [(w, NEVER)] + [(t, min(end, at)) for t, end in self.made_from[u]]
-        self.lost.setdefault(u, {}).setdefault(v, at)
-
-    def _open(self, state: int, token: int) -> bool:
-        """Whether the arc ``token`` leaves the state reached by the token ``state``."""
-        for t, copied in self.copies[state]:
-            if lost := self.lost.get(t):
-                for part, used in self.made_from[token]:
-                    at = lost.get(part)
-                    if at is not None and at < copied and at <= used:
-                        return False
-        return True
+        if not self.carried[w]:
+            self.carried[w] = 1
+            self.left[w], self.right[w], self.born[w] = u, v, at
+        self.lost.setdefault(u << ID_BITS | v, at)
 
     def arc(self, state: int, token: int) -> bool:
-        key = state << 20 | token
-        known = self.arcs.get(key)
-        if known is None:
-            if len(self.arcs) >= ARCS_KEPT:
-                self.arcs.clear()
-            known = self.arcs[key] = self._open(state, token)
-        return known
-
-    def _prefix(self, text: bytes, at: int) -> int | None:
-        """The longest token whose label stands at ``at``."""
-        left = len(text) - at
-        for n in self.lengths.get(text[at : at + HEAD], ()):
-            if n <= left and (t := self.token.get(text[at : at + n])) is not None:
-                return t
-        for n in range(min(HEAD - 1, left), 0, -1):
-            if (t := self.token.get(text[at : at + n])) is not None:
-                return t
-        return None
-
-    def encode_word(self, word: bytes) -> list[int]:
-        """The only accepted path over the bytes of a word."""
-        path: list[int] = []
-        dead: set[int] = set()
-        at, end, token = 0, len(word), self._prefix(word, 0)
-        while at < end:
-            to = at + len(self.label[token])
-            if to not in dead and (not path or self.arc(path[-1], token)):
-                path.append(token)
-                at = to
-                token = self._prefix(word, at) if at < end else None
-                continue
-            token = self.shorter[token]
-            while token is None:
-                dead.add(at)
-                last = path.pop()
-                at -= len(self.label[last])
-                token = self.shorter[last]
-        return path
-
-    def decode(self, ids: np.ndarray) -> str:
-        label = self.label
-        return b"".join([label[i] for i in ids.tolist()]).decode("utf-8", errors="replace")
+        """Whether the arc ``token`` leaves the state reached by the token ``state``.
+
+        The state began as a copy of that of its right part, made by the gadget that made it, and
+        the arc was laid beside that of its left part; both go back so to bytes.
+        """
+        lost, left, born = self.lost, self.left, self.born
+        copied = NEVER
+        while state != NONE:
+            part, used = token, NEVER
+            while part != NONE:
+                at = lost.get(state << ID_BITS | part)
+                if at is not None and at < copied and at <= used:
+                    return False
+                used, part = min(used, born[part]), left[part]
+            copied, state = min(copied, born[state]), self.right[state]
+        return True
 
+    # ------------------------------------------------------------ byte steps
 
-class WordTable(dict):
-    """Words to their ids as little-endian bytes, filled on demand."""
+    def _grow_trie(self) -> None:
+        """A trie of all labels, each node linked to its longest suffix that is a node too."""
+        self.edge: dict[int, int] = {}
+        self.token, self.depth = array("i", [NONE]), array("i", [0])
+        for i, t in self.label.items():
+            if not self.carried[i]:
+                continue
+            node = 0
+            for byte in t:
+                to = self.edge.get(node << 8 | byte)
+                if to is None:
+                    to = self.edge[node << 8 | byte] = len(self.token)
+                    self.token.append(NONE)
+                    self.depth.append(self.depth[node] + 1)
+                node = to
+            self.token[node] = i
+        self.suffix = array("i", bytes(4 * len(self.token)))
+        for key in sorted(self.edge, key=lambda k: self.depth[k >> 8]):
+            node, byte = key >> 8, key & 255
+            if node:
+                self.suffix[self.edge[key]] = self._follow(self.suffix[node], byte)
+
+    def _follow(self, node: int, byte: int) -> int:
+        while (to := self.edge.get(node << 8 | byte)) is None and node:
+            node = self.suffix[node]
+        return to or 0
 
-    def __init__(self, automaton: TokenAutomaton):
-        super().__init__()
-        self.automaton = automaton
-        self.old: dict[str, bytes] = {}
+    def forget(self) -> None:
+        """Drop all rows of the step table but the start's."""
+        np.frombuffer(self.keys, dtype=np.int64)[:] = NONE
+        self.steps = 0
+        self.numbers.clear()
+        del self.ends[:], self.nodes[:], self.held[:]
+        self._number(0, NONE, ())
+
+    def _number(self, node: int, end: int, held: tuple[int, ...]) -> int:
+        key = (node, end, held)
+        state = self.numbers.get(key)
+        if state is None:
+            state = self.numbers[key] = len(self.nodes)
+            self.nodes.append(node)
+            self.ends.append(end)
+            self.held.append(held)
+        return state
+
+    def _row(self, state: int, byte: int) -> int:
+        """Make one entry of the step table.
+
+        A state of bytes is the set of states of the token automaton that a prefix can be in: the
+        token that ends here, and, for every suffix that may grow into a token, the token that
+        ended where the suffix begins. Exactly one accepted path ends at each place.
+        """
+        node, end, held = self.nodes[state], self.ends[state], self.held[state]
+        depth, suffix = self.depth, self.suffix
+        before, at = {0: end}, node
+        for token in held:
+            before[depth[at]] = token
+            at = suffix[at]
+        to = at = self._follow(node, byte)
+        found, kept = NONE, []
+        while at:
+            last, token = before[depth[at] - 1], self.token[at]
+            if found == NONE and token != NONE and (last == NONE or self.arc(last, token)):
+                found = token
+            kept.append(last)
+            at = suffix[at]
+        if found == NONE:
+            raise ValueError(f"byte {byte} is not in the vocabulary")
+        new = self._number(to, found, tuple(kept))
+        slot = _slot(state << 8 | byte)
+        while self.keys[slot] != NONE:
+            slot = (slot + 1) % SLOTS
+        self.keys[slot], self.values[slot] = state << 8 | byte, new
+        self.steps += 1
+        return new
+
+    def _next(self, state: int, byte: int) -> int:
+        key = state << 8 | byte
+        slot = _slot(key)
+        while (found := self.keys[slot]) != key:
+            if found == NONE:
+                return self._row(state, byte)
+            slot = (slot + 1) % SLOTS
+        return self.values[slot]
+
+    def _next_of_all(self, states: np.ndarray, letters: np.ndarray) -> np.ndarray:
+        """The next state of every word, its table entries made where they are missing."""
+        wanted = states << 8 | letters
+        keys, values = np.frombuffer(self.keys, dtype=np.int64), np.frombuffer(self.values, dtype=np.int32)
+        slots = _slot(wanted)
+        out = values[slots].astype(np.int64)
+        open_ = np.flatnonzero(keys[slots] != wanted)
+        while len(open_):
+            missing = keys[slots[open_]] == NONE
+            if missing.any():
+                asked, back = np.unique(wanted[open_[missing]], return_inverse=True)
+                made = [self._next(key >> 8, key & 255) for key in asked.tolist()]
+                out[open_[missing]] = np.array(made, dtype=np.int64)[back]
+                open_ = open_[~missing]
+            slots[open_] = (slots[open_] + 1) % SLOTS
+            hit = keys[slots[open_]] == wanted[open_]
+            out[open_[hit]] = values[slots[open_[hit]]]
+            open_ = open_[~hit]
+        return out
 
-    def __missing__(self, word: str) -> bytes:
-        ids = self.old.get(word)
-        if ids is None:
-            ids = np.asarray(self.automaton.encode_word(word.encode()), dtype="<u4").tobytes()
-        if len(self) >= WORDS_KEPT:
-            self.old = dict(self)
-            self.clear()
-        if len(word) <= 64:
-            self[word] = ids
-        return ids
+    def encode_word(self, word: bytes) -> list[int]:
+        """One step a byte, then the accepted path read from its end."""
+        state, last = 0, array("i")
+        for byte in word:
+            if self.steps >= STEPS_KEPT:
+                here = self.nodes[state], self.ends[state], self.held[state]
+                self.forget()
+                state = self._number(*here)
+            state = self._next(state, byte)
+            last.append(self.ends[state])
+        path, at = [], len(word)
+        while at:
+            token = last[at - 1]
+            path.append(token)
+            at -= len(self.label[token])
+        path.reverse()
+        return path
 
-    def forget(self) -> None:
-        self.clear()
-        self.old = {}
+    def encode_words(self, data: np.ndarray, starts: np.ndarray) -> np.ndarray:
+        """The ids of adjoining words, which begin at ``starts`` and fill ``data``: all words take
+        their steps together. Long words go alone."""
+        sizes = np.diff(np.append(starts, len(data)))
+        tokens = np.full(len(data), NONE, dtype=np.int32)
+        for k in np.flatnonzero(sizes > WORD_BYTES).tolist():
+            at = int(starts[k])
+            for token in self.encode_word(data[at : at + int(sizes[k])].tobytes()):
+                tokens[at] = token
+                at += len(self.label[token])
+        if self.steps + len(data) > STEPS_KEPT:
+            self.forget()
+        order = np.argsort(-sizes, kind="stable")
+        order = order[np.searchsorted(-sizes[order], -WORD_BYTES) :]
+        at, left = starts[order], sizes[order]
+        last = np.empty(len(data), dtype=np.int32)
+        states = np.zeros(len(order), dtype=np.int64)
+        for k in range(int(left[0]) if len(left) else 0):
+            alive = np.searchsorted(-left, -k)
+            states = self._next_of_all(states[:alive], data[at[:alive] + k].astype(np.int64))
+            last[at[:alive] + k] = np.frombuffer(self.ends, dtype=np.int32)[states]
+        while len(at):
+            token = last[at + left - 1]
+            left = left - self.sizes[token]
+            tokens[at + left] = token
+            at, left = at[left > 0], left[left > 0]
+        return tokens[tokens != NONE]
+
+    def decode(self, ids: np.ndarray) -> bytes:
+        """The labels of the arcs, one after the other."""
+        sizes = self.sizes[ids]
+        ends = np.cumsum(sizes)
+        places = np.repeat(self.offsets[ids] - (ends - sizes), sizes) + np.arange(ends[-1] if len(ids) else 0)
+        return self.letters[places].tobytes()
+
+
+def _slot(key):
+    """Where a (state, byte) number, or each of an array, is first looked for."""
+    return (key ^ key >> 15) * 40503 % SLOTS
 
 
 class Encoder:
@@ -172,28 +287,75 @@ class Encoder:
         special = {t["content"]: t["id"] for t in spec["added_tokens"]}
         vocab = {t: i for t, i in spec["model"]["vocab"].items() if t not in special}
         self.automaton = TokenAutomaton(vocab, merges, special)
-        self.words = WordTable(self.automaton)
         self.split = regex.compile(SPLIT)
         by_length = sorted(special, key=len, reverse=True)
-        self.specials = regex.compile("(" + "|".join(map(regex.escape, by_length)) + ")") if special else None
-
-    def encode(self, text: str) -> bytes:
-        """Ids of a whole text as little-endian unsigned 32-bit integers."""
-        if not text:
-            return b""
-        get = self.words.__getitem__
-        if self.specials is None or not self.specials.search(text):
-            return b"".join(map(get, self.split.findall(text)))
-        out = []
-        for k, part in enumerate(self.specials.split(text)):
-            if k % 2:
-                out.append(np.asarray([self.automaton.special[part]], dtype="<u4").tobytes())
+        self.specials = regex.compile("|".join(map(regex.escape, by_length))) if special else None
+
+    def encode(self, text: str) -> np.ndarray:
+        """Ids of a whole text."""
+        if self.specials is None or not (found := list(self.specials.finditer(text))):
+            return self._encode_plain(text)
+        out, at = [], 0
+        for m in found:
+            out += [self._encode_plain(text[at : m.start()]), np.array([self.automaton.special[m[0]]], dtype="<u4")]
+            at = m.end()
+        return np.concatenate(out + [self._encode_plain(text[at:])])
+
+    def encode_all(self, texts: list[str]) -> list[np.ndarray]:
+        """Ids of each text; texts without special tokens are taken together."""
+        out: list[np.ndarray | None] = [None] * len(texts)
+        plain = []
+        for k, text in enumerate(texts):
+            if self.specials is not None and self.specials.search(text):
+                out[k] = self.encode(text)
             else:
-                out.extend(map(get, self.split.findall(part)))
-        return b"".join(out)
+                plain.append(k)
+        cuts = [self._cut(texts[k]) for k in plain]
+        ids = self._encode_cuts([c for c in cuts if len(c[0])])
+        for k, (data, _) in zip(plain, cuts):
+            out[k] = ids.pop(0) if len(data) else np.empty(0, dtype="<u4")
+        return out
+
+    def _encode_plain(self, text: str) -> np.ndarray:
+        data, starts = self._cut(text)
+        return self._encode_cuts([(data, starts)])[0] if len(data) else np.empty(0, dtype="<u4")
+
+    def _cut(self, text: str) -> tuple[np.ndarray, np.ndarray]:
+        """The bytes of a text, and where its words begin."""
+        data = np.frombuffer(text.encode(), dtype=np.uint8)
+        if len(text) <= CHUNK_BYTES:
+            ends = np.cumsum(np.fromiter(map(len, self.split.findall(text)), dtype=np.int64))
+        else:
+            ends = np.fromiter((m.end() for m in self.split.finditer(text)), dtype=np.int64)
+        starts = np.concatenate([[0], ends[:-1]]) if len(ends) else ends
+        if len(data) != len(text):
+            points = np.frombuffer(text.encode("utf-32-le"), dtype="<u4")
+            widths = 1 + (points >= 0x80) + (points >= 0x800) + (points >= 0x10000)
+            starts = (np.cumsum(widths) - widths)[starts]
+        return data, starts
+
+    def _encode_cuts(self, cuts: list[tuple[np.ndarray, np.ndarray]]) -> list[np.ndarray]:
+        """Ids of texts that are not empty. Words are encoded in chunks of bounded size; every
+        text begins a word, so no chunk's words are torn."""
+        sizes = np.array([len(d) for d, _ in cuts], dtype=np.int64)
+        ends = np.cumsum(sizes)
+        if not len(cuts):
+            return []
+        data = np.concatenate([d for d, _ in cuts])
+        starts = np.concatenate([s + off for (_, s), off in zip(cuts, ends - sizes)])
+        tokens, lengths, first = [], [], 0
+        while first < len(starts):
+            at = starts[first]
+            last = max(first + 1, int(np.searchsorted(starts, at + WORK_BYTES)))
+            stop = starts[last] if last < len(starts) else len(data)
+            tokens.append(self.automaton.encode_words(data[at:stop], starts[first:last] - at))
+            first = last
+        ids = np.concatenate(tokens)
+        places = np.cumsum(self.automaton.sizes[ids])
+        return np.split(ids.astype("<u4"), np.searchsorted(places, ends[:-1], side="right"))
 
-    def decode(self, ids: bytes) -> str:
-        return self.automaton.decode(np.frombuffer(ids, dtype="<u4"))
+    def decode(self, ids: np.ndarray) -> str:
+        return self.automaton.decode(ids).decode("utf-8", errors="replace")
 
 
 @lru_cache(maxsize=2)
@@ -202,30 +364,31 @@ def encoder(path: str) -> Encoder:
     return Encoder(path)
 
 
-def encode_documents(docs: DataFrame, path: str, keep: list[str], text: str = "text", ids: bool = True) -> DataFrame:
+def encode_documents(
+    docs: DataFrame, path: str, keep: list[str], text: str = "text", ids: bool = True, decoded: bool = True
+) -> DataFrame:
     """Encode and decode every text.
 
     Columns: ``keep``, then ``ids`` (array of int, if wanted), ``n_tokens``, ``ids_sha256``,
-    ``decoded`` (if ids are wanted) and ``decoded_sha256``. No shuffle. The vocabulary file is
+    ``decoded`` (if wanted) and ``decoded_sha256``. No shuffle. The vocabulary file is
     read by each Python worker from the installed package.
     """
-    extra = "ids array<int>, decoded string, " if ids else ""
+    extra = ("ids array<int>, " if ids else "") + ("decoded string, " if decoded else "")
     schema = with_fields(docs, keep, f"{extra}n_tokens long, ids_sha256 string, decoded_sha256 string")
 
     def run(batch: pa.RecordBatch) -> dict:
         enc = encoder(path)
-        out: dict = {"n_tokens": [], "ids_sha256": [], "decoded_sha256": [], "ids": [], "decoded": []}
-        for part in slices(batch, "_text"):
-            for t in texts_of(part, "_text"):
-                coded = enc.encode(t)
-                back = enc.decode(coded)
-                out["n_tokens"].append(len(coded) // 4)
-                out["ids_sha256"].append(hashlib.sha256(coded).hexdigest())
-                out["decoded_sha256"].append(hashlib.sha256(back.encode()).hexdigest())
-                if ids:
-                    out["ids"].append(np.frombuffer(coded, dtype="<u4").astype(np.int32))
-                    out["decoded"].append(back)
-        return out | {c: batch.column(k) for k, c in enumerate(keep)}
+        coded = enc.encode_all(texts_of(batch, "_text"))
+        back = [enc.decode(c) for c in coded]
+        out = {c: batch.column(k) for k, c in enumerate(keep)}
+        out["n_tokens"] = [len(c) for c in coded]
+        out["ids_sha256"] = [hashlib.sha256(c.tobytes()).hexdigest() for c in coded]
+        out["decoded_sha256"] = [hashlib.sha256(t.encode()).hexdigest() for t in back]
+        if ids:
+            out["ids"] = [c.astype(np.int32) for c in coded]
+        if decoded:
+            out["decoded"] = back
+        return out
 
     picked = docs.select(*[F.col(f"`{c}`") for c in keep], F.col(text).alias("_text"))
-    return map_arrow(picked, run, schema, after=lambda: encoder(path).words.forget())
+    return map_arrow(picked, run, schema, text="_text")

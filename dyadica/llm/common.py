@@ -47,10 +47,12 @@ def slices(batch: pa.RecordBatch, name: str, chunk_bytes: int = CHUNK_BYTES) ->
 
 def map_arrow(
     df: DataFrame, fn: Callable[[pa.RecordBatch], dict | None], schema: StructType | str,
-    after: Callable[[], None] | None = None,
+    after: Callable[[], None] | None = None, text: str | None = None,
 ) -> DataFrame:
     """Apply ``fn``, a batch to named columns, to every Arrow batch.
 
+    With ``text``, the name of a text column, batches are cut into slices of bounded text first,
+    and each slice gives a batch of its own, so that no more than a slice's results are held.
     ``after`` runs when a partition is done, to let go of what the worker, which other stages use
     too, holds for it.
     """
@@ -59,8 +61,9 @@ def map_arrow(
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         try:
             for batch in batches:
-                if batch.num_rows and (out := fn(batch)) is not None:
-                    yield record_batch(out, kind)
+                for part in [batch] if text is None else slices(batch, text):
+                    if part.num_rows and (out := fn(part)) is not None:
+                        yield record_batch(out, kind)
         finally:
             if after is not None:
                 after()
