@@ -24,22 +24,24 @@ from __future__ import annotations
 
 import math
 import re
+from bisect import bisect_left
 from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
-from dyadica.llm.common import map_arrow, slices, texts_of, with_fields
+from dyadica.llm.common import map_arrow, texts_of, with_fields
 
 SAMPLE_LABELS = 20_000
 LEAST_LABELS = 10
-# A learned term stands in at least so many toxic documents of the sample, so many times more
-# often than in the others; the most frequent are kept.
-TERM_DOCUMENTS, TERM_LIFT, MOST_TERMS = 5, 12.0, 500
+# A learned term stands in at least so many toxic documents of the sample and in this share of
+# them, so many times more often than in the others.
+TERM_DOCUMENTS, TERM_SHARE, TERM_LIFT = 5, 0.002, 12.0
 EXACT_LENGTH, LONG_LENGTH = 4, 10
 WINDOW = 8
-WORDS_KEPT = 200_000
+# Entries after which the table of words, and that of the automaton's states, is filled anew.
+WORDS_KEPT, STATES_KEPT = 100_000, 50_000
 # The seed terms.
 TERMS = (
     "idiot", "moron", "stupid", "loser", "trash", "scum", "worthless", "pathetic", "clown",
@@ -77,6 +79,10 @@ class TermAutomaton:
         for node in range(len(self.children) - 1, -1, -1):
             own = edits_allowed(len(self.term[node])) if self.term[node] else 0
             self.allowed[node] = max([own, *(self.allowed[c] for c in self.children[node].values())])
+        self.forget()
+
+    def forget(self) -> None:
+        """Drop all states but the start."""
         self.states: list[tuple[tuple[int, int], ...]] = []
         self.number: dict[tuple, int] = {}
         self.steps: list[dict[str, int]] = []
@@ -122,6 +128,8 @@ class TermAutomaton:
 
     def look_up(self, word: str) -> tuple[str, int] | None:
         """The closest term within its allowed edits, and the edits."""
+        if len(self.states) > STATES_KEPT:
+            self.forget()
         state = self.start
         steps = self.steps
         for c in word:
@@ -197,7 +205,7 @@ def read_text(text: str, table: WordTable) -> tuple[list[float], int, int, int]:
     scores, quoted, misspelled = [], 0, 0
     for k in at:
         lo, hi = max(0, k - WINDOW), k + WINDOW + 1
-        near = sum(lo <= j < hi for j in at) - 1
+        near = bisect_left(at, hi) - bisect_left(at, lo) - 1
         around = {w.lower().strip(QUOTES) for w in words[lo:k]} | {w.lower().strip(QUOTES) for w in words[k + 1 : hi]}
         opened = words[k][0] in QUOTES or any(w[0] in QUOTES and w[-1] not in QUOTES for w in words[lo:k])
         closed = words[k][-1] in QUOTES or any(w[-1] in QUOTES and w[0] not in QUOTES for w in words[k + 1 : hi])
@@ -250,8 +258,9 @@ def learned_terms(sample: DataFrame) -> list[str]:
         F.sum(F.when(F.col("label") == 0, 1).otherwise(0)).alias("c"),
     )
     lift = (F.col("t") / toxic) / ((F.col("c") + 1) / (clean + 1))
-    rows = counts.filter((F.col("t") >= TERM_DOCUMENTS) & (lift >= TERM_LIFT)).orderBy(F.desc("t"), "word").limit(MOST_TERMS)
-    return [r["word"] for r in rows.select("word").collect()]
+    least = max(TERM_DOCUMENTS, TERM_SHARE * toxic)
+    # Bounded: a toxic document of the sample holds at most 1 / TERM_SHARE of them a word.
+    return [r["word"] for r in counts.filter((F.col("t") >= least) & (lift >= TERM_LIFT)).select("word").collect()]
 
 
 def fit(docs: DataFrame, labels: DataFrame, usable: Column | None = None, id: str = "doc_id", text: str = "text", label: str = "toxic") -> Model:
@@ -268,10 +277,11 @@ def fit(docs: DataFrame, labels: DataFrame, usable: Column | None = None, id: st
 
         def run(batch: pa.RecordBatch) -> dict:
             table = table_of(terms)
-            x = [read_text(t, table)[0] for part in slices(batch, "_text") for t in texts_of(part, "_text")]
+            x = [read_text(t, table)[0] for t in texts_of(batch, "_text")]
             return {"label": batch.column(batch.schema.get_field_index("label")), "x": x}
 
-        rows = map_arrow(sample.filter("label in (0, 1)"), run, "label double, x array<double>", after=forget_tables)
+        labelled = sample.filter("label in (0, 1)")
+        rows = map_arrow(labelled, run, "label double, x array<double>", after=forget_tables, text="_text")
         lr = LogisticRegression(maxIter=60, regParam=1e-3, standardization=True)
         fitted = lr.fit(rows.select("label", array_to_vector("x").alias("features")))
     finally:
@@ -285,11 +295,11 @@ def score_documents(docs: DataFrame, model: Model, keep: list[str], text: str =
 
     def run(batch: pa.RecordBatch) -> dict:
         table = table_of(model.terms)
-        rows = [read_text(t, table) for part in slices(batch, "_text") for t in texts_of(part, "_text")]
+        rows = [read_text(t, table) for t in texts_of(batch, "_text")]
         score = np.array([model.score(r[0]) for r in rows])
         out = {"score": score, "predicted": (score >= 0.5).astype(np.int32)}
         out |= {n: [r[k] for r in rows] for k, n in ((1, "n_hits"), (2, "n_quoted"), (3, "n_misspelled"))}
         return out | {c: batch.column(k) for k, c in enumerate(keep)}
 
     picked = docs.select(*[F.col(f"`{c}`") for c in keep], F.col(text).alias("_text"))
-    return map_arrow(picked, run, schema, after=forget_tables)
+    return map_arrow(picked, run, schema, after=forget_tables, text="_text")

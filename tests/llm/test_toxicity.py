@@ -1,11 +1,13 @@
+import math
 import random
+import time
 
 import pytest
 
 from dyadica.llm.common import fold_of
 from dyadica.llm.queries import op4_toxicity
 from dyadica.llm.toxicity import (
-    FEATURES, TERMS, Model, TermAutomaton, WordTable, edits_allowed, fit, read_text, score_documents,
+    FEATURES, TERMS, WINDOW, Model, TermAutomaton, WordTable, edits_allowed, fit, read_text, score_documents,
 )
 
 
@@ -68,3 +70,34 @@ def test_edge_rows(spark, edge, nothing):
     assert score_documents(nothing, Model(), ["doc_id"]).count() == 0
     none = spark.createDataFrame([(1, None), (None, 1), (None, None)], "doc_id long, toxic int")
     assert fit(edge, none) == Model() and fit(nothing, none) == Model()
+
+
+def test_many_hits_in_one_text():
+    table = WordTable(TermAutomaton(list(TERMS)))
+    start = time.monotonic()
+    x, hits, quoted, _ = read_text('you idiot and "moron" ' * 50_000, table)
+    assert hits == 100_000 and quoted == 50_000 and time.monotonic() - start < 30
+    # Windows of the ends hold fewer hits; all others are alike, so the total grows with the text.
+    few = read_text('you idiot and "moron" ' * 5_000, table)[0]
+    at = FEATURES.index("log_abuse")
+    assert math.expm1(x[at]) / math.expm1(few[at]) == pytest.approx(10, rel=1e-3)
+
+
+def test_near_hits_by_brute_force():
+    table = WordTable(TermAutomaton(list(TERMS)))
+    rng = random.Random(10)
+    for _ in range(200):
+        words = [rng.choice(["idiot", "moron", "word2", "house", "tree"]) for _ in range(40)]
+        at = [k for k, w in enumerate(words) if w in ("idiot", "moron")]
+        if at:
+            scores = [1 + 0.5 * (sum(abs(j - k) <= WINDOW for j in at) - 1) for k in at]
+            assert read_text(" ".join(words), table)[0][FEATURES.index("strongest")] == max(scores)
+
+
+def test_states_are_made_anew_when_there_are_many(monkeypatch):
+    monkeypatch.setattr("dyadica.llm.toxicity.STATES_KEPT", 20)
+    small, whole = TermAutomaton(list(TERMS)), TermAutomaton(list(TERMS))
+    for t in TERMS:
+        for k in range(len(t)):
+            word = t[:k] + "x" + t[k + 1 :]
+            assert small.look_up(word) == TermAutomaton.look_up(whole, word)
