@@ -1,26 +1,33 @@
-"""Licence scan: Aho-Corasick over words, and a shunting-yard parser for licence expressions.
+"""Licence scan: Aho-Corasick over words and text, and a shunting-yard parser for expressions.
 
 A text is lower-cased (A-Z), cut into words, and written with single spaces. One Aho-Corasick
-pass finds the notice phrases, another search over the plain lower-case text finds identifier tags, and
-one over that text with single spaces finds notice openings, so that wrapped notices are read on.
-What follows a tag, up to the end of its line, or an opening, up to the first word that cannot
-continue it, is parsed as an expression of ``and``, ``or``, ``with`` and brackets. ``with`` binds closest, then ``and``, then ``or``. An expression is
-evaluated to its licence families and to whether it can be met by permissive licences alone.
+pass over the words finds the notice phrases, one over the plain lower-case text the identifier
+tags, and one over that text with single spaces the notice openings, so that wrapped notices are
+read on. What follows a tag, up to the end of its line or the next tag, or an opening, up to the
+first word that cannot continue it, is parsed as an expression of ``and``, ``or``, ``with`` and
+brackets. ``with`` binds closest, then ``and``, then ``or``. An expression is evaluated to its
+licence families and to whether it can be met by permissive licences alone. An opening inside an
+expression that was already read belongs to it, so every word is parsed once.
+
+Unknown identifiers are operands too, behind a tag any word and elsewhere words shaped like one
+(``licenseref-x``, ``name-2.0``). What they ask for is not known, so an expression with one is
+null for whether it is permissive.
 
 Rows: null and empty texts have no words, no labels and score 0. Texts are scanned whole. An
-expression that does not parse still gives the labels of the identifiers before the fault.
-Repeated rows give repeated results.
+expression that does not parse gives the labels of all its identifiers, and null for whether it
+is permissive. Repeated rows give repeated results.
 """
 
 from __future__ import annotations
 
 import re
-from functools import lru_cache
+from functools import lru_cache, reduce
+from typing import NamedTuple
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from dyadica.llm.common import map_arrow, slices, texts_of, with_fields
+from dyadica.llm.common import map_arrow, texts_of, with_fields
 
 # Phrases whose places are the base, with their labels.
 BASE = {
@@ -47,6 +54,14 @@ NOTICES = {
     "cc by sa": "cc-by-sa",
     "cc0": "cc0",
     "creative commons zero": "cc0",
+    "gnu gpl": "gpl",
+    "gnu lgpl": "lgpl",
+    "gnu agpl": "agpl",
+    "gplv2": "gpl",
+    "gplv3": "gpl",
+    "lgplv2": "lgpl",
+    "lgplv3": "lgpl",
+    "agplv3": "agpl",
     "released into the public domain": "public-domain",
     "all rights reserved": "proprietary",
 }
@@ -65,7 +80,11 @@ BINDS = {"or": 1, "and": 2, "with": 3}
 # How sure a label is: by identifier tag, by notice opening, by a phrase alone.
 BY_TAG, BY_OPENING, BY_PHRASE = 1.0, 0.9, 0.7
 
-SKIPPED = {"the", "a", "license", "licence", "terms", "of"}
+SKIPPED = {"the", "a", "license", "licence", "terms", "of", "gnu"}
+# What may follow an identifier and belongs to it.
+VERSION = re.compile(r"(?:v|version)?[0-9][0-9.]*\+?$|version$")
+LATER = {"later", "newer"}
+IDENTIFIER = re.compile(r"licenseref-|[a-z][a-z0-9]*(?:-[a-z0-9]+)*-v?[0-9]")
 TOKEN = re.compile(r"\(|\)|[a-z0-9][a-z0-9.+-]*")
 WORD_TABLE = bytes(
     b if b >= 0x80 or chr(b).isdigit() or chr(b).islower() else b + 32 if chr(b).isupper() else 32
@@ -73,10 +92,11 @@ WORD_TABLE = bytes(
 )
 
 
+@lru_cache(maxsize=4096)
 def family(identifier: str) -> str | None:
-    """The family of an identifier such as ``gpl-2.0-only``; None where it is unknown."""
+    """The family of an identifier such as ``gpl-2.0-only`` or ``gplv3``; None where it is unknown."""
     for start, name in FAMILIES.items():
-        if identifier == start or re.match(re.escape(start) + r"[-+.0-9]", identifier):
+        if identifier == start or re.match(re.escape(start) + r"(?:[-+.0-9]|v[0-9])", identifier):
             return name
     return None
 
@@ -140,14 +160,35 @@ def evaluate(postfix: list[str]) -> tuple[set[str], bool] | None:
     return licence(stack[0])
 
 
-def parse(text: str, start: int = 0, end: int | None = None) -> tuple[str, set[str], bool] | None:
-    """The longest expression of known licences at ``start``: its tokens, families and whether it
-    is permissive. ``the`` and ``license`` are skipped. Reads to the first token that cannot
-    continue it."""
-    tokens, whole, depth, operand_next = [], 0, 0, True
-    for m in TOKEN.finditer(text, start, len(text) if end is None else end):
+def both(a: bool | None, b: bool | None) -> bool | None:
+    """And, where None is not known."""
+    return False if a is False or b is False else None if a is None or b is None else True
+
+
+class Expression(NamedTuple):
+    """What stands behind a tag or an opening: its text, families, and whether permissive licences
+    can meet it (None: not known)."""
+
+    text: str
+    families: set[str]
+    permissive: bool | None
+
+
+def parse(text: str, start: int = 0, end: int | None = None, strict: bool = False) -> Expression | None:
+    return read_on(text, start, end, strict)[0]
+
+
+def read_on(text: str, start: int = 0, end: int | None = None, strict: bool = False) -> tuple[Expression | None, int]:
+    """The expression at ``start``, and the first token that cannot continue it, where reading ends.
+
+    ``the`` and ``license`` and versions are skipped. With ``strict``, any word may be an operand,
+    and an operator without one is a fault; else the text goes on as prose there.
+    """
+    tokens, operands, whole, depth, operand_next = [], [], 0, 0, True
+    stop = len(text) if end is None else end
+    for m in TOKEN.finditer(text, start, stop):
         t = m.group().rstrip(".")
-        if t in SKIPPED:
+        if t in SKIPPED or not operand_next and VERSION.match(t):
             continue
         exception = bool(tokens) and tokens[-1] == "with"
         if not operand_next:
@@ -156,18 +197,29 @@ def parse(text: str, start: int = 0, end: int | None = None) -> tuple[str, set[s
             elif t == ")" and depth:
                 depth -= 1
             else:
+                stop = m.start()
                 break
+        elif t in LATER and tokens and tokens[-1] == "or":
+            tokens.pop()
+            operand_next = False
+            continue
         elif t == "(" and not exception:
             depth += 1
-        elif t in BINDS or t in ("(", ")") or not exception and family(t) is None:
+        elif t in BINDS or t in ("(", ")") or not (strict or exception or family(t) or IDENTIFIER.match(t)):
+            stop = m.start()
             break
         else:
             operand_next = False
+            operands.append((len(tokens), t, exception))
         tokens.append(t)
         if not depth and not operand_next:
             whole = len(tokens)
-    value = evaluate(to_postfix(tokens[:whole])) if whole else None
-    return (" ".join(tokens[:whole]), *value) if value else None
+    families = {name for _, t, exception in operands if not exception and (name := family(t))}
+    if not operands or not (families or strict):
+        return None, stop
+    faulty = not whole or operands[-1][0] >= whole or strict and len(tokens) > whole
+    value = None if faulty else evaluate(to_postfix(tokens[:whole]))
+    return Expression(" ".join(tokens[: whole or None]), families, value[1] if value else None), stop
 
 
 @lru_cache(maxsize=1)
@@ -178,15 +230,16 @@ def automata():
     for phrase, name in {**NOTICES, **BASE}.items():
         phrases.add_word(f" {phrase} ", (len(phrase) + 1, name, phrase in BASE))
     phrases.make_automaton()
-    openings = ahocorasick.Automaton()
-    for opening in OPENINGS[1:]:
-        openings.add_word(opening, opening)
+    tags, openings = ahocorasick.Automaton(), ahocorasick.Automaton()
+    for opening in OPENINGS:
+        (tags if opening is OPENINGS[0] else openings).add_word(opening, opening)
+    tags.make_automaton()
     openings.make_automaton()
-    return phrases, openings
+    return phrases, tags, openings
 
 
 def scan(text: str) -> dict:
-    phrases, openings = automata()
+    phrases, tags, openings = automata()
     raw = text.encode("utf-8", "surrogatepass")
     words = raw.translate(WORD_TABLE).split()
     line = b" " + b" ".join(words) + b" "
@@ -203,34 +256,30 @@ def scan(text: str) -> dict:
     lower = raw.lower()
     flowing = b" ".join(lower.split()).decode("latin-1")
     lower = lower.decode("latin-1")
-    expressions, permissive = [], []
+    expressions, permissive = set(), []
 
-    def add(found, sure: float) -> None:
+    def add(found: Expression | None, sure: float) -> None:
         nonlocal score
-        if found:
-            expressions.append(found[0])
-            permissive.append(found[2])
-            labels.update(found[1])
-            score = max(score, sure)
-
-    tag = lower.find(OPENINGS[0])
-    while tag >= 0:
-        tag += len(OPENINGS[0])
-        stop = lower.find("\n", tag)
-        add(parse(lower, tag, len(lower) if stop < 0 else stop), BY_TAG)
-        tag = lower.find(OPENINGS[0], tag)
-    start, found = -1, None
+        if found is not None:
+            expressions.add(found.text)
+            permissive.append(found.permissive)
+            labels.update(found.families)
+            score = max(score, sure if found.families else 0.0)
+
+    after = [end + 1 for end, _ in tags.iter(lower)]
+    for start, following in zip(after, [*after[1:], len(lower) + len(OPENINGS[0])]):
+        stop = lower.find("\n", start, following - len(OPENINGS[0]))
+        add(parse(lower, start, following - len(OPENINGS[0]) if stop < 0 else stop, strict=True), BY_TAG)
+    reach = -1
     for end, _ in openings.iter(flowing):
-        if start <= end:  # openings with only skipped words between them share what follows
-            words_on = (m for m in TOKEN.finditer(flowing, end + 1) if m.group().rstrip(".") not in SKIPPED)
-            start = next((m.start() for m in words_on), len(flowing))
-            found = parse(flowing, start)
-        add(found, BY_OPENING)
+        if reach <= end:  # an opening within what an earlier one reads belongs to that
+            found, reach = read_on(flowing, end + 1)
+            add(found, BY_OPENING)
     return {
         "n_words": len(words), "n_base": len(places),
         "first_word": min(places, default=None), "last_word": max(places, default=None),
         "base_labels": ",".join(sorted(base)), "labels": ",".join(sorted(labels)), "score": score,
-        "expressions": "; ".join(sorted(set(expressions))), "permissive": all(permissive) if permissive else None,
+        "expressions": "; ".join(sorted(expressions)), "permissive": reduce(both, permissive) if permissive else None,
     }
 
 
@@ -246,8 +295,8 @@ def scan_documents(docs: DataFrame, keep: list[str], text: str = "text") -> Data
     names = [f.split()[0] for f in SCHEMA.split(", ")]
 
     def run(batch: pa.RecordBatch) -> dict:
-        rows = [scan(t) for part in slices(batch, "_text") for t in texts_of(part, "_text")]
+        rows = [scan(t) for t in texts_of(batch, "_text")]
         return {n: [r[n] for r in rows] for n in names} | {c: batch.column(k) for k, c in enumerate(keep)}
 
     picked = docs.select(*[F.col(f"`{c}`") for c in keep], F.col(text).alias("_text"))
-    return map_arrow(picked, run, with_fields(docs, keep, SCHEMA))
+    return map_arrow(picked, run, with_fields(docs, keep, SCHEMA), text="_text")

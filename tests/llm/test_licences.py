@@ -1,8 +1,10 @@
+import random
 import re
+import time
 
 import pytest
 
-from dyadica.llm.licences import BASE, evaluate, family, parse, scan, scan_documents, to_postfix
+from dyadica.llm.licences import BASE, PERMISSIVE, evaluate, family, parse, scan, scan_documents, to_postfix
 from dyadica.llm.queries import op9_licences
 
 
@@ -83,3 +85,78 @@ def test_notices_wrapped_over_lines():
     assert scan("SPDX-License-Identifier: MIT\nor GPL-2.0")["labels"] == "mit"
     assert scan("SPDX-License-Identifier:\nMIT")["labels"] == ""
     assert scan("license: " * 50_000 + "mit")["expressions"] == "mit"
+
+
+def test_unknown_operands_and_faults():
+    tag = "SPDX-License-Identifier: "
+    r = scan(tag + "(MIT OR Apache-2.0) AND LicenseRef-x")
+    assert r["labels"] == "apache,mit" and r["permissive"] is None and r["score"] == 1.0
+    r = scan(tag + "MIT AND (GPL-2.0 OR")
+    assert r["labels"] == "gpl,mit" and r["permissive"] is None
+    assert scan("licensed under MIT and (GPL-2.0 or")["permissive"] is None
+    r = scan("licensed under MIT and distributed to all")
+    assert r["expressions"] == "mit" and r["permissive"] is True
+    assert scan("licensed under MIT and EUPL-1.2")["permissive"] is None
+    r = scan(tag + "LicenseRef-x")
+    assert r["labels"] == "" and r["permissive"] is None and r["score"] == 0.0
+    assert scan(tag + "MIT\n" + tag + "LicenseRef-x\n" + tag + "GPL-2.0")["permissive"] is False
+
+
+def test_forms_of_gpl():
+    for t in ("under GPLv3", "GNU GPL v3", "SPDX-License-Identifier: GPLv2", "licensed under the GNU GPL v3", "license: gplv2+"):
+        assert scan(t)["labels"] == "gpl", t
+    r = scan("licensed under the GNU GPL v3 or MIT")
+    assert r["labels"] == "gpl,mit" and r["permissive"] is True and r["expressions"] == "gpl or mit"
+    r = scan("licensed under GPL version 2 or later and Apache-2.0")
+    assert r["expressions"] == "gpl and apache-2.0" and r["permissive"] is False
+
+
+def met(tokens):
+    """Recursive descent over an expression, as the rules state them."""
+
+    def part(level):
+        if level == 3:
+            if tokens[0] == "(":
+                tokens.pop(0)
+                value = part(1)
+                tokens.pop(0)
+                return value
+            name = family(tokens.pop(0))
+            if tokens[:1] == ["with"]:
+                del tokens[:2]
+            return {name}, name in PERMISSIVE
+        names, value = part(level + 1)
+        while tokens[:1] == [("or", "and")[level - 1]]:
+            tokens.pop(0)
+            more, other = part(level + 1)
+            names, value = names | more, (value or other) if level == 1 else (value and other)
+        return names, value
+
+    return part(1)
+
+
+def test_random_expressions_by_recursive_descent():
+    rng = random.Random(9)
+
+    def made(depth):
+        if depth == 0 or rng.random() < 0.3:
+            one = [rng.choice(["mit", "gpl-2.0", "apache-2.0", "mpl-2.0", "bsd-3-clause"])]
+            return one + ["with", "classpath-exception-2.0"] if rng.random() < 0.2 else one
+        out = made(depth - 1) + [rng.choice(["and", "or"])] + made(depth - 1)
+        return ["(", *out, ")"] if rng.random() < 0.5 else out
+
+    for _ in range(500):
+        tokens = made(4)
+        names, value = met(list(tokens))
+        for strict in (False, True):
+            found = parse(" ".join(tokens), strict=strict)
+            assert (found.text.split(), found.families, found.permissive) == (tokens, names, value)
+
+
+def test_many_openings_in_linear_time():
+    start = time.monotonic()
+    r = scan("license: mit and " * 20_000)
+    assert r["labels"] == "mit" and len(r["expressions"]) < 9 * 20_000
+    assert scan("license: ((( " * 20_000)["labels"] == ""
+    assert scan("SPDX-License-Identifier: mit and " * 20_000)["labels"] == "mit"
+    assert time.monotonic() - start < 20
