@@ -14,7 +14,10 @@ Words are counted once over the cluster. A bounded table of the most frequent wo
 all tasks and settles most words where they stand; the others are shuffled as hashes to the count
 table. No count, piece or word is dropped.
 
-Rows: null and empty texts have their end alone. Lower-casing is of A-Z. Repeated rows are rows of
+Words of more than LONG_LETTERS are summed block by block: the forward sums need no more than the
+last few, and the backward pass makes a block's forward sums again from those kept at its start.
+
+Rows: null and empty texts have their end alone. Words of any length are summed whole. Lower-casing is of A-Z. Repeated rows are rows of
 their own. An empty table, or one without training rows, leaves all counts at 0.
 """
 
@@ -44,6 +47,8 @@ BYTE_RANK, RANK_OFFSET = 40_000, 10
 CHUNK_BYTES = 2 * 1024 * 1024
 # Letters of words in one numpy step.
 CELLS = 200_000
+# Letters from which a word is summed by itself, and those of one of its blocks.
+LONG_LETTERS, BLOCK_LETTERS = 2000, 50_000
 
 _U = np.uint64
 _BASE = _U(0x9E3779B97F4A7C15)
@@ -168,6 +173,9 @@ class Lattice:
             beta[:, j] = np.logaddexp(beta[:, j], _log_sum(ahead))
         return beta
 
+    def log_probability(self) -> np.ndarray:
+        return self.totals(self.forward())
+
     def totals(self, alpha: np.ndarray) -> np.ndarray:
         return alpha[np.arange(self.n), self.lengths]
 
@@ -186,6 +194,100 @@ class Lattice:
         return out
 
 
+class LongLattice:
+    """All segmentations of one long word, block by block."""
+
+    def __init__(self, word: str, vocab: Vocabulary, logp: np.ndarray):
+        self.codes = np.frombuffer((MARK + word).encode("utf-32-le", "surrogatepass"), dtype=np.uint32).copy()
+        self.codes[1:][self.codes[1:] == ord(MARK)] = NO_PIECE
+        self.vocab, self.logp, self.most = vocab, logp, vocab.longest
+
+    def _pieces(self, lo: int, hi: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Pieces that lie in the letters lo..hi-1: where they begin and end, their log probability
+        and number; -1 - c stands for letter c spelled by bytes."""
+        codes = self.codes[lo:hi]
+        n = len(codes)
+        starts, ends, ids = [], [], []
+        with np.errstate(over="ignore"):
+            sums = np.zeros(n + 1, dtype=np.uint64)
+            total, letters = _U(0), _letter(codes.astype(np.uint64))
+            for j in range(n):
+                total = total * _BASE + letters[j]
+                sums[j + 1] = total
+            power = _U(1)
+            for k in range(min(self.most, n)):
+                power = power * _BASE
+                at, found = self.vocab.find(sums[k + 1 :] - sums[: n - k] * power)
+                starts.append(at)
+                ends.append(at + k + 1)
+                ids.append(found)
+        kinds, which = np.unique(codes, return_inverse=True)
+        spelled = np.array([self.logp[self.vocab.byte[list(spelling(int(c)))]].sum() for c in kinds])
+        lp = np.concatenate([self.logp[np.concatenate(ids)], spelled[which]])
+        starts, ends = np.concatenate([*starts, np.arange(n)]), np.concatenate([*ends, np.arange(1, n + 1)])
+        return starts + lo, ends + lo, lp, np.concatenate([*ids, -1 - codes.astype(np.int64)])
+
+    def _forward(self, lo: int, hi: int, before: list[float]) -> list[float]:
+        """Sums at the places lo+1..hi, from those at the last places up to lo."""
+        first = lo - len(before) + 1
+        starts, ends, lp, _ = self._pieces(first, hi)
+        return _running(starts - first, ends - first, lp, before, hi - lo)
+
+    def log_probability(self) -> np.ndarray:
+        for _, _, alpha in self._blocks():
+            total = alpha[-1]
+        return np.array([total])
+
+    def _blocks(self):
+        """(start, sums up to it that its pieces need, sums in it) of the blocks in order."""
+        before = [0.0]
+        for lo in range(0, len(self.codes), BLOCK_LETTERS):
+            alpha = self._forward(lo, min(lo + BLOCK_LETTERS, len(self.codes)), before)
+            yield lo, before, alpha
+            before = (before + alpha)[-self.most :]
+
+    def expected(self, logp: np.ndarray, counts: np.ndarray) -> np.ndarray:
+        kept = [(lo, before, alpha[-1]) for lo, before, alpha in self._blocks()]
+        total, n = kept[-1][2], len(self.codes)
+        out = np.zeros(len(logp))
+        after = [0.0]  # backward sums at the places from the block's end on
+        for lo, before, _ in reversed(kept):
+            hi = min(lo + BLOCK_LETTERS, n)
+            alpha = np.array([before[-1], *self._forward(lo, hi, before)])
+            starts, ends, lp, ids = self._pieces(lo, min(hi + self.most - 1, n))
+            mine = starts < hi
+            starts, ends, lp, ids = starts[mine], ends[mine], lp[mine], ids[mine]
+            # Backward is forward from the other end.
+            last = hi + len(after) - 1
+            beta = _running(last - ends, last - starts, lp, after[::-1], hi - lo)[::-1]
+            beta = np.array(beta + after)
+            weight = np.exp(alpha[starts - lo] + lp + beta[ends - lo] - total) * counts[0]
+            whole = ids >= 0
+            out += np.bincount(ids[whole], weight[whole], minlength=len(out))
+            kinds, which = np.unique(-1 - ids[~whole], return_inverse=True)
+            for c, w in zip(kinds.tolist(), np.bincount(which, weight[~whole]), strict=True):
+                np.add.at(out, self.vocab.byte[list(spelling(c))], w)
+            after = beta[: self.most].tolist()
+        return out
+
+
+def _running(starts: np.ndarray, ends: np.ndarray, lp: np.ndarray, known: list[float], more: int) -> list[float]:
+    """The next ``more`` log sums after the known ones, over arcs between numbered places."""
+    good = ends >= len(known)
+    order = np.argsort(ends[good], kind="stable")
+    starts, ends, lp = starts[good][order], ends[good][order], lp[good][order].tolist()
+    cuts = np.searchsorted(ends, np.arange(len(known), len(known) + more + 1)).tolist()
+    starts, sums = starts.tolist(), list(known)
+    for a, b in zip(cuts, cuts[1:]):
+        if b == a + 1:
+            sums.append(sums[starts[a]] + lp[a])
+        else:
+            terms = [sums[i] + p for i, p in zip(starts[a:b], lp[a:b])]
+            top = max(terms)
+            sums.append(top + math.log(sum([math.exp(t - top) for t in terms])))
+    return sums[len(known) :]
+
+
 def spelling(code: int) -> bytes:
     return chr(ord(MARK) if code == NO_PIECE else code).encode("utf-8", "surrogatepass")
 
@@ -205,9 +307,15 @@ def lattices(words: list[str], vocab: Vocabulary, logp: np.ndarray):
         end, width = start, 0
         while end < len(order):
             width = len(words[order[end]]) + 1
+            if width > LONG_LETTERS:
+                break
             if end > start and (end - start + 1) * width > CELLS:
                 break
             end += 1
+        if end == start:
+            yield order[start : start + 1], LongLattice(words[order[start]], vocab, logp)
+            start += 1
+            continue
         at = order[start:end]
         yield at, Lattice([words[k] for k in at], vocab, logp)
         start = end
@@ -216,7 +324,7 @@ def lattices(words: list[str], vocab: Vocabulary, logp: np.ndarray):
 def word_log_probability(words: list[str], vocab: Vocabulary, logp: np.ndarray) -> np.ndarray:
     out = np.zeros(len(words))
     for at, lattice in lattices(words, vocab, logp):
-        out[at] = lattice.totals(lattice.forward())
+        out[at] = lattice.log_probability()
     return out
 
 

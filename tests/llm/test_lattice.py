@@ -1,5 +1,7 @@
 import math
+import random
 import re
+import time
 import zlib
 from collections import Counter
 
@@ -110,3 +112,29 @@ def test_edge_rows(edge, nothing):
     assert L.score_documents(nothing, PATH, F.lit(True), ["doc_id"]).count() == 0
     untrained = L.score_documents(edge, PATH, F.lit(False), ["doc_id"]).collect()
     assert all(r.train_tokens == 0 and r.n_known == 0 and r.base_score == 0 for r in untrained)
+
+
+@pytest.mark.parametrize("block", [7, 40, 1000])
+def test_long_words_in_blocks(vocab, logp, monkeypatch, block):
+    rng = random.Random(11)
+    words = ["".join(rng.choice(["the", "a", "é", "中", "re", "▁", "z", "tion"]) for _ in range(60)) for _ in range(4)] + WORDS
+    counts = np.arange(1.0, len(words) + 1)
+    plain, used = L.word_log_probability(words, vocab, logp), np.zeros(len(logp))
+    for at, lattice in L.lattices(words, vocab, logp):
+        used += lattice.expected(logp, counts[at])
+    monkeypatch.setattr(L, "LONG_LETTERS", 1)
+    monkeypatch.setattr(L, "BLOCK_LETTERS", block)
+    assert L.word_log_probability(words, vocab, logp) == pytest.approx(plain, rel=1e-12)
+    again = np.zeros(len(logp))
+    for at, lattice in L.lattices(words, vocab, logp):
+        assert isinstance(lattice, L.LongLattice)
+        again += lattice.expected(logp, counts[at])
+    assert again == pytest.approx(used, rel=1e-9, abs=1e-12)
+
+
+def test_a_word_of_two_million_letters(vocab, logp):
+    rng = random.Random(12)
+    word = "".join(rng.choice("etaoinshrdlu0123") for _ in range(2_000_000))
+    start = time.monotonic()
+    whole = L.word_log_probability([word], vocab, logp)[0]
+    assert whole < 0 and time.monotonic() - start < 90
