@@ -58,14 +58,26 @@ def materialize(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def release(spark: SparkSession) -> int:
-    """Delete all tables that ``materialize`` wrote for this application, and say how many.
+def written(spark: SparkSession) -> int:
+    """How many tables ``materialize`` has written and not released; a mark for ``release``."""
+    return len(_written.get(spark.sparkContext.applicationId, []))
+
+
+def release(spark: SparkSession, since: int = 0) -> int:
+    """Delete the tables that ``materialize`` wrote for this application after the mark ``since``,
+    all by default, and say how many.
 
     Call it when no frame built on them is needed any more, at the end of a job for example.
     """
-    paths = _written.pop(spark.sparkContext.applicationId, [])
+    paths = _written.get(spark.sparkContext.applicationId, [])
+    gone = paths[since:]
+    del paths[since:]
+    delete(spark, gone)
+    return len(gone)
+
+
+def delete(spark: SparkSession, paths: list[str]) -> None:
     hadoop, conf = spark._jvm.org.apache.hadoop.fs, spark._jsc.hadoopConfiguration()
     for path in paths:
         place = hadoop.Path(path)
         place.getFileSystem(conf).delete(place, True)
-    return len(paths)
