@@ -15,6 +15,12 @@ def tokenizer_path(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def split_pattern() -> str:
+    import public_tokenizers
+
+    return public_tokenizers.PATTERN
+
+
 def op4_toxicity(spark: SparkSession, sf: str) -> DataFrame:
     from dyadica.llm.toxicity import fit, score_documents
 
@@ -86,6 +92,13 @@ def op10_forest(spark: SparkSession, sf: str) -> DataFrame:
     return nearest(vectors, vectors.filter("id % 20 = 0"), 20)
 
 
+def op13_tiktoken(spark: SparkSession, sf: str) -> DataFrame:
+    from dyadica.llm.rank_bpe import encode_documents
+
+    path = tokenizer_path("byte_bpe_50k.tiktoken")
+    return encode_documents(read(spark, sf, "documents"), path, split_pattern(), ["doc_id"], ids=False, decoded=False)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_order_minhash": op1_order_minhash,
     "op2_language": op2_language,
@@ -97,4 +110,5 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_entropy_mix": op8_entropy_mix,
     "op9_licences": op9_licences,
     "op10_forest": op10_forest,
+    "op13_tiktoken": op13_tiktoken,
 }
