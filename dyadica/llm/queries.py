@@ -92,6 +92,12 @@ def op10_forest(spark: SparkSession, sf: str) -> DataFrame:
     return nearest(vectors, vectors.filter("id % 20 = 0"), 20)
 
 
+def op11_whitening(spark: SparkSession, sf: str) -> DataFrame:
+    from dyadica.llm.whitening import whiten
+
+    return whiten(read(spark, sf, "embeddings"), "vec_id", "embedding")
+
+
 def op13_tiktoken(spark: SparkSession, sf: str) -> DataFrame:
     from dyadica.llm.rank_bpe import encode_documents
 
@@ -110,5 +116,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_entropy_mix": op8_entropy_mix,
     "op9_licences": op9_licences,
     "op10_forest": op10_forest,
+    "op11_whitening": op11_whitening,
     "op13_tiktoken": op13_tiktoken,
 }
