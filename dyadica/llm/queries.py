@@ -98,6 +98,12 @@ def op11_whitening(spark: SparkSession, sf: str) -> DataFrame:
     return whiten(read(spark, sf, "embeddings"), "vec_id", "embedding")
 
 
+def op12_ranked(spark: SparkSession, sf: str) -> DataFrame:
+    from dyadica.llm.ranked import search
+
+    return search(read(spark, sf, "documents"), read(spark, sf, "benchmark"))
+
+
 def op13_tiktoken(spark: SparkSession, sf: str) -> DataFrame:
     from dyadica.llm.rank_bpe import encode_documents
 
@@ -117,5 +123,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_licences": op9_licences,
     "op10_forest": op10_forest,
     "op11_whitening": op11_whitening,
+    "op12_ranked": op12_ranked,
     "op13_tiktoken": op13_tiktoken,
 }

@@ -6,7 +6,7 @@ from tests.llm.test_neardup import brute
 
 def test_registered():
     found = entry.queries()
-    assert sorted(int(n[2:].split("_")[0]) for n in found if n.startswith("op")) == list(range(1, 11)) and "pipeline" in found
+    assert sorted(int(n[2:].split("_")[0]) for n in found if n.startswith("op")) == list(range(1, 14)) and "pipeline" in found
     assert [n for n, _ in P.STAGES] == ["toxicity", "near_duplicates", "personal_data", "mix", "encode"]
 
 
