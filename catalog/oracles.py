@@ -8,6 +8,7 @@ import numpy as np
 
 from catalog.fixtures import LINE_KEYS, OFFSET, PLANTED, SEED, SEGMENTS
 from catalog.queries import CHOSEN_THRESHOLD, DECAYED, MODES, STEPS, STREAM, WEIGHTS_3, WEIGHTS_5, WEIGHTS_TERMS
+from dyadica.functions.hashing import stream_words
 
 # ------------------------------------------------------------------- building blocks
 
@@ -20,13 +21,47 @@ def h48(prefix: str, key: str) -> str:
     return f"(('0x' || substr(md5('{prefix}' || ({key})), 1, 12))::BIGINT)"
 
 
+def _times(e: str, c: int) -> str:
+    return f"((({e})::HUGEINT * {c}) & 4294967295)::BIGINT"
+
+
+def _turned(e: str, bits: int) -> str:
+    return f"(({e} << {bits}) & 4294967295) | ({e} >> {32 - bits})"
+
+
+def _murmur(tag: str, key: str, word: int) -> list[str]:
+    """Columns, each on those before: ``tag`` is the Murmur3 hash of the word and of the number in
+    ``key``, as an unsigned number of 32 bits. Words and halves of the number are hashed alike."""
+    cols, last = [], "42"
+    for part, (block, size) in enumerate(((str(word), 4), (f"({key} & 4294967295), ({key} >> 32)", 8))):
+        for k, e in enumerate(block.split(", ")):
+            t = f"{tag}_{part}{k}"
+            cols += [
+                f"{_times(e, 0xCC9E2D51)} AS {t}k", f"{_turned(f'{t}k', 15)} AS {t}l", f"{_times(f'{t}l', 0x1B873593)} AS {t}m",
+                f"xor({last}::BIGINT, {t}m) AS {t}x", f"{_turned(f'{t}x', 13)} AS {t}y", f"({t}y * 5 + {0xE6546B64}) & 4294967295 AS {t}z",
+            ]
+            last = f"{t}z"
+        t = f"{tag}_{part}f"
+        cols += [
+            f"xor({last}, {size}::BIGINT) AS {t}a", f"{_times(f'xor({t}a, {t}a >> 16)', 0x85EBCA6B)} AS {t}b",
+            f"{_times(f'xor({t}b, {t}b >> 13)', 0xC2B2AE35)} AS {t}c", f"xor({t}c, {t}c >> 16) AS {t}d",
+        ]
+        last = f"{t}d"
+    return [*cols, f"{last} AS {tag}"]
+
+
+def drawn(rows: str, key: str = "pair_id", stream: str = STREAM) -> str:
+    """The rows with two uniform 48-bit numbers ha, hb drawn from ``key``."""
+    cols = [c for tag, w in zip(("ma", "mb", "mc"), stream_words(stream)) for c in _murmur(tag, key, w)]
+    return f"(SELECT *, {', '.join(cols)}, ma * 65536 + (mb & 65535) AS ha, mc * 65536 + (mb >> 16) AS hb FROM {rows})"
+
+
 def pairs(count: str, batch: str, stream: str = STREAM, n: str = "(SELECT count(*) FROM raw)") -> str:
     """CTE pr(pair_id, trial, i, j): ``count`` pairs in batches of ``batch``."""
     return (
         f"nn AS (SELECT {n} AS n), "
-        f"pr AS (SELECT pair_id, pair_id // ({batch}) AS trial, "
-        f"{h48(stream + ':a:', 'pair_id')} % n AS i, {h48(stream + ':b:', 'pair_id')} % n AS j "
-        f"FROM (SELECT unnest(range(({count})::BIGINT)) AS pair_id), nn)"
+        f"pr AS (SELECT pair_id, pair_id // ({batch}) AS trial, ha % n AS i, hb % n AS j "
+        f"FROM {drawn(f'(SELECT unnest(range(({count})::BIGINT)) AS pair_id)', stream=stream)}, nn)"
     )
 
 
@@ -153,8 +188,8 @@ def listed(count: str, batch: str, stream: str = STREAM, interactions: bool = Fa
     made = (
         CUSTOMERS
         + ", "
-        + f"p0 AS (SELECT {h48('7:a:', 'k')} % n AS i, {h48('7:b:', 'k')} % n AS j "
-        f"FROM (SELECT unnest(range((4 * {N})::BIGINT)) AS k), (SELECT {N} AS n)), "
+        + "p0 AS (SELECT ha % n AS i, hb % n AS j "
+        f"FROM {drawn(f'(SELECT unnest(range((4 * {N})::BIGINT)) AS k)', 'k', '7')}, (SELECT {N} AS n)), "
         "g0 AS (SELECT DISTINCT p0.i, p0.j, sqrt(least(1.0::DOUBLE, abs(a.f0 - b.f0)) * least(1.0::DOUBLE, abs(a.f0 - b.f0))) AS gap, "
         "(a.f1 <> b.f1)::INT::DOUBLE AS mismatch FROM p0 JOIN st a ON a.sid = p0.i JOIN st b ON b.sid = p0.j), "
         "lp AS (SELECT row_number() OVER (ORDER BY i, j) - 1 AS row_, *, "
@@ -165,8 +200,9 @@ def listed(count: str, batch: str, stream: str = STREAM, interactions: bool = Fa
         "gap * gap AS x0, mismatch * mismatch AS x1"
     )
     return made + (
-        f"pr AS (SELECT pair_id, pair_id // ({batch}) AS trial, {h48(stream + ':a:', 'pair_id')} % n AS row_ "
-        f"FROM (SELECT unnest(range(({count})::BIGINT)) AS pair_id), (SELECT count(*) AS n FROM lp)), "
+        f"pr AS (SELECT pair_id, pair_id // ({batch}) AS trial, ha % n AS row_ "
+        f"FROM {drawn(f'(SELECT unnest(range(({count})::BIGINT)) AS pair_id)', stream=stream)}, "
+        "(SELECT count(*) AS n FROM lp)), "
         f"ds AS (SELECT pair_id, trial, i, j, {x}, d FROM pr JOIN lp USING (row_))"
     )
 
@@ -507,8 +543,7 @@ def build() -> dict[str, str]:
         "sz(b) AS (SELECT 256::BIGINT UNION ALL SELECT b * 2 FROM sz, nn WHERE b * 2 < n), "
         "ids AS (SELECT t * n + k AS pair_id, t AS trial, k FROM (SELECT unnest(range(4)) AS t), "
         "(SELECT unnest(range((SELECT max(b) FROM sz))) AS k), nn), "
-        f"pr AS (SELECT pair_id, trial, k, {h48(STREAM + ':a:', 'pair_id')} % n AS i, "
-        f"{h48(STREAM + ':b:', 'pair_id')} % n AS j FROM ids, nn), "
+        f"pr AS (SELECT pair_id, trial, k, ha % n AS i, hb % n AS j FROM {drawn('ids')}, nn), "
         f"{distances(LINE_F).replace('pair_id, trial, i, j,', 'pair_id, trial, k, i, j,')}, "
         f"cr AS (SELECT b AS size, trial, unnest([{_corr_list(5)}], recursive := true) "
         "FROM ds JOIN sz ON k < sz.b GROUP BY sz.b, trial), "

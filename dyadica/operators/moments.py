@@ -29,6 +29,7 @@ def moment_vectors(
     by: Sequence[str] = (),
     base: int | None = None,
     centre: Sequence[float] | None = None,
+    weight: str | None = None,
 ) -> DataFrame:
     """Moments of ``x[0..q-1]`` and ``extras`` per ``by``, as rows (by..., pos, value).
 
@@ -36,11 +37,12 @@ def moment_vectors(
     large means keep their digits; the bounds are those of the values as they are.
     The first extra is the representation distance whose bounds are kept. With ``base``,
     ``x`` holds that many plain distances, and their q lower-triangle products are formed
-    next to the sums, so that only the plain distances travel.
+    next to the sums, so that only the plain distances travel. ``weight`` names a column that says
+    how often each row counts.
     """
     if base is None and use_expressions(q, extras):
-        return _by_expressions(df, q, extras, by, centre)
-    return _by_arrow(df, q, extras, by, base, centre)
+        return _by_expressions(df, q, extras, by, centre, weight)
+    return _by_arrow(df, q, extras, by, base, centre, weight)
 
 
 def provisional_centre(dist: DataFrame, width: int, with_distance: bool) -> np.ndarray:
@@ -54,33 +56,38 @@ def use_expressions(q: int, extras: Sequence[str]) -> bool:
     return q + len(extras) <= EXPRESSION_COLUMNS
 
 
-def _by_expressions(df, q, extras, by, centre):
+def _by_expressions(df, q, extras, by, centre, weight):
     m = q + len(extras)
     x = F.col("x")
     cols = [F.get(x, F.lit(k)).alias(f"_v{k}") for k in range(q)]
     cols += [F.col(c).alias(f"_v{q + k}") for k, c in enumerate(extras)]
-    flat = df.select(*by, *cols)
+    times = F.lit(1.0) if weight is None else F.col("_times")
+    counted = [] if weight is None else [F.col(weight).cast("double").alias("_times")]
+    flat = df.select(*by, *cols, *counted)
     plain = [F.col(f"_v{k}") for k in range(m)]
     shift = [0.0] * m if centre is None else list(centre)
     v = [c - F.lit(float(s)) if s else c for c, s in zip(plain, shift)]
     d = plain[q] if extras else F.lit(0.0)
     top = F.greatest(*plain[:q]) if q > 1 else plain[0]
-    parts = [F.min(d), F.max(d), F.max(top), F.count(F.lit(1)).cast("double")]
-    parts += [F.sum(c) for c in v]
-    parts += [F.sum(v[r] * v[c]) for r in range(m) for c in range(r + 1)]
+    n = F.count(F.lit(1)).cast("double") if weight is None else F.sum(times)
+    parts = [F.min(d), F.max(d), F.max(top), n]
+    scaled = v if weight is None else [c * times for c in v]
+    parts += [F.sum(c) for c in scaled]
+    parts += [F.sum(scaled[r] * v[c]) for r in range(m) for c in range(r + 1)]
     sums = flat.groupBy(*by).agg(*[p.alias(f"_m{k}") for k, p in enumerate(parts)])
     packed = F.array(*[F.col(f"_m{k}") for k in range(len(parts))])
     return sums.select(*by, F.posexplode(packed).alias("pos", "value"))
 
 
-def _by_arrow(df, q, extras, by, base, centre):
+def _by_arrow(df, q, extras, by, base, centre, weight):
     """Matrix products per Arrow batch; partial sums leave the task, never pairs."""
     m = q + len(extras)
     has_d = bool(extras)
     key = F.struct(*by) if by else F.struct(F.lit(0).alias("_all"))
     names = list(by) or ["_all"]
-    flat = df.select(key.alias("k"), "x", *extras).select(
-        *[F.col(f"k.{c}").cast("bigint").alias(c) for c in names], "x", *extras
+    times = [] if weight is None else [F.col(weight).cast("double").alias("_times")]
+    flat = df.select(key.alias("k"), "x", *extras, *times).select(
+        *[F.col(f"k.{c}").cast("bigint").alias(c) for c in names], "x", *extras, *(["_times"] if times else [])
     )
     length = vector_length(m)
     extra_names = list(extras)
@@ -116,20 +123,23 @@ def _by_arrow(df, q, extras, by, base, centre):
                 x = x[:, left] * x[:, right]
             more = [batch.column(c).to_numpy(zero_copy_only=False)[:, None] for c in extra_names]
             v = np.hstack([x, *more]) if more else x
+            often = batch.column("_times").to_numpy(zero_copy_only=False) if weight is not None else None
             keys = np.stack([batch.column(c).to_numpy(zero_copy_only=False) for c in names], axis=1)
             found, where = np.unique(keys, axis=0, return_inverse=True)
             where = where.reshape(-1)
             for g, k in enumerate(found):
                 part = v[where == g] if len(found) > 1 else v
+                counts = often if often is None or len(found) == 1 else often[where == g]
                 vec = np.empty(length)
                 vec[0] = part[:, q].min() if has_d else 0.0
                 vec[1] = part[:, q].max() if has_d else 0.0
                 vec[2] = part[:, :q].max()
-                vec[3] = len(part)
+                vec[3] = len(part) if counts is None else counts.sum()
                 if shift is not None:
                     part = part - shift
-                vec[4 : 4 + m] = part.sum(axis=0)
-                vec[4 + m :] = (part.T @ part)[rows, cols]
+                often_part = part if counts is None else part * counts[:, None]
+                vec[4 : 4 + m] = often_part.sum(axis=0)
+                vec[4 + m :] = (often_part.T @ part)[rows, cols]
                 old = sums.get(tuple(k))
                 if old is not None:
                     vec[3:] += old[3:]

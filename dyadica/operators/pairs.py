@@ -4,9 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
-from dyadica.functions.hashing import draw_index
+from dyadica.functions.hashing import draw_numbers, index_of
 from dyadica.session import broadcast_bytes
 
 # Bytes one pair end, or one bare position, takes in a broadcast hash table: up to 64 for its
@@ -19,10 +21,8 @@ def draw_ends(pairs: DataFrame, n: int, stream: str) -> DataFrame:
     """Uniform ends in 0..n-1: both orders and self-pairs occur, with replacement."""
     if n <= 0:
         raise ValueError("cannot sample pairs from an empty table")
-    pid = F.col("pair_id")
-    return pairs.withColumn("i", draw_index(stream, "a", pid, n)).withColumn(
-        "j", draw_index(stream, "b", pid, n)
-    )
+    drawn = draw_numbers(pairs, stream, "pair_id", "_a", "_b")
+    return drawn.select(*pairs.columns, index_of("_a", n).alias("i"), index_of("_b", n).alias("j"))
 
 
 def sample_pairs(source, batch_size: int, n_trials: int = 1, stream: str = "0") -> DataFrame:
@@ -30,15 +30,81 @@ def sample_pairs(source, batch_size: int, n_trials: int = 1, stream: str = "0")
     return sample_pair_range(source, 0, batch_size * n_trials, batch_size, stream)
 
 
-def sample_pair_range(source, first: int, last: int, batch_size: int, stream: str) -> DataFrame:
+def sample_pair_range(
+    source, first: int, last: int, batch_size: int, stream: str, partitions: int | None = None
+) -> DataFrame:
     """The pairs numbered first..last-1 of a stream of batches."""
     spark = source.df.sparkSession
-    ids = spark.range(first, last).select(
+    ids = spark.range(first, last, 1, partitions).select(
         F.col("id").alias("pair_id"), F.expr(f"id div {batch_size}").alias("trial")
     )
     return source.draw(ids, stream, last - first)
 
 
+# A pair is measured once and counted where so many draws fall on each of the n*n pairs.
+COUNTED_DRAWS = 2
+# Up to this many of them, tasks count in a plain array, which beats a hash table by far.
+COUNTED_CELLS = 1 << 22
+
+
+def counted_pairs(source, n_pairs: int, batch_size: int, stream: str) -> DataFrame | None:
+    """The first pairs of a stream as (i, j, times): how often each was drawn. None unless they
+    were drawn at least COUNTED_DRAWS times each on average."""
+    n = source.size()
+    if not n or not source.draws_ends() or n_pairs < COUNTED_DRAWS * n * n:
+        return None
+    if n * n > COUNTED_CELLS:
+        drawn = sample_pair_range(source, 0, n_pairs, batch_size, stream)
+        cells = drawn.select((F.col("i") * F.lit(n) + F.col("j")).alias("_cell")).groupBy("_cell")
+        counts = cells.agg(F.count(F.lit(1)).alias("times"))
+        # Never NULL; saying so keeps filters from being pushed below the count.
+        i, j = (F.coalesce(c, F.lit(0).cast("bigint")) for c in (F.expr(f"_cell div {n}"), F.col("_cell") % F.lit(n)))
+        return counts.select(i.alias("i"), j.alias("j"), "times")
+    # Each task counts several draws for each number that it hands on.
+    tasks = max(1, min(source.df.sparkSession.sparkContext.defaultParallelism, n_pairs // (4 * n * n)))
+    drawn = sample_pair_range(source, 0, n_pairs, batch_size, stream, tasks)
+    counts = _summed(_count_cells(drawn.select((F.col("i") * F.lit(n) + F.col("j")).alias("_cell")), n))
+    long = counts.select("i", F.posexplode("times").alias("j", "times")).filter("times > 0")
+    return long.select("i", F.col("j").cast("bigint").alias("j"), "times")
+
+
+def _count_cells(cells: DataFrame, n: int) -> DataFrame:
+    """A row (i, times) for each i and task: how often each j was drawn with it."""
+
+    def run(batches):
+        total = np.zeros(n * n, dtype=np.int64)
+        held, size = [], 0
+        for batch in batches:
+            held.append(np.asarray(batch.column(0)))
+            size += batch.num_rows
+            if size >= n * n:
+                total += np.bincount(np.concatenate(held), minlength=n * n)
+                held, size = [], 0
+        if held:
+            total += np.bincount(np.concatenate(held), minlength=n * n)
+        offsets = pa.array(np.arange(0, n * n + 1, n, dtype=np.int32))
+        times = pa.ListArray.from_arrays(offsets, pa.array(total))
+        yield pa.RecordBatch.from_arrays([pa.array(np.arange(n)), times], names=["i", "times"])
+
+    return cells.mapInArrow(run, "i long, times array<long>")
+
+
+def _summed(rows: DataFrame) -> DataFrame:
+    """One row an i, its arrays added up."""
+
+    def run(batches):
+        sums: dict[int, np.ndarray] = {}
+        for batch in batches:
+            for i, times in zip(batch.column(0).to_pylist(), batch.column(1)):
+                found = np.asarray(times.values)
+                sums[i] = sums[i] + found if i in sums else found
+        if sums:
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(list(sums), pa.int64()), pa.array(list(sums.values()), pa.list_(pa.int64()))], names=["i", "times"])
+
+    return rows.repartition("i").mapInArrow(run, "i long, times array<long>")
+
+
 def sample_prefixes(
     source, sizes: Sequence[int], n_trials: int, stride: int, stream: str
 ) -> DataFrame:

@@ -13,7 +13,7 @@ from dyadica.operators.moments import (
     Moments, collect_moments, moment_vectors, provisional_centre, scaled_square_moments,
     use_expressions, vector_length,
 )
-from dyadica.operators.pairs import sample_pair_range
+from dyadica.operators.pairs import counted_pairs, sample_pair_range
 from dyadica.plans import solver as S
 
 STEPS_PER_JOB = 100
@@ -65,16 +65,17 @@ def pair_centre(source, batch_size: int, distance, interactions: bool, nan_to_nu
 
 def fit_moments(
     source, pairs: DataFrame, n_pairs: int, distance, interactions: bool, nan_to_num: float,
-    centre: np.ndarray, by: str | None = None,
+    centre: np.ndarray, by: str | None = None, weight: str | None = None,
 ) -> dict[int, Moments]:
-    """Moments of the terms, d and d*d over the pairs, less their centre, pooled or per batch."""
+    """Moments of the terms, d and d*d over the pairs, less their centre, pooled or per batch;
+    ``weight`` names a column of how often each pair counts."""
     p = source.n_features
     q = n_terms(p, interactions)
     late = _late(q, interactions)
     dist = source.distances(pairs, n_pairs, distance, interactions, nan_to_num, expand=not late)
     e = F.col("d") - F.lit(float(centre[q]))
     wide = dist.withColumn("d2", e * e)
-    vectors = moment_vectors(wide, q, EXTRAS, (by,) if by else (), p if late else None, centre)
+    vectors = moment_vectors(wide, q, EXTRAS, (by,) if by else (), p if late else None, centre, weight)
     return collect_moments(vectors, q + 2, by)
 
 
@@ -120,7 +121,8 @@ def fit_pooled(
 ) -> FitResult:
     """Best weights on the moments of the sampled pairs.
 
-    Pairs are read in blocks, each as large as all before it, and the moments are merged. It
+    Where far more pairs are drawn than there are, each is measured once and weighed by how often
+    it was drawn. Pairs are read in blocks, each as large as all before it, and the moments are merged. It
     ends when all pairs are read, or when a block has moved no weight by more than
     ``tolerance``; 0 reads all pairs.
     """
@@ -131,8 +133,12 @@ def fit_pooled(
     while done < n_pairs:
         size = n_pairs if tolerance <= 0 else max(FIRST_BLOCK_PAIRS, done)
         last = min(n_pairs, done + size)
-        pairs = sample_pair_range(source, done, last, batch_size, stream)
-        block = fit_moments(source, pairs, last - done, distance, interactions, nan_to_num, centre)[0]
+        counted = counted_pairs(source, n_pairs, batch_size, stream) if last - done == n_pairs else None
+        pairs = sample_pair_range(source, done, last, batch_size, stream) if counted is None else counted
+        weight = None if counted is None else "times"
+        block = fit_moments(
+            source, pairs, last - done, distance, interactions, nan_to_num, centre, weight=weight
+        )[0]
         _expect(block.n, last - done)
         mom = block if mom is None else mom.merged(block)
         done, blocks = last, blocks + 1

@@ -7,7 +7,7 @@ from collections.abc import Callable, Sequence
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from dyadica.functions import distances as D
-from dyadica.functions.hashing import draw_index
+from dyadica.functions.hashing import draw_numbers, index_of
 from dyadica.operators import pairs as P
 from dyadica.operators.index import global_position
 from dyadica.sources.sizing import fits_broadcast
@@ -114,7 +114,8 @@ class PrecomputedPairs:
             return P.draw_ends(pairs, n, stream)
         if n == 0:
             raise ValueError("cannot sample pairs from an empty table")
-        rows = pairs.withColumn("_row", draw_index(stream, "a", F.col("pair_id"), n))
+        drawn = draw_numbers(pairs, stream, "pair_id", "_a")
+        rows = drawn.select(*pairs.columns, index_of("_a", n).alias("_row"))
         if n_pairs is None or self.is_small():
             mode = "shuffle"
             index = F.broadcast(self._index) if self.is_small() else self._index
@@ -122,6 +123,10 @@ class PrecomputedPairs:
             mode, index = P.meeting_mode(self.df.sparkSession, n, n_pairs), self._index
         return P.meet(index, rows, ["_row"], mode).select(*pairs.columns, "i", "j", "_given")
 
+    def draws_ends(self) -> bool:
+        """Whether pairs are drawn by their ends, each of n*n alike; else by their place in a list."""
+        return self.complete
+
     def distances(
         self,
         pairs: DataFrame,

@@ -6,10 +6,11 @@ from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
-from dyadica.functions import distances as D
+from dyadica.functions import distances as D, kernels as K
 from dyadica.operators import pairs as P
 from dyadica.operators.encode import CATEGORICAL, Feature, classify, pair_values, scaling_bounds
 from dyadica.operators.index import global_position
+from dyadica.session import broadcast_bytes
 from dyadica.sources.sizing import fits_broadcast, widest_row
 
 
@@ -103,6 +104,8 @@ class Stimuli:
         self._id_bytes = None
         self._n = None
         self._small: dict[tuple, bool] = {}
+        self._matrix = None
+        self._matrix_made = False
 
     @property
     def n_features(self) -> int:
@@ -143,6 +146,10 @@ class Stimuli:
         """Add the ends of each pair, uniform over the stimuli."""
         return P.draw_ends(pairs, self.size(), stream)
 
+    def draws_ends(self) -> bool:
+        """Whether pairs are drawn by their ends, each of n*n alike."""
+        return True
+
     def _with_sid(self) -> DataFrame:
         """All rows with their position; for tables small enough to broadcast."""
         if self.dense:
@@ -184,6 +191,22 @@ class Stimuli:
             self._small[key] = fits_broadcast(narrow, self.size())
         return self._small[key]
 
+    def matrix(self):
+        """All representations as a broadcast matrix, one row a number; None where they differ in
+        length or are measured not to fit KERNEL_BYTES."""
+        if not self._matrix_made:
+            self._matrix_made = True
+            n, rows = self.size(), self._with_sid()
+            vectors = rows.select("sid", vector_column(rows, self.target).alias("y"))
+            size = F.when(F.col("y").isNotNull(), F.size("y"))
+            found = vectors.agg(F.min(size).alias("lo"), F.max(size).alias("hi")).first()
+            width = found["hi"] or 0
+            limit = min(K.KERNEL_BYTES, broadcast_bytes(self.df.sparkSession))
+            if width and found["lo"] == width and 8 * n * width <= limit:
+                matrix = K.columns_of(vectors.toArrow(), n, width)
+                self._matrix = self.df.sparkSession.sparkContext.broadcast(matrix)
+        return self._matrix
+
     def _key_width(self) -> int:
         """Bytes of the widest id, where pair ends have to carry ids."""
         if self.dense:
@@ -246,23 +269,27 @@ class Stimuli:
         """Add ``x`` (array of squared distances or products) and ``d`` to the pairs.
 
         With ``distance=None`` only the features are read. With ``expand=False`` ``x`` holds
-        the plain feature distances.
+        the plain feature distances. Named distances of small stimuli are made by matrix
+        operations on whole batches of pairs.
         """
         metric = None
         if distance is not None:
             if self.target is None:
                 raise ValueError("these stimuli have no representation")
             metric = D.resolve_metric(distance)
-        met = self.gather(pairs, n_pairs, metric, mode)
+        asked = pairs.columns
+        by_kernel = metric is not None and metric.name in K.KERNELS and mode == "auto" and self.is_small(metric)
+        if by_kernel and self.matrix() is not None:
+            pairs = K.with_distance(pairs, self.matrix(), metric.name, "_d")
+            met, given = self.gather(pairs, n_pairs, None, "lookup"), [F.col("_d")]
+        else:
+            met, given = self.gather(pairs, n_pairs, metric, mode), self._distance_column(metric)
         dist = self.feature_distances(nan_to_num)
-        wide = met.select(
-            *pairs.columns, *[c.alias(f"_d{k}") for k, c in enumerate(dist)],
-            *self._distance_column(metric),
-        )
+        wide = met.select(*asked, *[c.alias(f"_d{k}") for k, c in enumerate(dist)], *given)
         base = [F.col(f"_d{k}") for k in range(len(dist))]
         x = D.terms_array(base, interactions) if expand else F.array(*base)
         d = [D.clean_distance(F.col("_d"), nan_to_num).alias("d")] if metric is not None else []
-        return wide.select(*pairs.columns, x.alias("x"), *d)
+        return wide.select(*asked, x.alias("x"), *d)
 
     def _distance_column(self, metric: D.Metric | None) -> list[Column]:
         if metric is None:

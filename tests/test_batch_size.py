@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from dyadica import MetricEncoder, Stimuli
 from dyadica.plans.batch_size import candidate_sizes, estimate_batch_size, size_stability
-from tests.test_pairs import h48
+from tests.test_pairs import drawn
 
 
 def source_of(spark, n=200, copy=False):
@@ -36,8 +36,8 @@ def test_stability_by_brute_force(spark):
         corrs = []
         for t in range(trials):
             ids = [t * stride + k for k in range(size)]
-            i = np.array([h48(f"t:a:{p}") % 200 for p in ids])
-            j = np.array([h48(f"t:b:{p}") % 200 for p in ids])
+            i = np.array([drawn("t", p)[0] % 200 for p in ids])
+            j = np.array([drawn("t", p)[1] % 200 for p in ids])
             x = np.column_stack([(a[i] - a[j]) ** 2, (b[i] - b[j]) ** 2, (i % 3 != j % 3) * 1.0])
             c = np.corrcoef(x.T)
             corrs.append([c[1, 0], c[2, 0], c[2, 1]])

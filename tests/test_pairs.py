@@ -5,13 +5,30 @@ import pytest
 from pyspark.sql import functions as F
 
 from dyadica import Stimuli, align
+from dyadica.functions.hashing import draw_numbers
 from dyadica.operators.index import global_position
 from dyadica.operators.pairs import meeting_mode, sample_pairs, sample_prefixes
 from dyadica.session import BROADCAST_BYTES_KEY
 
 
-def h48(text):
-    return int(hashlib.md5(text.encode()).hexdigest()[:12], 16)
+def murmur(blocks, h):
+    """Murmur3 of 32-bit blocks, from the state ``h``."""
+    turned = lambda x, r: (x << r | x >> 32 - r) & 0xFFFFFFFF
+    for k in blocks:
+        k = turned(k * 0xCC9E2D51 & 0xFFFFFFFF, 15) * 0x1B873593 & 0xFFFFFFFF
+        h = (turned(h ^ k, 13) * 5 + 0xE6546B64) & 0xFFFFFFFF
+    h ^= 4 * len(blocks)
+    h = (h ^ h >> 16) * 0x85EBCA6B & 0xFFFFFFFF
+    h = (h ^ h >> 13) * 0xC2B2AE35 & 0xFFFFFFFF
+    return h ^ h >> 16
+
+
+def drawn(stream, key):
+    """Both 48-bit numbers of a pair."""
+    digest = hashlib.md5(stream.encode()).digest()
+    words = [int.from_bytes(digest[k : k + 4], "big") for k in range(0, 12, 4)]
+    a, b, c = (murmur([key & 0xFFFFFFFF, key >> 32], murmur([w], 42)) for w in words)
+    return a << 16 | b & 0xFFFF, c << 16 | b >> 16
 
 
 def small(spark, n=40, dense=True, target="y"):
@@ -24,14 +41,28 @@ def small(spark, n=40, dense=True, target="y"):
     return Stimuli(df, ["v", "s"], target, "id", dense=dense)
 
 
-def test_sampler_matches_md5(spark):
+def test_sampler_matches_the_hashes(spark):
     source = small(spark)
     rows = sample_pairs(source, 10, 3, "s").collect()
     assert len(rows) == 30
     for r in rows:
         assert r["trial"] == r["pair_id"] // 10
-        assert r["i"] == h48(f"s:a:{r['pair_id']}") % 40
-        assert r["j"] == h48(f"s:b:{r['pair_id']}") % 40
+        a, b = drawn("s", r["pair_id"])
+        assert (r["i"], r["j"]) == (a % 40, b % 40)
+
+
+def test_hashes_of_large_numbers_and_their_spread(spark):
+    ids = spark.sql("SELECT explode(array(0, 1, 4294967295, 4294967296, 4294967297, 1152921504606846975)) AS pair_id")
+    for r in draw_numbers(ids, "t", "pair_id", "a", "b").collect():
+        assert (r["a"], r["b"]) == drawn("t", r["pair_id"])
+    n = 1 << 20
+    df = spark.range(n).withColumnRenamed("id", "pair_id")
+    both = draw_numbers(df, "u", "pair_id", "a", "b").selectExpr("a % 37 AS i", "b % 37 AS j", "pair_id % 37 AS k")
+    for x, y in (("i", "j"), ("i", "k"), ("j", "k")):
+        counts = np.array([r["count"] for r in both.groupBy(x, y).count().collect()])
+        assert len(counts) == 37 * 37
+        # A sum of squares of 1368 degrees of freedom.
+        assert abs(((counts - n / 1369) ** 2).sum() / (n / 1369) - 1368) < 5 * (2 * 1368) ** 0.5
 
 
 def test_draws_do_not_depend_on_partitioning(spark, conf):
