@@ -12,6 +12,8 @@ from dyadica.operators.pairs import sample_pairs
 SEGMENTS = ["AUTOMOBILE", "BUILDING", "FURNITURE", "HOUSEHOLD", "MACHINERY"]
 # Planted squared weights of the balance, segment and parity features.
 PLANTED = (0.6, 0.3, 0.1)
+# What the customers' second vectors hold of balance and parity.
+SECOND = (0.5, 0.8)
 # Lines of an order repeat; these columns together tell them apart.
 LINE_KEYS = ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_shipdate"]
 SEED = 42
@@ -43,6 +45,7 @@ def planted(spark: SparkSession, sf: str, columns=("f1", "f2", "f3", "f4")) -> S
         parity.alias("f3"),
         F.col("c_nationkey").alias("f4"),
         F.array(*parts).alias("y"),
+        F.array(F.lit(SECOND[0]) * f1, F.lit(SECOND[1]) * parity).alias("z"),
     )
     categorical = [c for c in ("f3", "f4") if c in columns]
     return Stimuli(df, list(columns), "y", "c_custkey", categorical=categorical, dense=True)
@@ -97,13 +100,37 @@ def lines(spark: SparkSession, sf: str) -> Stimuli:
 OFFSET = 1e4
 
 
-def listed_pairs(spark: SparkSession, sf: str, offset: float = 0.0) -> PrecomputedPairs:
+# Squared weights of gap, both together and mismatch in the listed distances; and
+# such as no semidefinite matrix has.
+LISTED, OUTSIDE = (0.5, 0.3, 0.3), (0.5, 0.9, 0.1)
+# Squared distances of the list with a bound: a constant, gap, mismatch and nation.
+BOUNDED = (0.6, 0.5, 0.3, -0.4)
+
+
+def bounded_pairs(spark: SparkSession, sf: str) -> PrecomputedPairs:
+    """A list of customer pairs whose distances shrink where the nations differ."""
+    source = customers(spark, sf)
+    n_pairs = 4 * source.size()
+    drawn = source.distances(sample_pairs(source, n_pairs, 1, "7"), n_pairs, None)
+    x = [F.sqrt(F.get("x", F.lit(k))) for k in range(3)]
+    y = F.lit(BOUNDED[0])
+    for w, d in zip(BOUNDED[1:], x):
+        y = y + F.lit(w) * d * d
+    names = ["gap", "mismatch", "nation"]
+    df = drawn.select("i", "j", *[c.alias(n) for c, n in zip(x, names)], F.sqrt(y).alias("y")).distinct()
+    return PrecomputedPairs(df, names, "y", complete=False)
+
+
+def listed_pairs(
+    spark: SparkSession, sf: str, offset: float = 0.0, weights: tuple[float, float, float] = LISTED
+) -> PrecomputedPairs:
     """A list of customer pairs with their distances: x = (gap, mismatch), y with interaction."""
     source = customers(spark, sf)
     n_pairs = 4 * source.size()
     drawn = source.distances(sample_pairs(source, n_pairs, 1, "7"), n_pairs, None)
     d1, d2 = F.sqrt(F.get("x", F.lit(0))), F.sqrt(F.get("x", F.lit(1)))
-    y = F.sqrt(F.lit(0.5) * d1 * d1 + F.lit(0.3) * d1 * d2 + F.lit(0.3) * d2 * d2)
+    a, b, c = (F.lit(w) for w in weights)
+    y = F.sqrt(a * d1 * d1 + b * d1 * d2 + c * d2 * d2)
     y = y + F.lit(offset)
     df = drawn.select("i", "j", d1.alias("gap"), d2.alias("mismatch"), y.alias("y")).distinct()
     return PrecomputedPairs(df, ["gap", "mismatch"], "y", complete=False)

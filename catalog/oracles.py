@@ -6,7 +6,7 @@ from collections.abc import Sequence
 
 import numpy as np
 
-from catalog.fixtures import LINE_KEYS, OFFSET, PLANTED, SEED, SEGMENTS
+from catalog.fixtures import BOUNDED, LINE_KEYS, LISTED, OFFSET, OUTSIDE, PLANTED, SECOND, SEED, SEGMENTS
 from catalog.queries import CHOSEN_THRESHOLD, DECAYED, MODES, STEPS, STREAM, WEIGHTS_3, WEIGHTS_5, WEIGHTS_TERMS
 from dyadica.functions.hashing import stream_words
 
@@ -65,8 +65,11 @@ def pairs(count: str, batch: str, stream: str = STREAM, n: str = "(SELECT count(
     )
 
 
-def stimuli(rows: str, features: Sequence[tuple[str, bool]], y: str | None, scale: bool = True) -> str:
-    """CTEs raw and st(sid, f0.., y); features are (column, numeric)."""
+def stimuli(
+    rows: str, features: Sequence[tuple[str, bool]], y: str | None, scale: bool = True, where: str = "true"
+) -> str:
+    """CTEs raw and st(sid, f0.., y); features are (column, numeric). Rows that do not hold to
+    ``where`` have positions, but no features, and no part in their bounds."""
     bounds, values = ["count(*) AS rows_"], []
     for k, (c, numeric) in enumerate(features):
         if numeric and scale:
@@ -80,8 +83,8 @@ def stimuli(rows: str, features: Sequence[tuple[str, bool]], y: str | None, scal
     if y is not None:
         values.append(f"{y} AS y")
     return (
-        f"raw AS ({rows}), bd AS (SELECT {', '.join(bounds)} FROM raw), "
-        f"st AS (SELECT sid, {', '.join(values)} FROM raw, bd)"
+        f"raw AS ({rows}), bd AS (SELECT {', '.join(bounds)} FROM raw WHERE {where}), "
+        f"st AS (SELECT sid, {', '.join(values)} FROM raw, bd WHERE {where})"
     )
 
 
@@ -139,15 +142,17 @@ _planted_y = ", ".join(
     + [f"{(PLANTED[1] / 2) ** 0.5!r}::DOUBLE * (c_mktsegment = '{s}')::INT" for s in SEGMENTS]
     + [f"{PLANTED[2] ** 0.5!r}::DOUBLE * (c_nationkey % 2)"]
 )
+_second_y = f"{SECOND[0]!r}::DOUBLE * {_f1}, {SECOND[1]!r}::DOUBLE * (c_nationkey % 2)"
 PLANTED_ROWS = (
     f"SELECT c_custkey AS sid, {_f1} AS f1, c_mktsegment AS f2, (c_nationkey % 2)::DOUBLE AS f3, "
     f"c_nationkey AS f4, [{_planted_y}]::DOUBLE[] AS y0 FROM customer"
 )
+SECOND_ROWS = PLANTED_ROWS.replace(_planted_y, _second_y)
 PLANTED_F = [("f1", True), ("f2", False), ("f3", False), ("f4", False)]
 
 
-def planted(rows: str = PLANTED_ROWS, p: int = 3) -> str:
-    return stimuli(rows, PLANTED_F[:p], "y0")
+def planted(rows: str = PLANTED_ROWS, p: int = 3, where: str = "true") -> str:
+    return stimuli(rows, PLANTED_F[:p], "y0", where=where)
 
 
 CUSTOMER_F = [("c_acctbal", True), ("c_mktsegment", False), ("c_nationkey", False)]
@@ -183,7 +188,10 @@ LINES = stimuli(
 N = "(SELECT count(*) FROM raw)"
 
 
-def listed(count: str, batch: str, stream: str = STREAM, interactions: bool = False, offset: float = 0.0) -> str:
+def listed(
+    count: str, batch: str, stream: str = STREAM, interactions: bool = False, offset: float = 0.0,
+    weights: Sequence[float] = LISTED,
+) -> str:
     """CTEs up to ds for the list of customer pairs with precomputed distances."""
     made = (
         CUSTOMERS
@@ -193,7 +201,8 @@ def listed(count: str, batch: str, stream: str = STREAM, interactions: bool = Fa
         "g0 AS (SELECT DISTINCT p0.i, p0.j, sqrt(least(1.0::DOUBLE, abs(a.f0 - b.f0)) * least(1.0::DOUBLE, abs(a.f0 - b.f0))) AS gap, "
         "(a.f1 <> b.f1)::INT::DOUBLE AS mismatch FROM p0 JOIN st a ON a.sid = p0.i JOIN st b ON b.sid = p0.j), "
         "lp AS (SELECT row_number() OVER (ORDER BY i, j) - 1 AS row_, *, "
-        "sqrt(0.5::DOUBLE * gap * gap + 0.3::DOUBLE * gap * mismatch + 0.3::DOUBLE * mismatch * mismatch) "
+        f"sqrt({weights[0]!r}::DOUBLE * gap * gap + {weights[1]!r}::DOUBLE * gap * mismatch "
+        f"+ {weights[2]!r}::DOUBLE * mismatch * mismatch) "
         f"+ {offset!r}::DOUBLE AS d FROM g0), "
     )
     x = "gap * gap AS x0, mismatch * gap AS x1, mismatch * mismatch AS x2" if interactions else (
@@ -207,6 +216,24 @@ def listed(count: str, batch: str, stream: str = STREAM, interactions: bool = Fa
     )
 
 
+def bounded(count: str, batch: str, stream: str) -> str:
+    """CTEs up to ds for the list of customer pairs with a feature that shortens distances."""
+    d = distances(CUSTOMER_F).replace("pr.", "p0.").replace("FROM pr ", "FROM p0 ").replace("= pr.", "= p0.")
+    names = ("gap", "mismatch", "nation")
+    y = " + ".join([f"{BOUNDED[0]!r}::DOUBLE", *[f"{w!r}::DOUBLE * {n} * {n}" for w, n in zip(BOUNDED[1:], names)]])
+    return (
+        f"{CUSTOMERS}, p0 AS (SELECT k AS pair_id, 0 AS trial, ha % n AS i, hb % n AS j "
+        f"FROM {drawn(f'(SELECT unnest(range((4 * {N})::BIGINT)) AS k)', 'k', '7')}, (SELECT {N} AS n)), "
+        + d.replace("ds AS", "d0 AS") + ", "
+        f"g0 AS (SELECT DISTINCT i, j, {', '.join(f'sqrt(x{k}) AS {n}' for k, n in enumerate(names))} FROM d0), "
+        f"lp AS (SELECT row_number() OVER (ORDER BY i, j) - 1 AS row_, *, sqrt({y}) AS d FROM g0), "
+        f"pr AS (SELECT pair_id, pair_id // ({batch}) AS trial, ha % n AS row_ "
+        f"FROM {drawn(f'(SELECT unnest(range(({count})::BIGINT)) AS pair_id)', stream=stream)}, "
+        "(SELECT count(*) AS n FROM lp)), "
+        f"ds AS (SELECT pair_id, trial, i, j, {', '.join(f'{n} * {n} AS x{k}' for k, n in enumerate(names))}, d FROM pr JOIN lp USING (row_))"
+    )
+
+
 LISTED_N = "(SELECT count(*) FROM lp)"
 
 
@@ -272,9 +299,9 @@ def _held(condition: str) -> str:
 
 
 def _planted_pairs(count: str, batch: str, d: str = L2, rows: str = PLANTED_ROWS, p: int = 3,
-                   interactions: bool = False, stream: str = STREAM) -> str:
+                   interactions: bool = False, stream: str = STREAM, where: str = "true") -> str:
     return ", ".join(
-        [planted(rows, p), pairs(count, batch, stream), distances(PLANTED_F[:p], d, interactions)]
+        [planted(rows, p, where), pairs(count, batch, stream), distances(PLANTED_F[:p], d, interactions)]
     )
 
 
@@ -313,6 +340,43 @@ def _cramer(q: int) -> str:
     return f"w AS (SELECT {', '.join(out)} FROM mo)"
 
 
+def _bounded_squares(q: int) -> str:
+    """CTE w: least squares over weights of 0 or more. Of the sets of features that may be above 0,
+    the one whose solution is, and at which no other feature would gain, is the answer."""
+    sym = [[f"s{max(r, c)}{min(r, c)}" for c in range(q)] for r in range(q)]
+    tried = []
+    for chosen in range(1, 1 << q):
+        inside = [k for k in range(q) if chosen >> k & 1]
+        det = _det([[sym[r][c] for c in inside] for r in inside])
+        w = {}
+        for k in inside:
+            m = [[f"c{r}" if c == k else sym[r][c] for c in inside] for r in inside]
+            w[k] = f"{_det(m)} / {det}"
+        ws = ", ".join(f"{w.get(k, '0.0::DOUBLE')} AS w{k}" for k in range(q))
+        holds = [f"w{k} > 0" for k in inside]
+        holds += [f"c{k} <= {' + '.join(f'{sym[k][j]} * w{j}' for j in inside)}" for k in range(q) if k not in inside]
+        tried.append(
+            f"SELECT {', '.join(f'w{k}' for k in range(q))} FROM (SELECT *, {ws} FROM mo) WHERE {' AND '.join(holds)}"
+        )
+    return f"w AS (SELECT * FROM ({' UNION ALL '.join(tried)}) LIMIT 1)"
+
+
+def _edge(points: int = 2000, rounds: int = 4) -> str:
+    """CTE w: the best singular matrix of two features, cos^2, sin cos, sin^2 of an angle, by
+    ever finer rows of angles."""
+    w = ["pow(cos(t), 2)", "sin(t) * cos(t)", "pow(sin(t), 2)"]
+    up = " + ".join(f"({e}) * c{k}" for k, e in enumerate(w))
+    down = " + ".join(f"({w[r]}) * ({w[c]}) * s{max(r, c)}{min(r, c)}" for r in range(3) for c in range(3))
+    out, middle, half = [], "0.0::DOUBLE", "pi() / 2"
+    for k in range(rounds):
+        angles = f"SELECT {middle} + {half} * (u - {points}) / {points} AS t FROM (SELECT unnest(range({2 * points + 1})) AS u)"
+        out.append(f"t{k} AS (SELECT arg_max(t, ({up}) / sqrt({down})) AS t FROM ({angles}), mo)")
+        middle, half = f"(SELECT t FROM t{k})", f"pi() / 2 / pow({points / 4}, {k + 1})"
+    length = "sqrt(" + " + ".join(f"{2 if k == 1 else 1} * pow({e}, 2)" for k, e in enumerate(w)) + ")"
+    cols = ", ".join(f"({e}) / {length} AS w{k}" for k, e in enumerate(w))
+    return ", ".join(out) + f", w AS (SELECT {cols} FROM t{rounds - 1})"
+
+
 def _fitted(pairs_ctes: str, q: int) -> str:
     """CTE wn: fitted unit-length weights w0.. in one row."""
     norm = "sqrt(" + " + ".join(f"pow(greatest(w{k}, 0), 2)" for k in range(q)) + ")"
@@ -366,10 +430,12 @@ def adam_steps(prefix: str, start: Sequence[float], steps: int, lr: float, decay
     )
 
 
-def fit_and_score(train: str, test: str, n_perm: int) -> str:
+def fit_and_score(train: str, test: str, n_perm: int, count: int = 8, where: str = "true") -> str:
     """Fit four planted features on the rows ``train`` and score on the rows ``test``."""
     full = "(SELECT count(*) FROM customer)"
-    fitted = _fitted(_planted_pairs(f"8 * {full}", full, rows=train, p=4, stream=f"{SEED}:fit"), 4)
+    fitted = _fitted(
+        _planted_pairs(f"{count} * {full}", full, rows=train, p=4, stream=f"{SEED}:fit", where=where), 4
+    )
     body = pfi_ctes(
         _planted_pairs(f"4 * {n_perm} * {full}", full, rows=test, p=4),
         [f"(SELECT w{k} FROM wn)" for k in range(4)], ["f1", "f2", "f3", "f4"], full, n_perm,
@@ -519,6 +585,20 @@ def build() -> dict[str, str]:
         f"SELECT {r6('max(sd)')} AS max_std, {r6('max(abs(mean))')} AS max_corr FROM pf"
     )
 
+    exact_f = [("n_chars", True), ("lang", False), ("quality", True), ("toxic", False)]
+    every = "nn AS (SELECT 0), pr AS (SELECT 0 AS pair_id, 0 AS trial, a.sid AS i, b.sid AS j FROM st a, st b)"
+    cells4 = [(a, b) for a in range(4) for b in range(a + 1)]
+    out["exact_feature_cov"] = (
+        f"WITH {stimuli(LABELLED_ROWS, exact_f, None)}, {every}, {distances(exact_f, fill=0.5)}, "
+        "al AS (SELECT " + ", ".join(
+            [f"avg(x{a}) AS m{a}" for a in range(4)]
+            + [f"covar_pop(x{a}, x{b}) AS c{a}{b}, corr(x{a}, x{b}) AS r{a}{b}" for a, b in cells4]
+        ) + " FROM ds) " + " UNION ALL ".join(
+            f"SELECT '{exact_f[a][0]}' AS a, '{exact_f[b][0]}' AS b, {r6(f'm{a}')} AS mean, {r6(f'c{a}{b}')} AS cov, "
+            f"{r6(f'r{a}{b}')} AS corr FROM al" for a, b in cells4
+        )
+    )
+
     out["spearman_ordinal"] = _spearman(
         f"{DESCRIBED}, {pairs(f'8 * {N}', f'8 * {N}')}, {distances(DESCRIBED_F, COS)}",
         weighted(WEIGHTS_3), "ordinal",
@@ -659,6 +739,29 @@ def build() -> dict[str, str]:
         + ")"
         for f in range(3)
     )
+    # Pairs over all rows: 8 * (3 / 2) ** 2 a row, so that 8 a row are left within two folds of three.
+    out["fit_and_score_folds"] = " UNION ALL ".join(
+        f"SELECT {f} AS split, * FROM ("
+        + fit_and_score(PLANTED_ROWS, _held(f"{bucket} % 3 = {f}"), 1, 18, f"{bucket} % 3 <> {f}")
+        + ")"
+        for f in range(3)
+    )
+    out["fit_many"] = " UNION ALL ".join(
+        f"SELECT '{name}' AS target, * FROM (WITH {_planted_pairs(f'8 * {N}', N, rows=rows, stream=fit_stream)}, "
+        f"{_moments(3)}, {_bounded_squares(3)} {_weights_out(['f1', 'f2', 'f3'])})"
+        for name, rows in (("planted", PLANTED_ROWS), ("second", SECOND_ROWS))
+    )
+    out["fit_zero_weight"] = (
+        f"WITH {bounded(eight, LISTED_N, fit_stream)}, {_moments(3)}, {_bounded_squares(3)} "
+        + _weights_out(["gap", "mismatch", "nation"])
+    )
+    out["fit_edge"] = (
+        f"WITH {listed(eight, LISTED_N, fit_stream, True, weights=OUTSIDE)}, {_moments(3)}, {_edge()} "
+        + " UNION ALL ".join(
+            f"SELECT '{r}' AS row_feature, '{c}' AS col_feature, {r6(f'w{k}')} AS weight FROM w"
+            for k, (r, c) in enumerate(cells)
+        )
+    )
     out["train_test"] = (
         f"SELECT o_orderkey, CASE WHEN {h48(f'{SEED}:split:', 'o_orderkey')} % 100 < 75 THEN 'train' ELSE 'test' END "
         "AS side FROM orders"

@@ -14,6 +14,7 @@ from dyadica.operators.correlation import (
     pearson, pearson_eps, prefix_correlations, spearman, stability,
 )
 from dyadica.operators.encode import classify, encode_codes, encode_table, scaled, scaling_bounds
+from dyadica.operators.exact import exact_moments
 from dyadica.operators.moments import moment_vectors
 from dyadica.operators.pairs import sample_pairs
 from dyadica.operators.ranks import shuffle_within, soft_rank_affine
@@ -23,7 +24,7 @@ from dyadica.plans.batch_size import candidate_sizes, estimate_batch_size, size_
 from dyadica.plans.fit import fit_pooled
 from dyadica.plans.importance import importance_table, predict, scores_table, wide_importances
 from dyadica.plans.encoder import square_weights, weights_table
-from dyadica.plans.recipes import cross_validate, holdout
+from dyadica.plans.recipes import cross_validate, fit_many, holdout
 
 STREAM = str(X.SEED)
 # Literal weights of the scoring queries.
@@ -306,6 +307,22 @@ def spearman_soft(spark: SparkSession, sf: str) -> DataFrame:
     return ranked.groupBy("trial").agg(r6(pearson(F.col("rp"), F.col("rs"))).alias("spearman"))
 
 
+def exact_feature_cov(spark: SparkSession, sf: str) -> DataFrame:
+    """Over all n * n pairs of the labelled documents, missing labels included, without a pair."""
+    source = Stimuli(
+        X.labelled_documents(spark, sf), ["n_chars", "lang", "quality", "toxic"], None, "doc_id",
+        categorical=["lang", "toxic"],
+    )
+    found = exact_moments(source, nan_to_num=0.5)
+    names, corr = found.names, found.correlation()
+    rows = [
+        (names[a], names[b], float(found.mean[a]), float(found.cov[a, b]), float(corr[a, b]))
+        for a in range(len(names)) for b in range(a + 1)
+    ]
+    out = spark.createDataFrame(rows, "a string, b string, mean double, cov double, corr double")
+    return out.select("a", "b", *[r6(F.col(c)).alias(c) for c in ("mean", "cov", "corr")])
+
+
 # ----------------------------------------------------------------- batch size
 
 
@@ -381,6 +398,28 @@ def fit_offset(spark: SparkSession, sf: str) -> DataFrame:
     return _weights(_encoder(source, distance="precomputed"), source)
 
 
+def fit_zero_weight(spark: SparkSession, sf: str) -> DataFrame:
+    """Distances that fall with the last feature: its weight stays at its bound."""
+    source = X.bounded_pairs(spark, sf)
+    return _weights(_encoder(source, distance="precomputed"), source)
+
+
+def fit_edge(spark: SparkSession, sf: str) -> DataFrame:
+    """An interaction stronger than any semidefinite matrix allows: the best one is singular."""
+    source = X.listed_pairs(spark, sf, weights=X.OUTSIDE)
+    return _weights(_encoder(source, interactions=True, distance="precomputed"), source)
+
+
+def fit_many_query(spark: SparkSession, sf: str) -> DataFrame:
+    """Two representations of the same customers from one reading of the pairs."""
+    source = X.planted(spark, sf, ("f1", "f2", "f3"))
+    out = None
+    for name, fitted in fit_many(_encoder(source), source, {"planted": "y", "second": "z"}).items():
+        got = fitted.get_weights().select(F.lit(name).alias("target"), "feature", r6(F.col("weight")).alias("weight"))
+        out = got if out is None else out.unionByName(got)
+    return out
+
+
 def fit_steps_query(spark: SparkSession, sf: str) -> DataFrame:
     source = X.planted(spark, sf)
     return _weights(_encoder(source, solver="steps", max_steps=STEPS), source)
@@ -500,6 +539,13 @@ def fit_and_score_holdout(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def fit_and_score_kfold(spark: SparkSession, sf: str) -> DataFrame:
+    source = X.planted(spark, sf)
+    importances, _ = cross_validate(_encoder(source, n_permutations=1), source, 3, X.SEED, one_pass=False)
+    return _rounded(importances, "split")
+
+
+def fit_and_score_folds(spark: SparkSession, sf: str) -> DataFrame:
+    """The same with pairs drawn over all rows and read once for all folds."""
     source = X.planted(spark, sf)
     importances, _ = cross_validate(_encoder(source, n_permutations=1), source, 3, X.SEED)
     return _rounded(importances, "split")
@@ -532,6 +578,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "pearson_plain": pearson_plain,
     "feature_corr": feature_corr,
     "corr_std": corr_std,
+    "exact_feature_cov": exact_feature_cov,
     "spearman_ordinal": spearman_ordinal,
     "spearman_average": spearman_average,
     "spearman_batched": spearman_batched,
@@ -562,4 +609,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "fit_and_score": fit_and_score,
     "fit_and_score_holdout": fit_and_score_holdout,
     "fit_and_score_kfold": fit_and_score_kfold,
+    "fit_and_score_folds": fit_and_score_folds,
+    "fit_many": fit_many_query,
+    "fit_zero_weight": fit_zero_weight,
+    "fit_edge": fit_edge,
 }

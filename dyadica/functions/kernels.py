@@ -73,18 +73,19 @@ def columns_of(rows: pa.Table, n: int, width: int) -> np.ndarray:
     return matrix
 
 
-def with_distance(pairs: DataFrame, columns, metric: str, name: str) -> DataFrame:
-    """Add the distance between the positions i and j; ``columns`` is a broadcast matrix."""
+def with_distances(pairs: DataFrame, matrices: list, metric: str, names: list[str]) -> DataFrame:
+    """Add the distances between the positions i and j in each of the broadcast matrices."""
     kernel = KERNELS[metric]
 
     def run(batches):
-        matrix = columns.value
-        lengths = norms(matrix) if metric == "cosine" else None
+        held = [m.value for m in matrices]
+        lengths = [norms(m) if metric == "cosine" else None for m in held]
         with np.errstate(invalid="ignore", over="ignore"):
             for batch in batches:
                 at = [batch.schema.get_field_index(c) for c in ("i", "j")]
                 i, j = (np.asarray(batch.column(k)) for k in at)
-                d = pa.array(kernel(matrix, lengths, i, j))
-                yield pa.RecordBatch.from_arrays([*batch.columns, d], names=[*batch.schema.names, name])
+                d = [pa.array(kernel(m, size, i, j)) for m, size in zip(held, lengths)]
+                yield pa.RecordBatch.from_arrays([*batch.columns, *d], names=[*batch.schema.names, *names])
 
-    return pairs.mapInArrow(run, T.StructType([*pairs.schema.fields, T.StructField(name, T.DoubleType())]))
+    added = [T.StructField(name, T.DoubleType()) for name in names]
+    return pairs.mapInArrow(run, T.StructType([*pairs.schema.fields, *added]))

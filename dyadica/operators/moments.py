@@ -6,6 +6,7 @@ from collections.abc import Sequence
 from dataclasses import dataclass
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 # Positions in a moment vector: bounds of the distance, the largest feature value, the
@@ -97,9 +98,6 @@ def _by_arrow(df, q, extras, by, base, centre, weight):
     held = max(1, 64_000_000 // (8 * length))
 
     def partials(batches):
-        import numpy as np
-        import pyarrow as pa
-
         rows, cols = np.tril_indices(m)
         left, right = np.tril_indices(width)
         sums: dict[tuple, np.ndarray] = {}
@@ -154,12 +152,75 @@ def _by_arrow(df, q, extras, by, base, centre, weight):
 
     schema = ", ".join(f"{c} bigint" for c in names) + ", m array<double>"
     long = flat.mapInArrow(partials, schema).select(*names, F.posexplode("m").alias("pos", "value"))
+    return _merged(long, names).select(*by, "pos", "value")
+
+
+def many_moments(
+    df: DataFrame, q: int, n_targets: int, base: int | None, centres: np.ndarray, weight: str | None = None
+) -> list["Moments"]:
+    """Moments of ``x`` and of e and e*e for every distance e of the array ``d`` less its centre:
+    what ``moment_vectors`` gives for each, with the sums of ``x`` made once.
+
+    ``centres`` has a row a target: those of the terms, of d, and 0. ``base`` as there.
+    """
+    width = base or q
+    m = q + 2
+    length = vector_length(m)
+    shift = np.asarray(centres, dtype=float)
+    times = [] if weight is None else [F.col(weight).cast("double").alias("_times")]
+
+    def partials(batches):
+        left, right = np.tril_indices(width)
+        rows, cols = np.tril_indices(m)
+        total = None
+        for batch in batches:
+            if batch.num_rows == 0:
+                continue
+            x = batch.column(0).flatten().to_numpy(zero_copy_only=False).reshape(-1, width)
+            d = batch.column(1).flatten().to_numpy(zero_copy_only=False).reshape(-1, n_targets)
+            often = np.ones(len(x)) if weight is None else batch.column(2).to_numpy(zero_copy_only=False)
+            if base is not None:
+                x = x[:, left] * x[:, right]
+            top = x.max()
+            x = x - shift[0, :q]
+            weighed = x * often[:, None]
+            shared_sum, shared = weighed.sum(axis=0), weighed.T @ x
+            part = np.empty((n_targets, length))
+            for k in range(n_targets):
+                e = d[:, k] - shift[k, q]
+                more = np.column_stack([e, e * e])
+                often_more = more * often[:, None]
+                full = np.empty((m, m))
+                full[:q, :q] = shared
+                full[q:, :q] = often_more.T @ x
+                full[q:, q:] = often_more.T @ more
+                part[k, :4] = d[:, k].min(), d[:, k].max(), top, often.sum()
+                part[k, 4 : 4 + m] = np.concatenate([shared_sum, often_more.sum(axis=0)])
+                part[k, 4 + m :] = full[rows, cols]
+            if total is not None:
+                part[:, 0] = np.minimum(part[:, 0], total[:, 0])
+                part[:, 1:3] = np.maximum(part[:, 1:3], total[:, 1:3])
+                part[:, 3:] += total[:, 3:]
+            total = part
+        if total is not None:
+            offsets = pa.array(np.arange(0, n_targets * length + 1, length, dtype=np.int32))
+            values = pa.ListArray.from_arrays(offsets, pa.array(total.ravel()))
+            yield pa.RecordBatch.from_arrays([pa.array(np.arange(n_targets)), values], names=["target", "m"])
+
+    parts = df.select("x", "d", *times).mapInArrow(partials, "target bigint, m array<double>")
+    vectors = _merged(parts.select("target", F.posexplode("m").alias("pos", "value")), ["target"])
+    found = collect_moments(vectors, m, "target")
+    return [found[k] for k in range(n_targets)] if found else []
+
+
+def _merged(long: DataFrame, names: list[str]) -> DataFrame:
+    """Partial vectors (names..., pos, value) put together."""
     pos = F.col("pos")
     merged = long.groupBy(*names, "pos").agg(
         F.sum("value").alias("s"), F.min("value").alias("lo"), F.max("value").alias("hi")
     )
     value = F.when(pos == LOW, F.col("lo")).when(pos.isin(HIGH, TOP), F.col("hi")).otherwise(F.col("s"))
-    return merged.select(*by, "pos", value.alias("value"))
+    return merged.select(*names, "pos", value.alias("value"))
 
 
 @dataclass
@@ -183,6 +244,13 @@ class Moments:
             min(self.low, other.low), max(self.high, other.high), max(self.top, other.top), n, mean, cov
         )
 
+    def rescaled(self, factor: np.ndarray) -> "Moments":
+        """Moments of the columns, each times its factor."""
+        return Moments(
+            self.low, self.high, self.top * float(np.max(factor, initial=1.0)), self.n,
+            self.mean * factor, self.cov * np.outer(factor, factor),
+        )
+
 
 def unpack(vec: np.ndarray, m: int) -> Moments:
     n = vec[COUNT]

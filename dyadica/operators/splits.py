@@ -12,7 +12,8 @@ PERCENT = 100
 
 
 def _key(id: str | Sequence[str]) -> Column:
-    return F.col(id) if isinstance(id, str) else F.concat_ws("|", *id)
+    """The id as text; a null id counts as empty text, so that its rows fall somewhere too."""
+    return F.coalesce(F.col(id).cast("string"), F.lit("")) if isinstance(id, str) else F.concat_ws("|", *id)
 
 
 def train_test_split(

@@ -134,18 +134,24 @@ class MetricEncoder:
             size = self.estimate_batch_size(source)
         stream = f"{seed}:fit"
         if self.solver == POOLED:
-            n_pairs = size * self.max_steps
-            if self.max_fit_pairs is not None:
-                n_pairs = max(size, min(n_pairs, self.max_fit_pairs))
             result = fit_pooled(
                 source, self.distance, self.interactions, self.nan_to_num,
-                n_pairs, size, stream, self.tolerance,
+                self.pairs_to_fit(size), size, stream, self.tolerance,
             )
         else:
             result = fit_steps(
                 source, self.distance, self.interactions, self.nan_to_num, size,
                 self.max_steps, self.lr, self.weight_decay, self.patience, stream, seed,
             )
+        return self.take(result, source, size)
+
+    def pairs_to_fit(self, size: int) -> int:
+        """How many pairs the pooled solver reads."""
+        n_pairs = size * self.max_steps
+        return n_pairs if self.max_fit_pairs is None else max(size, min(n_pairs, self.max_fit_pairs))
+
+    def take(self, result: FitResult, source, size: int) -> "MetricEncoder":
+        """Hold a fit of this source."""
         self.fit_, self.source_, self.batch_size_fit_ = result, source, size
         self.feature_names = list(source.feature_names)
         log.info("fitted on %d pairs, correlation %.4f", result.n_pairs, result.correlation)

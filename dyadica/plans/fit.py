@@ -4,13 +4,14 @@ from __future__ import annotations
 
 import warnings
 from dataclasses import dataclass
+from functools import reduce
 
 import numpy as np
 from pyspark.sql import DataFrame, functions as F
 
 from dyadica.functions.distances import PRECOMPUTED, SCALE_EPS, resolve_metric
 from dyadica.operators.moments import (
-    Moments, collect_moments, moment_vectors, provisional_centre, scaled_square_moments,
+    Moments, collect_moments, many_moments, moment_vectors, provisional_centre, scaled_square_moments,
     use_expressions, vector_length,
 )
 from dyadica.operators.pairs import counted_pairs, sample_pair_range
@@ -150,6 +151,114 @@ def fit_pooled(
     return FitResult(w, S.correlation(w, sigma, c, var), done, blocks)
 
 
+def fit_many(
+    source, targets, distance, interactions: bool, nan_to_num: float,
+    n_pairs: int, batch_size: int, stream: str,
+) -> list[FitResult]:
+    """Best weights for each of several representations of the same stimuli, from one reading of
+    the same pairs: the sums of the feature terms are shared. As ``fit_pooled`` on each."""
+    p = source.n_features
+    q = n_terms(p, interactions)
+    late = _late(q, interactions)
+    if not targets:
+        return []
+    centres = _centres(source, targets, batch_size, distance, interactions, nan_to_num, stream)
+    counted = counted_pairs(source, n_pairs, batch_size, stream)
+    pairs = sample_pair_range(source, 0, n_pairs, batch_size, stream) if counted is None else counted
+    dist = source.distances(
+        pairs, n_pairs, distance, interactions, nan_to_num, expand=not late, targets=targets
+    )
+    weight = None if counted is None else "times"
+    out = []
+    for mom, centre in zip(many_moments(dist, q, len(targets), p if late else None, centres, weight), centres):
+        _expect(mom.n, n_pairs)
+        out.append(_best(mom, centre, q, p, interactions, n_pairs, batch_size))
+    return out
+
+
+def _centres(source, targets, batch_size, distance, interactions, nan_to_num, stream) -> np.ndarray:
+    """A row of provisional centres a target, each as ``pair_centre`` gives it."""
+    p = source.n_features
+    q = n_terms(p, interactions)
+    late = _late(q, interactions)
+    n = min(CENTRE_PAIRS, batch_size)
+    pairs = sample_pair_range(source, 0, n, batch_size, stream)
+    dist = source.distances(pairs, n, distance, interactions, nan_to_num, expand=not late, targets=targets)
+    width = p if late else q
+    wide = dist.select("x", *[F.get("d", F.lit(k)).alias(f"_t{k}") for k in range(len(targets))])
+    means = [F.avg(F.get("x", F.lit(k))).alias(f"_c{k}") for k in range(width)]
+    row = wide.agg(*means, *[F.avg(f"_t{k}").alias(f"_m{k}") for k in range(len(targets))]).first()
+    found = np.array([0.0 if v is None else float(v) for v in row])
+    x = found[:width]
+    if late:
+        left, right = np.tril_indices(p)
+        x = x[left] * x[right]
+    return np.array([[*x, d, 0.0] for d in found[width:]])
+
+
+def _best(mom: Moments, centre, q, p, interactions, n_pairs, batch_size) -> FitResult:
+    sigma, c, var = objective(mom, q, mom.low, mom.high, centre)
+    w = S.solve_spd(sigma, c, var, p) if interactions else S.solve_positive(sigma, c, var)
+    _check_span(mom, w, batch_size)
+    return FitResult(w, S.correlation(w, sigma, c, var), n_pairs, 1)
+
+
+def fit_folds(
+    source, fold: str, factors: list[np.ndarray], distance, interactions: bool, nan_to_num: float,
+    n_pairs: int, batch_size: int, stream: str,
+) -> list[FitResult]:
+    """Best weights for the rows outside each fold, from one reading of the same pairs.
+
+    Moments are taken by the folds of both ends of a pair; those of the pairs without an end in a
+    fold are the sum of the others' cells. ``factors`` brings each fold's feature distances from
+    the scale of all rows to that of its training rows.
+    """
+    p, k = source.n_features, len(factors)
+    q = n_terms(p, interactions)
+    centre = pair_centre(source, batch_size, distance, interactions, nan_to_num, stream)
+    counted = counted_pairs(source, n_pairs, batch_size, stream)
+    pairs = sample_pair_range(source, 0, n_pairs, batch_size, stream) if counted is None else counted
+    cells = _cell_moments(
+        source, pairs, n_pairs, distance, interactions, nan_to_num, centre, fold, k,
+        None if counted is None else "times",
+    )
+    _expect(sum(m.n for m in cells.values()), n_pairs)
+    out = []
+    for f in range(k):
+        mine = [m for cell, m in cells.items() if f not in divmod(cell, k)]
+        if not mine:
+            raise ValueError(f"no pair was drawn outside fold {f}")
+        mom = reduce(Moments.merged, mine)
+        by_term = _term_factors(factors[f], interactions)
+        scaled = mom.rescaled(np.concatenate([by_term, [1.0, 1.0]]))
+        here = np.concatenate([centre[:q] * by_term, centre[q:]])
+        out.append(_best(scaled, here, q, p, interactions, int(mom.n), batch_size))
+    return out
+
+
+def _term_factors(factor: np.ndarray, interactions: bool) -> np.ndarray:
+    if not interactions:
+        return factor * factor
+    rows, cols = np.tril_indices(len(factor))
+    return factor[rows] * factor[cols]
+
+
+def _cell_moments(
+    source, pairs, n_pairs, distance, interactions, nan_to_num, centre, fold, k, weight
+) -> dict[int, Moments]:
+    p = source.n_features
+    q = n_terms(p, interactions)
+    late = _late(q, interactions)
+    dist = source.distances(
+        pairs, n_pairs, distance, interactions, nan_to_num, expand=not late, carry=[fold]
+    )
+    e = F.col("d") - F.lit(float(centre[q]))
+    cell = F.col(f"a_c_{fold}") * F.lit(k) + F.col(f"b_c_{fold}")
+    wide = dist.withColumn("d2", e * e).withColumn("_cell", cell)
+    vectors = moment_vectors(wide, q, EXTRAS, ("_cell",), p if late else None, centre, weight)
+    return collect_moments(vectors, q + 2, "_cell")
+
+
 def fit_steps(
     source, distance, interactions: bool, nan_to_num: float,
     batch_size: int, max_steps: int, lr: float, weight_decay: float, patience: int,

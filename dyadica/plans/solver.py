@@ -107,25 +107,23 @@ class Adam:
 
 def ascend(
     shape, theta: np.ndarray, sigma: np.ndarray, c: np.ndarray, var: float,
-    lr: float = 0.1, weight_decay: float = 0.0, max_iter: int = 5000, tol: float = 1e-12,
+    lr: float = 0.1, weight_decay: float = 0.0, max_iter: int = 5000, tol: float = 1e-7,
     patience: int = 200,
 ) -> np.ndarray:
-    """Weights at the best point of an ascent on fixed moments, with a falling step size."""
+    """Weights at the best point of an ascent on fixed moments, with a falling step size. It ends
+    where ``patience`` steps have gained no more than ``tol``, as towards a bound they do at last."""
     opt = Adam(shape.size, lr, weight_decay)
-    best, best_w, waited = -np.inf, shape.weights(theta), 0
+    best, best_w, mark, waited = -np.inf, shape.weights(theta), -np.inf, 0
     for k in range(max_iter):
         w = shape.weights(theta)
         r = correlation(w, sigma, c, var)
-        if r > best + tol:
-            best, best_w, waited = r, w.copy(), 0
-        else:
-            waited += 1
-            if waited >= patience:
-                break
+        if r > best:
+            best, best_w = r, w.copy()
+        mark, waited = (r, 0) if r > mark + tol else (mark, waited + 1)
+        if waited >= patience:
+            break
         opt.lr = lr / (1 + 0.01 * k)
         theta = opt.step(theta, shape.pull_back(theta, correlation_gradient(w, sigma, c, var)))
-    else:
-        warnings.warn(f"the ascent still rose after {max_iter} steps", UserWarning, stacklevel=2)
     return best_w
 
 
@@ -158,21 +156,111 @@ def nnls_direction(sigma: np.ndarray, c: np.ndarray, sweeps: int = 20000, tol: f
 
 
 def solve_positive(sigma: np.ndarray, c: np.ndarray, var: float) -> np.ndarray:
-    """Best non-negative weights; an ascent when no feature has a positive covariance."""
+    """Best non-negative weights. When no feature has a positive covariance, every mixture
+    correlates less than its best single feature, which is the answer then."""
     w = nnls_direction(sigma, c)
     norm = np.linalg.norm(w)
     if norm > 0:
         return w / norm
-    shape = PositiveWeights(len(c))
-    return ascend(shape, np.zeros(len(c)), sigma, c, var)
+    spread = np.sqrt(np.maximum(np.diag(sigma), 0.0))
+    alone = np.where(spread > 0, c / np.where(spread > 0, spread, 1.0), 0.0)
+    if not alone.any():
+        return np.full(len(c), 1.0 / np.sqrt(len(c)))
+    return np.eye(len(c))[int(np.argmax(np.where(spread > 0, alone, -np.inf)))]
+
+
+class Cone:
+    """Least squares over positive semidefinite matrices, by Newton steps on a log barrier.
+
+    The matrix is its lower triangle ``z``, each entry in units of ``factor``. With
+    ``f(z) = z' sigma z / 2 - c' z``, each step minimises the second-order model of
+    ``f - mu log det`` and ``mu`` falls by tenths. At the end ``f`` exceeds its least value by no
+    more than p mu.
+    """
+
+    # Barrier weights, and a small pull to 0 along directions that change no prediction.
+    FIRST_MU, LAST_MU, RIDGE = 1.0, 1e-15, 1e-11
+    STEPS = 60
+
+    def __init__(self, sigma: np.ndarray, c: np.ndarray, factor: np.ndarray, p: int):
+        self.p, self.factor = p, factor
+        self.sigma = sigma + self.RIDGE * np.eye(len(c))
+        self.c = c
+        self.rows, self.cols = np.tril_indices(p)
+        self.twice = np.where(self.rows == self.cols, 1.0, 2.0)
+
+    def matrix(self, z: np.ndarray) -> np.ndarray:
+        full = np.zeros((self.p, self.p))
+        full[self.rows, self.cols] = full[self.cols, self.rows] = z * self.factor
+        return full
+
+    def value(self, z: np.ndarray, mu: float) -> float:
+        try:
+            low = np.linalg.cholesky(self.matrix(z))
+        except np.linalg.LinAlgError:
+            return np.inf
+        return 0.5 * z @ self.sigma @ z - self.c @ z - 2 * mu * np.log(np.diag(low)).sum()
+
+    def gradient(self, z: np.ndarray) -> np.ndarray:
+        return self.sigma @ z - self.c
+
+    def newton(self, z: np.ndarray, mu: float) -> tuple[np.ndarray, float]:
+        """The Newton step of ``f - mu log det``, and its decrement."""
+        inverse = np.linalg.inv(self.matrix(z))
+        r, c = self.rows, self.cols
+        scale = self.factor * self.twice
+        gradient = self.gradient(z) - mu * scale * inverse[r, c]
+        curved = inverse[np.ix_(r, r)] * inverse[np.ix_(c, c)] + inverse[np.ix_(r, c)] * inverse[np.ix_(c, r)]
+        step = -np.linalg.solve(self.sigma + mu * curved * np.outer(scale, scale) / 2, gradient)
+        return step, float(-gradient @ step)
+
+    def solve(self) -> np.ndarray:
+        z = np.where(self.rows == self.cols, 1.0 / self.factor, 0.0)
+        z = z / max(1.0, np.abs(z).max())
+        mu = self.FIRST_MU
+        while mu >= self.LAST_MU:
+            for _ in range(self.STEPS):
+                try:
+                    step, drop = self.newton(z, mu)
+                except np.linalg.LinAlgError:
+                    return z
+                if not np.isfinite(drop) or drop <= 1e-3 * mu:
+                    break
+                size, now = 1.0, self.value(z, mu)
+                while size > 1e-12 and not self.value(z + size * step, mu) <= now - 1e-4 * size * drop:
+                    size /= 2
+                if size <= 1e-12:
+                    break
+                z = z + size * step
+            mu /= 10
+        return z
+
+
+def spd_conditions(w: np.ndarray, sigma: np.ndarray, c: np.ndarray, p: int) -> tuple[float, float, float]:
+    """How far weights are from the best semidefinite ones: the least eigenvalue of their matrix,
+    that of the gradient's at the best length, and the product of both matrices, each in units
+    of its own size. All are 0 or more but for rounding, and the last is 0, at the optimum."""
+    rows, cols = np.tril_indices(p)
+    length = (w @ c) / (w @ sigma @ w)
+    found, slope = np.zeros((p, p)), np.zeros((p, p))
+    found[rows, cols] = found[cols, rows] = w
+    g = sigma @ (w * length) - c
+    slope[rows, cols] = slope[cols, rows] = np.where(rows == cols, g, g / 2)
+    size = max(np.abs(c).max(), 1e-300)
+    return (
+        float(np.linalg.eigvalsh(found)[0] / np.linalg.norm(found)),
+        float(np.linalg.eigvalsh(slope)[0] / size),
+        float((found * slope).sum() / (np.linalg.norm(found) * size)),
+    )
 
 
 def solve_spd(sigma: np.ndarray, c: np.ndarray, var: float, p: int) -> np.ndarray:
     """Best positive definite weights.
 
     The least squares direction is the best of all; when it is positive definite it is the
-    answer. Otherwise the ascent starts from the identity and from the nearest positive
-    definite matrix, and the better end wins.
+    answer. Otherwise the least squares over the cone is, since its direction correlates best of
+    all in the cone. Features whose terms are all without spread get weight 0. Only where no matrix
+    of the cone correlates positively an ascent looks for the least bad one.
     """
     shape = SpdWeights(p)
     unit, unit_c, factor = unit_diagonal(sigma, c)
@@ -183,6 +271,20 @@ def solve_spd(sigma: np.ndarray, c: np.ndarray, var: float, p: int) -> np.ndarra
     values, vectors = np.linalg.eigh(full)
     if values[0] > 1e-9 * max(values[-1], 0.0) and values[-1] > 0:
         return free / np.linalg.norm(full)
+    rows, cols = shape.tril
+    spread = np.flatnonzero(np.bincount(np.concatenate([rows, cols]), np.concatenate([factor, factor]), minlength=p))
+    kept = np.isin(rows, spread) & np.isin(cols, spread)
+    if len(spread):
+        # An entry without spread of its own has unit factor: nothing but the cone bounds it.
+        part = np.where(factor[kept] > 0, factor[kept], 1.0)
+        cone = Cone(unit[np.ix_(kept, kept)], unit_c[kept], part, len(spread))
+        w = np.zeros(len(c))
+        w[kept] = cone.solve() * part
+        whole = np.zeros((p, p))
+        whole[shape.tril] = w
+        length = np.linalg.norm(whole + np.tril(whole, -1).T)
+        if length > 0 and correlation(w, sigma, c, var) > 1e-9:
+            return w / length
     starts = [shape.identity()]
     if values[-1] > 0:
         lifted = vectors @ np.diag(np.maximum(values, 1e-3 * values[-1])) @ vectors.T

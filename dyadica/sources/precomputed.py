@@ -14,6 +14,15 @@ from dyadica.sources.sizing import fits_broadcast
 from dyadica.sources.stimuli import array_width
 
 
+# Fixed value: a prime of 31 bits.
+PRIME = (1 << 31) - 1
+
+
+def _mark(position: Column, kind: int) -> Column:
+    """A random-like number below 2^30 for a position."""
+    return F.hash(F.lit(kind), position.cast("bigint")).cast("bigint").bitwiseAND(F.lit((1 << 30) - 1))
+
+
 def _given(distance: Column) -> Column:
     """A distance as a double; one that is missing raises, since nothing is filled here."""
     value = distance.cast("double")
@@ -75,9 +84,13 @@ class PrecomputedPairs:
 
     def _matrix_size(self) -> int:
         i, j = F.col(self.i), F.col(self.j)
+        # Over a full matrix, the products of both ends' marks add up to the product of the marks'
+        # sums; a pair that stands in for another changes that, but for a chance of about 2^-62.
+        marks = [(_mark(i, k) * _mark(j, k + 2) % PRIME).cast("decimal(10,0)") for k in range(2)]
         row = self.df.agg(
             F.count(F.lit(1)).alias("c"), F.min(F.least(i, j)).alias("lo"),
             F.max(F.greatest(i, j)).alias("hi"), F.count(i + j).alias("k"),
+            *[F.sum(m).alias(f"s{k}") for k, m in enumerate(marks)],
         ).first()
         n = 0 if row["c"] == 0 else int(row["hi"]) + 1
         if row["c"] != n * n or row["k"] != row["c"] or (n and row["lo"] != 0):
@@ -85,6 +98,11 @@ class PrecomputedPairs:
                 f"precomputed distances need every pair of 0..{n - 1}: "
                 f"{n * n} rows expected, {row['c']} found"
             )
+        ids = self.df.sparkSession.range(n)
+        want = ids.agg(*[F.sum(_mark(F.col("id"), k).cast("decimal(10,0)")) for k in range(4)]).first()
+        for k in range(2):
+            if n and int(row[f"s{k}"]) % PRIME != int(want[k]) * int(want[k + 2]) % PRIME:
+                raise ValueError("precomputed distances repeat some pairs and lack others")
         return n
 
     def _list_size(self) -> int:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import copy
 from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame, functions as F, types as T
@@ -120,6 +121,12 @@ class Stimuli:
             dense, self.scale, self.strict,
         )
 
+    def with_target(self, target: str | Sequence[str] | None) -> "Stimuli":
+        """The same rows, positions and features with another representation."""
+        other = copy.copy(self)
+        other.target, other._small, other._matrix, other._matrix_made = target, {}, None, False
+        return other
+
     # ------------------------------------------------------------ positions
 
     def size(self) -> int:
@@ -164,7 +171,9 @@ class Stimuli:
             self._bounds = scaling_bounds(self.df, wanted, self.strict)
         return self._bounds
 
-    def _payload(self, df: DataFrame, metric: D.Metric | None) -> dict[str, Column]:
+    def _payload(
+        self, df: DataFrame, metric: D.Metric | None, targets: Sequence, carry: Sequence[str] = ()
+    ) -> dict[str, Column]:
         if self.raw:
             array = F.col(self.columns[0])
             values = [F.get(array, F.lit(k)).cast("double") for k in range(self.n_features)]
@@ -172,20 +181,23 @@ class Stimuli:
             values = pair_values(df, self.kinds, self._bounds_of(), self.scale)
         out = {f"f{k}": v for k, v in enumerate(values)}
         if metric is not None:
-            vector = vector_column(df, self.target)
-            if metric.vector:
-                out["y"] = vector
-            if metric.norm:
-                out["norm"] = D.vector_norm(vector)
-        return out
-
-    def _needed(self, metric: D.Metric | None) -> list[str]:
-        target = [] if metric is None else [self.target] if isinstance(self.target, str) else self.target
-        return list(dict.fromkeys([*self.keys, *self.columns, *target]))
-
-    def is_small(self, metric: D.Metric | None = None) -> bool:
+            for k, target in enumerate(targets):
+                vector = vector_column(df, target)
+                if metric.vector:
+                    out[f"y{k}"] = vector
+                if metric.norm:
+                    out[f"norm{k}"] = D.vector_norm(vector)
+        return out | {f"c_{c}": F.col(c) for c in carry}
+
+    def _needed(self, metric: D.Metric | None, targets: Sequence, carry: Sequence[str] = ()) -> list[str]:
+        wanted = [] if metric is None else [[t] if isinstance(t, str) else t for t in targets]
+        return list(dict.fromkeys([*self.keys, *self.columns, *(c for t in wanted for c in t), *carry]))
+
+    def is_small(
+        self, metric: D.Metric | None = None, targets: Sequence | None = None, carry: Sequence[str] = ()
+    ) -> bool:
         """True when the columns these distances need are measured to fit a broadcast."""
-        narrow = self.df.select(*self._needed(metric))
+        narrow = self.df.select(*self._needed(metric, [self.target] if targets is None else targets, carry))
         key = tuple(narrow.columns)
         if key not in self._small:
             self._small[key] = fits_broadcast(narrow, self.size())
@@ -215,8 +227,12 @@ class Stimuli:
             self._id_bytes = widest_row(self._index.select(*self.keys))
         return self._id_bytes
 
-    def gather(self, pairs: DataFrame, n_pairs: int, metric: D.Metric | None, mode: str = "auto") -> DataFrame:
-        """Both sides of every pair, as columns a_* and b_*.
+    def gather(
+        self, pairs: DataFrame, n_pairs: int, metric: D.Metric | None, mode: str = "auto",
+        targets: Sequence | None = None, carry: Sequence[str] = (),
+    ) -> DataFrame:
+        """Both sides of every pair, as columns a_* and b_*; ``carry`` names further columns of the
+        rows, which come as a_c_* and b_c_*.
 
         - ``lookup``: the stimuli are measured to fit, and are broadcast; no shuffle.
         - ``ends``: the stimuli are large and the pairs few; the pair ends are broadcast, so
@@ -226,25 +242,26 @@ class Stimuli:
         - ``shuffle``: both are large; the ends and the stimuli meet in a shuffle join.
         """
         n = self.size()
+        targets = [self.target] if targets is None else targets
         if mode == "auto":
-            if self.is_small(metric):
+            if self.is_small(metric, targets, carry):
                 mode = "lookup"
             else:
                 mode = P.meeting_mode(self.df.sparkSession, n, n_pairs, self._key_width())
         if mode == "lookup":
             rows = self._with_sid()
-            payload = self._payload(rows, metric)
+            payload = self._payload(rows, metric, targets, carry)
             values = rows.select("sid", *[c.alias(k) for k, c in payload.items()])
             return P.gather_by_lookup(pairs, values)
         keys = [c for c in pairs.columns if c not in ("i", "j")]
-        rows = self.df.select(*self._needed(metric))
+        rows = self.df.select(*self._needed(metric, targets, carry))
         ends = P.pair_ends(pairs)
         if self.dense:
             rows, on = rows.withColumn("sid", F.col(self.keys[0]).cast("bigint")), ["sid"]
         else:
             ends, on = P.meet(self._index, ends, ["sid"], mode), self.keys
         met = P.meet(rows, ends, on, mode)
-        payload = self._payload(met, metric)
+        payload = self._payload(met, metric, targets, carry)
         met = met.select(*keys, "side", "sid", *[c.alias(k) for k, c in payload.items()])
         return P.assemble_ends(met, keys, list(payload))
 
@@ -265,40 +282,55 @@ class Stimuli:
         nan_to_num: float = 0.0,
         mode: str = "auto",
         expand: bool = True,
+        targets: Sequence | None = None,
+        carry: Sequence[str] = (),
     ) -> DataFrame:
         """Add ``x`` (array of squared distances or products) and ``d`` to the pairs.
 
         With ``distance=None`` only the features are read. With ``expand=False`` ``x`` holds
         the plain feature distances. Named distances of small stimuli are made by matrix
-        operations on whole batches of pairs.
+        operations on whole batches of pairs. With ``targets``, a list of representations, ``d``
+        is an array of the distances in each. ``carry`` names columns of the rows that are added
+        for both sides, as a_c_* and b_c_*.
         """
-        metric = None
+        metric, many = None, targets is not None
         if distance is not None:
-            if self.target is None:
-                raise ValueError("these stimuli have no representation")
             metric = D.resolve_metric(distance)
-        asked = pairs.columns
-        by_kernel = metric is not None and metric.name in K.KERNELS and mode == "auto" and self.is_small(metric)
-        if by_kernel and self.matrix() is not None:
-            pairs = K.with_distance(pairs, self.matrix(), metric.name, "_d")
-            met, given = self.gather(pairs, n_pairs, None, "lookup"), [F.col("_d")]
+            targets = targets if many else [self.target]
+            if any(t is None for t in targets):
+                raise ValueError("these stimuli have no representation")
+        asked = [*pairs.columns, *(f"{side}_c_{c}" for c in carry for side in "ab")]
+        views = [self.with_target(t) for t in targets] if many else [self]
+        by_kernel = (
+            metric is not None and metric.name in K.KERNELS and mode == "auto"
+            and self.is_small(metric, targets, carry) and all(v.matrix() is not None for v in views)
+        )
+        if by_kernel:
+            names = [f"_d_{k}" for k in range(len(views))]
+            pairs = K.with_distances(pairs, [v.matrix() for v in views], metric.name, names)
+            met, given = self.gather(pairs, n_pairs, None, "lookup", carry=carry), [F.col(c) for c in names]
         else:
-            met, given = self.gather(pairs, n_pairs, metric, mode), self._distance_column(metric)
+            met = self.gather(pairs, n_pairs, metric, mode, targets, carry)
+            given = [] if metric is None else [
+                column.alias(f"_d_{k}") for k, column in enumerate(self._distance_columns(metric, len(targets)))
+            ]
         dist = self.feature_distances(nan_to_num)
         wide = met.select(*asked, *[c.alias(f"_d{k}") for k, c in enumerate(dist)], *given)
         base = [F.col(f"_d{k}") for k in range(len(dist))]
         x = D.terms_array(base, interactions) if expand else F.array(*base)
-        d = [D.clean_distance(F.col("_d"), nan_to_num).alias("d")] if metric is not None else []
+        d = [D.clean_distance(F.col(f"_d_{k}"), nan_to_num) for k in range(len(given))]
+        d = [] if metric is None else [(F.array(*d) if many else d[0]).alias("d")]
         return wide.select(*asked, x.alias("x"), *d)
 
-    def _distance_column(self, metric: D.Metric | None) -> list[Column]:
-        if metric is None:
-            return []
-        sides = [
-            D.Side(
-                F.col(f"{s}_y") if metric.vector else None,
-                F.col(f"{s}_norm") if metric.norm else None,
-            )
-            for s in ("a", "b")
-        ]
-        return [metric.between(*sides).alias("_d")]
+    def _distance_columns(self, metric: D.Metric, count: int) -> list[Column]:
+        out = []
+        for k in range(count):
+            sides = [
+                D.Side(
+                    F.col(f"{s}_y{k}") if metric.vector else None,
+                    F.col(f"{s}_norm{k}") if metric.norm else None,
+                )
+                for s in ("a", "b")
+            ]
+            out.append(metric.between(*sides))
+        return out

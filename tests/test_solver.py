@@ -1,3 +1,5 @@
+import warnings
+
 import numpy as np
 import pytest
 
@@ -82,3 +84,46 @@ def test_adam_matches_its_definition():
     assert theta[0] == pytest.approx(0.1, abs=1e-8)
     decayed = S.Adam(1, 0.1, 0.5).step(np.ones(1), np.zeros(1))
     assert decayed[0] == pytest.approx(0.95)
+
+
+def drawn(p, kind, seed):
+    """Moments of a quadratic form of random features that mostly is not semidefinite."""
+    rng = np.random.default_rng(seed)
+    d = rng.uniform(size=(2000, p)) if kind != "mismatch" else 1.0 * (rng.uniform(size=(2000, p)) < 0.5)
+    if kind == "constant":
+        d[:, 0] = 0
+    r, c = np.tril_indices(p)
+    x = d[:, r] * d[:, c]
+    s = x @ (rng.normal(size=len(r)) + 1.0 * (r == c)) + 0.1 * rng.normal(size=2000)
+    full = np.cov(np.column_stack([x, s]).T, bias=True)
+    return full[: len(r), : len(r)], full[: len(r), len(r)], full[len(r), len(r)]
+
+
+@pytest.mark.parametrize("kind", ["gap", "mismatch", "constant"])
+@pytest.mark.parametrize("p", [2, 3, 6])
+def test_spd_meets_the_conditions_of_the_optimum(p, kind):
+    shape, on_edge = S.SpdWeights(p), 0
+    for seed in range(6):
+        sigma, c, var = drawn(p, kind, seed)
+        with warnings.catch_warnings():
+            warnings.simplefilter("error")
+            w = S.solve_spd(sigma, c, var, p)
+        r = S.correlation(w, sigma, c, var)
+        climbed = S.ascend(shape, shape.identity(), sigma, c, var)
+        assert r >= S.correlation(climbed, sigma, c, var) - 1e-9
+        if r > 1e-6:
+            inside, slope, apart = S.spd_conditions(w, sigma, c, p)
+            assert inside > -1e-9 and slope > -1e-6 and abs(apart) < 1e-9
+            on_edge += inside < 1e-6
+    assert on_edge or p == 2
+
+
+def test_positive_without_positive_covariances_is_the_best_single_feature():
+    for seed in range(5):
+        sigma, c, var, _ = problem(3, seed, -np.random.default_rng(seed).uniform(0.1, 1, size=3))
+        w = S.solve_positive(sigma, c, var)
+        assert sorted(w) == [0, 0, 1]
+        rng = np.random.default_rng(seed)
+        others = [S.correlation(v, sigma, c, var) for v in rng.uniform(size=(500, 3))]
+        assert S.correlation(w, sigma, c, var) >= max(others)
+    assert S.solve_positive(np.zeros((2, 2)), np.zeros(2), 1.0) == pytest.approx([0.5**0.5] * 2)
