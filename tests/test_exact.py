@@ -46,14 +46,8 @@ def test_exact_moments_by_brute_force(spark, fill, names, categorical):
     assert got.mean == pytest.approx(mean, abs=1e-12) and got.cov == pytest.approx(cov, abs=1e-12)
 
 
-def test_exact_moments_make_no_pair(spark):
+def test_exact_moments_of_empty_and_single_tables(spark):
     _, df = table(spark, 30, 1)
-    source = Stimuli(df, ["a", "c"], None, "id", dense=True)
-    spark.sparkContext.setJobGroup("exact", "exact")
-    try:
-        exact_moments(source)
-    finally:
-        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
     empty = exact_moments(Stimuli(df.limit(0), ["a", "c"], None, "id", dense=True))
     assert empty.pairs == 0 and not empty.cov.any()
     one = exact_moments(Stimuli(df.limit(1), ["a", "c"], None, "id"))
