@@ -9,7 +9,9 @@ each pulled to the level above; a page does not count towards its own prior. All
 grouped aggregations; pages are read once.
 
 Rows: null and empty pages have no text evidence and go by the rest. A null or malformed address
-has an empty host and suffix; a missing declaration is a value of its own. Pages are read whole.
+has an empty host and suffix; a missing declaration is a value of its own. Pages are read whole:
+text in menus, headers and the like counts for less, unless it is the larger part of the page, as
+where all of it lies in a form; scripts and styles are no text.
 Repeated rows count as pages of their own. An empty table gives no rows; without labelled
 documents the language is null and the confidence 0.
 """
@@ -28,9 +30,11 @@ from dyadica.llm.wordhash import mix
 from dyadica.session import materialize
 
 # About so many labelled documents of each language fit the trigram model, all where there are
-# fewer; most languages kept.
-LANGUAGE_DOCUMENTS, MOST_LANGUAGES = 20_000, 200
+# fewer. The model has SLOTS numbers a language.
+LANGUAGE_DOCUMENTS = 20_000
 SLOTS = 1 << 14
+# What a trigram of a menu or the like counts, beside one of running text.
+ASIDE_WEIGHT = 0.2
 # Trigrams of running text overlap: this share of their log likelihood counts.
 TEMPER = 0.25
 ADD = 0.5
@@ -50,18 +54,17 @@ ADVERT = re.compile(r"""\b(?:class|id)\s*=\s*["']?[^"']*\b(?:ads?|advert|banner|
 SECOND_LEVEL = {"co", "com", "org", "net", "ac", "gov", "edu"}
 
 
-def read_page(page: str) -> tuple[str, str]:
-    """The running text of a page, and the language its markup declares (or empty)."""
+def read_parts(page: str) -> tuple[str, str, str]:
+    """The running text of a page, its text in menus, headers and the like, and the language that
+    its markup declares (or empty)."""
     declared = ""
-    kept, every = [], []
+    running, aside = [], []
     closes: str | None = None
     depth = at = 0
     for m in TAG.finditer(page):
         text = page[at : m.start()]
         if text and closes not in ("script", "style"):
-            every.append(text)
-            if closes is None:
-                kept.append(text)
+            (running if closes is None else aside).append(text)
         at = m.end()
         name = m.group(2).lower()
         if name == "html" and not m.group(1) and not declared:
@@ -74,16 +77,31 @@ def read_page(page: str) -> tuple[str, str]:
             depth += -1 if m.group(1) else 1
             if depth == 0:
                 closes = None
-        kept.append(" ")
-        every.append(" ")
-    rest = page[at:]
-    every.append(rest)
-    if closes is None:
-        kept.append(rest)
-    text = html.unescape("".join(kept))
-    if sum(map(len, LETTERS.findall(text))) < LEAST_LETTERS:
-        text = html.unescape("".join(every))
-    return text, declared
+        running.append(" ")
+        aside.append(" ")
+    if closes not in ("script", "style"):
+        (running if closes is None else aside).append(page[at:])
+    return html.unescape("".join(running)), html.unescape("".join(aside)), declared
+
+
+def letters_in(text: str) -> int:
+    return sum(map(len, LETTERS.findall(text)))
+
+
+def read_page(page: str) -> tuple[str, str]:
+    """The text of a page that counts in full, and the language its markup declares (or empty)."""
+    return weighed_parts(page)[::2]
+
+
+def weighed_parts(page: str) -> tuple[str, str, str]:
+    """The text that counts in full, the text that counts for less, and the declared language.
+
+    All text counts in full where the running text has next to no letters, or fewer than the rest.
+    """
+    running, aside, declared = read_parts(page)
+    if letters_in(running) < max(LEAST_LETTERS, letters_in(aside)):
+        return " ".join(filter(None, (running, aside))), "", declared
+    return running, aside, declared
 
 
 def slots_of(text: str) -> np.ndarray:
@@ -99,14 +117,14 @@ def slots_of(text: str) -> np.ndarray:
 def fit_trigrams(docs: DataFrame, text: str = "text", lang: str = "lang", id: str = "doc_id") -> tuple[list[str], np.ndarray]:
     """Languages and log chances of slots (languages x SLOTS), from labelled documents."""
     docs = docs.filter(F.col(lang).isNotNull())
-    sizes = docs.groupBy(F.col(lang).alias("_lang")).agg(F.count("*").alias("_n"))
-    sizes = sizes.orderBy(F.desc("_n"), "_lang").limit(MOST_LANGUAGES).collect()
+    # One row a language.
+    sizes = docs.groupBy(F.col(lang).alias("_lang")).agg(F.count("*").alias("_n")).collect()
     # Languages of more documents than wanted are thinned, each by its own step.
     steps = {r["_lang"]: -(-r["_n"] // LANGUAGE_DOCUMENTS) for r in sizes}
     if not steps:
         return [], np.full((0, SLOTS), ADD)
     step = F.create_map(*[F.lit(x) for pair in steps.items() for x in pair])[F.col(lang)]
-    sample = docs.filter(F.col(lang).isin(list(steps)) & (F.pmod(F.xxhash64(id, text), step) == 0))
+    sample = docs.filter(F.pmod(F.xxhash64(id, text), step) == 0)
 
     def run(batch: pa.RecordBatch) -> dict:
         totals: dict[str, np.ndarray] = {}
@@ -125,12 +143,13 @@ def fit_trigrams(docs: DataFrame, text: str = "text", lang: str = "lang", id: st
         return {"lang": names, "slot": np.concatenate(slots), "n": np.concatenate(counts)}
 
     rows = map_arrow(sample.select(F.col(text).alias("text"), F.col(lang).alias("lang")), run, "lang string, slot int, n long")
-    rows = materialize(rows.groupBy("lang", "slot").agg(F.sum("n").alias("n")))
-    languages = sorted(r["lang"] for r in rows.select("lang").distinct().collect())
+    counts = rows.groupBy("lang", "slot").agg(F.sum("n").alias("n"))
+    # At most SLOTS numbers a language.
+    found = counts.groupBy("lang").agg(F.collect_list("slot").alias("slots"), F.collect_list("n").alias("n")).toArrow()
+    languages = sorted(found.column("lang").to_pylist())
     table = np.full((len(languages), SLOTS), ADD)
-    place = {name: k for k, name in enumerate(languages)}
-    for r in rows.toPandas().itertuples():
-        table[place[r.lang], r.slot] += r.n
+    for name, slots, n in zip(found.column("lang").to_pylist(), found.column("slots"), found.column("n")):
+        table[languages.index(name), np.asarray(slots.values)] += np.asarray(n.values)
     return languages, np.log(table / table.sum(axis=1, keepdims=True)) if languages else table
 
 
@@ -159,7 +178,7 @@ def identify(pages: DataFrame, languages: list[str], chances: np.ndarray, keep:
         return pages.select(
             *[F.col(f"`{c}`") for c in keep], F.lit(None).cast("string").alias("lang"), F.lit(0.0).alias("confidence"),
             F.lit(None).cast("string").alias("text_lang"), F.lit(None).cast("string").alias("declared"), host.alias("host"))
-    held = pages.sparkSession.sparkContext.broadcast(chances)  # at most MOST_LANGUAGES * SLOTS numbers
+    held = pages.sparkSession.sparkContext.broadcast(chances)  # SLOTS numbers a language
     picked = pages.select(*kept, host.alias("host"), domain.alias("domain"), suffix.alias("suffix"), F.col(page).alias("_page"))
     carried = picked.columns[:-1]
 
@@ -168,10 +187,12 @@ def identify(pages: DataFrame, languages: list[str], chances: np.ndarray, keep:
         declared, text = [], []
         for part in slices(batch, "_page", CHUNK_BYTES):
             for p in texts_of(part, "_page"):
-                body, said = read_page(p)
+                body, aside, said = weighed_parts(p)
                 declared.append(said)
-                at = slots_of(body)
-                z = TEMPER * table[:, at].sum(axis=1) if len(at) else np.zeros(n)
+                z = np.zeros(n)
+                for part_of_page, weight in ((body, TEMPER), (aside, TEMPER * ASIDE_WEIGHT)):
+                    if len(at := slots_of(part_of_page)):
+                        z += weight * table[:, at].sum(axis=1)
                 text.append(z - z.max())
         return {"declared": declared, "text": text} | {c: batch.column(k) for k, c in enumerate(carried)}
 
@@ -204,7 +225,9 @@ def identify(pages: DataFrame, languages: list[str], chances: np.ndarray, keep:
         return df.select(name, per.alias(f"log_{name}"))
 
     known = hosts.join(domains, "domain").withColumn("suffix", F.substring_index("host", ".", -1)).join(given(suffixes, "suffix"), "suffix").drop("suffix", "domain")
-    fused = rows.drop("domain", "suffix").join(known, "host").join(given(declarations, "declared"), "declared")
+    # Declarations have two or three ASCII letters: at most 18,253 rows of a number a language.
+    said = F.broadcast(given(declarations, "declared"))
+    fused = rows.drop("domain", "suffix").join(known, "host").join(said, "declared")
 
     def posterior(k: int) -> Column:
         own = F.get("votes", F.lit(k))
