@@ -16,6 +16,7 @@ Repeated shingles count once. Texts are taken whole.
 from __future__ import annotations
 
 import math
+from collections import Counter
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
@@ -26,6 +27,8 @@ HASH_DIGITS = 16
 # Documents in a block of neighbours, on average.
 BLOCK_ROWS = 4000
 MOST_BLOCKS = 10_000
+# The rank of a null key.
+LEAST = -(2**63)
 # ASCII white space.
 SPACE = r"[\x20\x09-\x0D]"
 
@@ -105,13 +108,31 @@ def block_of(rank: Column, cuts: list[int]) -> Column:
     return whole * width + F.coalesce(F.size(F.filter(within, lambda c: c > rank)), F.lit(0))
 
 
-def key_cuts(df: DataFrame, key: str) -> list[int]:
-    """Quantiles of the key, descending, that part the rows into blocks of about BLOCK_ROWS."""
-    n_blocks = int(max(1, min(MOST_BLOCKS, df.count() // BLOCK_ROWS)))
+def key_cuts(df: DataFrame, key: str) -> tuple[list[int], dict[int, int]]:
+    """Quantiles of the key, descending, that part the rows into blocks; and the keys that hold
+    several blocks of rows by themselves, with how many. A null key counts as the least number."""
+    sizes = df.agg(F.count(F.lit(1)), F.count(key)).first()
+    n_blocks = int(max(1, min(MOST_BLOCKS, sizes[0] // BLOCK_ROWS)))
     if n_blocks == 1:
-        return []
-    found = df.approxQuantile(key, [k / n_blocks for k in range(1, n_blocks)], 0.2 / n_blocks)
-    return sorted({int(c) for c in found}, reverse=True)
+        return [], {}
+    found = df.approxQuantile(key, [k / n_blocks for k in range(1, n_blocks)], 0.2 / n_blocks) if sizes[1] else []
+    counts = Counter(int(c) for c in found)
+    # A key that is several quantiles holds all rows between the first and the last of them.
+    hot = {c: times for c, times in counts.items() if times > 1}
+    absent = -(-(sizes[0] - sizes[1]) * n_blocks // sizes[0])
+    if absent > 1:
+        hot[LEAST] = absent
+    return sorted({*counts, *hot}, reverse=True), hot
+
+
+def part_of(rank: Column, tie: Column, hot: dict[int, int]) -> Column:
+    """Within a block: 0, or for a key with several blocks of rows 1 and more, by descending tie."""
+    if not hot:
+        return F.lit(0)
+    parts = F.create_map(*[F.lit(x) for pair in hot.items() for x in pair])[rank]
+    # Between 0 and 1, falling as the tie rises.
+    share = F.lit(0.5) - tie.cast("double") / F.lit(2.0**64)
+    return F.coalesce(F.lit(1) + F.least(F.floor(share * parts), parts - 1), F.lit(0))
 
 
 def edited_sketches(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -119,17 +140,20 @@ def edited_sketches(docs: DataFrame, key: str = "doc_id", text: str = "text") ->
     the next document's, in descending order of the key.
 
     The last document's next is the first. Null keys come last; documents that share a key follow
-    each other by a hash of their text. Every document is dealt once, into blocks of neighbours;
+    each other by a hash of their text. Every document is dealt once, into blocks of neighbours,
+    which also part the documents of one key where they are many;
     a block also gets a copy of the document that starts the next one, so that none needs another
-    block, and no window spans more than a block.
+    block, and no window spans more than a block. Beyond MOST_BLOCKS, blocks grow with the table.
     """
-    cuts = key_cuts(docs.select(key), key)
+    cuts, hot = key_cuts(docs.select(key), key)
     content = F.coalesce(F.col(text), F.lit(""))
     rows = docs.select(F.col(key).alias("_key"), content.alias("_text")).select(
-        "*", F.coalesce(F.col("_key").cast("bigint"), F.lit(-(2**63))).alias("_rank"), F.xxhash64("_text").alias("_tie")
+        "*", F.coalesce(F.col("_key").cast("bigint"), F.lit(LEAST)).alias("_rank"), F.xxhash64("_text").alias("_tie")
     )
-    placed = rows.withColumn("_block", block_of(F.col("_rank"), cuts))
-    # One row a block, at most as many as there are cuts.
+    step = max(hot.values(), default=0) + 1
+    block = block_of(F.col("_rank"), cuts).cast("bigint") * step + part_of(F.col("_rank"), F.col("_tie"), hot)
+    placed = rows.withColumn("_block", block)
+    # One row a block: at most twice as many as there are quantiles.
     by_block = Window.orderBy("_block")
     everywhere = by_block.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
     firsts = (
@@ -145,7 +169,7 @@ def edited_sketches(docs: DataFrame, key: str = "doc_id", text: str = "text") ->
     dealt = dealt.select("_key", "_text", "_rank", "_tie", F.col("_to.block").alias("_block"), F.col("_to.copy").alias("_copy"))
     order = Window.partitionBy("_block").orderBy("_copy", F.desc("_rank"), F.desc("_tie"))
     followed = (
-        with_sketch(dealt.repartition(len(cuts) + 1, "_block"), "_text", "_sketch")
+        with_sketch(dealt.repartition(len(cuts) + 1 + sum(hot.values()), "_block"), "_text", "_sketch")
         .withColumn("_next_text", F.lead("_text").over(order))
         .withColumn("_next_sketch", F.lead("_sketch").over(order))
         .filter("_copy = 0")

@@ -1,6 +1,10 @@
 import hashlib
 
+import pytest
+from pyspark.sql import functions as F
+
 from dyadica.llm.queries import op3_sketch
+from dyadica.llm.sketch import LEAST, key_cuts, part_of
 from dyadica.llm.sketch import FRACTION, HASH_DIGITS, containment, edited_sketches, merged, with_sketch
 
 
@@ -70,3 +74,28 @@ def test_merge_and_containment(spark):
 def test_query_agrees_with_brute_force(spark, sf, docs):
     rows = [(r.doc_id, r.text) for r in docs.collect()]
     assert result(op3_sketch(spark, sf)) == brute(rows)
+
+
+@pytest.mark.parametrize("hot", [5, None])
+def test_documents_of_one_key_are_dealt_over_blocks(spark, monkeypatch, hot):
+    monkeypatch.setattr("dyadica.llm.sketch.BLOCK_ROWS", 10)
+    rows = [(k, f"text of {k} with some more words in it {k % 7}") for k in range(100)]
+    rows += [(hot, f"one of many {k} texts of a key and words {k % 3}") for k in range(150)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    cuts, many = key_cuts(df.select("doc_id"), "doc_id")
+    rank = LEAST if hot is None else hot
+    assert many[rank] >= 10
+    tied = df.filter(F.col("doc_id").eqNullSafe(F.lit(hot))).select(F.lit(rank).alias("r"), F.xxhash64("text").alias("t"))
+    sizes = [r["count"] for r in tied.groupBy(part_of(F.col("r"), F.col("t"), many)).count().collect()]
+    assert len(sizes) >= 10 and max(sizes) < 40
+    # Within a key documents follow each other by the hash of their text.
+    tie = {r.text: r.t for r in df.select("text", F.xxhash64("text").alias("t")).collect()}
+    placed = sorted(rows, key=lambda r: (r[0] is None, -(r[0] or 0), -tie[r[1]]))
+    want = sorted((-1 if i is None else i, *x[1:]) for (i, _), x in zip(placed, ordered(placed)))
+    assert sorted((-1 if r[0] is None else r[0], *tuple(r)[1:7]) for r in edited_sketches(df).collect()) == want
+
+
+def ordered(rows):
+    """The brute force on rows that are in order, null keys among them."""
+    numbered = [(len(rows) - k, t) for k, (_, t) in enumerate(rows)]
+    return sorted(brute(numbered), key=lambda r: -r[0])
