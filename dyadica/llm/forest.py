@@ -14,7 +14,8 @@ coordinate, which levels the norms; scores are of the original vectors.
 
 Rows: vectors that are null, zero, or hold null or non-finite components, or whose length is not
 the most common one of the sample, take no part. Ties go to the smaller id, equal vectors get
-equal scores. Repeated ids are rows of their own; a query's candidates are rows of other ids.
+equal scores. Rows that share an id are rows of their own where their vectors differ; a row that
+repeats both counts once. A query's candidates are the rows of other ids.
 With fewer than k candidates in reach the whole table is searched. An empty table gives no rows.
 """
 

@@ -21,6 +21,8 @@ two copies. An empty table gives an empty mix.
 
 from __future__ import annotations
 
+import warnings
+
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from dyadica.llm.common import WORD_CHARS
@@ -117,6 +119,9 @@ def solve_tilts(counts: DataFrame, targets: DataFrame) -> DataFrame:
         )
         if state.filter("_open").isEmpty():
             break
+    else:
+        # Halving alone brings a bracket down to the spacing of doubles within so many steps.
+        warnings.warn(f"some sources are not within {TOLERANCE} of their targets after {MOST_STEPS} steps", UserWarning, stacklevel=2)
     return state.select(*SOURCE, "source_size", "target", "_unit", "_tilt")
 
 

@@ -1,3 +1,4 @@
+import math
 from collections import defaultdict
 
 import pytest
@@ -65,3 +66,30 @@ def test_lone_source_is_tilted(spark):
     check(rows, lambda r: r.source)
     by_size = sorted((r["size"], r.mean_copies) for r in rows)
     assert all(1 < m < 2 for _, m in by_size) and by_size == sorted(by_size, key=lambda x: x[1])
+
+
+def test_tilts_by_bisection(spark, sf, docs):
+    source = {r.doc_id: r.source for r in docs.collect()}
+    rows = op8_entropy_mix(spark, sf).collect()
+    by_source = defaultdict(list)
+    for r in rows:
+        by_source[source[r.doc_id]].append(r)
+    open_sources = 0
+    for mine in by_source.values():
+        unit = sum(r["size"] for r in mine) / len(mine)
+        z = [r["size"] / unit for r in mine]
+        want = mine[0].target / unit
+        if mine[0].target >= 2 * mine[0].source_size * (1 - 1e-12):
+            assert all(r.copies == 2 for r in mine if r["size"])
+            continue
+        low, high = -5000.0, 5000.0
+        mean = lambda t, x: 2 / (1 + math.exp(max(-700.0, min(700.0, -t * x))))
+        for _ in range(200):
+            middle = (low + high) / 2
+            low, high = (middle, high) if sum(x * mean(middle, x) for x in z) < want else (low, middle)
+        for r, x in zip(mine, z):
+            assert r.mean_copies == pytest.approx(mean(low, x), abs=3e-6)
+            # Rounding by running sums: no document is further than one copy from its mean.
+            assert r.copies in (math.floor(r.mean_copies), math.ceil(r.mean_copies))
+        open_sources += 1
+    assert open_sources
