@@ -610,6 +610,16 @@ def build() -> dict[str, str]:
         f"WITH {trials4}, {soft} SELECT trial, pair_id, "
         f"{r6('p - avg(p) OVER (PARTITION BY trial) + (count(*) OVER (PARTITION BY trial) + 1) / 2.0')} AS soft FROM v"
     )
+    # The fit at a place is the largest, over the stretches' ends, of the least mean over their starts.
+    out["soft_rank_wide"] = (
+        f"WITH {_planted_pairs(f'2 * {N}', N)}, v AS (SELECT trial, pair_id, ({weighted(WEIGHTS_3)}) * n AS p, n FROM ds, nn), "
+        "o AS (SELECT *, row_number() OVER (PARTITION BY trial ORDER BY p DESC, pair_id) - 1 AS k FROM v), "
+        "t AS (SELECT *, sum(p - (n - k)) OVER (PARTITION BY trial ORDER BY k) AS upto, p - (n - k) AS own FROM o), "
+        "m AS (SELECT a.trial, a.k, b.k AS e, min((b.upto - a.upto + a.own) / (b.k - a.k + 1)) "
+        "OVER (PARTITION BY a.trial, b.k ORDER BY a.k) AS least FROM t a JOIN t b ON a.trial = b.trial AND a.k <= b.k), "
+        "f AS (SELECT trial, k, max(least) AS fit FROM m GROUP BY trial, k) "
+        f"SELECT trial, pair_id, {r6('p - fit')} AS soft FROM t JOIN f USING (trial, k)"
+    )
     out["spearman_soft"] = (
         f"WITH {trials4}, {soft}, per AS (SELECT trial, min(d) AS m, max(d) AS mm FROM ds GROUP BY trial), "
         "run AS (SELECT trial, min(m) OVER w AS m, max(mm) OVER w AS mm FROM per "

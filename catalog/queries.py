@@ -17,7 +17,7 @@ from dyadica.operators.encode import classify, encode_codes, encode_table, scale
 from dyadica.operators.exact import exact_moments
 from dyadica.operators.moments import moment_vectors
 from dyadica.operators.pairs import sample_pairs
-from dyadica.operators.ranks import shuffle_within, soft_rank_affine
+from dyadica.operators.ranks import shuffle_within, soft_rank, soft_rank_affine
 from dyadica.operators.scaling import minmax_square_distances
 from dyadica.operators.splits import train_test_split, with_fold
 from dyadica.plans.batch_size import candidate_sizes, estimate_batch_size, size_stability
@@ -299,6 +299,15 @@ def soft_rank_query(spark: SparkSession, sf: str) -> DataFrame:
     return got.select("trial", "pair_id", r6(F.col("soft")).alias("soft"))
 
 
+def soft_rank_wide(spark: SparkSession, sf: str) -> DataFrame:
+    """Values that span far more than half a batch: ranks where they lie apart, values where close."""
+    source = X.planted(spark, sf, ("f1", "f2", "f3"))
+    n = source.size()
+    out = _trials(source, 2).withColumn("p", predict(WEIGHTS_3) * F.lit(float(n)))
+    got = soft_rank(out.select("trial", "pair_id", "p"), "trial", "p", "pair_id", "soft", n)
+    return got.select("trial", "pair_id", r6(F.col("soft")).alias("soft"))
+
+
 def spearman_soft(spark: SparkSession, sf: str) -> DataFrame:
     source = X.planted(spark, sf, ("f1", "f2", "f3"))
     out = minmax_square_distances(_trials(source, 4)).withColumn("p", predict(WEIGHTS_3))
@@ -583,6 +592,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "spearman_average": spearman_average,
     "spearman_batched": spearman_batched,
     "soft_rank_affine": soft_rank_query,
+    "soft_rank_wide": soft_rank_wide,
     "spearman_soft": spearman_soft,
     "batch_size": batch_size,
     "chosen_batch_size": chosen_batch_size,

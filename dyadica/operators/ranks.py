@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window, functions as F
+import numpy as np
+from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 
 from dyadica.functions.hashing import hash48
 from dyadica.operators.index import global_position
@@ -125,35 +126,114 @@ def soft_rank_affine(df: DataFrame, group: str, value: str, name: str) -> DataFr
     return df.join(per_batch(stats), group).select(*df.columns, soft.alias(name))
 
 
+def pooled(totals, sizes):
+    """Neighbouring blocks (total, size) pooled until their means fall strictly; which block each
+    result starts with."""
+    out, counts, starts = [], [], []
+    for k, (t, c) in enumerate(zip(totals, sizes)):
+        out.append(t)
+        counts.append(c)
+        starts.append(k)
+        while len(out) > 1 and out[-2] * counts[-1] <= out[-1] * counts[-2]:
+            t, c = out.pop(), counts.pop()
+            starts.pop()
+            out[-1] += t
+            counts[-1] += c
+    return out, counts, starts
+
+
 def soft_rank(df: DataFrame, group: str, value: str, tie: str, name: str, rows_per_group: int) -> DataFrame:
     """Soft rank at unit strength for any values: isotonic regression of each batch.
 
-    The regression is sequential within a batch, so a batch is one task and must stay under
-    the configured group size.
+    A batch up to the configured group size is regressed in one task. Larger batches are pooled in
+    stretches of that size, and then across the borders of stretches where blocks still violate
+    the order, until none does; pooling is right in any order.
     """
     if rows_per_group > group_rows(df.sparkSession):
-        raise ValueError("batch too large for the isotonic soft rank; use soft_rank_affine")
-    from pyspark.sql import types as T
-
+        return _soft_rank_large(df, group, value, tie, name, rows_per_group)
     schema = T.StructType([*df.schema.fields, T.StructField(name, T.DoubleType())])
 
     def project(pdf):
-        import numpy as np
-
         v = pdf[value].to_numpy(dtype=float)
         order = np.lexsort((pdf[tie].to_numpy(), -v))
         s = v[order]
         target = s - np.arange(len(s), 0, -1, dtype=float)
-        means, sizes = [], []
-        for t in target:
-            means.append(t)
-            sizes.append(1)
-            while len(means) > 1 and means[-2] <= means[-1]:
-                m, k = means.pop(), sizes.pop()
-                means[-1] = (means[-1] * sizes[-1] + m * k) / (sizes[-1] + k)
-                sizes[-1] += k
+        totals, sizes, _ = pooled(target.tolist(), [1] * len(s))
         soft = np.empty_like(v)
-        soft[order] = s - np.repeat(means, sizes)
+        soft[order] = s - np.repeat(np.array(totals) / np.array(sizes), sizes)
         return pdf.assign(**{name: soft})
 
     return df.groupBy(group).applyInPandas(project, schema)
+
+
+def _soft_rank_large(df: DataFrame, group: str, value: str, tie: str, name: str, rows_per_group: int) -> DataFrame:
+    spark, most, names = df.sparkSession, group_rows(df.sparkSession), df.columns
+    falling = df.withColumn("_falling", -F.col(value))
+    placed = ordinal_position(falling, group, ["_falling", tie], "_place", rows_per_group).drop("_falling")
+    placed = materialize(placed.withColumn("_at", F.expr(f"_place div {most}")))
+    # Blocks (total, size) by their first position; a stretch has the number of its first one's.
+    target = F.col(value) - (F.lit(float(rows_per_group)) - F.col("_place"))
+    kind = f"_g {df.schema[group].dataType.simpleString()}, _part long, _start long, _size long, _total double"
+    rows = placed.select(
+        F.col(group).alias("_g"), (F.col("_at") * most).alias("_part"), F.col("_place").alias("_start"),
+        F.lit(1).cast("bigint").alias("_size"), target.alias("_total"),
+    )
+
+    def pool(pdf):
+        pdf = pdf.sort_values("_start", ignore_index=True)
+        totals, sizes, starts = pooled(pdf["_total"].tolist(), pdf["_size"].tolist())
+        out = pdf.loc[starts].assign(_size=sizes, _total=totals)
+        # Within a stretch no order is violated any more, so it may be cut anywhere.
+        first = out["_start"].to_numpy()
+        return out.assign(_part=first[np.arange(len(out)) // most * most])
+
+    pool_all = lambda frame: frame.groupBy("_g", "_part").applyInPandas(pool, kind)
+    blocks = materialize(pool_all(rows))
+    while (joins := _violations(blocks, most)) is not None:
+        # One number a stretch: which stretch it is pooled with.
+        table = spark.createDataFrame(joins, f"_g {df.schema[group].dataType.simpleString()}, _part long, _with long, _move boolean")
+        moved = blocks.join(F.broadcast(table), ["_g", "_part"])
+        again = pool_all(moved.filter("_move").select("_g", F.col("_with").alias("_part"), "_start", "_size", "_total"))
+        blocks = materialize(moved.filter("not _move").drop("_with", "_move").unionByName(again))
+    means = blocks.select(
+        F.col("_g").alias(group), F.col("_start"), (F.col("_total") / F.col("_size")).alias("_mean"),
+        F.explode(F.sequence(F.expr(f"_start div {most}"), F.expr(f"(_start + _size - 1) div {most}"))).alias("_at"),
+    )
+    schema = T.StructType([*df.schema.fields, T.StructField(name, T.DoubleType())])
+
+    def place(left, right):
+        right = right.sort_values("_start")
+        found = np.searchsorted(right["_start"].to_numpy(), left["_place"].to_numpy(), side="right") - 1
+        return left[names].assign(**{name: left[value].to_numpy(dtype=float) - right["_mean"].to_numpy()[found]})
+
+    key = [group, "_at"]
+    return placed.groupBy(*key).cogroup(means.groupBy(*key)).applyInPandas(place, schema)
+
+
+def _violations(blocks: DataFrame, most: int) -> list[tuple] | None:
+    """(group, stretch, stretch to be pooled in, whether it is pooled) of all stretches, where some
+    border's blocks violate the order; None where none does. A row a stretch reaches the driver.
+
+    Stretches whose borders violate are pooled together, at least two, up to 2 * ``most`` blocks.
+    """
+    ends = F.struct("_start", "_total", "_size")
+    found = blocks.groupBy("_g", "_part").agg(
+        F.count(F.lit(1)).alias("n"), F.min(ends).alias("first"), F.max(ends).alias("last")
+    ).collect()
+    found.sort(key=lambda r: (str(r["_g"]), r["first"]["_start"]))
+    out, pooling, held = [], False, 0
+    for k, r in enumerate(found):
+        before = found[k - 1] if k and found[k - 1]["_g"] == r["_g"] else None
+        bad = False
+        if before is not None:
+            left, right = before["last"], r["first"]
+            bad = left["_total"] * right["_size"] <= right["_total"] * left["_size"]
+        alone = bool(out) and out[-1][1] == out[-1][2]
+        if bad and (alone or held + r["n"] <= 2 * most):
+            pooling, held = True, held + r["n"]
+            out[-1] = (*out[-1][:3], True)
+            out.append((r["_g"], r["_part"], out[-1][2], True))
+        else:
+            held = r["n"]
+            out.append((r["_g"], r["_part"], r["_part"], False))
+    return out if pooling else None

@@ -3,7 +3,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from dyadica.operators.ranks import (
-    average_rank, ordinal_position, rank_value, shuffle_within, soft_rank, soft_rank_affine,
+    average_rank, ordinal_position, pooled, rank_value, shuffle_within, soft_rank, soft_rank_affine,
 )
 from dyadica.session import BROADCAST_BYTES_KEY, GROUP_ROWS_KEY
 
@@ -110,6 +110,33 @@ def test_soft_rank_beyond_it(spark, conf):
     assert (np.diff(s[mixed.argsort()]) >= -1e-9).all()
     top = np.sort(s)[::-1].cumsum()
     assert (top <= np.arange(20, 0, -1).cumsum() + 1e-9).all()
-    conf(GROUP_ROWS_KEY, 10)
-    with pytest.raises(ValueError):
-        soft_rank(df, "trial", "v", "pair_id", "s", 20)
+
+
+@pytest.mark.parametrize("kind", ["spread", "narrow", "mixed", "equal", "steps", "long"])
+def test_soft_rank_of_large_batches(spark, conf, kind):
+    rng = np.random.default_rng(2)
+    n = 120
+    v = {
+        "spread": rng.permutation(n) * 100.0, "narrow": rng.uniform(0, 3, n), "equal": np.full(n, 2.5),
+        "mixed": np.where(rng.uniform(size=n) < 0.5, rng.uniform(0, 30, n), rng.uniform(0, 200, n)),
+        "steps": np.repeat(rng.permutation(n // 10) * 9.0, 10), "long": np.sort(rng.uniform(size=n)) ** 3 * 2 * n,
+    }[kind]
+    df = frame(spark, v, 2)
+    whole = local(soft_rank(df, "trial", "v", "pair_id", "s", n)).sort_values(["trial", "pair_id"])
+    for size in (7, 50):
+        conf(GROUP_ROWS_KEY, size)
+        parts = local(soft_rank(df, "trial", "v", "pair_id", "s", n)).sort_values(["trial", "pair_id"])
+        assert list(parts.columns) == list(whole.columns)
+        np.testing.assert_allclose(parts.s.to_numpy(), whole.s.to_numpy(), rtol=1e-12, atol=1e-9)
+
+
+def test_pooling_by_brute_force():
+    rng = np.random.default_rng(3)
+    for _ in range(200):
+        t = rng.integers(-5, 6, 12).astype(float)
+        totals, sizes, starts = pooled(t.tolist(), [1] * 12)
+        fit = np.repeat(np.array(totals) / np.array(sizes), sizes)
+        # The largest of all least means over stretches that hold the place.
+        want = [max(min(t[a : b + 1].mean() for a in range(k + 1)) for b in range(k, 12)) for k in range(12)]
+        np.testing.assert_allclose(fit, want, atol=1e-12)
+        assert starts == np.concatenate([[0], np.cumsum(sizes)[:-1]]).tolist()
