@@ -364,6 +364,10 @@ def encoder(path: str) -> Encoder:
     return Encoder(path)
 
 
+def forget_encoder() -> None:
+    encoder.cache_clear()
+
+
 def encode_documents(
     docs: DataFrame, path: str, keep: list[str], text: str = "text", ids: bool = True, decoded: bool = True
 ) -> DataFrame:
@@ -391,4 +395,4 @@ def encode_documents(
         return out
 
     picked = docs.select(*[F.col(f"`{c}`") for c in keep], F.col(text).alias("_text"))
-    return map_arrow(picked, run, schema, text="_text")
+    return map_arrow(picked, run, schema, release=forget_encoder, text="_text")

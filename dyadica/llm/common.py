@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
@@ -45,28 +47,44 @@ def slices(batch: pa.RecordBatch, name: str, chunk_bytes: int = CHUNK_BYTES) ->
         yield batch.slice(start)
 
 
+_releases: list[Callable[[], None]] = []
+
+
+def take_over(release: Callable[[], None] | None) -> None:
+    """Begin a piece of work in this worker: what other work holds is let go of, and memory given
+    back."""
+    if _releases and _releases[0] is not release:
+        _releases.pop()()
+        gc.collect()
+        try:
+            ctypes.CDLL(None).malloc_trim(0)
+        except (AttributeError, OSError):
+            pass  # only some C libraries keep freed memory and can be asked to give it back
+    if release is not None and not _releases:
+        _releases.append(release)
+
+
 def map_arrow(
     df: DataFrame, fn: Callable[[pa.RecordBatch], dict | None], schema: StructType | str,
-    after: Callable[[], None] | None = None, text: str | None = None,
+    release: Callable[[], None] | None = None, text: str | None = None,
 ) -> DataFrame:
     """Apply ``fn``, a batch to named columns, to every Arrow batch.
 
     With ``text``, the name of a text column, batches are cut into slices of bounded text first,
     and each slice gives a batch of its own, so that no more than a slice's results are held.
-    ``after`` runs when a partition is done, to let go of what the worker, which other stages use
-    too, holds for it.
+    ``release`` lets go of what the worker holds for this work. It is called when the worker, which
+    all stages share, first does other work; until then the next partitions use it too.
     """
     kind = arrow_schema(schema)
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        take_over(release)
         try:
             for batch in batches:
                 for part in [batch] if text is None else slices(batch, text):
                     if part.num_rows and (out := fn(part)) is not None:
                         yield record_batch(out, kind)
         finally:
-            if after is not None:
-                after()
             pa.default_memory_pool().release_unused()
 
     return df.mapInArrow(run, schema)

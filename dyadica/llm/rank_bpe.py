@@ -91,6 +91,10 @@ def encoder(path: str, pattern: str) -> RankEncoder:
     return RankEncoder(path, pattern)
 
 
+def forget_encoder() -> None:
+    encoder.cache_clear()
+
+
 def encode_documents(
     docs: DataFrame, path: str, pattern: str, keep: list[str], text: str = "text",
     ids: bool = True, decoded: bool = True,
@@ -120,4 +124,4 @@ def encode_documents(
         return out | {c: batch.column(k) for k, c in enumerate(keep)}
 
     picked = docs.select(*[F.col(f"`{c}`") for c in keep], F.col(text).alias("_text"))
-    return map_arrow(picked, run, schema, text="_text")
+    return map_arrow(picked, run, schema, release=forget_encoder, text="_text")

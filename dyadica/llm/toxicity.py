@@ -281,7 +281,7 @@ def fit(docs: DataFrame, labels: DataFrame, usable: Column | None = None, id: st
             return {"label": batch.column(batch.schema.get_field_index("label")), "x": x}
 
         labelled = sample.filter("label in (0, 1)")
-        rows = map_arrow(labelled, run, "label double, x array<double>", after=forget_tables, text="_text")
+        rows = map_arrow(labelled, run, "label double, x array<double>", release=forget_tables, text="_text")
         lr = LogisticRegression(maxIter=60, regParam=1e-3, standardization=True)
         fitted = lr.fit(rows.select("label", array_to_vector("x").alias("features")))
     finally:
@@ -302,4 +302,4 @@ def score_documents(docs: DataFrame, model: Model, keep: list[str], text: str =
         return out | {c: batch.column(k) for k, c in enumerate(keep)}
 
     picked = docs.select(*[F.col(f"`{c}`") for c in keep], F.col(text).alias("_text"))
-    return map_arrow(picked, run, schema, after=forget_tables, text="_text")
+    return map_arrow(picked, run, schema, release=forget_tables, text="_text")
