@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 # 12 hex digits of the digest make a 48-bit number.
 HEX_DIGITS = 12
 HEX_BASE = 16
+DRAWS_KEY, MURMUR3, MD5 = "spark.dyadica.draws", "murmur3", "md5"
 HALF, MASK = 32, (1 << 32) - 1
 
 
@@ -29,7 +30,14 @@ def stream_words(stream: str) -> list[int]:
 
 def draw_numbers(df: DataFrame, stream: str, key: str, first: str, second: str | None = None) -> DataFrame:
     """Add one or two uniform numbers of 48 bits, drawn from the whole numbers in ``key``: Murmur3
-    hashes of 32 bits, each under a word of the stream; both numbers share one of them."""
+    hashes of 32 bits, each under a word of the stream; both numbers share one of them.
+
+    With ``spark.dyadica.draws`` set to ``md5`` they are md5 digests of (stream, end, key) as text,
+    as in earlier versions: far slower, but seeds then give the pairs they gave there.
+    """
+    if df.sparkSession.conf.get(DRAWS_KEY, MURMUR3) == MD5:
+        ends = zip("ab", [first] if second is None else [first, second])
+        return df.select("*", *[hash48(f"{stream}:{end}:", F.col(key)).alias(name) for end, name in ends])
     a, b, c = (
         F.hash(F.lit(w - (w >> 31 << HALF)).cast("int"), F.col(key)).cast("bigint").bitwiseAND(F.lit(MASK))
         for w in stream_words(stream)[:3]

@@ -6,6 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from catalog import fixtures as X
+from dyadica.functions.hashing import DRAWS_KEY, MD5
 from dyadica import MetricEncoder, PrecomputedPairs, Stimuli, cross_validate, holdout
 from dyadica.operators.pairs import sample_pairs
 from dyadica.operators.splits import train_test_split, with_fold
@@ -58,7 +59,9 @@ def test_no_seed_differs_between_calls(spark, sf):
     assert a != b
 
 
-def test_golden_importances(spark, sf):
+def test_golden_importances(spark, sf, conf):
+    # The golden values are of md5 draws.
+    conf(DRAWS_KEY, MD5)
     source = X.planted(spark, sf, ("f1", "f2", "f3"))
     out = importance_table(source, (0.8847, 0.4423, 0.1474), 5120, 1, stream="42", digits=9)
     got = {r["feature"]: r for r in out.collect()}

@@ -5,7 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from dyadica import Stimuli, align
-from dyadica.functions.hashing import draw_numbers
+from dyadica.functions.hashing import DRAWS_KEY, MD5, draw_numbers
 from dyadica.operators.index import global_position
 from dyadica.operators.pairs import meeting_mode, sample_pairs, sample_prefixes
 from dyadica.session import BROADCAST_BYTES_KEY
@@ -51,6 +51,20 @@ def test_sampler_matches_the_hashes(spark):
         assert (r["i"], r["j"]) == (a % 40, b % 40)
 
 
+def h48(text):
+    return int(hashlib.md5(text.encode()).hexdigest()[:12], 16)
+
+
+def test_sampler_matches_md5(spark, conf):
+    conf(DRAWS_KEY, MD5)
+    rows = sample_pairs(small(spark), 10, 3, "s").collect()
+    assert len(rows) == 30
+    for r in rows:
+        assert r["trial"] == r["pair_id"] // 10
+        assert r["i"] == h48(f"s:a:{r['pair_id']}") % 40
+        assert r["j"] == h48(f"s:b:{r['pair_id']}") % 40
+
+
 def test_hashes_of_large_numbers_and_their_spread(spark):
     ids = spark.sql("SELECT explode(array(0, 1, 4294967295, 4294967296, 4294967297, 1152921504606846975)) AS pair_id")
     for r in draw_numbers(ids, "t", "pair_id", "a", "b").collect():
