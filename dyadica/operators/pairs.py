@@ -130,14 +130,15 @@ def meeting_mode(spark: SparkSession, n_rows: int, n_pairs: int, key_bytes: int
     down before a shuffle join. ``shuffle``: neither fits, or the table has no more rows than
     there are pair ends, so that shuffling it costs no more than bringing the ends together.
     """
-    limit = broadcast_bytes(spark)
     if n_rows <= 2 * n_pairs:
         return "shuffle"
-    if 2 * n_pairs * (_END_BYTES + key_bytes) <= limit:
-        return "ends"
-    if 2 * n_pairs * (_POSITION_BYTES + key_bytes) <= limit:
-        return "semi"
-    return "shuffle"
+    return next((m for m in ("ends", "semi") if fits_ends(spark, n_pairs, m, key_bytes)), "shuffle")
+
+
+def fits_ends(spark: SparkSession, n_pairs: int, mode: str, key_bytes: int = 0) -> bool:
+    """Whether what ``ends`` or ``semi`` broadcasts of so many pairs fits."""
+    each = _END_BYTES if mode == "ends" else _POSITION_BYTES
+    return 2 * n_pairs * (each + key_bytes) <= broadcast_bytes(spark)
 
 
 def meet(rows: DataFrame, ends: DataFrame, on: Sequence[str], mode: str) -> DataFrame:
@@ -168,6 +169,25 @@ def gather_by_lookup(pairs: DataFrame, values: DataFrame) -> DataFrame:
     return pairs.join(F.broadcast(left), "i").join(F.broadcast(right), "j")
 
 
+def wanted_rows(rows: DataFrame, pairs: DataFrame) -> DataFrame:
+    """The rows, by their position ``sid``, that some pair asks for; one shuffle of the positions."""
+    wanted = pairs.select(F.explode(F.array("i", "j")).alias("sid")).distinct()
+    return rows.join(wanted, "sid", "left_semi")
+
+
+def gather_by_shuffle(pairs: DataFrame, values: DataFrame) -> DataFrame:
+    """Both gathers by shuffle joins to (sid, payload): first end, then second. A pair without its
+    first row is lost; one without its second has no ``j``."""
+    payload = [c for c in values.columns if c != "sid"]
+    left = values.select(F.col("sid").alias("i"), *[F.col(c).alias(f"a_{c}") for c in payload])
+    right = values.select(F.col("sid").alias("_side"), *[F.col(c).alias(f"b_{c}") for c in payload])
+    met = pairs.join(left, "i").join(right, F.col("j") == F.col("_side"), "left")
+    keys = [c for c in pairs.columns if c not in ("i", "j")]
+    return met.select(
+        *keys, "i", F.col("_side").alias("j"), *[f"a_{c}" for c in payload], *[f"b_{c}" for c in payload]
+    )
+
+
 def assemble_ends(ends: DataFrame, keys: Sequence[str], payload: Sequence[str]) -> DataFrame:
     """Put the two gathered rows of each pair side by side again; one shuffle on pair_id."""
     packed = ends.select(*keys, "side", F.struct("sid", *payload).alias("_a"))

@@ -144,11 +144,23 @@ class Stimuli:
                     raise ValueError(f"id {self.keys[0]!r} is not dense 0..{n - 1}")
                 self._n = n
             else:
+                # Plain columns are stored next to the positions, so that pairs meet them by position.
+                plain = self._plain_columns()
                 self._index, self._n = global_position(
-                    self.df.select(*self.keys), self.keys, "sid", unique=True
+                    self.df.select(*self.keys, *plain), self.keys, "sid", unique=True, carry=plain
                 )
         return self._n
 
+    def _plain_columns(self) -> list[str]:
+        """Columns of the distances other than ids and arrays."""
+        found = [c for c in self._needed(None, []) if c not in self.keys]
+        if self.target is not None:
+            found += [self.target] if isinstance(self.target, str) else list(self.target)
+        wide = (T.ArrayType, T.MapType, T.StructType)
+        return [
+            c for c in dict.fromkeys(found) if c not in self.keys and not isinstance(self.df.schema[c].dataType, wide)
+        ]
+
     def draw(self, pairs: DataFrame, stream: str, n_pairs: int | None = None) -> DataFrame:
         """Add the ends of each pair, uniform over the stimuli."""
         return P.draw_ends(pairs, self.size(), stream)
@@ -161,7 +173,16 @@ class Stimuli:
         """All rows with their position; for tables small enough to broadcast."""
         if self.dense:
             return self.df.withColumn("sid", F.col(self.keys[0]).cast("bigint"))
-        return self.df.join(F.broadcast(self._index), self.keys)
+        return self.df.join(F.broadcast(self._index.select(*self.keys, "sid")), self.keys)
+
+    def _placed(self, columns: Sequence[str]) -> DataFrame:
+        """All rows with their position and these columns, without a broadcast. Rows without an id
+        match none, as in a join by ids."""
+        if self.dense:
+            return self.df.select(*columns, F.col(self.keys[0]).cast("bigint").alias("sid"))
+        if set(columns) <= set(self._index.columns):
+            return self._index.select(*columns, "sid").dropna("any", subset=self.keys)
+        return self.df.select(*columns).join(self._index.select(*self.keys, "sid"), self.keys)
 
     # -------------------------------------------------------------- payload
 
@@ -239,7 +260,10 @@ class Stimuli:
           the stimuli are scanned once and never shuffled.
         - ``semi``: only the wanted ids fit a broadcast; they cut the stimuli down to the
           wanted rows, which alone are shuffled.
-        - ``shuffle``: both are large; the ends and the stimuli meet in a shuffle join.
+        - ``shuffle``: both are large; the pairs meet the stimuli in a shuffle join for each end.
+
+        A mode that is asked for broadcasts only what fits. Where the ends do not, they meet the
+        stimuli in a shuffle; where the wanted ids do not, they cut the stimuli down in one.
         """
         n = self.size()
         targets = [self.target] if targets is None else targets
@@ -253,13 +277,20 @@ class Stimuli:
             payload = self._payload(rows, metric, targets, carry)
             values = rows.select("sid", *[c.alias(k) for k, c in payload.items()])
             return P.gather_by_lookup(pairs, values)
+        needed = self._needed(metric, targets, carry)
+        if mode == "shuffle" or not P.fits_ends(self.df.sparkSession, n_pairs, mode, self._key_width()):
+            rows = self._placed(needed)
+            if mode == "semi":
+                rows = P.wanted_rows(rows, pairs)
+            payload = self._payload(rows, metric, targets, carry)
+            return P.gather_by_shuffle(pairs, rows.select("sid", *[c.alias(k) for k, c in payload.items()]))
         keys = [c for c in pairs.columns if c not in ("i", "j")]
-        rows = self.df.select(*self._needed(metric, targets, carry))
+        rows = self.df.select(*needed)
         ends = P.pair_ends(pairs)
         if self.dense:
             rows, on = rows.withColumn("sid", F.col(self.keys[0]).cast("bigint")), ["sid"]
         else:
-            ends, on = P.meet(self._index, ends, ["sid"], mode), self.keys
+            ends, on = P.meet(self._index.select(*self.keys, "sid"), ends, ["sid"], mode), self.keys
         met = P.meet(rows, ends, on, mode)
         payload = self._payload(met, metric, targets, carry)
         met = met.select(*keys, "side", "sid", *[c.alias(k) for k, c in payload.items()])

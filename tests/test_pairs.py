@@ -126,6 +126,44 @@ def test_mode_follows_measured_size(spark, conf):
     assert "side" in plan and "ResolvedHint (strategy=broadcast)" not in plan
 
 
+@pytest.mark.parametrize("dense", [True, False])
+def test_modes_broadcast_only_what_fits(spark, conf, dense):
+    """Ends and wanted ids beyond the limit meet the stimuli in shuffles, with the same result."""
+    def found(mode):
+        source = small(spark, dense=dense)
+        out = source.distances(sample_pairs(source, 60, 1, "s"), 60, "euclidean", mode=mode)
+        rows = sorted((r["pair_id"], r["i"], r["j"], tuple(r["x"]), r["d"]) for r in out.collect())
+        return rows, out._jdf.queryExecution().toString()
+
+    rows, _ = found("lookup")
+    conf(BROADCAST_BYTES_KEY, 2 * 60 * 20)
+    for mode in ("ends", "semi"):
+        got, plan = found(mode)
+        assert got == rows and "ResolvedHint (strategy=broadcast)" not in plan
+        assert ("LeftSemi" in plan) == (mode == "semi")
+
+
+def test_shuffled_pairs_carry_each_side_once(spark, conf):
+    """Pairs travel once for each end, not as two rows that meet the stimuli by their ids."""
+    conf(BROADCAST_BYTES_KEY, 10)
+    conf("spark.sql.autoBroadcastJoinThreshold", -1)
+    source = small(spark)
+    out = source.distances(sample_pairs(source, 60, 1, "s"), 60, None)
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert "Window" not in plan and "explode" not in plan and plan.count("SortMergeJoin") == 2
+
+
+def test_rows_without_an_id_match_no_pair(spark):
+    df = spark.createDataFrame([(None if k == 3 else k, float(k)) for k in range(8)], "id int, v double")
+    source = Stimuli(df, ["v"], None, "id")
+    pairs = sample_pairs(source, 60, 1, "s")
+    rows = {}
+    for mode in ("ends", "shuffle"):
+        out = source.distances(pairs, 60, None, mode=mode).collect()
+        rows[mode] = sorted((r["pair_id"], r["i"], -1 if r["j"] is None else r["j"], tuple(r["x"])) for r in out)
+    assert rows["ends"] == rows["shuffle"] and 0 < len(rows["ends"]) < 60
+
+
 def test_column_pruning_for_norms(spark, sf):
     """The vectors stay out of the shuffle when only their norm is needed."""
     source = small(spark)
