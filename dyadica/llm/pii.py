@@ -8,8 +8,8 @@ descending score.
 
 The trees learn from the corpus itself: positives are base spans and the same spans rewritten in
 the wider forms within their own context; negatives are proposals away from base spans, and base
-spans corrupted so that they break their kind's rule. They learn from the documents of a bounded
-sample, about SAMPLE_DOCUMENTS of all sizes. Without LEAST_EXAMPLES of either label there is no
+spans corrupted so that they break their kind's rule. They learn from every document, and
+thresholds count every held-out proposal. Without LEAST_EXAMPLES of either label there is no
 model, and base spans alone are given.
 
 Rows: null and empty texts have no spans. Texts are searched whole. Repeated rows give repeated
@@ -33,7 +33,6 @@ from pyspark.sql import DataFrame, functions as F
 from dyadica.llm.common import map_arrow, texts_of, with_fields
 
 KINDS = ("email", "ip", "card", "phone")
-SAMPLE_DOCUMENTS = 20_000
 LEAST_EXAMPLES = 30
 ROUNDS, DEPTH = 10, 3
 # Precision asked of each kind's threshold on held-out proposals, and the least threshold.
@@ -293,15 +292,12 @@ def held_out_counts(rows: DataFrame, model: Model) -> np.ndarray:
 
 
 def fit(docs: DataFrame, id: str = "doc_id", text: str = "text") -> Model:
-    """Boosted trees from the sample's proposals; the driver sees only the trees and counts of the
-    held-out proposals' scores."""
+    """Boosted trees from the proposals of all documents; the driver sees only the trees and counts
+    of the held-out proposals' scores. Every row counts, whatever its ``id``."""
     from pyspark.ml.classification import GBTClassifier
     from pyspark.ml.functions import array_to_vector
 
-    n = docs.count()
-    some = max(1, -(-n // SAMPLE_DOCUMENTS))
-    key = F.xxhash64(F.col(id), F.col(text))
-    rows = examples(docs.filter(F.pmod(key, F.lit(some)) == 0), text).persist()
+    rows = examples(docs, text).persist()
     try:
         counts = {r["label"]: r["count"] for r in rows.filter("part <> 0").groupBy("label").count().collect()}
         if min(counts.get(0.0, 0), counts.get(1.0, 0)) < LEAST_EXAMPLES:

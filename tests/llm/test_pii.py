@@ -142,3 +142,14 @@ def test_thresholds_from_counts():
 def test_spelled_addresses_of_many_labels():
     t = "ask bob at a.b.c.d.e.f.g.h.org now"
     assert [t[a:b] for a, kind, b in pii.proposals(t, []) if kind == 0] == [t[4:-4]]
+
+
+def test_model_and_thresholds_come_from_every_document(spark, monkeypatch):
+    rows = [(k, f"write u{k}@x{k % 7}.org or call +1 555 010 {1000 + k}, see 1{k % 10}.2.3.4 and {k} {2 * k} {1000 + k}") for k in range(200)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    monkeypatch.setattr(pii, "SAMPLE_DOCUMENTS", 10, raising=False)
+    counted, plain = [], pii.held_out_counts
+    monkeypatch.setattr(pii, "held_out_counts", lambda rows, model: counted.append(plain(rows, model)) or counted[0])
+    assert pii.fit(docs).trees
+    every = pii.examples(docs, "text")
+    assert counted[0].sum() == every.filter("part = 0").count() > 100
