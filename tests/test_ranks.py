@@ -5,7 +5,10 @@ from pyspark.sql import functions as F
 from dyadica.operators.ranks import (
     average_rank, ordinal_position, pooled, rank_value, shuffle_within, soft_rank, soft_rank_affine,
 )
-from dyadica.session import BROADCAST_BYTES_KEY, GROUP_ROWS_KEY
+from dyadica.plans.importance import importance_table
+from dyadica.session import BROADCAST_BYTES_KEY, GROUP_ROWS_KEY, group_rows, release, written
+from dyadica.sources.sizing import fits_broadcast
+from dyadica.sources.stimuli import Stimuli
 
 
 def batch(spark, n=60, groups=3, distinct=5):
@@ -140,3 +143,47 @@ def test_pooling_by_brute_force():
         want = [max(min(t[a : b + 1].mean() for a in range(k + 1)) for b in range(k, 12)) for k in range(12)]
         np.testing.assert_allclose(fit, want, atol=1e-12)
         assert starts == np.concatenate([[0], np.cumsum(sizes)[:-1]]).tolist()
+
+
+def scored_stimuli(spark):
+    rows = [(k, k % 5, float(k * k % 7), [float(k % 3), float(k % 4)]) for k in range(60)]
+    df = spark.createDataFrame(rows, "id long, a long, b double, y array<double>")
+    return Stimuli(df, ["a", "b"], "y", "id", dense=True)
+
+
+@pytest.mark.parametrize("size", [1, 40, 300])
+def test_large_importances_equal_the_windows(spark, conf, size):
+    """Many ties, batches of one row included; only the counts of partition pairs stay written."""
+    def found():
+        out = importance_table(scored_stimuli(spark), (0.5, 0.25), size, 3, "manhattan", stream="s")
+        return out.orderBy("feature", "permutation").collect()
+
+    plain = found()
+    conf(GROUP_ROWS_KEY, 0 if size == 1 else 25)
+    mark = written(spark)
+    large = found()
+    assert release(spark, mark) == 1
+    for a, b in zip(plain, large, strict=True):
+        assert tuple(a[:3]) == tuple(b[:3]) and a["n"] == size
+        np.testing.assert_allclose(a[3:], b[3:], atol=1e-12)
+
+
+def test_large_importances_lose_pairs_as_the_windows_do(spark, conf):
+    """A pair without its first row is not there; the others are permuted among themselves."""
+    rows = [(None if k == 3 else k, float(k * k % 7), float(k % 4)) for k in range(30)]
+    source = Stimuli(spark.createDataFrame(rows, "id long, a double, y double"), ["a"], "y", "id")
+    conf(BROADCAST_BYTES_KEY, 10)
+    found = lambda: importance_table(source, (0.5,), 200, 2, "manhattan", stream="s").orderBy("permutation").collect()
+    plain = found()
+    conf(GROUP_ROWS_KEY, 25)
+    for a, b in zip(plain, found(), strict=True):
+        assert a["n"] == b["n"] < 200
+        np.testing.assert_allclose(a["baseline"], b["baseline"], atol=1e-12)
+
+
+def test_one_task_and_the_driver_hold_little(spark):
+    assert group_rows(spark) <= 1_000_000
+    wide = spark.range(900_000).selectExpr(
+        "id", *[f"double(id) as f{k}" for k in range(4)], "'AUTOMOBILE' as s", "array_repeat(double(id), 7) as y"
+    )
+    assert not fits_broadcast(wide, 900_000) and fits_broadcast(wide.limit(90_000), 90_000)
