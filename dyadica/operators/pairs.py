@@ -177,11 +177,12 @@ def wanted_rows(rows: DataFrame, pairs: DataFrame) -> DataFrame:
 
 def gather_by_shuffle(pairs: DataFrame, values: DataFrame) -> DataFrame:
     """Both gathers by shuffle joins to (sid, payload): first end, then second. A pair without its
-    first row is lost; one without its second has no ``j``."""
+    first row is lost; one without its second has no ``j``. The values were measured as too large
+    for a broadcast, which Spark cannot tell from well compressed files."""
     payload = [c for c in values.columns if c != "sid"]
     left = values.select(F.col("sid").alias("i"), *[F.col(c).alias(f"a_{c}") for c in payload])
     right = values.select(F.col("sid").alias("_side"), *[F.col(c).alias(f"b_{c}") for c in payload])
-    met = pairs.join(left, "i").join(right, F.col("j") == F.col("_side"), "left")
+    met = pairs.join(left.hint("merge"), "i").join(right.hint("merge"), F.col("j") == F.col("_side"), "left")
     keys = [c for c in pairs.columns if c not in ("i", "j")]
     return met.select(
         *keys, "i", F.col("_side").alias("j"), *[f"a_{c}" for c in payload], *[f"b_{c}" for c in payload]

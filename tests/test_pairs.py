@@ -146,7 +146,6 @@ def test_modes_broadcast_only_what_fits(spark, conf, dense):
 def test_shuffled_pairs_carry_each_side_once(spark, conf):
     """Pairs travel once for each end, not as two rows that meet the stimuli by their ids."""
     conf(BROADCAST_BYTES_KEY, 10)
-    conf("spark.sql.autoBroadcastJoinThreshold", -1)
     source = small(spark)
     out = source.distances(sample_pairs(source, 60, 1, "s"), 60, None)
     plan = out._jdf.queryExecution().executedPlan().toString()
