@@ -58,7 +58,7 @@ def importance_table(
 
     Every (feature, permutation) is a fresh batch. After the gather only the permuted term,
     the rest of the prediction and the distance travel, in one shuffle by batch. Batches beyond
-    the configured group size are permuted and ranked over all partitions, from tables that are
+    half the configured group size are permuted and ranked over all partitions, from tables that are
     written on the way and deleted again.
     """
     names = term_names(source.feature_names, interactions)
@@ -80,7 +80,8 @@ def importance_table(
         )
     )
     spark = source.df.sparkSession
-    large = ties == ORDINAL and batch_size > group_rows(spark)
+    # The permutation makes two records of a row.
+    large = ties == ORDINAL and 2 * batch_size > group_rows(spark)
     if large:
         mark = written(spark)
         narrow = materialize(narrow, tidy=True)
