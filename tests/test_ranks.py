@@ -6,7 +6,7 @@ from dyadica.operators.ranks import (
     average_rank, ordinal_position, pooled, rank_value, shuffle_within, soft_rank, soft_rank_affine,
 )
 from dyadica.plans.importance import importance_table
-from dyadica.session import BROADCAST_BYTES_KEY, GROUP_ROWS_KEY, group_rows, release, written
+from dyadica.session import BROADCAST_BYTES_KEY, GROUP_ROWS_KEY, broadcast_bytes, group_rows, release, written
 from dyadica.sources.sizing import fits_broadcast
 from dyadica.sources.stimuli import Stimuli
 
@@ -187,3 +187,10 @@ def test_one_task_and_the_driver_hold_little(spark):
         "id", *[f"double(id) as f{k}" for k in range(4)], "'AUTOMOBILE' as s", "array_repeat(double(id), 7) as y"
     )
     assert not fits_broadcast(wide, 900_000) and fits_broadcast(wide.limit(90_000), 90_000)
+
+
+def test_a_fold_of_the_1_gb_size_is_not_sent_through_the_driver(spark):
+    """Such a fold has 300,000 customers; three sides of each of three folds would pass through it."""
+    fold = spark.range(300_000).selectExpr("id", "double(id) as f1", "'AUTOMOBILE' as f2", "array_repeat(double(id), 7) as y")
+    assert broadcast_bytes(spark) <= 32 * 1024 * 1024
+    assert not fits_broadcast(fold, 300_000) and fits_broadcast(fold.limit(30_000), 30_000)
