@@ -8,8 +8,8 @@ descending score.
 
 The trees learn from the corpus itself: positives are base spans and the same spans rewritten in
 the wider forms within their own context; negatives are proposals away from base spans, and base
-spans corrupted so that they break their kind's rule. They learn from every document, and
-thresholds count every held-out proposal. Without LEAST_EXAMPLES of either label there is no
+spans corrupted so that they break their kind's rule. They learn from every document, their splits
+included, and thresholds count every held-out proposal. Without LEAST_EXAMPLES of either label there is no
 model, and base spans alone are given.
 
 Rows: null and empty texts have no spans. Texts are searched whole. Repeated rows give repeated
@@ -35,6 +35,8 @@ from dyadica.llm.common import map_arrow, texts_of, with_fields
 KINDS = ("email", "ip", "card", "phone")
 LEAST_EXAMPLES = 30
 ROUNDS, DEPTH = 10, 3
+# Spark takes the candidates for splits from so many rows, or the square of the bins if that is more.
+LEAST_BINS, SPLIT_ROWS = 32, 10_000
 # Precision asked of each kind's threshold on held-out proposals, and the least threshold.
 PRECISION, LEAST_THRESHOLD = 0.98, 0.9
 # Scores are told apart in steps of one thousandth when thresholds are set.
@@ -291,6 +293,11 @@ def held_out_counts(rows: DataFrame, model: Model) -> np.ndarray:
     return counts
 
 
+def bins(n: int) -> int:
+    """So many bins that Spark takes the candidates for splits from all of ``n`` rows."""
+    return LEAST_BINS if n <= SPLIT_ROWS else max(LEAST_BINS, math.isqrt(n - 1) + 1)
+
+
 def fit(docs: DataFrame, id: str = "doc_id", text: str = "text") -> Model:
     """Boosted trees from the proposals of all documents; the driver sees only the trees and counts
     of the held-out proposals' scores. Every row counts, whatever its ``id``."""
@@ -303,7 +310,7 @@ def fit(docs: DataFrame, id: str = "doc_id", text: str = "text") -> Model:
         if min(counts.get(0.0, 0), counts.get(1.0, 0)) < LEAST_EXAMPLES:
             return Model()
         ready = rows.select("label", "part", "kind", array_to_vector("x").alias("features"), "x")
-        gbt = GBTClassifier(maxIter=ROUNDS, maxDepth=DEPTH, stepSize=0.3, seed=7, maxBins=32)
+        gbt = GBTClassifier(maxIter=ROUNDS, maxDepth=DEPTH, stepSize=0.3, seed=7, maxBins=bins(sum(counts.values())))
         fitted = gbt.fit(ready.filter("part <> 0").select("label", "features"))
         model = Model(weights=[float(w) for w in fitted.treeWeights])
         for tree in fitted.trees:

@@ -12,8 +12,8 @@ features (scores, counts, shares; never its id, language or source) go into a lo
 regression fitted on labelled documents. Further terms are learned from the same documents: words
 that stand in several toxic ones and far less often elsewhere.
 
-At most SAMPLE_LABELS labelled documents are used to fit, those with the smallest hashes of their
-ids. With fewer than LEAST_LABELS of either label, fixed weights are used.
+All labelled documents are used to fit. With fewer than LEAST_LABELS of either label, fixed weights
+are used.
 
 Rows: null and empty texts have no hits and get the score of a clean text. Texts are read whole.
 Labels that are null do not count; a document labelled twice counts twice. Repeated rows get
@@ -32,11 +32,12 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
 from dyadica.llm.common import map_arrow, texts_of, with_fields
+from dyadica.session import materialize, release, written
+from dyadica.sources.sizing import fits_broadcast
 
-SAMPLE_LABELS = 20_000
 LEAST_LABELS = 10
-# A learned term stands in at least so many toxic documents of the sample and in this share of
-# them, so many times more often than in the others.
+# A learned term stands in at least so many labelled toxic documents and in this share of them,
+# so many times more often than in the others.
 TERM_DOCUMENTS, TERM_SHARE, TERM_LIFT = 5, 0.002, 12.0
 EXACT_LENGTH, LONG_LENGTH = 4, 10
 WINDOW = 8
@@ -235,31 +236,32 @@ def table_of(terms: list[str]) -> WordTable:
     return _tables[key]
 
 
-def labelled_sample(docs: DataFrame, labels: DataFrame, usable: Column, id: str, text: str, label: str) -> DataFrame:
-    """Texts and labels of at most SAMPLE_LABELS labelled documents that may be learned from."""
-    some = (
-        labels.filter(usable & F.col(label).isNotNull() & F.col(id).isNotNull())
-        .select(F.col(id).alias("_id"), F.col(label).cast("int").alias("label"))
-        .orderBy(F.xxhash64("_id"), "_id").limit(SAMPLE_LABELS)
+def labelled_documents(docs: DataFrame, labels: DataFrame, usable: Column, id: str, text: str, label: str) -> DataFrame:
+    """Texts and labels of all labelled documents that may be learned from. Labels measured as too
+    many for a broadcast meet the texts in a shuffle, and the rows found are written once."""
+    some = labels.filter(usable & F.col(label).isNotNull() & F.col(id).isNotNull()).select(
+        F.col(id).alias("_id"), F.col(label).cast("int").alias("label")
     )
-    # Bounded: SAMPLE_LABELS rows of two numbers.
-    return docs.select(F.col(id).alias("_id"), F.col(text).alias("_text")).join(F.broadcast(some), "_id")
+    texts = docs.select(F.col(id).alias("_id"), F.col(text).alias("_text"))
+    if fits_broadcast(some, some.count()):
+        return texts.join(F.broadcast(some), "_id")
+    return materialize(texts.join(some.hint("merge"), "_id"), tidy=True)
 
 
-def learned_terms(sample: DataFrame) -> list[str]:
-    """Words of the sample's toxic documents that are rare in its others."""
+def learned_terms(labelled: DataFrame) -> list[str]:
+    """Words of the toxic documents that are rare in the others."""
     word = F.explode(F.array_distinct(F.regexp_extract_all(F.lower(F.coalesce("_text", F.lit(""))), F.lit(r"(?<![\p{L}\p{N}])\p{L}{4,20}(?![\p{L}\p{N}])"), F.lit(0))))
-    totals = {r["label"]: r["n"] for r in sample.groupBy("label").agg(F.count(F.lit(1)).alias("n")).collect()}
+    totals = {r["label"]: r["n"] for r in labelled.groupBy("label").agg(F.count(F.lit(1)).alias("n")).collect()}
     toxic, clean = totals.get(1, 0), totals.get(0, 0)
     if not toxic or not clean:
         return []
-    counts = sample.select("label", word.alias("word")).groupBy("word").agg(
+    counts = labelled.select("label", word.alias("word")).groupBy("word").agg(
         F.sum(F.when(F.col("label") == 1, 1).otherwise(0)).alias("t"),
         F.sum(F.when(F.col("label") == 0, 1).otherwise(0)).alias("c"),
     )
     lift = (F.col("t") / toxic) / ((F.col("c") + 1) / (clean + 1))
     least = max(TERM_DOCUMENTS, TERM_SHARE * toxic)
-    # Bounded: a toxic document of the sample holds at most 1 / TERM_SHARE of them a word.
+    # Bounded: a toxic document holds at most 1 / TERM_SHARE of them a word.
     return [r["word"] for r in counts.filter((F.col("t") >= least) & (lift >= TERM_LIFT)).select("word").collect()]
 
 
@@ -268,24 +270,30 @@ def fit(docs: DataFrame, labels: DataFrame, usable: Column | None = None, id: st
     from pyspark.ml.classification import LogisticRegression
     from pyspark.ml.functions import array_to_vector
 
-    sample = labelled_sample(docs, labels, F.lit(True) if usable is None else usable, id, text, label).persist()
+    spark, rows = docs.sparkSession, None
+    mark = written(spark)
     try:
-        counts = {r["label"]: r["count"] for r in sample.groupBy("label").count().collect()}
+        labelled = labelled_documents(docs, labels, F.lit(True) if usable is None else usable, id, text, label)
+        counts = {r["label"]: r["count"] for r in labelled.groupBy("label").count().collect()}
         if min(counts.get(0, 0), counts.get(1, 0)) < LEAST_LABELS:
             return Model()
-        terms = sorted({*TERMS, *learned_terms(sample)})
+        terms = sorted({*TERMS, *learned_terms(labelled)})
 
         def run(batch: pa.RecordBatch) -> dict:
             table = table_of(terms)
             x = [read_text(t, table)[0] for t in texts_of(batch, "_text")]
             return {"label": batch.column(batch.schema.get_field_index("label")), "x": x}
 
-        labelled = sample.filter("label in (0, 1)")
-        rows = map_arrow(labelled, run, "label double, x array<double>", release=forget_tables, text="_text")
+        binary = labelled.filter("label in (0, 1)")
+        found = map_arrow(binary, run, "label double, x array<double>", release=forget_tables, text="_text")
+        # Each text is read once; only its few numbers are kept.
+        rows = found.select("label", array_to_vector("x").alias("features")).persist()
         lr = LogisticRegression(maxIter=60, regParam=1e-3, standardization=True)
-        fitted = lr.fit(rows.select("label", array_to_vector("x").alias("features")))
+        fitted = lr.fit(rows)
     finally:
-        sample.unpersist()
+        if rows is not None:
+            rows.unpersist()
+        release(spark, mark)
     return Model(terms, [float(w) for w in fitted.coefficients], float(fitted.intercept))
 
 

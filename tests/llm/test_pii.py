@@ -153,3 +153,17 @@ def test_model_and_thresholds_come_from_every_document(spark, monkeypatch):
     assert pii.fit(docs).trees
     every = pii.examples(docs, "text")
     assert counted[0].sum() == every.filter("part = 0").count() > 100
+
+
+def test_splits_are_chosen_among_all_proposals(spark, monkeypatch):
+    """Spark samples the square of the bins, or 10,000 rows if that is more; here 100 stand for them."""
+    from pyspark.ml.classification import GBTClassifier
+
+    used, plain = [], GBTClassifier.fit
+    monkeypatch.setattr(GBTClassifier, "fit", lambda self, rows: used.append(self.getMaxBins()) or plain(self, rows))
+    monkeypatch.setattr(pii, "SPLIT_ROWS", 100, raising=False)
+    rows = [(k, f"write u{k}@x{k % 7}.org or call +1 555 010 {1000 + k}, see 1{k % 10}.2.3.4 and {k} {2 * k} {1000 + k}") for k in range(200)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    assert pii.fit(docs).trees
+    n = pii.examples(docs, "text").filter("part <> 0").count()
+    assert used[0] ** 2 >= n > 32 ** 2

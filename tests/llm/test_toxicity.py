@@ -4,11 +4,13 @@ import time
 
 import pytest
 
+from dyadica.llm import toxicity
 from dyadica.llm.common import fold_of
 from dyadica.llm.queries import op4_toxicity
 from dyadica.llm.toxicity import (
     FEATURES, TERMS, WINDOW, Model, TermAutomaton, WordTable, edits_allowed, fit, read_text, score_documents,
 )
+from dyadica.session import BROADCAST_BYTES_KEY, written
 
 
 def distance(a, b):
@@ -101,3 +103,21 @@ def test_states_are_made_anew_when_there_are_many(monkeypatch):
         for k in range(len(t)):
             word = t[:k] + "x" + t[k + 1 :]
             assert small.look_up(word) == TermAutomaton.look_up(whole, word)
+
+
+def test_model_comes_from_every_labelled_document(spark, conf, monkeypatch):
+    """Also where the labels are too many for a broadcast; a document labelled twice counts twice."""
+    rows = [(k, f"text {k} about houses and trees" + " you blargish idiot" * (k % 4 == 0)) for k in range(200)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    known = [(k, int(k % 4 == 0)) for k in range(200)] + [(7, 0), (None, 1), (8, None), (999, 1)]
+    labels = spark.createDataFrame(known, "doc_id long, toxic int")
+    monkeypatch.setattr(toxicity, "SAMPLE_LABELS", 30, raising=False)
+    seen, plain = [], toxicity.learned_terms
+    monkeypatch.setattr(toxicity, "learned_terms", lambda rows: seen.append(rows.count()) or plain(rows))
+    a = fit(docs, labels)
+    conf(BROADCAST_BYTES_KEY, 10)
+    mark = written(spark)
+    b = fit(docs, labels)
+    assert seen == [201, 201] and written(spark) == mark
+    assert "blargish" in a.terms and a.terms == b.terms
+    assert b.weights == pytest.approx(a.weights, abs=1e-9) and b.intercept == pytest.approx(a.intercept, abs=1e-9)
