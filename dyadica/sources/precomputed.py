@@ -174,7 +174,7 @@ class PrecomputedPairs:
         table = self.df.select(
             F.col(self.i).cast("bigint").alias("i"), F.col(self.j).cast("bigint").alias("j"), *terms, *d
         )
-        if mode == "auto":
+        if mode in ("auto", "packed"):
             mode = "lookup" if self.is_small() else P.meeting_mode(
                 self.df.sparkSession, self._rows(), n_pairs
             )
